@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,28 @@ def resolve_keys(values: DataFrame, label: str) -> list[str]:
     if len(keys) > FULL_MAP_ROWS:
         raise ValueError(f"{label!r} has too many keys for a literal list; join on the lookup instead")
     return sorted(keys)
+
+
+def wanted_maps(choices: DataFrame, most: int = 10_000) -> list[tuple[str, str, str, int]]:
+    """Distinct (lookup, key, label, rows) of a catalog: a few per lookup table, checked."""
+    rows = choices.select("ref_table", "key_column", "value_column", "n").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lookup maps")
+    return sorted(tuple(r) for r in rows)
+
+
+def long_maps(
+    lookups: dict[str, DataFrame], wanted: list[tuple[str, str, str, int]], seq: str = "_seq"
+) -> DataFrame:
+    """Value maps of all wanted lookups: ref_table, key_column, map_key, map_value, n, value_column.
+
+    Each lookup is scanned for its two columns only.
+    """
+    parts = [
+        value_map(lookups[name], name, key, label, n, seq).withColumn("key_column", F.lit(key))
+        for name, key, label, n in wanted
+        if name in lookups
+    ]
+    if not parts:
+        raise ValueError("no lookup rows at hand")
+    return reduce(DataFrame.unionByName, parts)

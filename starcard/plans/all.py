@@ -1,3 +1,5 @@
 """Importing this module fills the registry."""
 
 from starcard.plans import sql_surface  # noqa: F401
+
+from starcard.plans import catalog_queries  # noqa: F401
