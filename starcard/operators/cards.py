@@ -10,6 +10,7 @@ from starcard.functions.types import affinity
 from starcard.operators.catalog import TABLE
 from starcard.rules import NOISE_VALUE_MAPS
 
+_MAPS = "map<string,struct<n:bigint,value_column:string,entries:map<string,string>>>"
 CARD_SCHEMA = """
 table_metadata struct<qualified_name: string, schema_name: string, name: string, description: string,
   synonyms: array<string>, primary_key: array<string>, row_count: bigint>,
@@ -20,37 +21,32 @@ value_maps map<string, struct<n: bigint, value_column: string, entries: map<stri
 """
 
 
-def nest(heads: DataFrame, cols: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """One row per table. ``maps``: owner, table_name, ref_table, n, value_column, entries."""
-    col = F.struct(
-        "column_id", "seq",
-        F.struct(
-            F.col("column_name").alias("name"), "type", "description", "nullable", "fk", "value_map_ref"
-        ).alias("c"),
-    )
-    columns = cols.groupBy(*TABLE).agg(F.sort_array(F.collect_list(col)).alias("k")).select(
-        *TABLE, F.transform("k", lambda x: x["c"]).alias("columns")
-    )
-    cards = heads.join(columns, TABLE)
+def nest(assembled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
+    """Cards from assembled tables. ``maps``: owner, table_name, ref_table, n, value_column, entries."""
+    cards = assembled
+    body = F.struct("n", "value_column", "entries")
     if maps is not None:
-        body = F.struct("n", "value_column", "entries")
-        cards = cards.join(
-            maps.groupBy(*TABLE).agg(
-                F.map_from_entries(F.collect_list(F.struct("ref_table", body))).alias("value_maps")
-            ),
-            TABLE, "left",
+        per_table = maps.groupBy(*TABLE).agg(
+            F.map_from_entries(F.collect_list(F.struct("ref_table", body))).alias("value_maps")
         )
+        cards = cards.join(per_table, TABLE, "left")
     else:
-        cards = cards.withColumn(
-            "value_maps",
-            F.lit(None).cast("map<string,struct<n:bigint,value_column:string,entries:map<string,string>>>"),
-        )
+        cards = cards.withColumn("value_maps", F.lit(None).cast(_MAPS))
     meta = F.struct(
-        "qualified_name", F.col("owner").alias("schema_name"), F.col("table_name").alias("name"),
-        "description", F.array().cast("array<string>").alias("synonyms"), "primary_key", "row_count",
+        F.concat_ws(".", *TABLE).alias("qualified_name"), F.col("owner").alias("schema_name"),
+        F.col("table_name").alias("name"), "description",
+        F.array().cast("array<string>").alias("synonyms"), "primary_key", "row_count",
+    )
+    cols = F.transform(
+        "cols",
+        lambda c: F.struct(
+            c["name"].alias("name"), c["type"].alias("type"), c["description"].alias("description"),
+            c["nullable"].alias("nullable"), c["fk"].alias("fk"),
+            c["ref"]["ref_table"].alias("value_map_ref"),
+        ),
     )
     return cards.select(
-        meta.alias("table_metadata"), "columns",
+        meta.alias("table_metadata"), cols.alias("columns"),
         F.lit(None).cast("map<string,string>").alias("special_handling"), "value_maps",
     )
 

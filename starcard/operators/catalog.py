@@ -6,6 +6,7 @@ grouped by (owner, table) stays small whatever share of the tables one owner hol
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from starcard.functions.text import clean_text, fk_parts, strip
 from starcard.functions.types import type_string
+from starcard.session import broadcast_if_small, cut
 from starcard.rules import (
     FACT_ROWS,
     KEY_NAMES,
@@ -42,49 +44,52 @@ def user_tables(tables: DataFrame, owner: str | None = None) -> DataFrame:
 def is_skipped(name: Column, schema: Column, rules: list[tuple] = SKIP_RULES) -> Column:
     """True for operational tables; a name on the keep list is never skipped."""
     upper = F.upper(name)
-    test = {
-        "prefix": upper.startswith,
-        "suffix": upper.endswith,
-        "contains": upper.contains,
-        "exact": lambda p: upper == p,
-    }
-    keep = [p for kind, p, _ in rules if kind == "keep"]
-    hits = [
-        test[kind](pattern) if only is None else test[kind](pattern) & (schema == only)
-        for kind, pattern, only in rules
-        if kind != "keep"
-    ]
-    return ~upper.isin(keep) & any_of(hits)
-
-
-def resolve_foreign_keys(constraints: DataFrame, columns: DataFrame) -> DataFrame:
+    form = {"prefix": "^(?:{})", "suffix": r"(?:{})\z", "contains": "(?:{})"}
+    grouped: dict[tuple[str, str | None], list[str]] = {}
+    for kind, pattern, only in rules:
+        grouped.setdefault((kind, only), []).append(pattern)
+    hits = []
+    for (kind, only), patterns in grouped.items():
+        if kind == "keep":
+            continue
+        if kind == "exact":
+            hit = upper.isin(patterns)
+        else:
+            hit = upper.rlike(form[kind].format("|".join(re.escape(p) for p in patterns)))
+        hits.append(hit if only is None else hit & (schema == only))
+    return ~upper.isin(grouped.get(("keep", None), [])) & any_of(hits)
+
+
+def keyed_columns(constraints: DataFrame, columns: DataFrame) -> DataFrame:
+    """Constraints with their columns: the one join that primary and foreign keys both start from."""
+    named = constraints.select(
+        "owner", "constraint_name", "constraint_type", "table_name", "r_owner", "r_constraint_name",
+        F.col("seq").alias("constraint_seq"),
+    )
+    held = columns.select(
+        "owner", "constraint_name", F.col("table_name").alias("column_table"), "column_name", "position", "seq"
+    )
+    return named.join(held, ["owner", "constraint_name"])
+
+
+def resolve_foreign_keys(keyed: DataFrame) -> DataFrame:
     """One row per referencing column, matched to the referenced column of the same position.
 
-    Referencing keys are the big side. Referenced constraints are unique per (owner, name), so a
-    constraint that most schemas point at can only be hot on the left of the last join, where
-    adaptive execution splits it.
+    Referenced constraints are unique per (owner, name, position), so a constraint that most
+    schemas point at can only be hot on the referencing side, where adaptive execution splits it.
     """
-    name = ["owner", "constraint_name", "table_name"]
-    c = constraints.filter(F.col("constraint_type") == "R").select(*name, "r_owner", "r_constraint_name")
-    cc = columns.select(*name, "column_name", "position")
-    target = (
-        constraints.select(*name)
-        .join(cc, name)
-        .select(
-            F.col("owner").alias("r_owner"),
-            F.col("constraint_name").alias("r_constraint_name"),
-            F.col("table_name").alias("referenced_table"),
-            "position",
-            F.col("column_name").alias("referenced_column"),
-        )
+    keyed = keyed.filter(F.col("table_name") == F.col("column_table"))
+    target = keyed.select(
+        F.col("owner").alias("r_owner"),
+        F.col("constraint_name").alias("r_constraint_name"),
+        F.col("table_name").alias("referenced_table"),
+        "position",
+        F.col("column_name").alias("referenced_column"),
     )
-    return (
-        c.join(cc, name)
-        .join(target, ["r_owner", "r_constraint_name", "position"])
-        .select(
-            *name, "position", "column_name", "r_owner", "referenced_table", "referenced_column"
-        )
+    source = keyed.filter(F.col("constraint_type") == "R").select(
+        "owner", "constraint_name", "table_name", "position", "column_name", "r_owner", "r_constraint_name"
     )
+    return source.join(target, ["r_owner", "r_constraint_name", "position"]).drop("r_constraint_name")
 
 
 def foreign_key_map(resolved: DataFrame) -> DataFrame:
@@ -95,20 +100,18 @@ def foreign_key_map(resolved: DataFrame) -> DataFrame:
     )
 
 
-def primary_keys(constraints: DataFrame, columns: DataFrame) -> DataFrame:
+def primary_keys(keyed: DataFrame) -> DataFrame:
     """Columns of each table's first primary constraint, by position, as ``primary_key``."""
-    first = (
-        constraints.filter(F.col("constraint_type") == "P")
-        .groupBy(*TABLE)
-        .agg(F.min_by("constraint_name", "seq").alias("constraint_name"))
+    spot = F.struct(
+        "constraint_seq", F.coalesce("position", F.lit(0)).alias("p"), "seq", "column_name"
     )
-    spot = F.struct(F.coalesce("position", F.lit(0)).alias("p"), "seq", "column_name")
-    return (
-        first.join(columns.drop("table_name"), ["owner", "constraint_name"])
+    spots = (
+        keyed.filter(F.col("constraint_type") == "P")
         .groupBy(*TABLE)
         .agg(F.sort_array(F.collect_list(spot)).alias("k"))
-        .select(*TABLE, F.col("k.column_name").alias("primary_key"))
     )
+    first = F.filter("k", lambda x: x["constraint_seq"] == F.col("k")[0]["constraint_seq"])
+    return spots.select(*TABLE, F.transform(first, lambda x: x["column_name"]).alias("primary_key"))
 
 
 def declared_type() -> Column:
@@ -177,50 +180,38 @@ def lookup_columns(columns: DataFrame) -> DataFrame:
     )
 
 
-def lookup_references(
-    fk_columns: DataFrame,
-    columns: DataFrame,
-    row_counts: DataFrame,
-    lookup_schema: str = LOOKUP_SCHEMA,
-    exported: list[str] | None = None,
+def usable_lookups(
+    columns: DataFrame, row_counts: DataFrame, lookup_schema: str, exported: list[str] | None = None
 ) -> DataFrame:
-    """Referencing columns whose lookup yields a value map, with the map's key and label column.
+    """Lookup tables that yield a value map: one row each, with all their column names.
 
-    ``fk_columns``: owner, table_name, column_name, column_id, fk. The key is the column the
-    reference really points at when the lookup has it. ``exported`` names the lookups whose rows
-    are at hand (all when null).
+    A lookup needs a label column and a row count. ``exported`` names the lookups whose rows are
+    at hand (all when null).
     """
-    ref_cols = columns.filter(F.col("owner") == lookup_schema)
-    usable = (
-        lookup_columns(ref_cols)
-        .filter(F.col("value_column").isNotNull())
-        .join(row_counts.filter(F.col("row_count").isNotNull()), TABLE)
-        .select(
-            F.col("table_name").alias("ref_table"), F.col("key_column").alias("picked"),
-            "value_column", F.col("row_count").alias("n"),
-        )
-    )
-    if exported is not None:
-        usable = usable.filter(F.col("ref_table").isin(exported))
-    real = ref_cols.select(
-        F.col("table_name").alias("ref_table"), F.col("column_name").alias("real_column")
+    mine = columns.filter(F.col("owner") == lookup_schema)
+    usable = lookup_columns(mine).filter(F.col("value_column").isNotNull())
+    names = mine.groupBy(*TABLE).agg(F.collect_list("column_name").alias("real"))
+    counted = row_counts.filter((F.col("owner") == lookup_schema) & F.col("row_count").isNotNull())
+    usable = usable.join(counted, TABLE).join(names, TABLE).select(
+        F.col("table_name").alias("ref_table"), F.col("key_column").alias("picked"), "value_column",
+        F.col("row_count").alias("n"), "real",
     )
+    return usable if exported is None else usable.filter(F.col("ref_table").isin(exported))
+
+
+def with_lookups(fk: DataFrame, lookups: DataFrame, lookup_schema: str) -> DataFrame:
+    """Add ``ref`` (lookup, key, label, rows) to references whose lookup yields a value map.
+
+    The key is the column the reference really points at when the lookup has it. Lookups are few
+    (checked), so they travel; hot lookups are then no matter.
+    """
+    few, _ = broadcast_if_small(cut(lookups))
     part = fk_parts(F.col("fk"))
-    return (
-        fk_columns.filter((part["schema"] == lookup_schema) & (F.col("owner") != lookup_schema))
-        .withColumn("ref_table", part["table"])
-        .withColumn("ref_column", part["column"])
-        .join(usable, "ref_table")
-        .join(
-            real,
-            (usable["ref_table"] == real["ref_table"]) & (F.col("ref_column") == F.col("real_column")),
-            "left",
-        )
-        .select(
-            *TABLE, "column_name", "column_id", usable["ref_table"],
-            F.coalesce("real_column", "picked").alias("key_column"), "value_column", "n",
-        )
-    )
+    mine = (part["schema"] == lookup_schema) & (F.col("owner") != lookup_schema)
+    key = F.when(F.array_contains("real", part["column"]), part["column"]).otherwise(F.col("picked"))
+    ref = F.struct("ref_table", key.alias("key_column"), "value_column", "n")
+    joined = fk.join(few, mine & (part["table"] == F.col("ref_table")), "left")
+    return joined.select(*fk.columns, F.when(F.col("ref_table").isNotNull(), ref).alias("ref"))
 
 
 def one_map_per_lookup(references: DataFrame) -> DataFrame:
@@ -230,7 +221,7 @@ def one_map_per_lookup(references: DataFrame) -> DataFrame:
     ).select(*TABLE, "ref_table", "m.*")
 
 
-def flat_cards(
+def assemble(
     tables: DataFrame,
     columns: DataFrame,
     constraints: DataFrame,
@@ -238,37 +229,73 @@ def flat_cards(
     lookup_schema: str = LOOKUP_SCHEMA,
     filter_tables: bool = True,
     exported: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cards before nesting: one frame per table, one per column, one per lookup reference."""
+) -> DataFrame:
+    """One row per table: owner, table_name, primary_key, row_count, description, cols.
+
+    Columns, references, keys and statistics are each brought to one row per (owner, table) and
+    joined on just that, so every input is shuffled once on the way here.
+    """
+    keyed = cut(keyed_columns(constraints, constraint_columns))
+    row_counts = first_row_counts(tables)
+    fk = with_lookups(
+        foreign_key_map(resolve_foreign_keys(keyed)),
+        usable_lookups(columns, row_counts, lookup_schema, exported),
+        lookup_schema,
+    )
+    fks = fk.groupBy(*TABLE).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("fk", "ref")))).alias("fks")
+    )
     kept = columns
     if filter_tables:
         kept = columns.filter(~is_skipped(F.col("table_name"), F.col("owner")))
-    fk = foreign_key_map(resolve_foreign_keys(constraints, constraint_columns))
-    row_counts = first_row_counts(tables)
-    cols = kept.join(fk, [*TABLE, "column_name"], "left").select(
-        *TABLE, "column_name", F.coalesce("column_id", F.lit(0)).alias("column_id"), "seq",
+    cell = F.struct(
+        F.coalesce("column_id", F.lit(0)).alias("column_id"), "seq", F.col("column_name").alias("name"),
         declared_type().alias("type"),
         F.coalesce(F.col("nullable") == "Y", F.lit(False)).alias("nullable"),
-        F.nullif(F.col("comments"), F.lit("")).alias("description"), "fk",
-    )
-    refs = lookup_references(
-        cols.filter(F.col("fk").isNotNull()), columns, row_counts, lookup_schema, exported
+        F.nullif(F.col("comments"), F.lit("")).alias("description"),
     )
-    cols = cols.join(
-        refs.select(*TABLE, "column_name", F.col("ref_table").alias("value_map_ref")),
-        [*TABLE, "column_name"], "left",
+    listed = kept.groupBy(*TABLE).agg(F.sort_array(F.collect_list(cell)).alias("cols"))
+    facts = tables.groupBy(*TABLE).agg(
+        F.min_by(F.struct("num_rows"), "seq")["num_rows"].alias("row_count"),
+        F.nullif(F.max_by(F.struct("comments"), "seq")["comments"], F.lit("")).alias("description"),
     )
-    heads = (
-        kept.select(*TABLE).distinct()
-        .join(primary_keys(constraints, constraint_columns), TABLE, "left")
-        .join(row_counts, TABLE, "left")
+    joined = (
+        listed.join(fks, TABLE, "left").join(primary_keys(keyed), TABLE, "left").join(facts, TABLE, "left")
     )
-    heads = described(heads, tables, TABLE).select(
-        *TABLE, F.concat_ws(".", *TABLE).alias("qualified_name"),
+    target = F.try_element_at
+    return joined.select(
+        *TABLE,
         F.coalesce("primary_key", F.array().cast("array<string>")).alias("primary_key"),
         "row_count", "description",
+        F.transform(
+            "cols",
+            lambda c: c.withField("fk", target("fks", c["name"])["fk"]).withField(
+                "ref", target("fks", c["name"])["ref"]
+            ),
+        ).alias("cols"),
+    )
+
+
+def table_rows(assembled: DataFrame) -> DataFrame:
+    return assembled.select(
+        *TABLE, F.concat_ws(".", *TABLE).alias("qualified_name"), "primary_key", "row_count", "description"
+    )
+
+
+def column_rows(assembled: DataFrame) -> DataFrame:
+    c = F.col("c")
+    return assembled.select(*TABLE, F.explode("cols").alias("c")).select(
+        *TABLE, c["name"].alias("column_name"), c["column_id"].alias("column_id"), c["type"].alias("type"),
+        c["nullable"].alias("nullable"), c["description"].alias("description"), c["fk"].alias("fk"),
+        c["ref"].alias("ref"),
+    )
+
+
+def reference_rows(assembled: DataFrame) -> DataFrame:
+    """Columns that point at a lookup with a value map."""
+    return column_rows(assembled).filter(F.col("ref").isNotNull()).select(
+        *TABLE, "column_name", "column_id", "ref.*"
     )
-    return heads, cols, refs
 
 
 def size_class(rows: Column) -> Column:

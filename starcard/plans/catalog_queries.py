@@ -26,6 +26,7 @@ from starcard.plans.tenants import (
     exported_lookups,
 )
 from starcard.rules import SKIP_RULES
+from starcard.session import broadcast_if_small, cut
 
 EXPORTED = ["REGION", "NATION", "CUSTOMER", "SUPPLIER"]
 
@@ -34,16 +35,15 @@ def _cat(sql: str, *more: str) -> str:
     return "WITH " + ",\n".join([CAT_SQL, *more]) + "\n" + sql
 
 
-def flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return K.flat_cards(
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    return K.assemble(
         cat_tables(spark, d), cat_columns(spark, d), cat_constraints(spark, d),
         cat_constraint_columns(spark, d), LOOKUPS, exported=EXPORTED,
     )
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    heads, cols, _ = flat(spark, d)
-    return C.nest(heads, cols)
+    return C.nest(assembled(spark, d))
 
 
 # --- SQL building blocks ------------------------------------------------------------------------
@@ -406,8 +406,12 @@ def fact_or_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- joins --------------------------------------------------------------------------------------
 
 
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return K.keyed_columns(cat_constraints(spark, d), cat_constraint_columns(spark, d))
+
+
 def _fks(spark: SparkSession, d: str) -> DataFrame:
-    return K.resolve_foreign_keys(cat_constraints(spark, d), cat_constraint_columns(spark, d))
+    return K.resolve_foreign_keys(_keyed(spark, d))
 
 
 def _fk_map(spark: SparkSession, d: str) -> DataFrame:
@@ -426,7 +430,7 @@ def fk_column_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pk_extract", _cat("SELECT * FROM pks", PK_SQL))
 def pk_extract(spark: SparkSession, d: str) -> DataFrame:
-    keys = K.primary_keys(cat_constraints(spark, d), cat_constraint_columns(spark, d))
+    keys = K.primary_keys(_keyed(spark, d))
     return keys.withColumn("primary_key", F.array_join("primary_key", ","))
 
 
@@ -465,8 +469,7 @@ def row_count_join(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def value_map_ref(spark: SparkSession, d: str) -> DataFrame:
-    _, _, refs = flat(spark, d)
-    return refs.drop("column_id")
+    return K.reference_rows(assembled(spark, d)).drop("column_id")
 
 
 _SHEET = [
@@ -517,8 +520,10 @@ def _sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ),
 )
 def enrich_fill(spark: SparkSession, d: str) -> DataFrame:
-    heads, cols, _ = flat(spark, d)
-    new_heads, new_cols = K.fill_descriptions(heads, cols, *_sheets(spark, d))
+    known = cut(assembled(spark, d))
+    new_heads, new_cols = K.fill_descriptions(
+        K.table_rows(known), K.column_rows(known), *_sheets(spark, d)
+    )
     texts = new_heads.select(
         *K.TABLE, F.col("description").alias("table_description"), F.col("filled").alias("table_filled")
     )
@@ -574,14 +579,15 @@ def card_build(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards with their value maps attached."""
-    heads, cols, refs = flat(spark, d)
-    choices = K.one_map_per_lookup(refs)
+    known = cut(assembled(spark, d))
+    choices = K.one_map_per_lookup(K.reference_rows(known))
     entries = C.nested_entries(V.long_maps(exported_lookups(spark, d), V.wanted_maps(choices)))
-    maps = choices.join(entries, ["ref_table", "key_column"], "left").withColumn(
+    few, _ = broadcast_if_small(entries)
+    maps = choices.join(few, ["ref_table", "key_column"], "left").withColumn(
         "entries", F.coalesce("entries", F.create_map().cast("map<string,string>"))
     )
     maps = maps.withColumn("value_column", F.when(F.col("n") > V.FULL_MAP_ROWS, F.col("value_column")))
-    return C.nest(heads, cols, maps)
+    return C.nest(known, maps)
 
 
 _LOOKUP_ROWS_SQL = """
@@ -607,8 +613,7 @@ choices AS (
     _cat("SELECT * FROM choices", FK_SQL, PICK_SQL, REFS_SQL, _CHOICE_SQL),
 )
 def value_map_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    _, _, refs = flat(spark, d)
-    return K.one_map_per_lookup(refs)
+    return K.one_map_per_lookup(K.reference_rows(assembled(spark, d)))
 
 
 @query(
@@ -719,6 +724,6 @@ def names_except(spark: SparkSession, d: str) -> DataFrame:
              WHERE regexp_matches(owner, '^[A-Za-z][A-Za-z0-9_]*$') AND NOT {SKIP_SQL} GROUP BY 1"""),
 )
 def schema_counts(spark: SparkSession, d: str) -> DataFrame:
-    heads, _, _ = flat(spark, d)
+    heads = K.table_rows(assembled(spark, d))
     named = heads.filter(valid_schema(F.col("owner")))
     return named.groupBy(F.col("owner").alias("schema_name")).agg(F.count(F.lit(1)).alias("n"))

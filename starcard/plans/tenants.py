@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.plans.registry import table
+from starcard.session import shuffle_width
 
 LOOKUPS = "REF"
 
@@ -280,14 +281,18 @@ def _literals(rows: list[tuple], schema: str) -> Column:
 
 def _per_tenant(spark: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
     owner = F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("owner")
-    return table(spark, d, "customer").select(
-        owner, "c_nationkey", F.explode(_literals(rows, schema)).alias("r")
-    ).select("owner", "c_nationkey", "r.*")
+    # The customers are spread before they are multiplied, so a single input file is no bottleneck.
+    people = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    spread = people.repartition(shuffle_width(spark), "c_custkey")
+    return spread.select(owner, "c_nationkey", F.explode(_literals(rows, schema)).alias("r")).select(
+        "owner", "c_nationkey", "r.*"
+    )
 
 
 def _shared(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    data = [(i, *row) for i, row in enumerate(rows)]
-    return spark.createDataFrame(data, "seq int, " + schema).select(F.lit(LOOKUPS).alias("owner"), "*")
+    return spark.range(1, numPartitions=1).select(F.explode(_literals(rows, schema)).alias("r")).select(
+        F.lit(LOOKUPS).alias("owner"), "r.*"
+    )
 
 
 def cat_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -305,11 +310,8 @@ def cat_tables(spark: SparkSession, d: str) -> DataFrame:
                 F.lit("shared " + name).alias("comments"),
             )
         )
-    blank = spark.createDataFrame(
-        [(LOOKUPS, 9, "OFFER", None, None)],
-        "owner string, seq int, table_name string, num_rows bigint, comments string",
-    )
-    return own.unionByName(blank)
+    blank = _shared(spark, [("OFFER", None, None)], _T_SCHEMA).withColumn("seq", F.lit(9))
+    return own.unionByName(blank.withColumnRenamed("base_rows", "num_rows"))
 
 
 def cat_columns(spark: SparkSession, d: str) -> DataFrame:
