@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from starcard.rules import ID_UNSAFE, NOISE_TOKENS, SCHEMA_NAME, STOP_WORDS, TOKEN
 
-SPACE = (
-    r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# white space of every kind, line ends and tabs included
+SPACE = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space, line ends and tabs included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def clean_text(c: Column) -> Column:

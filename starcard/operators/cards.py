@@ -21,13 +21,18 @@ value_maps map<string, struct<n: bigint, value_column: string, entries: map<stri
 """
 
 
+def _by_name(a: Column, b: Column) -> Column:
+    """Order of value maps inside a card (maps themselves cannot be compared)."""
+    return F.when(a["ref_table"] < b["ref_table"], -1).when(a["ref_table"] > b["ref_table"], 1).otherwise(0)
+
+
 def nest(assembled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """Cards from assembled tables. ``maps``: owner, table_name, ref_table, n, value_column, entries."""
     cards = assembled
     body = F.struct("n", "value_column", "entries")
     if maps is not None:
         per_table = maps.groupBy(*TABLE).agg(
-            F.map_from_entries(F.collect_list(F.struct("ref_table", body))).alias("value_maps")
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref_table", body)), _by_name)).alias("value_maps")
         )
         cards = cards.join(per_table, TABLE, "left")
     else:
@@ -54,7 +59,7 @@ def nest(assembled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
 def nested_entries(values: DataFrame) -> DataFrame:
     """Long value maps (ref_table, key_column, map_key, map_value) to one map per lookup and key."""
     return values.groupBy("ref_table", "key_column").agg(
-        F.map_from_entries(F.collect_list(F.struct("map_key", "map_value"))).alias("entries")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("map_key", "map_value")))).alias("entries")
     )
 
 

@@ -340,6 +340,16 @@ def fill_descriptions(
     return new_heads, new_cols
 
 
+def _latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The last row of each key. Only row numbers are aggregated; texts wait for the winners."""
+    last = rows.groupBy(*keys).agg(F.max(seq).alias("_last"))
+    named = last.select("_last", *[F.col(k).alias(f"_k_{k}") for k in keys])
+    match = F.col(seq) == F.col("_last")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, match, "left_semi").drop(seq)
+
+
 def description_sheets(
     table_sheet: DataFrame, column_sheet: DataFrame, seq: str = "row_no"
 ) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +368,4 @@ def description_sheets(
         key("Table").alias("table_name"), key("Name").alias("column_name"),
         clean_text(F.col("Comment")).alias("text"), seq,
     ).filter((F.col("table_name") != "") & (F.col("column_name") != "") & F.col("text").isNotNull())
-    return (
-        t.groupBy("owner", "table_name").agg(F.max_by("text", seq).alias("text")),
-        c.groupBy("table_name", "column_name").agg(F.max_by("text", seq).alias("text")),
-    )
+    return _latest(t, ["owner", "table_name"], seq), _latest(c, ["table_name", "column_name"], seq)

@@ -48,7 +48,7 @@ def expand(
     placed = fresh.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_total)
     sizes = core.groupBy("query_id").agg(F.count(F.lit(1)).alias("core_n"))
     room = placed.join(sizes, "query_id").filter(F.col("n") + F.col("core_n") <= max_total)
-    real = room.join(cards.select("name").distinct(), "name", "left_semi")
+    real = room.join(cards.select("name"), "name", "left_semi")
     after = Window.partitionBy("query_id").orderBy("n")
     rest = real.select(
         "query_id", "name", (F.row_number().over(after) + F.col("core_n")).cast("int").alias("pos"),

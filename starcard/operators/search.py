@@ -138,14 +138,12 @@ def card_hits(queries: DataFrame, cards: DataFrame, text: Column, schema: str =
 def index_stats(docs: DataFrame) -> DataFrame:
     """One row: documents, how many were indexed, how many had no terms, postings, terms."""
     index = cut(postings(docs))
-    per_index = index.agg(
-        F.count(F.lit(1)).alias("n_postings"),
-        F.sum("tf").alias("n_tokens"),
-        F.countDistinct("term").alias("n_terms"),
-        F.countDistinct("doc_id").alias("succeeded"),
-    )
-    total = docs.count()
-    return per_index.select(
+    total, terms = docs.count(), index.select("term").distinct().count()
+    per_doc = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.sum("tf").alias("t"))
+    return per_doc.agg(
+        F.count(F.lit(1)).alias("succeeded"), F.sum("c").alias("n_postings"), F.sum("t").alias("n_tokens")
+    ).select(
         F.lit(total).cast("bigint").alias("n_docs"), "succeeded",
-        (F.lit(total) - F.col("succeeded")).alias("failed"), "n_postings", "n_tokens", "n_terms",
+        (F.lit(total) - F.col("succeeded")).alias("failed"), "n_postings", "n_tokens",
+        F.lit(terms).cast("bigint").alias("n_terms"),
     )

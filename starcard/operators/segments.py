@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcard.session import cut, shuffle_width
+from starcard.session import shuffle_width, stored
 
 SEG = "_seg"
 
@@ -23,9 +23,10 @@ def _columns(order: list[str | Column]) -> list[Column]:
 
 
 def range_segments(df: DataFrame, order: list[str | Column], parts: int | None = None) -> DataFrame:
-    """Add ``_seg``, an increasing segment number along ``order``, fixed by a checkpoint."""
+    """Add ``_seg``, an increasing segment number along ``order``, fixed by writing it down."""
     width = parts or shuffle_width(df.sparkSession)
-    return cut(df.repartitionByRange(width, *_columns(order)).withColumn(SEG, F.spark_partition_id()))
+    ranged = df.repartitionByRange(width, *_columns(order)).withColumn(SEG, F.spark_partition_id())
+    return stored(ranged, "segments")
 
 
 def dense_number(
@@ -46,9 +47,19 @@ def dense_number(
     )
 
 
-def _edges(seg: DataFrame, key: str) -> DataFrame:
-    """First and last key of every segment; one row per segment."""
-    return seg.groupBy(SEG).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+def spread_join(
+    rows: DataFrame, per_group: DataFrame, on: list[str], by: str | None = None
+) -> DataFrame:
+    """Bring one row per group to all rows of the group, with hot groups spread over many tasks.
+
+    Rows are joined on (share, group) instead of the group alone. A share is the row's segment,
+    or a hash of the unique column ``by``; the table in between has one row per share and group.
+    """
+    if by is not None:
+        width = shuffle_width(rows.sparkSession)
+        rows = rows.withColumn(SEG, F.pmod(F.xxhash64(by), F.lit(width)).cast("int"))
+    shares = rows.select(SEG, *on).distinct().join(per_group, on)
+    return rows.join(shares, [SEG, *on])
 
 
 def running_sums(
@@ -57,20 +68,26 @@ def running_sums(
     order: list[str | Column],
     sums: dict[str, Column],
     parts: int | None = None,
+    keep_segment: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums per ``key`` along ``order``; ``sums`` maps new names to terms."""
+    """Inclusive running sums per ``key`` along ``order``; ``sums`` maps new names to terms.
+
+    ``keep_segment`` leaves ``_seg`` on the rows for a later ``spread_join``.
+    """
     seg = range_segments(df, [key, *order], parts)
     terms = {name: f"_t{i}" for i, name in enumerate(sums)}
     seg = seg.select("*", *[sums[n].alias(t) for n, t in terms.items()])
-    edges = _edges(seg, key)
-    tails = (
-        seg.join(F.broadcast(edges), SEG)
-        .filter(F.col(key) == F.col("_last"))
-        .groupBy(SEG)
+    edges = (
+        seg.groupBy(SEG, key)
         .agg(*[F.sum(t).alias(t) for t in terms.values()])
+        .groupBy(SEG)
+        .agg(
+            F.min(key).alias("_first"), F.max(key).alias("_last"),
+            *[F.max_by(t, key).alias(t) for t in terms.values()],
+        )
     )
     along = Window.partitionBy("_last").orderBy(SEG).rowsBetween(Window.unboundedPreceding, 0)
-    totals = edges.join(F.broadcast(tails), SEG).select(
+    totals = edges.select(
         SEG, "_first", "_last", *[F.sum(t).over(along).alias(t) for t in terms.values()]
     )
     step = Window.orderBy(SEG)
@@ -86,8 +103,9 @@ def running_sums(
     spread = seg.select(
         "*", *[F.sum(t).over(local).alias(f"_l{t}") for t in terms.values()]
     ).join(F.broadcast(carry), SEG)
-    done = spread.select(
+    return spread.select(
         *df.columns,
+        *([SEG] if keep_segment else []),
         *[
             (
                 F.col(f"_l{t}")
@@ -98,7 +116,6 @@ def running_sums(
             for name, t in terms.items()
         ],
     )
-    return done
 
 
 def neighbours(
@@ -109,6 +126,7 @@ def neighbours(
     back: str = "lag",
     ahead: str = "lead",
     parts: int | None = None,
+    keep_segment: bool = False,
 ) -> DataFrame:
     """Previous and next ``value`` per ``key`` along ``order`` (null at the ends of a key)."""
     seg = range_segments(df, [key, *order], parts)
@@ -130,6 +148,7 @@ def neighbours(
     after = F.coalesce(F.col("_a"), F.col("_next"))
     return inside.select(
         *df.columns,
+        *([SEG] if keep_segment else []),
         F.when(before["k"] == F.col(key), before["v"]).alias(back),
         F.when(after["k"] == F.col(key), after["v"]).alias(ahead),
     )

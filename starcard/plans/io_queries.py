@@ -16,7 +16,11 @@ from starcard.session import scratch_path
 from starcard.sources import files, sinks
 
 
-@query("src_csv_tables", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query(
+    "src_csv_tables",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+              strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+)
 def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
     exports, store = scratch_path(spark, "csv"), scratch_path(spark, "store")
     orders = table(spark, d, "orders")
@@ -24,7 +28,8 @@ def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema)
     read = files.read_csv_table(spark, exports, ddl)
     path = files.build_namespace(read, store, "STAR", "orders", reset=True)
-    return spark.read.parquet(path).drop("o_orderdate")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return spark.read.parquet(path).withColumn("day", day).drop("o_orderdate")
 
 
 
@@ -79,7 +84,19 @@ def sink_cards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("src_jdbc_dictionary")
+_NOT_SYSTEM = """table_name NOT LIKE 'DR$%' AND table_name NOT LIKE 'BIN$%' AND table_name NOT LIKE 'MLOG$%'
+  AND table_name NOT LIKE 'RUPD$%' AND table_name NOT LIKE 'ZZ_%' AND table_name NOT LIKE 'RV$%'"""
+
+
+@query(
+    "src_jdbc_dictionary",
+    _cat(
+        "UNION ALL ".join(
+            f"SELECT '{v}' AS view, owner, count(*) AS n FROM cat_{v} WHERE {_NOT_SYSTEM} GROUP BY 2\n"
+            for v in ("tables", "columns", "constraints")
+        )
+    ),
+)
 def src_jdbc_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """The shaping done to each dictionary view, on views held as frames instead of a database."""
     shaped = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starcard.operators.segments import neighbours, range_frame_sums, running_sums
+from starcard.operators.segments import neighbours, range_frame_sums, range_segments, running_sums, spread_join, SEG
 from starcard.operators.value_maps import full_map, resolve_keys
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
@@ -324,7 +324,8 @@ def q18(spark: SparkSession, d: str) -> DataFrame:
         events, "user_id", "ts", F.lit(1), F.expr("INTERVAL '0' HOUR"), F.expr("INTERVAL '1' HOUR"),
         "followers", open_start=True,
     )
-    return events.join(after, ["user_id", "ts"]).select("event_id", "followers")
+    placed = range_segments(events, ["user_id", "ts", "event_id"])
+    return spread_join(placed, after, ["user_id", "ts"]).select("event_id", "followers")
 
 
 @query(
@@ -411,10 +412,11 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
 def q24(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
     down = F.col("o_totalprice").desc()
-    rows = running_sums(orders, "o_custkey", [down, "o_orderkey"], {"rn": F.lit(1)})
+    rows = running_sums(orders, "o_custkey", [down, "o_orderkey"], {"rn": F.lit(1)}, keep_segment=True)
     level = orders.groupBy("o_custkey", "o_totalprice").agg(F.count(F.lit(1)).alias("c"))
-    level = running_sums(level, "o_custkey", [down], {"upto": F.col("c"), "dense": F.lit(1)})
+    level = running_sums(level, "o_custkey", [down], {"upto": F.col("c"), "dense": F.lit(1)}, keep_segment=True)
     size = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("size"))
+    level = spread_join(level, size, ["o_custkey"]).drop(SEG)
     rnk = F.col("upto") - F.col("c") + 1
     even, odd = F.expr("size div 4"), F.expr("size % 4")
     wide = odd * (even + 1)
@@ -423,8 +425,7 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
     )
     pct = F.when(F.col("size") > 1, (rnk - 1) / (F.col("size") - 1)).otherwise(F.lit(0.0))
     return (
-        rows.join(level, ["o_custkey", "o_totalprice"])
-        .join(size, "o_custkey")
+        spread_join(rows, level, ["o_custkey", "o_totalprice"])
         .select(
             "o_orderkey", "rn", rnk.alias("rnk"), "dense", quart.alias("quart"),
             F.round(pct, 9).alias("pct"), F.round(F.col("upto") / F.col("size"), 9).alias("cume"),
@@ -444,7 +445,7 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
 )
 def q25(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    near = neighbours(events, "user_id", ["ts", "event_id"], "value", "prev_value", "next_value")
+    near = neighbours(events, "user_id", ["ts", "event_id"], "value", "prev_value", "next_value", keep_segment=True)
     at = F.struct("ts", "event_id")
     ends = events.groupBy("user_id").agg(
         F.min_by("value", at).alias("first_v"), F.max_by("value", at).alias("last_v")
@@ -455,7 +456,7 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
         .select("user_id", F.col("value").alias("third_v"))
     )
     per_user = ends.join(third, "user_id", "left")
-    return near.join(per_user, "user_id").select(
+    return spread_join(near, per_user, ["user_id"]).select(
         "event_id", "prev_value", "next_value", "first_v", "last_v", "third_v"
     )
 
@@ -475,7 +476,7 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     run = running_sums(
         orders, "o_custkey", ["o_orderdate", "o_orderkey"],
-        {"run": F.col("o_totalprice"), "rn": F.lit(1)},
+        {"run": F.col("o_totalprice"), "rn": F.lit(1)}, keep_segment=True,
     )
     behind = run.select("o_custkey", (F.col("rn") + 3).alias("rn"), F.col("run").alias("behind"))
     days = range_frame_sums(
@@ -483,8 +484,8 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
         F.expr("INTERVAL '-30' DAY"), F.expr("INTERVAL '0' DAY"), "days30",
     )
     return (
-        run.join(behind, ["o_custkey", "rn"], "left")
-        .join(days, ["o_custkey", "o_orderdate"])
+        spread_join(run, days, ["o_custkey", "o_orderdate"])
+        .join(behind, ["o_custkey", "rn"], "left")
         .select(
             "o_orderkey",
             F.round("run", 2).alias("running_total"),
@@ -527,13 +528,11 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
          (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)""",
 )
 def q30(spark: SparkSession, d: str) -> DataFrame:
-    df, _ = run_readonly(
-        spark,
-        """SELECT o_orderkey, o_custkey FROM {orders} AS o WHERE o_totalprice >
-             (SELECT avg(i.o_totalprice) FROM {orders} AS i WHERE i.o_custkey = o.o_custkey)""",
-        orders=table(spark, d, "orders"),
-    )
-    return df
+    """The mean per customer is worked out once and met by the orders in shares of a customer."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    mean = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"))
+    joined = spread_join(orders, mean, ["o_custkey"], by="o_orderkey")
+    return joined.filter(F.col("o_totalprice") > F.col("mean")).select("o_orderkey", "o_custkey")
 
 
 @query(
