@@ -73,4 +73,4 @@ def iso_time(c: Column) -> Column:
 
 def bytes_text(c: Column) -> Column:
     """UTF-8 text of a binary column; malformed bytes become the replacement character."""
-    return F.decode(c, "UTF-8")
+    return F.make_valid_utf8(c.cast("string"))

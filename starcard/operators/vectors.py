@@ -86,11 +86,15 @@ def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         F.ceil(F.col("nq") / BLOCK_QUERIES).cast("int").alias("qb"),
         F.ceil(F.col("nv") / BLOCK_VECTORS).cast("int").alias("vb"),
     )
-    q = queries.join(sizes, "cell").select(
-        "cell", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("qblock"),
-        F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("vblock"), "query_id", "vector",
+    # One row of sizes per cell, at most some thousand cells. Every query-side column is renamed, as
+    # both sides may come from one table.
+    q = queries.join(F.broadcast(sizes), "cell").select(
+        F.col("cell").alias("q_cell"),
+        F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q_qblock"),
+        F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("q_vblock"),
+        F.col("query_id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
-    v = vectors.join(sizes, "cell").select(
+    v = vectors.join(F.broadcast(sizes), "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("doc_id"), F.col("vb")).cast("int").alias("vblock"), "doc_id", "vector",
     )
@@ -100,12 +104,13 @@ def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         found = _top(
-            left["query_id"].to_numpy(), _matrix(left["vector"]),
+            left["q_id"].to_numpy(), _matrix(left["q_vector"]),
             right["doc_id"].to_numpy(), _matrix(right["vector"]), k,
         )
         return pd.DataFrame({"query_id": found[0], "doc_id": found[1], "score": found[2]})
 
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(score, HIT_SCHEMA)
+    left_groups, right_groups = q.groupBy("q_cell", "q_qblock", "q_vblock"), v.groupBy(*keys)
+    return left_groups.cogroup(right_groups).applyInPandas(score, HIT_SCHEMA)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, carried: int = CARRIED_QUERIES) -> DataFrame:

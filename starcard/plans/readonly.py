@@ -6,14 +6,19 @@ session commands and statement lists before anything runs. Rows stay in the Data
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# leading white space, comments and brackets, then the first word
+_OPENING = re.compile(r"(?:\s|\(|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*(\w*)", re.S)
+
+
 @dataclass
 class Outcome:
     """What the gate and the dry run said about one statement."""
@@ -56,6 +61,12 @@ def check_sql(
     if not text:
         outcome.syntax_errors.append("No SQL draft available to validate")
         return None, outcome
+    word = _OPENING.match(text).group(1).upper()
+    if word not in ("SELECT", "WITH"):
+        outcome.syntax_errors.append(
+            f"Query type not allowed: {word or text[:20]}. Only SELECT and WITH (CTE) queries are permitted."
+        )
+        return None, outcome
     try:
         df = spark.sql(f"SELECT * FROM (\n{text}\n)", **tables)
     except ParseException as error:
@@ -95,7 +106,7 @@ def write_result(df: DataFrame, outcome: Outcome, path: str) -> Outcome:
     started = time.perf_counter()
     try:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    except PySparkException as error:
+    except Exception as error:  # noqa: BLE001 - data errors surface as several types
         outcome.success = False
         outcome.error_message = f"SQL execution error: {_first_line(error)}"
         return outcome

@@ -76,7 +76,11 @@ def build_namespace(df: DataFrame, root: str, schema: str, table: str, reset: bo
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Dictionary exports, one JSON object per schema and file; arrays stay nested."""
+    """Dictionary exports, one JSON object per schema and file; arrays stay nested.
+
+    Spark does not list files whose name starts with "_" or ".", so exports named that way have to
+    be stored under another name.
+    """
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
 
