@@ -303,13 +303,12 @@ def size_class(rows: Column) -> Column:
     return F.when(rows >= FACT_ROWS, "fact").when(rows < LOOKUP_ROWS, "lookup").otherwise("other")
 
 
-def fill_descriptions(
-    heads: DataFrame, cols: DataFrame, table_texts: DataFrame, column_texts: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Fill empty descriptions only; both frames gain ``filled``.
+def fill_descriptions(assembled: DataFrame, table_texts: DataFrame, column_texts: DataFrame) -> DataFrame:
+    """Fill empty descriptions of assembled tables only; ``filled`` marks tables and columns.
 
     ``table_texts`` (owner or null, table_name, text): the owner's own text goes before the one
-    without owner. ``column_texts`` (table_name, column_name, text) ignores the schema.
+    without owner. ``column_texts`` (table_name, column_name, text) ignores the schema. Each table
+    is met by one row of column texts, so columns are filled where they are, inside the card.
     """
     up_owner, up_table = F.upper("owner"), F.upper("table_name")
     own = table_texts.filter(F.col("owner").isNotNull()).select(
@@ -318,26 +317,29 @@ def fill_descriptions(
     shared = table_texts.filter(F.col("owner").isNull()).select(
         F.col("table_name").alias("_s"), F.col("text").alias("_shared")
     )
-    was = F.nullif(F.col("description"), F.lit(""))
-    now = F.coalesce(was, F.col("_own"), F.col("_shared"))
-    new_heads = (
-        heads.join(own, (up_owner == F.col("_o")) & (up_table == F.col("_t")), "left")
-        .join(shared, up_table == F.col("_s"), "left")
-        .withColumn("filled", was.isNull() & now.isNotNull())
-        .withColumn("description", F.coalesce(now, F.col("description")))
-        .drop("_o", "_t", "_own", "_s", "_shared")
-    )
-    per_col = column_texts.select(
-        F.col("table_name").alias("_t"), F.col("column_name").alias("_c"), F.col("text").alias("_text")
+    per_table = column_texts.groupBy(F.col("table_name").alias("_c")).agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", "text"))).alias("_texts")
     )
-    now_col = F.coalesce(was, F.col("_text"))
-    new_cols = (
-        cols.join(per_col, (up_table == F.col("_t")) & (F.upper("column_name") == F.col("_c")), "left")
-        .withColumn("filled", was.isNull() & now_col.isNotNull())
-        .withColumn("description", F.coalesce(now_col, F.col("description")))
-        .drop("_t", "_c", "_text")
+
+    def missing(text: Column) -> Column:
+        return F.coalesce(text, F.lit("")) == ""
+
+    def filled(c: Column) -> Column:
+        text = F.try_element_at("_texts", F.upper(c["name"]))
+        now = missing(c["description"]) & text.isNotNull()
+        return c.withField("filled", now).withField("description", F.when(now, text).otherwise(c["description"]))
+
+    text = F.coalesce("_own", "_shared")
+    now = missing(F.col("description")) & text.isNotNull()
+    return (
+        assembled.join(own, (up_owner == F.col("_o")) & (up_table == F.col("_t")), "left")
+        .join(shared, up_table == F.col("_s"), "left")
+        .join(per_table, up_table == F.col("_c"), "left")
+        .withColumn("cols", F.transform("cols", filled))
+        .withColumn("filled", now)
+        .withColumn("description", F.when(now, text).otherwise(F.col("description")))
+        .drop("_o", "_t", "_own", "_s", "_shared", "_c", "_texts")
     )
-    return new_heads, new_cols
 
 
 def _latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:

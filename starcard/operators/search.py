@@ -18,7 +18,9 @@ SALTS = 32
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, term, tf, doc_len; hash partitioned by document."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).repartition("doc_id")
+    # The plain text travels, not its tokens: it is smaller, and tokenizing then runs on every task.
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).repartition("doc_id")
+    words = texts.select("doc_id", tokens(F.col("t")).alias("w"))
     return (
         words.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
         .groupBy("doc_id", "doc_len", "term")

@@ -154,6 +154,23 @@ card AS (
   WHERE NOT {_skip_sql('c.table_name', 'c.owner')}
 )"""
 
+_LOOKUP_ROWS_SQL = """
+lookup_rows AS (
+  SELECT 'REGION' AS ref_table, 'R_REGIONKEY' AS key_column, r_regionkey AS seq,
+         CAST(r_regionkey AS VARCHAR) AS map_key, r_name AS map_value FROM region
+  UNION ALL SELECT 'NATION', 'NATION_ID', n_nationkey, CAST(n_nationkey AS VARCHAR), n_name FROM nation
+  UNION ALL SELECT 'NATION', 'NATION_NAME', n_nationkey, n_name, n_name FROM nation
+  UNION ALL SELECT 'CUSTOMER', 'ID', c_custkey, CAST(c_custkey AS VARCHAR), c_name FROM customer
+  UNION ALL SELECT 'SUPPLIER', 'S_CODE', s_suppkey, CAST(s_suppkey AS VARCHAR), s_name FROM supplier
+)"""
+
+_CHOICE_SQL = """
+choices AS (
+  SELECT owner, table_name, ref_table, arg_min(key_column, column_id) AS key_column,
+         arg_min(value_column, column_id) AS value_column, arg_min(n, column_id) AS n
+  FROM refs GROUP BY 1, 2, 3
+)"""
+
 CARD_PARTS = (FK_SQL, PICK_SQL, REFS_SQL, PK_SQL, CARD_SQL)
 
 
@@ -351,7 +368,34 @@ def doc_id(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("card_prune_json")
+@query(
+    "card_prune_json",
+    _cat(
+        """SELECT qualified_name, to_json({'table_metadata': {'qualified_name': qualified_name, 'description': table_description,
+                    'primary_key': string_split(primary_key, ','), 'row_count': row_count},
+                  'columns': cols, 'value_maps': maps}) AS card_json
+           FROM (SELECT owner, table_name, qualified_name, table_description, primary_key, row_count,
+                   list({'name': column_name, 'type': type, 'description': description, 'nullable': nullable, 'fk': fk} ORDER BY pos) AS cols
+                 FROM card WHERE primary_key <> '' GROUP BY ALL)
+           LEFT JOIN nested USING (owner, table_name)
+           UNION ALL
+           SELECT qualified_name, to_json({'table_metadata': {'qualified_name': qualified_name, 'description': table_description,
+                    'primary_key': [], 'row_count': row_count}, 'columns': cols, 'value_maps': maps})
+           FROM (SELECT owner, table_name, qualified_name, table_description, row_count,
+                   list({'name': column_name, 'type': type, 'description': description, 'nullable': nullable, 'fk': fk} ORDER BY pos) AS cols
+                 FROM card WHERE primary_key = '' GROUP BY ALL)
+           LEFT JOIN nested USING (owner, table_name)""",
+        FK_SQL, PICK_SQL, REFS_SQL, PK_SQL, CARD_SQL, _CHOICE_SQL, _LOOKUP_ROWS_SQL,
+        """entries AS (
+          SELECT ref_table, key_column, map_from_entries(list((map_key, map_value) ORDER BY map_key, map_value)) AS entries
+          FROM (SELECT *, row_number() OVER (PARTITION BY ref_table, key_column ORDER BY seq) AS place FROM lookup_rows) l
+          WHERE place <= 20 OR (SELECT min(n) FROM choices c WHERE c.ref_table = l.ref_table) <= 500 GROUP BY 1, 2)""",
+        """nested AS (
+          SELECT owner, table_name, map_from_entries(list((ref_table, {'n': n,
+                   'value_column': CASE WHEN n > 500 THEN value_column END, 'entries': entries}) ORDER BY ref_table)) AS maps
+          FROM choices JOIN entries USING (ref_table, key_column) GROUP BY 1, 2)""",
+    ),
+)
 def card_prune_json(spark: SparkSession, d: str) -> DataFrame:
     return C.selector_json(nested_cards(spark, d))
 
@@ -520,16 +564,12 @@ def _sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ),
 )
 def enrich_fill(spark: SparkSession, d: str) -> DataFrame:
-    known = cut(assembled(spark, d))
-    new_heads, new_cols = K.fill_descriptions(
-        K.table_rows(known), K.column_rows(known), *_sheets(spark, d)
-    )
-    texts = new_heads.select(
-        *K.TABLE, F.col("description").alias("table_description"), F.col("filled").alias("table_filled")
-    )
-    return new_cols.join(texts, K.TABLE).select(
-        *K.TABLE, "column_name", "table_description", "table_filled", "description",
-        F.col("filled").alias("column_filled"),
+    cards = K.fill_descriptions(assembled(spark, d), *_sheets(spark, d))
+    c = F.col("c")
+    return cards.select(*K.TABLE, "description", "filled", F.explode("cols").alias("c")).select(
+        *K.TABLE, c["name"].alias("column_name"), F.col("description").alias("table_description"),
+        F.col("filled").alias("table_filled"), c["description"].alias("description"),
+        c["filled"].alias("column_filled"),
     )
 
 
@@ -590,24 +630,6 @@ def nested_cards(spark: SparkSession, d: str) -> DataFrame:
     return C.nest(known, maps)
 
 
-_LOOKUP_ROWS_SQL = """
-lookup_rows AS (
-  SELECT 'REGION' AS ref_table, 'R_REGIONKEY' AS key_column, r_regionkey AS seq,
-         CAST(r_regionkey AS VARCHAR) AS map_key, r_name AS map_value FROM region
-  UNION ALL SELECT 'NATION', 'NATION_ID', n_nationkey, CAST(n_nationkey AS VARCHAR), n_name FROM nation
-  UNION ALL SELECT 'NATION', 'NATION_NAME', n_nationkey, n_name, n_name FROM nation
-  UNION ALL SELECT 'CUSTOMER', 'ID', c_custkey, CAST(c_custkey AS VARCHAR), c_name FROM customer
-  UNION ALL SELECT 'SUPPLIER', 'S_CODE', s_suppkey, CAST(s_suppkey AS VARCHAR), s_name FROM supplier
-)"""
-
-_CHOICE_SQL = """
-choices AS (
-  SELECT owner, table_name, ref_table, arg_min(key_column, column_id) AS key_column,
-         arg_min(value_column, column_id) AS value_column, arg_min(n, column_id) AS n
-  FROM refs GROUP BY 1, 2, 3
-)"""
-
-
 @query(
     "value_map_dedupe",
     _cat("SELECT * FROM choices", FK_SQL, PICK_SQL, REFS_SQL, _CHOICE_SQL),

@@ -140,20 +140,20 @@ def test_value_maps(spark):
 
 
 def test_fill_descriptions(spark):
-    heads = spark.createDataFrame(
-        [("a", "T1", None), ("a", "T2", ""), ("b", "T2", "own"), ("b", "T3", None)],
-        "owner string, table_name string, description string")
-    cols = spark.createDataFrame(
-        [("a", "T1", "c1", ""), ("z", "T1", "c1", None), ("a", "T1", "c2", "kept"), ("a", "T9", "c1", None)],
-        "owner string, table_name string, column_name string, description string")
+    tables = spark.createDataFrame(
+        [("a", "T1", None, [("c1", ""), ("c2", "kept")]), ("z", "T1", "own", [("c1", None)]), ("a", "T2", "", []),
+         ("b", "T2", "own", []), ("b", "T3", None, [("c1", None)])],
+        "owner string, table_name string, description string, cols array<struct<name:string,description:string>>")
     sheet = spark.createDataFrame(
         [("A", "T1", " one "), (None, "T1", "shared"), (" ", " t2", "old"), (None, "T2", "new"), (None, "T3", "nan")],
         "Owner string, Name string, Comment string").withColumn("row_no", F.monotonically_increasing_id())
     col_sheet = spark.createDataFrame(
         [("t1 ", "C1", "text"), ("T1", "C2", "unused"), ("", "C1", "x")], "Table string, Name string, Comment string",
     ).withColumn("row_no", F.monotonically_increasing_id())
-    new_heads, new_cols = K.fill_descriptions(heads, cols, *K.description_sheets(sheet, col_sheet))
-    assert {(r["owner"], r["table_name"]): (r["description"], r["filled"]) for r in new_heads.collect()} == {
-        ("a", "T1"): ("one", True), ("a", "T2"): ("new", True), ("b", "T2"): ("own", False), ("b", "T3"): (None, False)}
-    assert {(r["owner"], r["table_name"], r["column_name"]): r["description"] for r in new_cols.collect()} == {
-        ("a", "T1", "c1"): "text", ("z", "T1", "c1"): "text", ("a", "T1", "c2"): "kept", ("a", "T9", "c1"): None}
+    rows = K.fill_descriptions(tables, *K.description_sheets(sheet, col_sheet)).collect()
+    assert {(r["owner"], r["table_name"]): (r["description"], r["filled"]) for r in rows} == {
+        ("a", "T1"): ("one", True), ("z", "T1"): ("own", False), ("a", "T2"): ("new", True),
+        ("b", "T2"): ("own", False), ("b", "T3"): (None, False)}
+    cols = {(r["owner"], r["table_name"]): [tuple(c) for c in r["cols"]] for r in rows}
+    assert cols[("a", "T1")] == [("c1", "text", True), ("c2", "kept", False)]
+    assert cols[("z", "T1")] == [("c1", "text", True)] and cols[("b", "T3")] == [("c1", None, False)]
