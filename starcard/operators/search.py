@@ -1,7 +1,8 @@
 """Text search over many queries at once: postings, BM25, rank fusion, rerank, fallback.
 
-Postings are kept partitioned by document. Scoring a document against all queries then needs no
-shuffle, each task keeps its best k per query, and only those travel to the final ranking.
+Postings that match a query term are partitioned by document before they meet the queries. Adding up
+a document's score per query then needs no shuffle of (document, query) pairs: each task keeps its
+best k per query, and only those travel to the final ranking.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starcard.functions.text import tokens
 from starcard.rules import BM25_B, BM25_K1, CORE_COUNT, RRF_K, TOP_K
-from starcard.session import broadcast_if_small, cut
+from starcard.session import broadcast_if_small, stored
 
 SALTS = 32
 
@@ -54,24 +55,25 @@ def bm25(
     ``docs``: doc_id, text. ``queries``: query_id, text. The score is rounded to 6 places before
     ranking, so equal documents tie whatever order their terms were added up in.
     """
-    index = cut(postings(docs))
-    wanted = cut(query_terms(queries))
+    index = stored(postings(docs), "postings")
+    wanted = stored(query_terms(queries), "query-terms")
     n_docs = docs.count()
     all_terms = index.agg(F.sum("tf")).first()[0] or 0
     mean_len = all_terms / n_docs if n_docs else 1.0
 
     limit = {} if small_rows is None else {"rows": small_rows}
     vocabulary, _ = broadcast_if_small(wanted.select("term").distinct(), **limit)
-    seen = index.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    matched = index.join(vocabulary, "term", "left_semi")
+    seen = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(seen.select("term", idf.alias("idf")), "term")
 
     weights, small = broadcast_if_small(weights, **limit)
     if small:
-        pairs = index.join(weights, "term")
+        pairs = matched.repartition("doc_id").join(weights, "term")
     else:
         salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = index.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        spread = matched.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         pairs = spread.join(salted, ["term", "salt"])
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len)))
@@ -139,7 +141,7 @@ def card_hits(queries: DataFrame, cards: DataFrame, text: Column, schema: str =
 
 def index_stats(docs: DataFrame) -> DataFrame:
     """One row: documents, how many were indexed, how many had no terms, postings, terms."""
-    index = cut(postings(docs))
+    index = stored(postings(docs), "postings")
     total, terms = docs.count(), index.select("term").distinct().count()
     per_doc = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.sum("tf").alias("t"))
     return per_doc.agg(

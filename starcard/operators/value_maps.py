@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starcard.rules import FULL_MAP_ROWS, SAMPLED_ROWS
 
-MAP_COLUMNS = ["ref_table", "map_key", "map_value", "n", "value_column"]
+MAP_SCHEMA = "ref_table string, map_key string, map_value string, n bigint, value_column string"
 
 
 def _filled(c: Column) -> Column:

@@ -673,7 +673,7 @@ _STAR_LOOKUPS = [
 
 
 def _star_maps(spark: SparkSession, d: str, full: bool) -> DataFrame:
-    found = []
+    found = [spark.createDataFrame([], V.MAP_SCHEMA)]
     for name, key, label in _STAR_LOOKUPS:
         lookup = table(spark, d, name)
         rows = lookup.count()
