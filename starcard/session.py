@@ -59,8 +59,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has at most ``rows`` rows; a plain count, so no rows are moved for it."""
+    return df.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
