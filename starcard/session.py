@@ -28,13 +28,23 @@ def build_session(master: str | None = None, app: str = "starcard", **conf: str)
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """Folder all executors see; a private one is made only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder all executors see: the cluster's checkpoint folder, or one on its default file system.
+
+    A session without either is only served when driver and executors are one process (tests).
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starcard-"))
-    return spark.sparkContext.getCheckpointDir()
+    home = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration()).getHomeDirectory()
+    if home.toUri().getScheme() != "file":
+        root = f"{home}/.starcard-scratch"
+    elif context.master.split("[")[0] == "local":
+        root = tempfile.mkdtemp(prefix="starcard-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
