@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
+from starcard.llm.simhash import near_groups
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_CHECKS: dict[str, str] = {}
@@ -27,6 +28,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@_query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(_documents(spark, folder))
+
+
 @_query(
     "op3_exact_dedup",
     """
