@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
 from starcard.llm.simhash import near_groups
+from starcard.llm.sketches import fingerprint_edits
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_CHECKS: dict[str, str] = {}
@@ -48,6 +49,11 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_documents(spark, folder))
 
 
+@_query("op5_document_fingerprints")
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_edits(_documents(spark, folder))
+
+
 @_query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(_documents(spark, folder))
