@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
+from starcard.llm.secrets import scan
+from starcard.llm.sentencepieces import round_trip
 from starcard.llm.simhash import near_groups
 from starcard.llm.sketches import fingerprint_edits
 
@@ -54,6 +56,16 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(_documents(spark, folder))
 
 
+@_query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(_documents(spark, folder))
+
+
 @_query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(_documents(spark, folder))
+
+
+@_query("op10_sentencepiece_round_trip")
+def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(_documents(spark, folder))
