@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starcard.llm.deleted_interpolation import score_corpus
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
 from starcard.llm.secrets import scan
@@ -51,6 +52,11 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_documents(spark, folder))
 
 
+@_query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_corpus(_documents(spark, folder))
+
+
 @_query("op5_document_fingerprints")
 def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(_documents(spark, folder))
