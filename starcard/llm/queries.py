@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starcard.llm.deleted_interpolation import score_corpus
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
+from starcard.llm.line_dedup import line_report
 from starcard.llm.secrets import scan
 from starcard.llm.sentencepieces import round_trip
 from starcard.llm.simhash import near_groups
@@ -62,6 +63,11 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(_documents(spark, folder))
 
 
+@_query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(_documents(spark, folder))
+
+
 @_query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(_documents(spark, folder))
