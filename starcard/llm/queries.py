@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starcard.llm.deleted_interpolation import score_corpus
 from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
 from starcard.llm.line_dedup import line_report
+from starcard.llm.mixing import label_domains, mix
 from starcard.llm.secrets import scan
 from starcard.llm.sentencepieces import round_trip
 from starcard.llm.simhash import near_groups
@@ -68,6 +70,18 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(_documents(spark, folder))
 
 
+#: Target shares of tokens: no toxic text, and rough text about as it comes.
+WEIGHTS = {"clean": 0.88, "rough": 0.12, "toxic": 0.0}
+
+
+@_query("op7_source_mixing")
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    labels = label_domains(spark.read.parquet(f"{folder}/labels.parquet"))
+    rated, model = mix(_documents(spark, folder).select("doc_id", "text"), labels, WEIGHTS)
+    of = [F.col("_mix.p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rated.select("doc_id", F.col("_mix.tokens").alias("n_tokens"), *of, "_mix.rate", "_mix.copies")
+
+
 @_query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(_documents(spark, folder))
