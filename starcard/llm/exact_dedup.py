@@ -8,6 +8,8 @@ are then compared with the text that stays, chunk by chunk, so a collision can't
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,7 @@ CHUNK = 1 << 16
 #: Two primes below 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1402024253)
-FINGERPRINT = "h1 long, h2 long, n long"
+FINGERPRINT = "h1 long, h2 long, n long, sha string"
 #: Shares of a group of equal texts; each share meets a copy of the text that stays.
 SHARES = 256
 
@@ -62,15 +64,17 @@ class Hasher:
 
 
 def fingerprint(text: Column, hasher_args: dict | None = None) -> Column:
-    """Struct (h1, h2, n) of the UTF-8 bytes of ``text``; null counts as empty."""
+    """Struct (h1, h2, n, sha) of the UTF-8 bytes of ``text`` with A-Z lower-cased; null counts as empty."""
     made: list[Hasher] = []
 
     @F.pandas_udf(FINGERPRINT)
     def run(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Hasher(**(hasher_args or {})))
-        rows = [made[0].whole(t.encode()) if t else (0, 0, 0) for t in texts]
-        return pd.DataFrame(rows, columns=["h1", "h2", "n"], dtype="int64")
+        rows = []
+        for data in ((t or "").encode().lower() for t in texts):  # of bytes, lower() changes A-Z only
+            rows.append((*made[0].whole(data), hashlib.sha256(data).hexdigest()))
+        return pd.DataFrame(rows, columns=["h1", "h2", "n", "sha"])
 
     return run(text)
 
@@ -103,9 +107,9 @@ def combine_parts(parts: DataFrame, doc: str, after: str, h: str = "f") -> DataF
 
 def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
     """A row per chunk of the text; an empty text has one empty chunk."""
-    count = F.ceil(F.greatest(F.length("norm"), F.lit(1)) / F.lit(chunk)).cast("int")
+    count = F.ceil(F.greatest(F.length("raw"), F.lit(1)) / F.lit(chunk)).cast("int")
     return rows.withColumn("c", F.explode(F.sequence(F.lit(0), count - 1))).withColumn(
-        "norm", F.substring(F.col("norm"), F.col("c") * chunk + 1, F.lit(chunk))
+        "raw", F.substring(F.col("raw"), F.col("c") * chunk + 1, F.lit(chunk))
     )
 
 
@@ -123,24 +127,22 @@ def exact_groups(
     counted, and all carry the same ``kept``. A null doc_id stays only if no text of its group has an
     id. An empty table gives an empty result.
     """
-    base = id_and_text(docs, id_col, text_col).select("doc_id", lower_ascii(F.col("text")).alias("norm"))
+    base = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
     key = ["h1", "h2", "n"]
     share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share")
-    hashed = base.withColumn("f", fingerprint(F.col("norm"), hasher_args))
+    hashed = base.withColumn("f", fingerprint(F.col("raw"), hasher_args))
     seen = stored(
-        hashed.select("doc_id", "f.*", share, F.sha2("norm", 256).alias("text_sha256")), "exact-fingerprints"
+        hashed.select("doc_id", "f.h1", "f.h2", "f.n", share, F.col("f.sha").alias("text_sha256")), "exact-fingerprints"
     )
     groups = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keep"))
     groups = groups.filter("rows > 1").drop("rows")
-    stays = (
-        hashed.select("doc_id", "norm", "f.*").join(groups, key)
-        .filter(F.col("doc_id").eqNullSafe(F.col("keep"))).select("norm", *key)
-    )
+    texts = hashed.select("doc_id", "raw", "f.h1", "f.h2", "f.n")
+    stays = texts.join(groups, key).filter(F.col("doc_id").eqNullSafe(F.col("keep"))).select("raw", *key)
     shares = seen.select(*key, "share").distinct()
-    left = _chunks(hashed.select("doc_id", "norm", "f.*", share), chunk)
-    right = _chunks(stays, chunk).join(shares, key).withColumnRenamed("norm", "kept_norm")
+    left = _chunks(texts.select("*", share), chunk)
+    right = _chunks(stays, chunk).join(shares, key).withColumnRenamed("raw", "kept")
     unlike = (
-        left.join(right, [*key, "share", "c"]).filter(F.col("norm") != F.col("kept_norm"))
+        left.join(right, [*key, "share", "c"]).filter(lower_ascii(F.col("raw")) != lower_ascii(F.col("kept")))
         .select("doc_id", *key).distinct()
     )
     collided = stored(unlike, "exact-collisions").select(
@@ -151,12 +153,12 @@ def exact_groups(
     for k in key:
         on &= F.col(k) == F.col(f"x_{k}")
     parted = seen.join(collided, on, "left").select(
-        "doc_id", *key, "text_sha256", F.when(F.col("hit"), F.col("text_sha256")).otherwise("").alias("apart")
-    )
-    totals = parted.groupBy(*key, "apart").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")
+        "doc_id", *key, "share", "text_sha256", F.when(F.col("hit"), F.col("text_sha256")).otherwise("").alias("apart")
     )
-    return parted.join(totals, [*key, "apart"]).select(
+    group = [*key, "apart"]
+    totals = parted.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    spread = parted.select(*group, "share").distinct().join(totals, group)
+    return parted.join(spread, [*group, "share"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256", F.col("n").alias("n_bytes"),
     )
