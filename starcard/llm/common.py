@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -45,3 +47,23 @@ def largest(rows: DataFrame, value: str, item: str, keep: int) -> DataFrame:
         part = (F.col("_g") == edge) & (F.pmod(F.xxhash64(item), F.lit(1 << 20)) < share)
         graded = graded.filter((F.col("_g") < edge) | part)
     return graded.drop("_g")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished jobs now: its cleaner waits until the driver's references are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Byte planes of 64-bit numbers: of sorted or small numbers the high planes hardly vary and compress away."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def hash_ranges(keys: np.ndarray, width: int) -> np.ndarray:
+    """The range of each 64-bit hash, of ``width`` equal ones; ranges follow the order of hashes."""
+    return (((keys >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)).astype(np.int64)

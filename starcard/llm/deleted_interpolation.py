@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starcard.llm.common import fold_of, id_and_text
+from starcard.llm.common import fold_of, hash_ranges, id_and_text, pack, release, unpack
 from starcard.session import stored
 
 #: Multipliers of a 64-bit mixing function.
@@ -39,20 +39,6 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of 64-bit numbers: of sorted or small numbers the high planes hardly vary and compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def _ranges(keys: np.ndarray, width: int) -> np.ndarray:
-    """The range of each hash; ranges follow the order of hashes."""
-    return (((keys >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
-
-
 class Tokens:
     """The n-grams of a batch of texts. Every text ends in one end token, which is also what precedes a text."""
 
@@ -93,7 +79,7 @@ class Tokens:
         out = []
         for level, inverse in enumerate(self.inverse):
             rows = answers[answers["level"] == level].sort_values("range")
-            of_key = np.concatenate([_unpack(c) for c in rows["counts"]]).astype(np.float64)
+            of_key = np.concatenate([unpack(c) for c in rows["counts"]]).astype(np.float64)
             out.append(of_key[inverse])
             if level == 0:
                 self.texts = of_key[self.end_at]
@@ -166,9 +152,9 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int
         out = []
         for level, (keys, inverse) in enumerate(zip(tokens.levels, tokens.inverse, strict=True)):
             counts = np.bincount(inverse, weights=taught, minlength=len(keys)).astype(np.uint64)
-            cuts = np.searchsorted(_ranges(keys, width), np.arange(width + 1))
+            cuts = np.searchsorted(hash_ranges(keys, width), np.arange(width + 1))
             out += [
-                (r, key[0], level, _pack(keys[a:b]), _pack(counts[a:b]))
+                (r, key[0], level, pack(keys[a:b]), pack(counts[a:b]))
                 for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b
             ]
         return pd.DataFrame(out, columns=["range", "batch", "level", "keys", "counts"])
@@ -176,19 +162,20 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int
     def answer(key: tuple, packets: pd.DataFrame) -> pd.DataFrame:
         out = []
         for level, own in packets.groupby("level"):
-            keys = [_unpack(k) for k in own["keys"]]
+            keys = [unpack(k) for k in own["keys"]]
             sizes = np.cumsum([len(k) for k in keys])[:-1]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.concatenate([_unpack(c) for c in own["counts"]]).astype(np.float64)
+            counts = np.concatenate([unpack(c) for c in own["counts"]]).astype(np.float64)
             totals = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
             replies = np.split(totals[inverse], sizes)
             types, seen = int((totals > 0).sum()), int(totals.sum())
             for i, (b, reply) in enumerate(zip(own["batch"], replies, strict=True)):
-                out.append((b, key[0], level, _pack(reply), types * (i == 0), seen * (i == 0)))
+                out.append((b, key[0], level, pack(reply), types * (i == 0), seen * (i == 0)))
         return pd.DataFrame(out, columns=["batch", "range", "level", "counts", "types", "tokens"])
 
     packets = dealt.groupBy("batch").applyInPandas(send, PACKETS)
     answers = stored(packets.groupBy("range").applyInPandas(answer, ANSWERS), "ngram-counts")
+    release(docs.sparkSession)
     total = answers.filter("level = 0").agg(F.sum("types"), F.sum("tokens")).first()
     types, n_train = int(total[0] or 0), int(total[1] or 0)
     by_batch = answers.select("batch", "range", "level", "counts").repartition(width, "batch")
@@ -210,6 +197,7 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int
     cells = met.applyInPandas(held_out_cells, "bucket long, " + ", ".join(f"{s} long" for s in steps) + ", n long")
     learnt = learn_weights(cells.groupBy("bucket", *steps).agg(F.sum("n").alias("n")).toPandas(), order, types)
     table = _table(learnt, order)
+    release(docs.sparkSession)
 
     def score(batch: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         tokens = Tokens(batch["text"], order)

@@ -16,6 +16,7 @@ from starcard.llm.secrets import scan
 from starcard.llm.sentencepieces import round_trip
 from starcard.llm.simhash import near_groups
 from starcard.llm.sketches import fingerprint_edits
+from starcard.llm.suffix_dedup import remove_repeats
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_CHECKS: dict[str, str] = {}
@@ -35,6 +36,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@_query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_documents(spark, folder)).drop("kept")
+
+
 @_query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_documents(spark, folder))
