@@ -139,7 +139,7 @@ class Found:
         self.cuts = np.searchsorted(ranges[self.order], np.arange(width + 1))
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 24_000_000, ranges_per_batch: int = 3,
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 8_000_000, ranges_per_batch: int = 1,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), one row per input row.
 
