@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starcard.operators.segments import neighbours, range_frame_sums, range_segments, running_sums, spread_join, SEG
+from starcard.operators.segments import neighbours, range_frame_sums, recent_sums, running_sums, spread_join, SEG
 from starcard.operators.value_maps import full_map, resolve_keys
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
@@ -312,20 +312,43 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_GAPPED_EVENTS_SQL = """(SELECT event_id, ts, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id,
+  CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"""
+_GAPPED_ORDERS_SQL = """(SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice FROM orders)"""
+
+
+def _gapped(df: DataFrame, row: str, key: str, value: str) -> DataFrame:
+    """Windows are checked with rows without a key and rows without a value among the others."""
+    return df.withColumn(key, F.when(F.col(row) % 50 != 0, F.col(key))).withColumn(
+        value, F.when(F.col(row) % 7 != 0, F.col(value))
+    )
+
+
+def _gapped_events(spark: SparkSession, d: str) -> DataFrame:
+    return _gapped(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "event_id", "user_id", "value")
+
+
+def _gapped_orders(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return _gapped(orders, "o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query(
     "q18_theta",
-    """SELECT a.event_id, count(b.event_id) AS followers FROM events a
-       LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+    f"""SELECT a.event_id, count(b.event_id) AS followers FROM {_GAPPED_EVENTS_SQL} a
+       LEFT JOIN {_GAPPED_EVENTS_SQL} b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
        GROUP BY 1""",
 )
 def q18(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    """A join never matches a null key, so events without a user have no followers."""
+    events = _gapped_events(spark, d).select("event_id", "user_id", "ts")
     after = range_frame_sums(
-        events, "user_id", "ts", F.lit(1), F.expr("INTERVAL '0' HOUR"), F.expr("INTERVAL '1' HOUR"),
-        "followers", open_start=True,
+        events.filter("user_id IS NOT NULL"), "user_id", "ts", F.lit(1), F.expr("INTERVAL '0' HOUR"),
+        F.expr("INTERVAL '1' HOUR"), "followers", open_start=True, by="event_id",
     )
-    placed = range_segments(events, ["user_id", "ts", "event_id"])
-    return spread_join(placed, after, ["user_id", "ts"]).select("event_id", "followers")
+    alone = events.filter("user_id IS NULL").select("event_id", F.lit(0).cast("long").alias("followers"))
+    return after.select("event_id", F.coalesce("followers", F.lit(0)).alias("followers")).unionByName(alone)
 
 
 @query(
@@ -405,12 +428,12 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
     """SELECT o_orderkey, row_number() OVER p AS rn, rank() OVER v AS rnk, dense_rank() OVER v AS dense,
               ntile(4) OVER p AS quart, round(percent_rank() OVER v, 9) AS pct,
               round(cume_dist() OVER v, 9) AS cume
-       FROM orders
+       FROM """ + _GAPPED_ORDERS_SQL + """
        WINDOW p AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey),
               v AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)""",
 )
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    orders = _gapped_orders(spark, d).select("o_custkey", "o_totalprice", "o_orderkey")
     down = F.col("o_totalprice").desc()
     rows = running_sums(orders, "o_custkey", [down, "o_orderkey"], {"rn": F.lit(1)}, keep_segment=True)
     level = orders.groupBy("o_custkey", "o_totalprice").agg(F.count(F.lit(1)).alias("c"))
@@ -438,13 +461,13 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
     """SELECT event_id, lag(value) OVER w AS prev_value, lead(value) OVER w AS next_value,
               first_value(value) OVER f AS first_v, last_value(value) OVER f AS last_v,
               nth_value(value, 3) OVER f AS third_v
-       FROM events
+       FROM """ + _GAPPED_EVENTS_SQL + """
        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
               f AS (PARTITION BY user_id ORDER BY ts, event_id
                     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
 )
 def q25(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    events = _gapped_events(spark, d)
     near = neighbours(events, "user_id", ["ts", "event_id"], "value", "prev_value", "next_value", keep_segment=True)
     at = F.struct("ts", "event_id")
     ends = events.groupBy("user_id").agg(
@@ -455,7 +478,8 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
         events.withColumn("_n", place).filter("_n <= 3").filter("_n = 3")
         .select("user_id", F.col("value").alias("third_v"))
     )
-    per_user = ends.join(third, "user_id", "left")
+    third = third.withColumnRenamed("user_id", "_u")
+    per_user = ends.join(third, F.col("user_id").eqNullSafe(F.col("_u")), "left").drop("_u")
     return spread_join(near, per_user, ["user_id"]).select(
         "event_id", "prev_value", "next_value", "first_v", "last_v", "third_v"
     )
@@ -470,28 +494,20 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
                     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3_total,
               round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
                     RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW), 2) AS days30_total
-       FROM orders""",
+       FROM """ + _GAPPED_ORDERS_SQL,
 )
 def q26(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
-    run = running_sums(
-        orders, "o_custkey", ["o_orderdate", "o_orderkey"],
-        {"run": F.col("o_totalprice"), "rn": F.lit(1)}, keep_segment=True,
-    )
-    behind = run.select("o_custkey", (F.col("rn") + 3).alias("rn"), F.col("run").alias("behind"))
+    orders = _gapped_orders(spark, d)
+    order = ["o_orderdate", "o_orderkey"]
+    run = running_sums(orders, "o_custkey", order, {"run": F.col("o_totalprice")}, keep_segment=True)
+    run = recent_sums(run, "o_custkey", order, "o_totalprice", 3, "last3", segmented=True)
     days = range_frame_sums(
         orders, "o_custkey", "o_orderdate", F.col("o_totalprice"),
         F.expr("INTERVAL '-30' DAY"), F.expr("INTERVAL '0' DAY"), "days30",
     )
-    return (
-        spread_join(run, days, ["o_custkey", "o_orderdate"])
-        .join(behind, ["o_custkey", "rn"], "left")
-        .select(
-            "o_orderkey",
-            F.round("run", 2).alias("running_total"),
-            F.round(F.col("run") - F.coalesce("behind", F.lit(0.0)), 2).alias("last3_total"),
-            F.round("days30", 2).alias("days30_total"),
-        )
+    return spread_join(run, days, ["o_custkey", "o_orderdate"]).select(
+        "o_orderkey", F.round("run", 2).alias("running_total"), F.round("last3", 2).alias("last3_total"),
+        F.round("days30", 2).alias("days30_total"),
     )
 
 
@@ -531,7 +547,7 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     """The mean per customer is worked out once and met by the orders in shares of a customer."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     mean = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"))
-    joined = spread_join(orders, mean, ["o_custkey"], by="o_orderkey")
+    joined = spread_join(orders, mean, ["o_custkey"], by="o_orderkey", nulls=False)
     return joined.filter(F.col("o_totalprice") > F.col("mean")).select("o_orderkey", "o_custkey")
 
 

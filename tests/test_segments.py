@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from starcard.operators.segments import (
-    SEG, dense_number, neighbours, range_frame_sums, range_segments, running_sums, spread_join,
+    SEG, dense_number, neighbours, range_frame_sums, range_segments, recent_sums, running_sums, spread_join,
 )
 
 
@@ -94,3 +94,53 @@ def test_spread_join(spark):
     totals = {r["k"]: r["total"] for r in sums.collect()}
     got = spread_join(df, sums, ["k"], by="id").collect()
     assert len(got) == len(data) and all(r["total"] == totals[r["k"]] for r in got)
+
+
+def gapped(n=400):
+    rnd = random.Random(4)
+    data = [(rnd.choice([None, None, 1, 1, 1, 2, 9]), rnd.randint(0, 90), i, rnd.choice([None, 0.1, 1e9 + 0.01, 7.25])) for i in range(n)]
+    return data + [(5, i, 1000 + i, None) for i in range(60)] + [(5, 61 + i, 2000 + i, 1.5) for i in range(20)]
+
+
+def windowed(spark, data, sql):
+    spark.createDataFrame(data, "k bigint, t int, id bigint, v double").createOrReplaceTempView("gapped")
+    return {r["id"]: r["s"] for r in spark.sql(f"SELECT id, {sql} AS s FROM gapped").collect()}
+
+
+def close(got, want):
+    assert got.keys() == want.keys()
+    for i, s in want.items():
+        assert (got[i] is None) == (s is None) and (s is None or abs(got[i] - s) < 1e-4), (i, got[i], s)
+
+
+def test_null_keys_and_values_as_a_window_has_them(spark):
+    data = gapped()
+    df = spark.createDataFrame(data, "k bigint, t int, id bigint, v double").repartition(5)
+    over = "OVER (PARTITION BY k ORDER BY t, id"
+    for parts in (2, 7):
+        got = running_sums(df, "k", ["t", "id"], {"s": F.col("v")}, parts=parts)
+        close({r["id"]: r["s"] for r in got.collect()}, windowed(spark, data, f"sum(v) {over} ROWS UNBOUNDED PRECEDING)"))
+        near = neighbours(df, "k", ["t", "id"], "id", parts=parts).collect()
+        close({r["id"]: r["lag"] for r in near}, windowed(spark, data, f"lag(id) {over})"))
+    for parts, width in ((3, 4), (200, 4)):
+        last = recent_sums(df, "k", ["t", "id"], "v", width, "s", parts=parts)
+        close({r["id"]: r["s"] for r in last.collect()}, windowed(spark, data, f"sum(v) {over} ROWS {width - 1} PRECEDING)"))
+    frames = range_frame_sums(df, "k", "t", F.col("v"), F.lit(-5), F.lit(0), "s", by="id")
+    close(
+        {r["id"]: r["s"] for r in frames.collect()},
+        windowed(spark, data, "sum(v) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)"),
+    )
+    sums = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert spread_join(df, sums, ["k"], by="id").count() == len(data)
+    assert spread_join(df, sums, ["k"], by="id", nulls=False).count() == sum(r[0] is not None for r in data)
+
+
+def test_long_sums_stay_exact_and_odd_numbers_stay_apart(spark):
+    big = [(1, i, i, 1e9 + (i % 100) / 100) for i in range(20000)]
+    df = spark.createDataFrame(big, "k bigint, t int, id bigint, v double")
+    got = {r["id"]: r["s"] for r in range_frame_sums(df, "k", "t", F.col("v"), F.lit(-1), F.lit(0), "s", by="id").collect()}
+    assert all(abs(got[i] - (2e9 + (i % 100) / 100 + ((i - 1) % 100) / 100)) < 1e-5 for i in range(1, 20000))
+    odd = [(1, 0, 0, 1.0), (1, 10, 1, float("nan")), (1, 20, 2, 2.0), (1, 30, 3, float("inf")), (1, 40, 4, 3.0), (2, 0, 5, None)]
+    df = spark.createDataFrame(odd, "k bigint, t int, id bigint, v double")
+    got = {r["id"]: r["s"] for r in range_frame_sums(df, "k", "t", F.col("v"), F.lit(-3), F.lit(0), "s", by="id").collect()}
+    assert got[0] == 1.0 and got[1] != got[1] and got[2] == 2.0 and got[3] == float("inf") and got[4] == 3.0 and got[5] is None
