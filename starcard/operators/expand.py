@@ -57,8 +57,8 @@ def expand(
     return first.unionByName(rest)
 
 
-def join_paths(starts: DataFrame, edges: DataFrame, shared: str, hops: int = 4) -> DataFrame:
-    """Shortest reference chain from each start table to every table it can reach.
+def join_paths(starts: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
+    """Shortest reference chain from each start table to every table it can reach, however long.
 
     ``starts``: owner, name. ``edges``: owner, src, dst. Edges of the ``shared`` schema may be
     followed from every owner; they are few (checked) and travel to the rest.
@@ -71,7 +71,9 @@ def join_paths(starts: DataFrame, edges: DataFrame, shared: str, hops: int = 4)
         F.col("name").alias("path"),
     )
     front = reached
-    for hop in range(1, hops + 1):
+    hop = 0
+    while not front.isEmpty():  # a table is reached once, so chains end even where references form a circle
+        hop += 1
         local = front.join(own, (front["target"] == own["src"]) & (front["owner"] == own["owner"])).select(
             front["owner"], "start", "dst", "path"
         )

@@ -105,11 +105,23 @@ def progress_fold(spark: SparkSession, d: str) -> DataFrame:
     return R.fold_progress(table(spark, d, "events"), "user_id", "ts", "event_id", "value", "event_type")
 
 
+def _in_two_deliveries(spark: SparkSession, d: str, label: str) -> tuple[str, list[DataFrame]]:
+    """A landing folder and the files that reach it: later rows first, the others (every third, with old times) after."""
+    events = table(spark, d, "events")
+    late = F.col("event_id") % 3 == 0
+    return scratch_path(spark, label), [events.filter(~late), events.filter(late)]
+
+
 @query("stream_progress_fold", FOLD_SQL)
 def stream_progress_fold(spark: SparkSession, d: str) -> DataFrame:
-    shape = table(spark, d, "events").schema
-    events = read_stream(spark, d, shape, "events.parquet")
-    return stream_progress(events, "user_id", "ts", "event_id", "value", "event_type")
+    """The fold is called twice and goes on from its state."""
+    folder, deliveries = _in_two_deliveries(spark, d, "progress-landing")
+    out = scratch_path(spark, "progress")
+    for rows in deliveries:
+        rows.write.mode("append").parquet(folder)
+        events = read_stream(spark, folder, rows.schema)
+        state = stream_progress(events, "user_id", "ts", "event_id", "value", "event_type", path=out)
+    return state
 
 
 @query(
@@ -117,13 +129,15 @@ def stream_progress_fold(spark: SparkSession, d: str) -> DataFrame:
     "SELECT event_id AS run_id, event_type AS user_query, value AS took FROM events",
 )
 def stream_run_log_query(spark: SparkSession, d: str) -> DataFrame:
-    """Every run is delivered twice; the log holds it once."""
-    shape = table(spark, d, "events").schema
-    events = read_stream(spark, d, shape, "events.parquet").select(
-        F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ended"),
-        F.col("event_type").alias("user_query"), F.col("value").alias("took"),
-    )
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    fields = ["run_id", "ended", "user_query", "took"]
-    log = stream_run_log(twice, scratch_path(spark, "run-log"), fields, "ended")
+    """Every run is delivered twice, a third of them late and in a second call; the log holds each once."""
+    folder, deliveries = _in_two_deliveries(spark, d, "run-log-landing")
+    path = scratch_path(spark, "run-log")
+    for rows in deliveries:
+        rows.write.mode("append").parquet(folder)
+        runs = read_stream(spark, folder, rows.schema).select(
+            F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ended"),
+            F.col("event_type").alias("user_query"), F.col("value").alias("took"),
+        )
+        twice = runs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+        log = stream_run_log(twice, path, ["run_id", "ended", "user_query", "took"])
     return log.select("run_id", "user_query", "took")

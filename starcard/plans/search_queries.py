@@ -334,33 +334,48 @@ card_edges AS (
 )"""
 
 
+_CHAIN_SQL = """
+chained AS (
+  SELECT owner, src, dst FROM card_edges
+  UNION ALL SELECT 'CHAIN', 'CHAIN.N' || n_nationkey, 'CHAIN.N' || (n_nationkey + 4) FROM nation
+)"""
+
+
 @query(
     "join_path",
     _cat(
         f"""SELECT owner, start, target, CAST(min(hops) AS INTEGER) AS hops,
                    split_part(min(printf('%02d', hops) || ' ' || path), ' ', 2) AS path
             FROM walk WHERE hops > 0 AND target <> start GROUP BY 1, 2, 3""",
-        FK_SQL, _CARD_EDGE_SQL,
+        FK_SQL, _CARD_EDGE_SQL, _CHAIN_SQL,
         f"""walk AS (
-          SELECT 'T' || c_custkey AS owner, 'T' || c_custkey || '.LINEITEM' AS start,
-                 'T' || c_custkey || '.LINEITEM' AS target, 0 AS hops, 'T' || c_custkey || '.LINEITEM' AS path FROM customer
+          SELECT owner, start, start AS target, 0 AS hops, start AS path FROM (
+            SELECT 'T' || c_custkey AS owner, 'T' || c_custkey || '.LINEITEM' AS start FROM customer
+            UNION ALL SELECT 'CHAIN', 'CHAIN.N' || n_nationkey FROM nation)
           UNION ALL
           SELECT w.owner, start, e.dst, hops + 1, path || '>' || e.dst FROM walk w
-          JOIN card_edges e ON e.src = w.target AND (e.owner = w.owner OR e.owner = '{LOOKUPS}') WHERE hops < 4)""",
+          JOIN chained e ON e.src = w.target AND (e.owner = w.owner OR e.owner = '{LOOKUPS}')
+          WHERE NOT list_contains(string_split(path, '>'), e.dst))""",
     ).replace("WITH", "WITH RECURSIVE", 1),
 )
 def join_path(spark: SparkSession, d: str) -> DataFrame:
+    """Chains from every schema's line items, and chains of six hops through the nations."""
+    nation = table(spark, d, "nation").select(F.lit("CHAIN").alias("owner"), "n_nationkey")
+    step = F.concat(F.lit("CHAIN.N"), "n_nationkey")
     starts = table(spark, d, "customer").select(
         F.concat(F.lit("T"), "c_custkey").alias("owner"),
         F.concat(F.lit("T"), "c_custkey", F.lit(".LINEITEM")).alias("name"),
-    )
-    return X.join_paths(starts, _card_edges(spark, d), LOOKUPS)
+    ).unionByName(nation.select("owner", step.alias("name")))
+    chain = nation.select("owner", step.alias("src"), F.concat(F.lit("CHAIN.N"), F.col("n_nationkey") + 4).alias("dst"))
+    return X.join_paths(starts, _card_edges(spark, d).unionByName(chain), LOOKUPS)
 
 
-RECURSIVE_TEXT = """WITH RECURSIVE walk(start, target, hops) AS (
-  SELECT DISTINCT src, src, 0 FROM {edges}
+#: A walk goes on as long as it meets tables that it has not passed.
+RECURSIVE_TEXT = """WITH RECURSIVE walk(start, target, hops, path) AS (
+  SELECT DISTINCT src, src, 0, concat('>', src, '>') FROM {edges}
   UNION ALL
-  SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN {edges} e ON w.target = e.src WHERE w.hops < 4
+  SELECT w.start, e.dst, w.hops + 1, concat(w.path, e.dst, '>') FROM walk w JOIN {edges} e ON w.target = e.src
+  WHERE instr(w.path, concat('>', e.dst, '>')) = 0
 )
 SELECT start, target, min(hops) AS hops, count(*) AS n_paths FROM walk WHERE hops > 0 GROUP BY start, target"""
 
@@ -372,16 +387,21 @@ SELECT start, target, min(hops) AS hops, count(*) AS n_paths FROM walk WHERE hop
            FROM walk WHERE hops > 0 GROUP BY 1, 2""",
         FK_SQL,
         """shape AS (SELECT DISTINCT table_name AS src, split_part(fk, '.', 2) AS dst FROM fk_map
-                     WHERE table_name <> split_part(fk, '.', 2))""",
-        """walk AS (SELECT DISTINCT src AS start, src AS target, 0 AS hops FROM shape
-           UNION ALL SELECT w.start, e.dst, hops + 1 FROM walk w JOIN shape e ON w.target = e.src WHERE hops < 4)""",
+                     WHERE table_name <> split_part(fk, '.', 2)
+                     UNION ALL SELECT 'N' || n_nationkey, 'N' || (n_nationkey + 4) FROM nation)""",
+        """walk AS (SELECT DISTINCT src AS start, src AS target, 0 AS hops, [src] AS path FROM shape
+           UNION ALL SELECT w.start, e.dst, hops + 1, list_append(path, e.dst) FROM walk w JOIN shape e ON w.target = e.src
+           WHERE NOT list_contains(path, e.dst))""",
     ).replace("WITH", "WITH RECURSIVE", 1),
 )
 def q31(spark: SparkSession, d: str) -> DataFrame:
     """Paths over table names: the edges of all schemas fold into a few before the recursion."""
     fk = F.split("fk", r"\.")
     shape = _fk_map(spark, d).select(F.col("table_name").alias("src"), fk[1].alias("dst"))
-    shape = cut(shape.filter("src <> dst").distinct())
+    step = table(spark, d, "nation").select(
+        F.concat(F.lit("N"), "n_nationkey").alias("src"), F.concat(F.lit("N"), F.col("n_nationkey") + 4).alias("dst")
+    )
+    shape = cut(shape.filter("src <> dst").distinct().unionByName(step))
     df, _ = run_readonly(spark, RECURSIVE_TEXT, edges=shape)
     return df
 

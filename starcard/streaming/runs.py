@@ -16,31 +16,43 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
 
-def _batch_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch overwrites its own folder, so a batch run twice leaves one copy."""
+def _stream_name(batch: DataFrame) -> str:
+    """The stream's own name, kept in its checkpoint: two streams into one folder never use each other's batch folders."""
+    name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return (name or "stream").replace("-", "")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return write
+def _run_to_end(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], state: str) -> None:
+    started = (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
-def stream_progress(events: DataFrame, run: str, at: str, seq: str, value: str, step: str) -> DataFrame:
-    """Fold a finite run of the stream; the last update of each run is its state.
 
-    Only changed runs leave each batch, straight to files; nothing passes through the driver.
+def stream_progress(
+    events: DataFrame, run: str, at: str, seq: str, value: str, step: str, path: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Fold what the stream holds by now; the last update of each run is its state.
+
+    Only changed runs leave each batch, straight to files; nothing passes through the driver. With a ``path`` the
+    fold goes on from where the last call with that path stopped; its state lies beside it unless ``checkpoint``
+    names another folder. Without one it starts anew.
     """
     spark = events.sparkSession
-    out = scratch_path(spark, "progress")
+    out = path or scratch_path(spark, "progress")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")  # a batch run twice leaves one copy
+
     folded = fold_progress(events, run, at, seq, value, step)
-    started = (
-        folded.writeStream.outputMode("update")
-        .foreachBatch(_batch_writer(out))
-        .option("checkpointLocation", scratch_path(spark, "progress-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    _run_to_end(folded, "update", write, checkpoint or f"{out.rstrip('/')}.state")
     updates = spark.read.option("basePath", out).parquet(out)
     latest = updates.groupBy(run).agg(
         F.max_by(F.struct("last_value", "last_step", "steps"), "batch").alias("s")
@@ -48,19 +60,28 @@ def stream_progress(events: DataFrame, run: str, at: str, seq: str, value: str,
     return latest.select(run, "s.*")
 
 
-def stream_run_log(runs: DataFrame, path: str, fields: list[str], at: str, delay: str = "1 hour") -> DataFrame:
-    """Append runs as they finish, one row per run id however often it is delivered."""
+def stream_run_log(runs: DataFrame, path: str, fields: list[str], checkpoint: str | None = None) -> DataFrame:
+    """Append runs as they finish, one row per run id however often and however late it is delivered.
+
+    Every batch leaves out the runs that the log holds already. The stream's state lies beside the log unless
+    ``checkpoint`` names another folder, so a later call goes on with what is new; a stream with a state of its
+    own may append to the same log. Of deliveries in one batch the least row stays.
+    """
     missing, extra = key_differences(runs.columns, fields)
     if missing or extra:
         raise ValueError(f"run row does not match the log: missing {missing}, extra {extra}")
     spark = runs.sparkSession
-    once = runs.select(*fields).withWatermark(at, delay).dropDuplicatesWithinWatermark(["run_id"])
-    started = (
-        once.writeStream.outputMode("append").format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", scratch_path(spark, "run-log-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
-    return spark.read.parquet(path)
+    once = runs.select(*fields)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = f"{_stream_name(batch)}-{batch_id}"
+        new = batch.groupBy("run_id").agg(F.min(F.struct(*fields)).alias("r")).select("r.*")
+        if _exists(batch.sparkSession, path):
+            log = batch.sparkSession.read.option("basePath", path).parquet(path).filter(F.col("part") != own)
+            new = new.join(log.select("run_id"), "run_id", "left_anti")
+        new.select(*fields).write.mode("overwrite").parquet(f"{path}/part={own}")
+
+    _run_to_end(once, "append", write, checkpoint or f"{path.rstrip('/')}.state")
+    if not _exists(spark, path):  # nothing has been delivered yet
+        return spark.createDataFrame([], once.schema)
+    return spark.read.option("basePath", path).parquet(path).select(*fields)

@@ -1,5 +1,6 @@
 """Read-only gate, run log, sources, sinks and streams."""
 
+import datetime
 import json
 import os
 
@@ -214,11 +215,28 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in streamed.collect()} == {
         tuple(r) for r in R.fold_progress(df, "run", "ts", "id", "v", "step").collect()}
     twice = live.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.col("id").alias("run_id"), "ts", "v")
-    log = stream_run_log(twice, scratch_path(spark, "log"), ["run_id", "ts", "v"], "ts")
+    log = stream_run_log(twice, scratch_path(spark, "log"), ["run_id", "ts", "v"])
     assert log.count() == 60
     with pytest.raises(ValueError):
-        stream_run_log(twice, scratch_path(spark, "log"), ["run_id", "ts"], "ts")
+        stream_run_log(twice, scratch_path(spark, "log"), ["run_id", "ts"])
 
 
 def test_session_is_shared(spark):
     assert build_session(app="again").sparkContext is spark.sparkContext
+
+
+def test_run_log_keeps_late_runs_and_goes_on_in_later_calls(spark, tmp_path):
+    kind = "run_id long, ts timestamp, v string"
+    folder, log = str(tmp_path / "in"), str(tmp_path / "log")
+
+    def deliver(*rows):
+        spark.createDataFrame([(i, datetime.datetime(2024, 1, day), v) for i, day, v in rows], kind).coalesce(1).write.mode("append").parquet(folder)
+        return stream_run_log(read_stream(spark, folder, spark.createDataFrame([], kind).schema), log, ["run_id", "ts", "v"])
+
+    assert {r["run_id"] for r in deliver((10, 9, "a"), (11, 9, "b")).collect()} == {10, 11}
+    assert {r["run_id"] for r in deliver((12, 5, "four days late"), (10, 9, "a")).collect()} == {10, 11, 12}
+    again = deliver((13, 9, "c"))
+    assert sorted(r["run_id"] for r in again.collect()) == [10, 11, 12, 13]
+    other = read_stream(spark, folder, again.schema)
+    fresh = stream_run_log(other, log, ["run_id", "ts", "v"], checkpoint=str(tmp_path / "fresh"))
+    assert sorted(r["run_id"] for r in fresh.collect()) == [10, 11, 12, 13]

@@ -206,3 +206,10 @@ def test_values_and_core(spark):
     cards = spark.createDataFrame([("A",), ("B",), ("C",)], "name string")
     got = X.safety_net(["A", "B", "X"], cards, cards.filter("name = 'A'"), ["name"])
     assert [r["name"] for r in got.collect()] == ["B"]
+
+
+def test_join_paths_do_not_stop(spark):
+    edges = spark.createDataFrame([("S", a, b) for a, b in zip("ABCDEFG", "BCDEFGC")], "owner string, src string, dst string")
+    starts = spark.createDataFrame([("S", "A")], "owner string, name string")
+    found = {r["target"]: (r["hops"], r["path"]) for r in X.join_paths(starts, edges, "LOOKUP").collect()}
+    assert found["G"] == (6, "A>B>C>D>E>F>G") and set(found) == set("BCDEFG")
