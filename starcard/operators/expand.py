@@ -10,7 +10,7 @@ from starcard.session import broadcast_if_small, cut
 
 
 def neighbours_of(seeds: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
-    """query_id, name of tables one edge away, distinct. ``edges``: src, dst, distinct."""
+    """query_id, name of tables one edge away, distinct. ``edges``: src, dst, repeated ones do no harm."""
     out = seeds.join(edges, seeds["name"] == edges["src"]).select("query_id", F.col("dst").alias("name"))
     if reverse:
         back = seeds.join(edges, seeds["name"] == edges["dst"]).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starcard.rules import FULL_MAP_ROWS, SAMPLED_ROWS
@@ -41,10 +41,11 @@ def full_map(
 
 
 def sampled_map(
-    lookup: DataFrame, name: str, key: str, value: str, n: Column, seq: str | None = None
+    lookup: DataFrame, name: str, key: str, value: str, n: Column, seq: str | None = None,
+    sampled_rows: int = SAMPLED_ROWS,
 ) -> DataFrame:
     """The first usable rows in file order; a repeated key uses up one of the places."""
-    first = usable_pairs(lookup, key, value, seq).orderBy("seq").limit(SAMPLED_ROWS)
+    first = usable_pairs(lookup, key, value, seq).orderBy("seq").limit(sampled_rows)
     return _last_wins(first).select(
         F.lit(name).alias("ref_table"), "map_key", "map_value",
         n.cast("bigint").alias("n"), F.lit(value).alias("value_column"),
@@ -52,45 +53,67 @@ def sampled_map(
 
 
 def value_map(
-    lookup: DataFrame, name: str, key: str, value: str, rows: int | None, seq: str | None = None
+    lookup: DataFrame, name: str, key: str, value: str, rows: int | None, seq: str | None = None,
+    full_rows: int = FULL_MAP_ROWS, sampled_rows: int = SAMPLED_ROWS,
 ) -> DataFrame | None:
-    """Full or sampled by the row count of the catalog statistics; none without statistics."""
+    """Full up to ``full_rows`` rows by the catalog statistics, else the first ``sampled_rows``; none without statistics."""
     if rows is None:
         return None
-    if rows <= FULL_MAP_ROWS:
+    if rows <= full_rows:
         return full_map(lookup, name, key, value, F.lit(rows), seq)
-    return sampled_map(lookup, name, key, value, F.lit(rows), seq)
+    return sampled_map(lookup, name, key, value, F.lit(rows), seq, sampled_rows)
 
 
-def resolve_keys(values: DataFrame, label: str) -> list[str]:
-    """Keys whose label is ``label``; a full map holds at most FULL_MAP_ROWS of them."""
-    hits = values.filter(F.col("map_value") == label).select("map_key").limit(FULL_MAP_ROWS + 1)
-    keys = [r["map_key"] for r in hits.collect()]
-    if len(keys) > FULL_MAP_ROWS:
-        raise ValueError(f"{label!r} has too many keys for a literal list; join on the lookup instead")
-    return sorted(keys)
+def resolve_keys(values: DataFrame, label: str) -> DataFrame:
+    """map_key of every entry whose label is ``label``, to join facts on; however many there are."""
+    return values.filter(F.col("map_value") == label).select("map_key").distinct()
 
 
-def wanted_maps(choices: DataFrame, most: int = 10_000) -> list[tuple[str, str, str, int]]:
-    """Distinct (lookup, key, label, rows) of a catalog: a few per lookup table, checked."""
-    rows = choices.select("ref_table", "key_column", "value_column", "n").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} lookup maps")
-    return sorted(tuple(r) for r in rows)
+def lookup_rows(lookups: dict[str, DataFrame], seq: str = "_seq") -> DataFrame:
+    """One long table over all lookups: ref_table, seq, cells (column name to text)."""
+    parts = [
+        rows.select(
+            F.lit(name).alias("ref_table"), F.col(seq).cast("long").alias("seq"),
+            F.create_map(
+                *[x for c in rows.columns if c != seq for x in (F.lit(c), F.col(c).cast("string"))]
+            ).alias("cells"),
+        )
+        for name, rows in lookups.items()
+    ]
+    if not parts:
+        raise ValueError("no lookup rows at hand")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def long_maps(
-    lookups: dict[str, DataFrame], wanted: list[tuple[str, str, str, int]], seq: str = "_seq"
+    lookups: dict[str, DataFrame], wanted: DataFrame, seq: str = "_seq", partial: bool = False,
+    full_rows: int = FULL_MAP_ROWS, sampled_rows: int = SAMPLED_ROWS,
 ) -> DataFrame:
     """Value maps of all wanted lookups: ref_table, key_column, map_key, map_value, n, value_column.
 
-    Each lookup is scanned for its two columns only.
+    ``wanted``: ref_table, key_column, value_column, n. Lookups are scanned once each, whatever the number of maps. A map
+    is full up to ``full_rows`` rows by the catalog's statistics and else made of the first ``sampled_rows`` usable rows;
+    without statistics there is none. A wanted lookup without rows at hand is an error unless ``partial`` allows it.
     """
-    parts = [
-        value_map(lookups[name], name, key, label, n, seq).withColumn("key_column", F.lit(key))
-        for name, key, label, n in wanted
-        if name in lookups
-    ]
-    if not parts:
-        raise ValueError("no lookup rows at hand")
-    return reduce(DataFrame.unionByName, parts)
+    wanted = wanted.select("ref_table", "key_column", "value_column", "n").distinct()
+    if not partial:
+        lost = [r[0] for r in wanted.filter(~F.col("ref_table").isin(list(lookups))).select("ref_table").distinct().take(5)]
+        if lost:
+            raise ValueError(f"lookups without rows: {', '.join(sorted(lost))}")
+    cell = F.col("cells")
+    pairs = (
+        lookup_rows(lookups, seq).join(wanted.filter("n IS NOT NULL"), "ref_table")
+        .select(
+            "ref_table", "key_column", "value_column", "n", "seq",
+            cell[F.col("key_column")].alias("map_key"), cell[F.col("value_column")].alias("map_value"),
+        )
+        .filter(_filled(F.col("map_key")) & _filled(F.col("map_value")))
+    )
+    each = ["ref_table", "key_column", "value_column", "n"]
+    place = F.row_number().over(Window.partitionBy(*each).orderBy("seq"))
+    first = pairs.filter(F.col("n") > full_rows).withColumn("_place", place).filter(F.col("_place") <= sampled_rows)
+    kept = pairs.filter(F.col("n") <= full_rows).unionByName(first.drop("_place"))
+    return kept.groupBy(*each, "map_key").agg(F.max_by("map_value", "seq").alias("map_value")).select(
+        "ref_table", "key_column", "map_key", "map_value", F.col("n").cast("bigint").alias("n"),
+        F.when(F.col("n") > full_rows, F.col("value_column")).alias("value_column"),
+    )

@@ -621,9 +621,8 @@ def nested_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards with their value maps attached."""
     known = cut(assembled(spark, d))
     choices = K.one_map_per_lookup(K.reference_rows(known))
-    entries = C.nested_entries(V.long_maps(exported_lookups(spark, d), V.wanted_maps(choices)))
-    few, _ = broadcast_if_small(entries)
-    maps = choices.join(few, ["ref_table", "key_column"], "left").withColumn(
+    entries = C.nested_entries(V.long_maps(exported_lookups(spark, d), choices, partial=True))
+    maps = choices.join(entries, ["ref_table", "key_column"], "left").withColumn(
         "entries", F.coalesce("entries", F.create_map().cast("map<string,string>"))
     )
     maps = maps.withColumn("value_column", F.when(F.col("n") > V.FULL_MAP_ROWS, F.col("value_column")))

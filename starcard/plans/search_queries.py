@@ -226,11 +226,11 @@ def _dearest(spark: SparkSession, d: str, count: int) -> DataFrame:
 
 
 def _order_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    src = F.concat(F.lit("ORDERS."), "l_orderkey").alias("src")
-    parts = lines.select(src, F.concat(F.lit("PART."), "l_partkey").alias("dst"))
-    sellers = lines.select(src, F.concat(F.lit(LOOKUPS + "."), "l_suppkey").alias("dst"))
-    return parts.unionByName(sellers).distinct()
+    """Both kinds of edges from one scan; what is joined to them removes repeated ones."""
+    ends = F.array(F.concat(F.lit("PART."), "l_partkey"), F.concat(F.lit(LOOKUPS + "."), "l_suppkey"))
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("ORDERS."), "l_orderkey").alias("src"), F.explode(ends).alias("dst")
+    )
 
 
 _CORE_SQL = """
@@ -273,12 +273,16 @@ back AS (SELECT DISTINCT 'LINE.' || l_orderkey || '-' || l_linenumber AS src, 'O
          FROM lineitem)"""
 
 
-def _seeds_and_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, d, "lineitem").select(
-        F.concat_ws("-", F.concat(F.lit("LINE."), "l_orderkey"), "l_linenumber").alias("src"),
-        F.concat(F.lit("ORDERS."), "l_orderkey").alias("dst"),
-    ).distinct()
-    return cut(_dearest(spark, d, 3)), _order_edges(spark, d).unionByName(lines)
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Seeds, and what is one edge away from them in either direction, from one scan of the lines."""
+    seeds = cut(_dearest(spark, d, 3))
+    order = F.concat(F.lit("ORDERS."), "l_orderkey")
+    ends = F.array(
+        F.concat(F.lit("PART."), "l_partkey"), F.concat(F.lit(LOOKUPS + "."), "l_suppkey"),
+        F.concat_ws("-", F.concat(F.lit("LINE."), "l_orderkey"), "l_linenumber"),
+    )
+    lines = table(spark, d, "lineitem").select(order.alias("src"), F.explode(ends).alias("dst"))
+    return seeds, X.neighbours_of(seeds, lines)
 
 
 _NEAR_SQL = f"""{_CORE_SQL.format(count=3)}, {_EDGE_SQL}, {_LINE_EDGES_SQL},
@@ -288,7 +292,7 @@ near AS (SELECT query_id, dst AS name FROM core JOIN edges ON name = src
 
 @query("neighbour_union", f"WITH {_NEAR_SQL} SELECT query_id, name FROM near")
 def neighbour_union(spark: SparkSession, d: str) -> DataFrame:
-    return X.neighbours_of(*_seeds_and_edges(spark, d), reverse=True)
+    return _near(spark, d)[1]
 
 
 def _class() -> Column:
@@ -301,7 +305,7 @@ def _class() -> Column:
           PARTITION BY query_id ORDER BY NOT starts_with(name, '{LOOKUPS}.'), name) AS pos FROM near""",
 )
 def priority_sort(spark: SparkSession, d: str) -> DataFrame:
-    near = X.neighbours_of(*_seeds_and_edges(spark, d), reverse=True).withColumn("class", _class())
+    near = _near(spark, d)[1].withColumn("class", _class())
     return running_sums(near, "query_id", ["class", "name"], {"pos": F.lit(1)}).drop("class")
 
 
@@ -313,8 +317,7 @@ def priority_sort(spark: SparkSession, d: str) -> DataFrame:
           UNION ALL SELECT query_id, name, CASE WHEN starts_with(name, '{LOOKUPS}.') THEN 1 ELSE 2 END, 0 FROM near)""",
 )
 def ordered_concat(spark: SparkSession, d: str) -> DataFrame:
-    seeds, edges = _seeds_and_edges(spark, d)
-    near = X.neighbours_of(seeds, edges, reverse=True)
+    seeds, near = _near(spark, d)
     parts = seeds.select("query_id", "name", F.lit(0).alias("part"), F.col("rank").alias("r")).unionByName(
         near.select("query_id", "name", (_class() + 1).alias("part"), F.lit(0).alias("r"))
     )

@@ -104,8 +104,8 @@ def q06(spark: SparkSession, d: str) -> DataFrame:
 )
 def q07(spark: SparkSession, d: str) -> DataFrame:
     names = full_map(table(spark, d, "nation"), "NATION", "n_nationkey", "n_name")
-    keys = [int(k) for k in resolve_keys(names, "NATION_7")]
-    mine = table(spark, d, "customer").filter(F.col("c_nationkey").isin(keys))
+    keys = resolve_keys(names, "NATION_7").select(F.col("map_key").cast("int").alias("c_nationkey"))
+    mine = table(spark, d, "customer").join(keys, "c_nationkey", "left_semi")
     return (
         table(spark, d, "orders")
         .join(mine, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
@@ -120,9 +120,10 @@ def q07(spark: SparkSession, d: str) -> DataFrame:
        JOIN part ON l_partkey = p_partkey WHERE p_name ILIKE '%BOLT%' GROUP BY 1""",
 )
 def q07b(spark: SparkSession, d: str) -> DataFrame:
-    named = table(spark, d, "part").filter(F.col("p_name").ilike("%BOLT%"))
-    per_part = (
+    named = table(spark, d, "part").filter(F.col("p_name").ilike("%BOLT%")).select("p_partkey", "p_brand")
+    per_part = (  # the fact is cut to the named parts before it is grouped
         table(spark, d, "lineitem")
+        .join(named, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
         .groupBy("l_partkey")
         .agg(F.count(F.lit(1)).alias("c"), F.sum("l_quantity").alias("q"))
     )

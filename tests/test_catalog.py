@@ -79,7 +79,7 @@ def test_assembled_card(dictionary, spark):
     assert len(choice) == 1 and choice[0]["key_column"] == "KIND_ID"
 
     lookup = spark.createDataFrame([(1, "a", 1, "p"), (2, "b", 2, "q")], "_seq int, KIND_NAME string, KIND_ID int, OTHER string")
-    maps = V.long_maps({"KIND": lookup}, V.wanted_maps(K.one_map_per_lookup(K.reference_rows(known))))
+    maps = V.long_maps({"KIND": lookup}, K.one_map_per_lookup(K.reference_rows(known)))
     nested = K.one_map_per_lookup(K.reference_rows(known)).join(C.nested_entries(maps), ["ref_table", "key_column"])
     card = C.nest(known, nested).filter("table_metadata.name = 'FACT'").first()
     assert card["value_maps"]["KIND"]["entries"] == {"1": "a", "2": "b"}
@@ -136,7 +136,23 @@ def test_value_maps(spark):
     assert len(sampled) == 16 and {r["map_key"]: r["map_value"] for r in sampled}["same"] == "v4"
     assert {r["value_column"] for r in sampled} == {"v"}
     assert V.value_map(lookup, "T", "k", "v", None, "seq") is None
-    assert V.resolve_keys(V.full_map(many, "T", "k", "v", seq="seq"), "v7") == ["k7"]
+    assert [r[0] for r in V.resolve_keys(V.full_map(many, "T", "k", "v", seq="seq"), "v7").collect()] == ["k7"]
+
+
+def test_all_value_maps_in_one_table(spark):
+    rows = spark.createDataFrame([(i, f"k{i % 30}", f"v{i}", f"w{i}") for i in range(40)], "_seq int, k string, v string, w string")
+    wanted = spark.createDataFrame(
+        [("A", "k", "v", 40), ("A", "k", "w", 501), ("B", "k", "v", None), ("B", "w", "k", 3)],
+        "ref_table string, key_column string, value_column string, n long")
+    got = V.long_maps({"A": rows, "B": rows.limit(3)}, wanted).collect()
+    of = lambda t, n: {r["map_key"]: r["map_value"] for r in got if (r["ref_table"], r["n"]) == (t, n)}
+    assert of("A", 40) == {f"k{i % 30}": f"v{i}" for i in range(40)} and of("A", 501) == {f"k{i}": f"w{i}" for i in range(20)}
+    assert of("B", 3) == {f"w{i}": f"k{i}" for i in range(3)} and len(got) == 53
+    with pytest.raises(ValueError, match="B"):
+        V.long_maps({"A": rows}, wanted)
+    assert {r["ref_table"] for r in V.long_maps({"A": rows}, wanted, partial=True).collect()} == {"A"}
+    many = rows.withColumn("v", F.lit("same")).withColumn("k", F.col("_seq").cast("string")).crossJoin(spark.range(20)).withColumn("k", F.concat("k", F.lit("-"), "id"))
+    assert V.resolve_keys(V.full_map(many.select("k", "v", "id"), "T", "k", "v", seq="id"), "same").count() == 800
 
 
 def test_fill_descriptions(spark):
