@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starcard.llm.common import fold_of, id_and_text
+from starcard.llm.common import fold_of, id_and_text, largest
 from starcard.session import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,8 +37,8 @@ class LanguageModel:
     gram_logs: np.ndarray | None = None
 
     def backoff(self, word: str) -> np.ndarray | None:
-        padded = f"^{word}$"
         for n in ORDERS:
+            padded = f"^{word}$" if n > 1 else word
             known = [g for g in (self.grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
             if known:
                 return self.gram_logs[known].mean(axis=0)
@@ -99,48 +99,49 @@ def _table(rows: list, langs: list[str], totals: dict[str, float], alpha: float)
     for i, row in enumerate(rows):
         for lang, n in row["ns"].items():
             counts[i, at[lang]] = n
-    sizes = np.array([totals[lang] for lang in langs]) + alpha * (len(rows) + 1)
+    sizes = np.array([totals.get(lang, 0.0) for lang in langs]) + alpha * (len(rows) + 1)
     return {row["item"]: i for i, row in enumerate(rows)}, np.log((counts + alpha) / sizes)
 
 
-def _most_telling(counts: DataFrame, totals: DataFrame, keep: int) -> list:
-    """The ``keep`` items with the largest share in any language; ties by the item."""
-    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    items = shares.groupBy("item").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"), F.max("share").alias("top")
+def _most_telling(counts: DataFrame, totals: dict[str, float], keep: int) -> DataFrame:
+    """About ``keep`` items (item, ns: counts by language) with the largest share in any language."""
+    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("lang")]
+    items = counts.groupBy("item").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"), F.max(F.col("n") / total).alias("top")
     )
-    return items.orderBy(F.desc("top"), "item").limit(keep).select("item", "ns").collect()
+    return stored(largest(stored(items, "language-items"), "top", "item", keep).select("item", "ns"), "language-model")
 
 
-def fit(labelled: DataFrame, words: int = 100_000, grams: int = 200_000, alpha: float = 0.5) -> LanguageModel:
-    """Learn from (text, lang). ``words`` and ``grams`` bound the model, not the rows it is learnt from."""
+def _totals(counts: DataFrame) -> dict[str, float]:
+    return {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").cast("double").alias("n")).collect()}
+
+
+def fit(labelled: DataFrame, words: int = 60_000, grams: int = 60_000, alpha: float = 0.5) -> LanguageModel:
+    """Learn from (text, lang). ``words`` and ``grams`` bound the model, not the rows it is learnt from.
+
+    The n-grams are those of the model's words, each word weighing what it was counted.
+    """
     counts = stored(word_counts(labelled), "language-words").withColumnRenamed("word", "item")
-    totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
-    sizes = {r["lang"]: r["total"] for r in totals.collect()}
+    sizes = _totals(counts)
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([])
-    spark = labelled.sparkSession
-    of_langs = spark.createDataFrame(list(sizes.items()), "lang string, total double")
-    top = _most_telling(counts, of_langs, words)
-    word_at, word_logs = _table(top, langs, sizes, alpha)
-    known = spark.createDataFrame(
-        [(lang, f"^{r['item']}$", n) for r in top for lang, n in r["ns"].items()], "lang string, padded string, n long"
-    )
-    pieces = [
-        F.expr(f"transform(sequence(1, length(padded) - {n - 1}), i -> substring(padded, i, {n}))")
+    known = _most_telling(counts, sizes, words)
+    word_at, word_logs = _table(sorted(known.collect(), key=lambda r: r["item"]), langs, sizes, alpha)
+    padded = known.select(F.concat(F.lit("^"), "item", F.lit("$")).alias("padded"), F.explode("ns").alias("lang", "n"))
+    parts = F.flatten(F.array(*[
+        F.when(
+            F.length("padded") >= n,
+            F.expr(f"transform(sequence(1, length(padded) - {n - 1}), i -> substring(padded, i, {n}))"),
+        ).otherwise(F.array())
         for n in ORDERS
-    ]
-    parts = F.flatten(F.array(*[F.when(F.length("padded") >= n, p).otherwise(F.array()) for n, p in zip(ORDERS, pieces, strict=True)]))
-    gram_counts = stored(
-        known.select("lang", "n", F.explode(parts).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n")),
-        "language-grams",
-    )
-    gram_totals = {
-        r["lang"]: r["total"] for r in gram_counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")).collect()
-    }
-    gram_frame = spark.createDataFrame(list(gram_totals.items()), "lang string, total double")
-    gram_at, gram_logs = _table(_most_telling(gram_counts, gram_frame, grams), langs, gram_totals, alpha)
+    ]))
+    gram_counts = padded.select("lang", "n", F.explode(parts).alias("item")).filter("item NOT IN ('^', '$')")
+    gram_counts = stored(gram_counts.groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-grams")
+    gram_sizes = _totals(gram_counts)
+    gram_at, gram_logs = _table(sorted(
+        _most_telling(gram_counts, gram_sizes, grams).collect(), key=lambda r: r["item"]
+    ), langs, gram_sizes, alpha)
     return LanguageModel(langs, word_at, word_logs, gram_at, gram_logs)
 
 

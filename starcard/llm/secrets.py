@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcard.llm.common import id_and_text
+from starcard.llm.common import id_and_text, largest
+from starcard.session import stored
 
 #: The base patterns and the lengths they must reach.
 ASSIGN = re.compile(
@@ -31,7 +32,7 @@ ASSIGNED, ACCESS_KEY = 6, 20
 KINDS = ("assign", "access", "hex", "novel")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|bearer|access[_-]?key", re.I | re.A)
+SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[ _-]?key|credential|private[ _-]?key|bearer|access[ _-]?key", re.I | re.A)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}")
 SENSITIVE_HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer")
@@ -90,7 +91,7 @@ def all_spans(text: str, identifiers: bytes, least: float) -> tuple[list, list]:
 
 
 def identifiers(docs: DataFrame, keep: int = 2000, text_col: str = "text") -> bytes:
-    """The ``keep`` most frequent identifiers of sensitive lines, the commonest last, where a compressor sees them nearest.
+    """The about ``keep`` most frequent identifiers of sensitive lines, the commonest last, where a compressor sees them nearest.
 
     All texts are counted; ``keep`` bounds what is sent to the tasks (at most 40 bytes each).
     """
@@ -105,8 +106,8 @@ def identifiers(docs: DataFrame, keep: int = 2000, text_col: str = "text") -> by
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     counts = rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(keep).collect()
-    return " ".join(r["word"] for r in reversed(top)).encode()
+    top = largest(stored(counts.filter("n > 1"), "identifiers"), "n", "word", keep).collect()
+    return " ".join(r["word"] for r in sorted(top, key=lambda r: (r["n"], r["word"]))).encode()
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:
