@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from starcard.functions.text import tokens
 from starcard.operators.search import best
 from starcard.rules import TOP_K
+from starcard.session import scratch_path, stored
 
 CARRIED_QUERIES = 4096
 BLOCK_QUERIES = 2048
@@ -129,22 +131,60 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, carried: int = C
     return best(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Vectors dealt to k-means cells, with the cells' centers: folders ``vectors`` and ``centers`` below ``path``."""
+
+    path: str
+    n: int
+
+
+def fit_cells(vectors: DataFrame, path: str, cells: int | None = None, sample: int = 200_000) -> Cells:
+    """Fit cells on about ``sample`` vectors, by default as many as the root of their number, and deal all vectors to them."""
+    total = vectors.count()
+    n = max(1, min(total, cells or max(4, int(math.sqrt(total)) // 2)))
+    rows = vectors.select("doc_id", "vector", array_to_vector("vector").alias("v"))
+    placed = Normalizer(inputCol="v", outputCol="u").transform(rows)
+    some = placed if total <= sample else placed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (sample << 20) // total)
+    model = KMeans(k=n, seed=7, featuresCol="u", predictionCol="cell", maxIter=10).fit(some)
+    model.transform(placed).select("doc_id", "vector", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    vectors.sparkSession.createDataFrame(centers, "doc_id bigint, vector array<double>").write.parquet(f"{path}/centers")
+    return Cells(path, len(centers))
+
+
+def search_cells(
+    index: Cells, queries: DataFrame, k: int = TOP_K, probes: int | None = None, recall: float = 0.9, tried: int = 64
+) -> DataFrame:
+    """Approximate: only the ``probes`` cells nearest to a query are searched.
+
+    Without ``probes`` their number is doubled until about ``tried`` of the queries, chosen by a hash, find a share of
+    ``recall`` of their exact neighbours; with all cells the result is exact.
+    """
+    spark = queries.sparkSession
+    held = spark.read.parquet(f"{index.path}/vectors")
+    centers = spark.read.parquet(f"{index.path}/centers")
+
+    def found(asked: DataFrame, n: int) -> DataFrame:
+        near = knn(asked, centers, min(n, index.n)).select("query_id", F.col("doc_id").cast("int").alias("cell"))
+        return best(_blocked(asked.select("query_id", "vector").join(near, "query_id"), held, k), k)
+
+    if probes is None:
+        total = queries.count()
+        share = (tried << 20) // max(1, total)
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) < share)
+        exact = stored(knn(some, held, k).select("query_id", "doc_id"), "exact-neighbours")
+        wanted, probes = exact.count(), 4
+        while probes < index.n and found(some, probes).join(exact, ["query_id", "doc_id"]).count() < recall * wanted:
+            probes *= 2
+    return found(queries, probes).select("query_id", "doc_id", "score", "rank")
+
+
 def knn_cells(
-    queries: DataFrame, vectors: DataFrame, k: int = TOP_K, cells: int | None = None, probes: int = 4
+    queries: DataFrame, vectors: DataFrame, k: int = TOP_K, cells: int | None = None, probes: int | None = 4
 ) -> DataFrame:
-    """Approximate: only the cells (k-means on unit vectors) nearest to a query are searched."""
-    n = cells or max(4, min(4096, int(math.sqrt(vectors.count())) // 2))
-    unit = Normalizer(inputCol="v", outputCol="u")
-    placed = unit.transform(vectors.select("doc_id", "vector", array_to_vector("vector").alias("v")))
-    model = KMeans(k=n, seed=7, featuresCol="u", predictionCol="cell", maxIter=10).fit(placed)
-    held = model.transform(placed).select("doc_id", "vector", "cell")
-    centers = vectors.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "doc_id bigint, vector array<double>",
-    )
-    near = knn(queries, centers, min(probes, n)).select("query_id", F.col("doc_id").cast("int").alias("cell"))
-    asked = queries.select("query_id", "vector").join(near, "query_id")
-    return best(_blocked(asked, held, k), k).select("query_id", "doc_id", "score", "rank")
+    """Fit and search in one go, for vectors that are searched once."""
+    return search_cells(fit_cells(vectors, scratch_path(vectors.sparkSession, "cells"), cells), queries, k, probes)
 
 
 def hashed_embedding(texts: DataFrame, size: int = 64) -> DataFrame:

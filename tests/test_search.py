@@ -7,10 +7,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from starcard.operators import expand as X
 from starcard.operators import search as S
 from starcard.operators import vectors as N
 from starcard.rules import STOP_WORDS
+from starcard.session import scratch_path
 
 TEXTS = {
     1: "patient drug reaction report", 2: "drug drug drug", 3: "the of and", 4: "reaction date of the patient",
@@ -60,7 +63,8 @@ def test_bm25(texts, small_rows):
 
 
 def test_index_stats(texts):
-    row = S.index_stats(texts[0]).first()
+    index = S.build_index(texts[0], scratch_path(texts[0].sparkSession, "index"))
+    row = S.index_stats(texts[0].sparkSession, index).first()
     assert (row["n_docs"], row["succeeded"], row["failed"]) == (10, 8, 2)
     assert row["n_tokens"] == sum(len(words(t)) for t in TEXTS.values())
 
@@ -213,3 +217,23 @@ def test_join_paths_do_not_stop(spark):
     starts = spark.createDataFrame([("S", "A")], "owner string, name string")
     found = {r["target"]: (r["hops"], r["path"]) for r in X.join_paths(starts, edges, "LOOKUP").collect()}
     assert found["G"] == (6, "A>B>C>D>E>F>G") and set(found) == set("BCDEFG")
+
+
+def test_built_index_is_searched_without_text(spark, texts):
+    docs, queries = texts
+    index = S.build_index(docs.withColumn("owner", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")), scratch_path(spark, "index"), schema="owner")
+    asked = queries.withColumn("schema", F.lit("even"))
+    got = S.search(index, asked, 4)
+    assert got.count() and all(r["doc_id"] % 2 == 0 for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "regexp_extract_all" not in plan
+
+
+def test_cells_reach_the_recall_asked_for(spark):
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "doc_id long, vector array<double>")
+    asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    index = N.fit_cells(vectors, scratch_path(spark, "cells"), cells=40)
+    exact = {(r["query_id"], r["doc_id"]) for r in N.knn(asked, vectors, 10).collect()}
+    near = {(r["query_id"], r["doc_id"]) for r in N.search_cells(index, asked, 10, recall=0.95).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
