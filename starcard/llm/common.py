@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import string
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +51,14 @@ def largest(rows: DataFrame, value: str, item: str, keep: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs now: its cleaner waits until the driver's references are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of finished jobs now: its cleaner waits until the driver's references are collected.
+
+    The first round frees what Python held on to, the second what that held in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pack(values: np.ndarray) -> bytes:

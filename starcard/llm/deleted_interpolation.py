@@ -128,7 +128,7 @@ def _table(weights: dict[int, np.ndarray], order: int) -> np.ndarray:
     return np.array([weights[b] for b in near])
 
 
-def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 2, batch_chars: int = 24_000_000,
+def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int = 2, batch_chars: int = 8_000_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the documents outside the held-out fold and score all of them.
 
