@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starcard.functions.text import clean_text, fk_parts, fk_table, normalize_name, valid_schema
+from starcard.functions.text import clean_text, fk_parts, fk_table, normalize_name
 from starcard.functions.text import bytes_text, iso_time
 from starcard.functions.types import affinity, spark_type
 from starcard.operators import cards as C
@@ -26,7 +26,9 @@ from starcard.plans.tenants import (
     exported_lookups,
 )
 from starcard.rules import SKIP_RULES
-from starcard.session import broadcast_if_small, cut
+from starcard.session import cut, scratch_path
+from starcard.sources.files import available_schemas, read_cards
+from starcard.sources.sinks import write_cards
 
 EXPORTED = ["REGION", "NATION", "CUSTOMER", "SUPPLIER"]
 
@@ -745,6 +747,7 @@ def names_except(spark: SparkSession, d: str) -> DataFrame:
              WHERE regexp_matches(owner, '^[A-Za-z][A-Za-z0-9_]*$') AND NOT {SKIP_SQL} GROUP BY 1"""),
 )
 def schema_counts(spark: SparkSession, d: str) -> DataFrame:
-    heads = K.table_rows(assembled(spark, d))
-    named = heads.filter(valid_schema(F.col("owner")))
-    return named.groupBy(F.col("owner").alias("schema_name")).agg(F.count(F.lit(1)).alias("n"))
+    """Counted over stored cards."""
+    path = scratch_path(spark, "cards")
+    write_cards(cards(spark, d), path)
+    return available_schemas(read_cards(spark, path))

@@ -10,7 +10,7 @@ from starcard.operators.runlog import assign_run_ids
 from starcard.plans.catalog_queries import CARD_PARTS, _cat, cards
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
-from starcard.plans.tenants import cat_columns, cat_constraints, cat_tables
+from starcard.plans.tenants import cat_columns, cat_constraint_columns, cat_constraints, cat_tables
 from starcard.rules import RUN_FIELDS
 from starcard.session import scratch_path
 from starcard.sources import files, sinks
@@ -18,35 +18,69 @@ from starcard.sources import files, sinks
 
 @query(
     "src_csv_tables",
-    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
-              strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+    """SELECT 'orders' AS name, o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS a, o_orderpriority AS b, o_totalprice AS x FROM orders
+       UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, c_acctbal FROM customer
+       UNION ALL SELECT 'nation', n_nationkey, n_name, NULL, NULL FROM nation""",
 )
 def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of exports, typed by the dictionary, stored as the tables of a namespace and read from there."""
     exports, store = scratch_path(spark, "csv"), scratch_path(spark, "store")
-    orders = table(spark, d, "orders")
-    orders.write.option("header", True).option("escape", '"').csv(exports)
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema)
-    read = files.read_csv_table(spark, exports, ddl)
-    path = files.build_namespace(read, store, "STAR", "orders", reset=True)
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return spark.read.parquet(path).withColumn("day", day).drop("o_orderdate")
+    columns = []
+    for name in ("orders", "customer", "nation"):
+        rows = table(spark, d, name)
+        rows = rows.select([c for c in rows.columns if c != "o_orderdate"])
+        rows.write.option("header", True).option("escape", '"').csv(f"{exports}/{name}")
+        for i, f in enumerate(rows.schema):
+            kind = f.dataType.typeName()
+            whole = kind in ("long", "integer")
+            columns.append(("STAR", name.upper(), f.name, i, "VARCHAR2" if kind == "string" else "NUMBER", 15 if whole else None, 0 if whole else None))
+    shape = "owner string, table_name string, column_name string, column_id int, data_type string, data_precision int, data_scale int"
+    known = spark.createDataFrame(columns, shape).withColumns({c: F.lit(100) for c in ("data_length", "char_length")})
+    for name, rows in files.read_csv_folder(spark, exports, known, "STAR").items():
+        files.build_namespace(rows, store, "STAR", name, reset=True)
+    spots = files.discover_namespaces(spark, store)["STAR"]
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    picked = [
+        spark.read.parquet(spots["orders"]).select(F.lit("orders").alias("name"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").cast("string").alias("a"), F.col("o_orderpriority").alias("b"), F.col("o_totalprice").cast("double").alias("x")),
+        spark.read.parquet(spots["customer"]).select(F.lit("customer"), F.col("c_custkey").cast("long"), "c_name", "c_mktsegment", F.col("c_acctbal").cast("double")),
+        spark.read.parquet(spots["nation"]).select(F.lit("nation"), F.col("n_nationkey").cast("long"), "n_name", text, none),
+    ]
+    return files.union_all([p.toDF("name", "id", "a", "b", "x") for p in picked])
 
 
+_ARRAYS = {
+    "tables": ["table_name", "num_rows", "comments"],
+    "columns": ["table_name", "column_name", "data_type", "column_id"],
+    "constraints": ["table_name", "constraint_name", "constraint_type"],
+    "constraint_columns": ["table_name", "constraint_name", "column_name", "position"],
+}
 
 
 @query(
     "src_metadata_json",
-    _cat("""SELECT owner AS schema, table_name, column_name, data_type, column_id FROM cat_columns
-            WHERE table_name = 'ORDERS'"""),
+    _cat(" UNION ALL ".join(
+        f"""SELECT '{array}' AS part, owner AS schema, table_name, {fields[1]}::VARCHAR AS name, {fields[2]}::VARCHAR AS detail
+            FROM cat_{array}""" for array, fields in _ARRAYS.items()
+    )),
 )
 def src_metadata_json(spark: SparkSession, d: str) -> DataFrame:
-    """One object per schema with its arrays; a schema's dictionary is one document by format."""
-    columns = cat_columns(spark, d).filter("table_name = 'ORDERS'")
-    body = F.struct("table_name", "column_name", "data_type", "column_id")
+    """One object per schema with its arrays, over all tables; a schema's dictionary is one document by format."""
+    frames = dict(zip(_ARRAYS, (cat_tables(spark, d), cat_columns(spark, d), cat_constraints(spark, d), cat_constraint_columns(spark, d)), strict=True))
     path = scratch_path(spark, "metadata")
-    columns.groupBy(F.col("owner").alias("schema")).agg(F.collect_list(body).alias("columns")).write.json(path)
-    shape = "schema string, columns array<struct<table_name:string,column_name:string,data_type:string,column_id:int>>"
-    return files.metadata_rows(spark.read.schema(shape).json(path), "columns")
+    whole = None
+    for array, fields in _ARRAYS.items():
+        part = frames[array].groupBy(F.col("owner").alias("schema")).agg(F.collect_list(F.struct(*fields)).alias(array))
+        whole = part if whole is None else whole.join(part, "schema", "full")
+    whole.write.json(path)
+    metadata = files.read_metadata(spark, path, whole.schema, multi_line=False)
+    rows = [
+        files.metadata_rows(metadata, array).select(
+            F.lit(array).alias("part"), "schema", "table_name", F.col(fields[1]).cast("string").alias("name"),
+            F.col(fields[2]).cast("string").alias("detail"),
+        )
+        for array, fields in _ARRAYS.items()
+    ]
+    return files.union_all(rows)
 
 
 @query(
@@ -220,13 +254,11 @@ def history_list(spark: SparkSession, d: str) -> DataFrame:
     """SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
 )
 def attach_namespaces(spark: SparkSession, d: str) -> DataFrame:
-    """Two schemas over the star tables; a schema with a bad name is left out."""
+    """Two schemas found in a folder and queried where they lie; a schema with a bad name is left out."""
     root = scratch_path(spark, "schemas")
-    spots = {}
-    for schema, name in (("star_facts", "customer"), ("star_lookup", "nation")):
-        spots[schema] = {name: files.build_namespace(table(spark, d, name), root, schema, name)}
-    spots["drop;table"] = {}
-    files.attach_namespaces(spark, spots)
+    for schema, name in (("star_facts", "customer"), ("star_lookup", "nation"), ("drop;table", "nation")):
+        files.build_namespace(table(spark, d, name), root, schema, name)
+    files.attach_namespaces(spark, files.discover_namespaces(spark, root), scratch_path(spark, "declared"))
     df, _ = run_readonly(
         spark,
         """SELECT n.n_name, count(*) AS n FROM star_facts.customer AS c

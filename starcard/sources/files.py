@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import logging
+import re
+from fnmatch import fnmatch
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starcard.functions.text import valid_schema
 from starcard.functions.types import spark_type
 from starcard.operators.cards import CARD_SCHEMA
 from starcard.operators.catalog import any_of, declared_type
-from starcard.rules import SYSTEM_TABLE_PATTERNS
+from starcard.rules import SCHEMA_NAME, SYSTEM_TABLE_PATTERNS
 
 log = logging.getLogger(__name__)
 
@@ -53,6 +56,43 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def folder_names(spark: SparkSession, base: str) -> list[str]:
+    """Names of what lies directly in a folder of whatever file system; a missing folder is empty."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(where)]
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def name_is_valid(schema: str) -> bool:
+    return re.search(SCHEMA_NAME.replace(r"\z", r"\Z"), schema) is not None
+
+
+def read_csv_folder(
+    spark: SparkSession, base: str, columns: DataFrame, owner: str, multi_line: bool = False
+) -> dict[str, DataFrame]:
+    """One schema's exported tables, ``base/<table>.csv`` files or ``base/<table>`` folders, by table name.
+
+    Types come from the catalog's ``columns`` of ``owner``; a table that the catalog doesn't know is read as text columns.
+    """
+    known = columns.filter(F.upper("owner") == owner.upper())
+    ddl: dict[str, list[tuple[int, str]]] = {}
+    for r in known.select(
+        F.upper("table_name").alias("t"), "column_id", F.concat(F.lit("`"), "column_name", F.lit("` "), spark_type(declared_type())).alias("c")
+    ).collect():  # the columns of one schema
+        ddl.setdefault(r["t"], []).append((r["column_id"], r["c"]))
+    found = {}
+    for name in folder_names(spark, base):
+        table = name.removesuffix(".csv")
+        parts = ddl.get(table.upper())
+        typed = ", ".join(c for _, c in sorted(parts)) if parts else None
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+        found[table] = (reader.schema(typed) if typed else reader).csv(f"{base}/{name}")
+    return found
+
+
 def csv_schema(columns: DataFrame, owner: str, table: str) -> str:
     """DDL for one table's CSV, from the catalog's declared types."""
     rows = (
@@ -62,9 +102,12 @@ def csv_schema(columns: DataFrame, owner: str, table: str) -> str:
     return ", ".join(f"`{r['column_name']}` {r['t']}" for r in rows)
 
 
-def read_csv_table(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame:
-    """One exported table. Types come from ``ddl``; without it Spark infers them."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv_table(spark: SparkSession, path: str, ddl: str | None = None, multi_line: bool = False) -> DataFrame:
+    """One exported table. Types come from ``ddl``; without it Spark infers them.
+
+    With ``multi_line`` values may hold line breaks, and a file can't be split between tasks any more.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return reader.schema(ddl).csv(path) if ddl else reader.option("inferSchema", True).csv(path)
 
 
@@ -75,13 +118,15 @@ def build_namespace(df: DataFrame, root: str, schema: str, table: str, reset: bo
     return path
 
 
-def read_metadata(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Dictionary exports, one JSON object per schema and file; arrays stay nested.
+def read_metadata(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Dictionary exports, one JSON object per schema and file (or line); arrays stay nested.
 
     Spark does not list files whose name starts with "_" or ".", so exports named that way have to
     be stored under another name.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -186,18 +231,33 @@ def shape_view(array: str, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def attach_namespaces(spark: SparkSession, tables: dict[str, dict[str, str]]) -> list[str]:
-    """Make ``schema.table`` of Parquet folders queryable; schemas with bad names are skipped."""
+def discover_namespaces(spark: SparkSession, base: str, pattern: str = "*") -> dict[str, dict[str, str]]:
+    """Schemas and their Parquet tables, from folders ``base/<schema>/<table>``; bad names are left out."""
+    found = {}
+    for schema in folder_names(spark, base):
+        if not fnmatch(schema, pattern):
+            continue
+        if not name_is_valid(schema):
+            log.error("skipping schema %r: invalid name", schema)
+            continue
+        found[schema] = {t.removesuffix(".parquet"): f"{base}/{schema}/{t}" for t in folder_names(spark, f"{base}/{schema}")}
+    return found
+
+
+def attach_namespaces(spark: SparkSession, tables: dict[str, dict[str, str]], location: str | None = None) -> list[str]:
+    """Make ``schema.table`` of Parquet folders queryable where they lie; schemas with bad names are skipped.
+
+    ``location`` is where databases are declared; no rows are stored there.
+    """
     attached = []
-    names = spark.createDataFrame([(s,) for s in tables] or [("",)], "s string")
-    good = {r["s"] for r in names.filter(valid_schema(F.col("s"))).collect()}
     for schema, paths in sorted(tables.items()):
-        if schema not in good:
+        if not name_is_valid(schema):
             log.error("skipping schema %r: invalid name", schema)
             continue
         if not paths:
             log.warning("schema %s has no tables", schema)
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        at = f" LOCATION '{location}/{schema}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}{at}")
         for table, path in sorted(paths.items()):
             spark.sql(f"DROP TABLE IF EXISTS {schema}.`{table}`")
             spark.catalog.createTable(f"{schema}.{table}", path, "parquet")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.operators.runlog import key_differences
@@ -30,29 +31,38 @@ def export_samples(tables: dict[str, tuple[DataFrame, list[str]]], root: str) ->
 
 
 def write_cards(
-    cards: DataFrame, path: str, existing: DataFrame | None = None, overwrite: bool = False
+    cards: DataFrame, path: str, existing: DataFrame | None = None, overwrite: bool = False,
+    filtered: Column | None = None,
 ) -> dict[str, int]:
     """Store cards as JSON lines in bucket folders; cards already stored stay unless ``overwrite``.
 
+    Cards for which ``filtered`` holds are left out and counted.
+
     Folders are hash buckets of the schema name: a folder or file per schema or table would leave
-    millions of tiny files. ``existing``: cards already at ``path``. Counts generated and skipped.
+    millions of tiny files. ``existing``: cards already at ``path``. Counts generated, skipped and filtered.
     """
     seen = Observation()
     name = F.lower(F.col("table_metadata.qualified_name"))
-    rows = cards.withColumn("_name", name).withColumn("_kept", F.lit(False))
+    out = F.lit(False) if filtered is None else F.coalesce(filtered, F.lit(False))
+    rows = cards.withColumn("_name", name).withColumn("_kept", F.lit(False)).withColumn("_out", out)
     if existing is not None and not overwrite:
         have = existing.select(name.alias("_name")).distinct().withColumn("_have", F.lit(True))
         rows = rows.join(have, "_name", "left").withColumn("_kept", F.col("_have").isNotNull()).drop("_have")
-    rows = rows.observe(
-        seen, F.count_if(~F.col("_kept")).alias("generated"), F.count_if(F.col("_kept")).alias("skipped")
-    )
+    sums = [
+        F.count_if(~F.col("_kept") & ~F.col("_out")).alias("generated"),
+        F.count_if(F.col("_kept") & ~F.col("_out")).alias("skipped"), F.count_if("_out").alias("filtered"),
+    ]
+    counted, rows = rows, rows.observe(seen, *sums)
     bucket = card_bucket(F.col("table_metadata.schema_name")).alias("schema_bucket")
-    new = rows.filter(~F.col("_kept")).select(*cards.columns, bucket)
+    new = rows.filter(~F.col("_kept") & ~F.col("_out")).select(*cards.columns, bucket)
     # A bucket is written by a few tasks, so one schema with most of the tables is split as well.
     spread = new.repartition("schema_bucket", F.pmod(F.xxhash64("table_metadata.name"), F.lit(4)))
     writer = spread.write.mode("overwrite" if overwrite else "append").partitionBy("schema_bucket")
     writer.json(path)
-    return {"generated": seen.get["generated"], "skipped": seen.get["skipped"]}
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:  # nothing to write: the plan ended before the counts
+        return counted.agg(*sums).first().asDict()
 
 
 def append_runs(runs: DataFrame, path: str, fields: list[str] = RUN_FIELDS) -> None:

@@ -155,8 +155,10 @@ def test_write_cards(spark):
     text = [json.dumps(card("S1", n)) for n in "ABC"] + [json.dumps(card("S2", "A"))]
     cards = spark.createDataFrame([(t,) for t in text], "t string").select(F.from_json("t", C.CARD_SCHEMA).alias("c")).select("c.*")
     path = scratch_path(spark, "cards")
-    assert sinks.write_cards(cards.filter("table_metadata.name = 'A'"), path) == {"generated": 2, "skipped": 0}
-    assert sinks.write_cards(cards, path, files.read_cards(spark, path)) == {"generated": 2, "skipped": 2}
+    assert sinks.write_cards(cards.filter("table_metadata.name = 'A'"), path) == {"generated": 2, "skipped": 0, "filtered": 0}
+    only = F.col("table_metadata.name") == "A"
+    assert sinks.write_cards(cards, path, files.read_cards(spark, path), filtered=~only) == {"generated": 0, "skipped": 2, "filtered": 2}
+    assert sinks.write_cards(cards, path, files.read_cards(spark, path)) == {"generated": 2, "skipped": 2, "filtered": 0}
     assert files.read_cards(spark, path).count() == 4 and files.read_cards(spark, path, ["S2"]).count() == 1
     with pytest.raises(ValueError):
         files.read_cards(spark, path, ["S9"])
@@ -240,3 +242,24 @@ def test_run_log_keeps_late_runs_and_goes_on_in_later_calls(spark, tmp_path):
     other = read_stream(spark, folder, again.schema)
     fresh = stream_run_log(other, log, ["run_id", "ts", "v"], checkpoint=str(tmp_path / "fresh"))
     assert sorted(r["run_id"] for r in fresh.collect()) == [10, 11, 12, 13]
+
+
+def test_folders_become_tables_and_namespaces(spark, tmp_path):
+    csv = str(tmp_path / "csv")
+    spark.createDataFrame([(1, "a,b", 2.5)], "id long, t string, x double").write.option("header", True).csv(f"{csv}/items")
+    spark.createDataFrame([("q",)], "c string").write.option("header", True).csv(f"{csv}/unknown")
+    kind = "owner string, table_name string, column_name string, column_id int, data_type string, data_length int, data_precision int, data_scale int, char_length int"
+    columns = spark.createDataFrame([
+        ("S", "ITEMS", "t", 2, "VARCHAR2", 20, None, None, 20), ("S", "ITEMS", "id", 1, "NUMBER", 22, 15, 0, None),
+        ("S", "ITEMS", "x", 3, "NUMBER", 22, None, None, None), ("OTHER", "ITEMS", "id", 1, "CLOB", 1, None, None, None)], kind)
+    read = files.read_csv_folder(spark, csv, columns, "s")
+    assert set(read) == {"items", "unknown"} and read["items"].columns == ["id", "t", "x"]
+    assert read["items"].first()["id"] == 1 and read["items"].schema["id"].dataType.typeName() != "string"
+    root = str(tmp_path / "ns")
+    for schema in ("good_one", "bad name"):
+        files.build_namespace(read["items"], root, schema, "items")
+    found = files.discover_namespaces(spark, root)
+    assert found == {"good_one": {"items": f"{root}/good_one/items"}}
+    assert files.discover_namespaces(spark, root, "x*") == {} == files.discover_namespaces(spark, str(tmp_path / "none"))
+    assert files.attach_namespaces(spark, {**found, "bad;name": {}}, str(tmp_path / "declared")) == ["good_one"]
+    assert spark.sql("SELECT sum(id) AS n FROM good_one.items").first()["n"] == 1
