@@ -32,29 +32,32 @@ class RunIndex:
         self.interval_owner = np.minimum.reduceat(owners[of[order]], np.flatnonzero(heads))
 
     def _sort(self, raw: np.ndarray, of: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and for every suffix the bytes that it shares with the one before it."""
+        """Suffix order, and for every suffix the bytes that it shares with the one before it.
+
+        Sorted by eight bytes at a time, each time only the suffixes that are still equal to a neighbour. All sorts are
+        stable, so suffixes that end alike stay in the order of their strings.
+        """
         words = _words(raw, left)
-        order = np.argsort(words)
+        order = np.argsort(words, kind="stable")
         at = words[order]
-        cut = np.r_[True, at[1:] != at[:-1]]
         shared = np.r_[0, _common(at[1:], at[:-1])]
-        depth = 8
-        # equal so far: the next eight bytes decide, and the string's number where both are at their end
+        apart = np.r_[True, at[1:] != at[:-1]]
+        rows, depth = np.arange(len(order)), 8
         while True:
-            group = np.cumsum(cut) - 1
-            rows = np.flatnonzero(np.bincount(group)[group] > 1)
+            # of the rows at hand, those in groups of two or more
+            alone = apart & np.r_[apart[1:], True]
+            rows, apart = rows[~alone], apart[~alone]
             if not len(rows):
                 break
-            suffix, group = order[rows], group[rows]
-            over = left[suffix] <= depth
-            word = np.where(over, 0, words[np.minimum(suffix + depth, len(words) - 1)])
-            number = np.where(over, of[suffix] + 1, 0)
-            by = np.lexsort((number, word, group))
+            group = np.cumsum(apart)
+            suffix = order[rows]
+            word = np.where(left[suffix] <= depth, 0, words[np.minimum(suffix + depth, len(words) - 1)])
+            by = np.lexsort((word, group))
             order[rows] = suffix[by]
-            word, number, group = word[by], number[by], group[by]
-            same = np.r_[False, group[1:] == group[:-1]]
-            shared[rows[same]] = depth + _common(word[1:], word[:-1])[same[1:]]
-            cut[rows[same]] = ((word[1:] != word[:-1]) | (number[1:] != number[:-1]))[same[1:]]
+            word = word[by]
+            inside = np.flatnonzero(~apart)
+            shared[rows[inside]] = depth + _common(word[inside], word[inside - 1])
+            apart[inside] = (word[inside] != word[inside - 1]) | (word[inside] == 0)  # zero: both are at their end
             depth += 8
         shared[1:] = np.minimum(shared[1:], np.minimum(left[order[1:]], left[order[:-1]]))
         return order, shared

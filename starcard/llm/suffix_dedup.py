@@ -34,7 +34,7 @@ LAST = (1 << 63) - 1
 STRETCH = 1 << 18
 SENT = "range int, batch int, keys binary, several binary"
 TOLD = "batch int, range int, answer binary"
-CONTEXTS = "range int, batch int, owners binary, sizes binary, bytes binary"
+CONTEXTS = "range int, batch int, tags binary, owners binary, sizes binary, bytes binary"
 
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
@@ -87,7 +87,8 @@ class Stretch:
             return
         place, of = place[whole], of[whole]
         heads = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (of[1:] != of[:-1])])
-        self.keys, self.of = hashes[place[heads]], of[heads]
+        # minimizers have small hashes by their nature; mixed once more, they spread over all ranges
+        self.keys, self.of = hashes[place[heads]] * ODD[0], of[heads]
         self.lo, self.hi = whole[heads], whole[np.r_[heads[1:], len(whole)] - 1] + 1
 
 
@@ -132,14 +133,16 @@ class Found:
                     of_key.append(part.keys[mine[j]])
                     owner.append(owners[rows[j]])  # rows come in the order of owners
             self.places.append((part, mine, rows, numbers))
-        ranges = hash_ranges(np.array(of_key, np.uint64), width)
+        of_key = np.array(of_key, np.uint64)
+        self.tags = of_key.astype(np.uint32)  # tell contexts of different minimizers apart within a range
+        ranges = hash_ranges(of_key, width)
         self.order = np.argsort(ranges, kind="stable")
         self.owner = np.array(owner, np.uint64)
         self.contexts = list(at)
         self.cuts = np.searchsorted(ranges[self.order], np.arange(width + 1))
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 8_000_000, ranges_per_batch: int = 1,
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 8_000_000, ranges_per_batch: int = 4,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), one row per input row.
 
@@ -207,8 +210,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 8_000
                 mine = found.order[a:b]
                 strings = [found.contexts[i] for i in mine]
                 sizes = np.fromiter(map(len, strings), np.uint64, len(strings))
-                out.append((r, key[0], pack(found.owner[mine]), pack(sizes), b"".join(strings)))
-        return pd.DataFrame(out, columns=["range", "batch", "owners", "sizes", "bytes"])
+                out.append((r, key[0], found.tags[mine].tobytes(), pack(found.owner[mine]), pack(sizes), b"".join(strings)))
+        return pd.DataFrame(out, columns=["range", "batch", "tags", "owners", "sizes", "bytes"])
 
     def stream(key: tuple, packets: pd.DataFrame) -> pd.DataFrame:
         at: dict[bytes, int] = {}
@@ -222,10 +225,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, batch_chars: int = 8_000
         of, owner = np.concatenate(numbers), np.concatenate(owners)
         least = np.full(len(at), np.uint64((1 << 64) - 1))
         np.minimum.at(least, of, owner)
-        order = np.argsort(least, kind="stable")
-        strings = list(at)
-        masks = np.empty(len(at), np.uint64)
-        masks[order] = RunIndex([strings[i] for i in order], least[order], depth).earlier()
+        strings, masks = list(at), np.zeros(len(at), np.uint64)
+        # equal windows have equal minimizers: a context that is the only one of its minimizer matches itself alone
+        tag = np.empty(len(at), np.uint32)
+        tag[of] = np.concatenate([np.frombuffer(t, np.uint32) for t in packets["tags"]])
+        _, kind, size = np.unique(tag, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(size[kind] > 1)
+        order = several[np.argsort(least[several], kind="stable")]
+        if len(order):
+            masks[order] = RunIndex([strings[i] for i in order], least[order], depth).earlier()
         everywhere = np.uint64((1 << 64) - 1)
         answer = np.where(owner > least[of], everywhere, masks[of])
         parts = np.split(answer, np.cumsum([len(n) for n in numbers])[:-1])
