@@ -255,10 +255,7 @@ def assemble(
         F.nullif(F.col("comments"), F.lit("")).alias("description"),
     )
     listed = kept.groupBy(*TABLE).agg(F.sort_array(F.collect_list(cell)).alias("cols"))
-    facts = tables.groupBy(*TABLE).agg(
-        F.min_by(F.struct("num_rows"), "seq")["num_rows"].alias("row_count"),
-        F.nullif(F.max_by(F.struct("comments"), "seq")["comments"], F.lit("")).alias("description"),
-    )
+    facts = table_facts(tables)
     joined = (
         listed.join(fks, TABLE, "left").join(primary_keys(keyed), TABLE, "left").join(facts, TABLE, "left")
     )
@@ -276,6 +273,25 @@ def assemble(
     )
 
 
+def table_facts(tables: DataFrame) -> DataFrame:
+    """Statistics and comment per table: of the first row with the name, and of the last."""
+    return tables.groupBy(*TABLE).agg(
+        F.min_by(F.struct("num_rows"), "seq")["num_rows"].alias("row_count"),
+        F.nullif(F.max_by(F.struct("comments"), "seq")["comments"], F.lit("")).alias("description"),
+    )
+
+
+def table_heads(tables: DataFrame, columns: DataFrame, filter_tables: bool = True) -> DataFrame:
+    """Names, row count and comment of the tables that get a card, without assembling cards."""
+    kept = columns
+    if filter_tables:
+        kept = columns.filter(~is_skipped(F.col("table_name"), F.col("owner")))
+    names = kept.select(*TABLE).distinct()
+    return names.join(table_facts(tables), TABLE, "left").select(
+        *TABLE, F.concat_ws(".", *TABLE).alias("qualified_name"), "row_count", "description"
+    )
+
+
 def table_rows(assembled: DataFrame) -> DataFrame:
     return assembled.select(
         *TABLE, F.concat_ws(".", *TABLE).alias("qualified_name"), "primary_key", "row_count", "description"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcard.operators.segments import dense_number
-from starcard.rules import MAX_REPAIR_ATTEMPTS
+from starcard.rules import BLOCKED_PREFIX, BLOCKED_WITHOUT_DETAIL, MAX_REPAIR_ATTEMPTS
 
 
 def validation_columns() -> dict[str, Column]:
@@ -47,10 +47,10 @@ def blocked(runs: DataFrame) -> DataFrame:
     """The failed result of every run that may not execute."""
     checked = validated(runs)
     known = F.col("syntax_errors").isNotNull() & F.col("explain_errors").isNotNull()
-    text = F.when(known, F.col("summary")).otherwise("Validation failed (no details available)")
+    text = F.when(known, F.col("summary")).otherwise(BLOCKED_WITHOUT_DETAIL)
     return checked.filter(~known | ~F.col("is_valid")).select(
         "run_id", F.lit(False).alias("success"), F.lit(0).alias("row_count"),
-        F.concat(F.lit("Validation failed: "), text).alias("error_message"),
+        F.concat(F.lit(BLOCKED_PREFIX), text).alias("error_message"),
         F.lit(True).alias("validation_failed"),
     )
 
@@ -61,7 +61,7 @@ def assign_run_ids(new_runs: DataFrame, order: list[str], log: DataFrame | None
     if log is not None:
         bad = log.filter(F.col("run_id").isNotNull() & F.col("run_id").try_cast("bigint").isNull())
         if not bad.isEmpty():
-            raise RuntimeError("Failed to read existing run IDs: not a number")
+            raise RuntimeError("the run log holds a run id that is not a number")
         top = log.agg(F.max(F.col("run_id").cast("bigint"))).first()[0]
     return dense_number(new_runs, order, "run_id", start=(top or 0) + 1)
 

@@ -274,11 +274,11 @@ def restrict_schemas(df: DataFrame, column: str, allowed: list[str] | None) -> D
     if allowed is None:
         return df
     if not allowed:
-        raise ValueError("schemas list cannot be empty; use None for all schemas")
+        raise ValueError("name at least one schema, or pass None to keep all")
     asked = df.sparkSession.createDataFrame([(a,) for a in allowed], f"{column} string")
     unknown = [r[0] for r in asked.join(df.select(column).distinct(), column, "left_anti").collect()]
     if unknown:
-        raise ValueError(f"Invalid schema(s): {sorted(unknown)}")
+        raise ValueError(f"unknown schemas: {sorted(unknown)}")
     return df.filter(F.col(column).isin(allowed))
 
 

@@ -59,12 +59,12 @@ def check_sql(
     outcome = Outcome(original_sql=sql or "")
     text = (sql or "").strip().rstrip(";").strip()
     if not text:
-        outcome.syntax_errors.append("No SQL draft available to validate")
+        outcome.syntax_errors.append("there is no statement to check")
         return None, outcome
     word = _OPENING.match(text).group(1).upper()
     if word not in ("SELECT", "WITH"):
         outcome.syntax_errors.append(
-            f"Query type not allowed: {word or text[:20]}. Only SELECT and WITH (CTE) queries are permitted."
+            f"a statement has to begin with SELECT or WITH, this one begins with {word or text[:20]}"
         )
         return None, outcome
     try:

@@ -13,10 +13,10 @@ from starcard.operators import expand as X
 from starcard.operators import search as S
 from starcard.operators import vectors as N
 from starcard.operators.segments import running_sums
-from starcard.plans.catalog_queries import CARD_PARTS, _cat, _fk_map, assembled
+from starcard.plans.catalog_queries import CARD_PARTS, _cat, _fk_map
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
-from starcard.plans.tenants import FK_SQL, LOOKUPS
+from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_tables
 from starcard.rules import STOP_WORDS, TOKEN
 from starcard.session import cut, scratch_path
 
@@ -248,7 +248,7 @@ CARD_TEXT_SQL = "coalesce(any_value(table_description), '')"
     ),
 )
 def empty_search_fallback(spark: SparkSession, d: str) -> DataFrame:
-    heads = K.table_rows(assembled(spark, d))
+    heads = K.table_heads(cat_tables(spark, d), cat_columns(spark, d))
     asked = table(spark, d, "customer").select(
         F.col("c_custkey").alias("query_id"), F.concat(F.lit("T"), "c_custkey").alias("owner"),
         F.col("c_mktsegment").alias("text"),
@@ -493,7 +493,7 @@ _CORE_NAMES = ["ORDERS", "LINEITEM", "PART", "CUSTOMER"]
 )
 def core_safety_net(spark: SparkSession, d: str) -> DataFrame:
     """Retrieved are the big tables; core tables not among them are offered besides."""
-    heads = K.table_rows(assembled(spark, d))
+    heads = K.table_heads(cat_tables(spark, d), cat_columns(spark, d))
     heads = cut(heads.select("owner", "table_name", "row_count"))
     retrieved = heads.filter(F.col("row_count") > 20000)
     return X.safety_net(_CORE_NAMES, heads.select("owner", "table_name"), retrieved, ["owner", "table_name"])

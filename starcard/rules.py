@@ -112,6 +112,10 @@ RUN_FIELDS = [
 ]
 RUN_FILE = "run_%05d.json"
 
+# --- fixed values: texts of a blocked run's result ----------------------------------------------
+BLOCKED_PREFIX = "Validation failed: "
+BLOCKED_WITHOUT_DETAIL = "Validation failed (no details available)"
+
 # --- fixed values: ranking constants from the literature (not published by the service) ---------
 BM25_K1 = 1.2
 BM25_B = 0.75

@@ -47,9 +47,35 @@ def _shared_root(spark: SparkSession) -> str:
     return root
 
 
+class Scratch:
+    """Owns the scratch paths handed out while it is open, and deletes them when it closes.
+
+    Results made inside read from these paths, so write them before the end: ``with Scratch(spark): job().write...``.
+    """
+
+    _open: list[list[str]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self.paths)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self.paths)
+        context = self.spark.sparkContext
+        for path in self.paths:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is reused between calls."""
-    return f"{_shared_root(spark)}/starcard/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is reused between calls. An open ``Scratch`` deletes it later."""
+    path = f"{_shared_root(spark)}/starcard/{label}-{uuid.uuid4().hex}"
+    if Scratch._open:
+        Scratch._open[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

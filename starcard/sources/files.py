@@ -160,7 +160,7 @@ def read_card_folders(spark: SparkSession, base: str, schemas: list[str] | None
         return spark.createDataFrame([], CARD_SCHEMA)
     for name in schemas or []:
         if not _exists(spark, f"{base}/{name}"):
-            raise ValueError(f"Schema directory not found: {name}")
+            raise ValueError(f"no folder for schema {name}")
     paths = [f"{base}/{n}" for n in schemas] if schemas is not None else base
     if schemas == []:
         return spark.createDataFrame([], CARD_SCHEMA)
@@ -182,7 +182,7 @@ def read_cards(spark: SparkSession, base: str, schemas: list[str] | None = None)
         found = {r[0] for r in cards.select(name).distinct().collect()}
         lost = sorted(set(schemas) - found)
         if lost:
-            raise ValueError(f"Schema directory not found: {lost}")
+            raise ValueError(f"no cards stored for schemas {lost}")
     return _checked(cards).drop("schema_bucket")
 
 

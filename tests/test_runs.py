@@ -13,7 +13,7 @@ from starcard.operators import runlog as R
 from starcard.plans.catalog_queries import restrict_schemas
 from starcard.plans.readonly import Outcome, check_sql, run_readonly, write_result
 from starcard.rules import RUN_FIELDS
-from starcard.session import build_session, scratch_path
+from starcard.session import Scratch, build_session, scratch_path, stored
 from starcard.sources import files, sinks
 from starcard.streaming.runs import read_stream, stream_progress, stream_run_log
 
@@ -100,7 +100,7 @@ def test_run_ids(spark):
     assert ids(None) == {"a": 1, "b": 2, "c": 3}
     assert ids(spark.createDataFrame([], "run_id string")) == {"a": 1, "b": 2, "c": 3}
     assert ids(spark.createDataFrame([("1",), ("3",), (None,)], "run_id string")) == {"a": 4, "b": 5, "c": 6}
-    with pytest.raises(RuntimeError, match="Failed to read existing run IDs"):
+    with pytest.raises(RuntimeError, match="not a number"):
         ids(spark.createDataFrame([("x",)], "run_id string"))
 
 
@@ -141,7 +141,7 @@ def test_card_folders(spark, tmp_path):
     assert files.read_card_folders(spark, base, ["S1"]).count() == 2
     counts = files.available_schemas(files.read_card_folders(spark, base))
     assert {r["schema_name"]: r["n"] for r in counts.collect()} == {"S1": 2, "S2": 1}
-    with pytest.raises(ValueError, match="Schema directory not found"):
+    with pytest.raises(ValueError, match="no folder for schema"):
         files.read_card_folders(spark, base, ["S1", "S9"])
     (tmp_path / "S2" / "bad.json").write_text("{not json")
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
@@ -263,3 +263,28 @@ def test_folders_become_tables_and_namespaces(spark, tmp_path):
     assert files.discover_namespaces(spark, root, "x*") == {} == files.discover_namespaces(spark, str(tmp_path / "none"))
     assert files.attach_namespaces(spark, {**found, "bad;name": {}}, str(tmp_path / "declared")) == ["good_one"]
     assert spark.sql("SELECT sum(id) AS n FROM good_one.items").first()["n"] == 1
+
+
+def test_scratch_is_deleted_by_its_owner(spark):
+    with Scratch(spark) as own:
+        assert stored(spark.range(5), "numbers").count() == 5
+    assert len(own.paths) == 1 and not os.path.exists(own.paths[0].removeprefix("file:"))
+    assert stored(spark.range(5), "numbers").count() == 5
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from starcard import session
+
+    class Context:
+        master = "spark://host:7077"
+        _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+        def getCheckpointDir(self):
+            return None
+
+    class Other:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session._shared_root(Other())
