@@ -189,7 +189,7 @@ def test_namespace_and_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "x", \n b')], "id bigint, t string")
     csv = str(tmp_path / "csv")
     df.write.option("header", True).option("escape", '"').csv(csv)
-    read = files.read_csv_table(spark, csv, "id bigint, t string")
+    read = files.read_csv_table(spark, csv, "id bigint, t string", multi_line=True)
     assert read.first() == df.first()
     root = str(tmp_path / "store")
     files.build_namespace(read, root, "S", "t", reset=True)
