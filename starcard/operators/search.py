@@ -61,13 +61,10 @@ def build_index(
     posts = index.read(spark, "postings")
     terms = posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
     terms.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
-    indexed = posts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("succeeded"))
-    sums = index.read(spark, "terms").agg(
-        F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"),
-        F.count(F.lit(1)).alias("n_terms"),
-    )
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs")).join(indexed).join(sums)  # three single rows
-    totals.coalesce(1).write.parquet(f"{path}/totals")
+    sums = index.read(spark, "terms").agg(F.sum("df"), F.sum("tf"), F.count(F.lit(1))).first()
+    totals = (docs.count(), posts.select("doc_id").distinct().count(), sums[0] or 0, sums[1] or 0, sums[2])
+    names = "n_docs long, succeeded long, n_postings long, n_tokens long, n_terms long"
+    spark.createDataFrame([totals], names).coalesce(1).write.parquet(f"{path}/totals")
     return index
 
 
