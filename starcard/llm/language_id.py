@@ -26,6 +26,8 @@ from starcard.session import stored
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
+#: Unseen words that a task remembers; rows whose words are counted together.
+MEMO, TOGETHER = 100_000, 2_500
 
 
 @dataclass
@@ -58,7 +60,7 @@ class LanguageModel:
                 weight.append(n)
                 continue
             if word not in memo:
-                if len(memo) > 500_000:
+                if len(memo) > MEMO:
                     memo.clear()
                 memo[word] = self.backoff(word)
             found = memo[word]
@@ -81,11 +83,13 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[str, Counter] = {}
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            for lang, words in found.items():
-                yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
+            for start in range(0, len(batch), TOGETHER):
+                part = batch.iloc[start : start + TOGETHER]
+                found: dict[str, Counter] = {}
+                for text, lang in zip(part["text"], part["lang"], strict=True):
+                    found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                for lang, words in found.items():
+                    yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
 
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     partial = rows.mapInPandas(count, "lang string, word string, n long")

@@ -22,6 +22,7 @@ from starcard.llm.common import id_and_text, largest
 from starcard.session import stored
 
 #: Kinds of characters whose shares tell prose from tables, shouting and noise.
+TOGETHER = 1_000  # texts whose features are held at once
 KINDS = [string.ascii_uppercase.encode(), b"!", b"|", b"#$%&*", string.digits.encode()]
 
 
@@ -117,8 +118,12 @@ def membership(text: Column, model: DomainModel, spark: SparkSession) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = DomainModel(**sent.value)
         for texts in batches:
-            tokens, rows = found.features(texts)
-            yield pd.DataFrame({"tokens": tokens, "p": list(found.posteriors(rows))})
+            tokens, shares = [], []
+            for start in range(0, len(texts), TOGETHER):
+                n, rows = found.features(texts.iloc[start : start + TOGETHER])
+                tokens += n.tolist()
+                shares += list(found.posteriors(rows))
+            yield pd.DataFrame({"tokens": pd.Series(tokens, dtype="int64"), "p": shares})
 
     return run(text)
 

@@ -29,7 +29,7 @@ from starcard.llm.common import id_and_text
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs of pieces that a task remembers before it starts anew; characters that are encoded together.
-WORDS_KEPT, PAIRS_KEPT, TOGETHER = 250_000, 500_000, 1 << 21
+WORDS_KEPT, PAIRS_KEPT, TOGETHER = 120_000, 250_000, 1 << 20
 INFINITE = float("inf")
 NOTHING: dict = {}
 
