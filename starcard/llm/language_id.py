@@ -27,7 +27,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Unseen words that a task remembers; rows whose words are counted together.
-MEMO, TOGETHER = 100_000, 2_500
+MEMO, TOGETHER = 500_000, 10_000
 
 
 @dataclass
