@@ -1,15 +1,17 @@
 """Secret scans: three patterns, and strings that stay novel to a primed compressor.
 
 A candidate is a long run of token characters with letters and digits, in a line that names something
-sensitive before it. A zstandard compressor is primed with a dictionary of identifiers that are frequent
-on such lines all over the corpus, and with the text around the candidate; the candidate's marginal
-compressed bytes over its length tell how novel it is. Names, words and paths compress against the
-dictionary or their surroundings, keys do not.
+sensitive or in a line next to one. A zstandard compressor is primed with a dictionary of identifiers that are
+frequent on such lines all over the corpus, and with the text around the candidate, its own copies taken out;
+the candidate's marginal compressed bytes over its length tell how novel it is. Names, words and paths compress
+against the dictionary or their surroundings, keys do not. Long strings of a small alphabet are entropy coded, so
+they are judged in pieces, and as a whole against what their alphabet allows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}")
 SENSITIVE_HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer")
 AROUND = 256
+#: Characters of a piece: too few for a table of codes to pay.
+PIECE = 32
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -51,7 +55,7 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 
 
 def sensitive_lines(text: str, low: str) -> list[tuple[int, int]]:
-    """(start of what follows the first sensitive word, end) of every line with one."""
+    """(start, end) of every line with a sensitive word."""
     if not any(h in low for h in SENSITIVE_HINTS):
         return []
     out, end = [], -1
@@ -60,12 +64,29 @@ def sensitive_lines(text: str, low: str) -> list[tuple[int, int]]:
             continue
         end = text.find("\n", m.end())
         end = len(text) if end < 0 else end
-        out.append((m.end(), end))
+        out.append((text.rfind("\n", 0, m.start()) + 1, end))
+    return out
+
+
+def with_neighbours(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The lines with the line before and the one after, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in lines:
+        start = text.rfind("\n", 0, max(0, start - 1)) + 1
+        end = text.find("\n", end + 1)
+        end = len(text) if end < 0 else end
+        if out and start <= out[-1][1]:
+            start = out.pop()[0]
+        out.append((start, end))
     return out
 
 
 def novelty(candidate: str, around: str, identifiers: bytes) -> float:
-    """Marginal compressed bytes of the candidate per byte, primed with its surroundings and the identifiers."""
+    """Marginal compressed bytes of the candidate per byte, primed with its surroundings (without copies of it) and the identifiers.
+
+    The mean over its pieces; of a longer candidate at most what the whole takes of its alphabet's bits, which falls where
+    the candidate repeats itself.
+    """
     primed = zstandard.ZstdCompressionDict(
         identifiers + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT
     )
@@ -73,19 +94,28 @@ def novelty(candidate: str, around: str, identifiers: bytes) -> float:
         level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     data = candidate.encode()
-    return (len(press.compress(data)) - len(press.compress(b""))) / len(data)
+    none = len(press.compress(b""))
+    count = -(-len(data) // PIECE)
+    cuts = [i * len(data) // count for i in range(count + 1)]
+    pieces = sum(len(press.compress(data[a:b])) - none for a, b in zip(cuts, cuts[1:], strict=False)) / len(data)
+    if count == 1:
+        return pieces
+    bits = math.log2(max(2, len(set(data))))
+    return min(pieces, (len(press.compress(data)) - none) / len(data) * 8 / bits)
 
 
 def all_spans(text: str, identifiers: bytes, least: float) -> tuple[list, list]:
     low = text.lower()
     base = base_spans(text, low)
     novel = []
-    for start, end in sensitive_lines(text, low):
+    for start, end in with_neighbours(text, sensitive_lines(text, low)):
         for m in CANDIDATE.finditer(text, start, end):
             if any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if novelty(m[0], around, identifiers) >= least:
+            reach = AROUND + len(m[0])  # a copy at the edge is whole within it
+            before = text[max(0, m.start() - reach) : m.start()].replace(m[0], "\n")[-AROUND:]
+            after = text[m.end() : m.end() + reach].replace(m[0], "\n")[:AROUND]
+            if novelty(m[0], before + "\n" + after, identifiers) >= least:
                 novel.append((m.start(), 3, m.end()))
     return base, sorted(base + novel)
 

@@ -1,6 +1,7 @@
 """The whole job of stages and operators, each case one that a shortcut of theirs once missed."""
 
 import random
+import string
 import sys
 from itertools import combinations
 from pathlib import Path
@@ -8,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from starcard.llm import stages  # noqa: E402
+from starcard.llm import secrets, stages  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 KIND = "doc_id long, text string"
@@ -44,3 +45,16 @@ def test_near_copies_go_by_similarity(spark):
     df = spark.createDataFrame(plain, KIND)
     kept = {r["doc_id"] for r in stages.one_per_similar_group(df).collect()}
     assert kept == {i for i in sets if root(i) == i}
+
+
+def test_novel_secrets_of_any_length_copied_or_beside_the_word(spark):
+    rng = random.Random(6)
+    alphabets = ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    keys = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (20, 40, 64, 128, 200, 1024) for _ in range(5)]
+    plain = [(i, f"the api key is {k} here") for i, k in enumerate(keys)]
+    key = "q7Zx91LmPp0aVt3RkW82nBc5Yd"
+    plain += [(1000, f"{key} is the api key"), (1001, f"private key\n{key}"), (1002, f"{key}\nfor the bearer"), (1003, f"{key} a\n\n\nprivate key")]
+    plain += [(1004, f"credential {key} or {key}"), (1005, "the secret way is " + "abcdefgh1" * 20)]
+    found = {r["doc_id"]: r["n_novel"] for r in secrets.scan(spark.createDataFrame(plain, KIND)).collect()}
+    assert all(found[i] == 1 for i in range(len(keys)))
+    assert [found[i] for i in range(1000, 1006)] == [1, 1, 1, 0, 2, 0]
