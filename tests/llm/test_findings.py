@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from starcard.llm import secrets, stages  # noqa: E402
+from starcard.llm import line_dedup, secrets, stages  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 KIND = "doc_id long, text string"
@@ -58,3 +58,15 @@ def test_novel_secrets_of_any_length_copied_or_beside_the_word(spark):
     found = {r["doc_id"]: r["n_novel"] for r in secrets.scan(spark.createDataFrame(plain, KIND)).collect()}
     assert all(found[i] == 1 for i in range(len(keys)))
     assert [found[i] for i in range(1000, 1006)] == [1, 1, 1, 0, 2, 0]
+
+
+def test_short_repeated_lines_go(spark):
+    rng = random.Random(8)
+    pool = ["", " \t", "}", "Home", "Released under the MIT License."] + [f"own line {i}" for i in range(200)]
+    plain = [(i, "\n".join(rng.choices(pool, [9, 5, 5, 5, 5] + [1] * 200, k=rng.randint(1, 25)))) for i in range(60)]
+    found = {r["doc_id"]: r["kept_text"].split("\n") for r in line_dedup.line_report(spark.createDataFrame(plain, KIND)).collect()}
+    kept = [x for i in sorted(found) for x in found[i] if x.strip()]
+    assert sorted(kept) == sorted({x for _, t in plain for x in t.split("\n") if x.strip()})
+    bare = [(i, "\n".join(x if x.strip() else "" for x in t.split("\n"))) for i, t in plain]
+    found = line_dedup.line_report(spark.createDataFrame(bare, KIND))
+    assert {r["doc_id"]: r["kept_text"] for r in found.collect()} == brute.lines(bare, 1)
