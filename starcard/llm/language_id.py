@@ -4,6 +4,9 @@ A known word scores its log frequency in each language. A word the model doesn't
 through its character n-grams, longest first: the first order of which any n-gram is known decides,
 with the mean log frequency of its known n-grams.
 
+How well a text fits any language is told apart from how far one is ahead of the others: the mean over its words of 1 for
+a word seen in the language, else of the share of its 4-grams seen there.
+
 The model is bounded by documented parameters (``words``, ``grams``), so it can travel to every task.
 The counts it is picked from cover all training rows.
 """
@@ -14,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,8 @@ class LanguageModel:
     word_logs: np.ndarray | None = None
     grams: dict[str, int] = field(default_factory=dict)
     gram_logs: np.ndarray | None = None
+    word_has: np.ndarray | None = None  # seen in the language at all
+    gram_has: np.ndarray | None = None
 
     def backoff(self, word: str) -> np.ndarray | None:
         for n in ORDERS:
@@ -46,6 +52,30 @@ class LanguageModel:
                 return self.gram_logs[known].mean(axis=0)
         return None
 
+    def spelling(self, word: str) -> np.ndarray:
+        """Per language, the share of the word's n-grams of the longest order that is known there."""
+        n = ORDERS[0]
+        padded = f"^{word}$"
+        parts = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
+        known = [g for g in (self.grams.get(p) for p in parts) if g is not None]
+        return self.gram_has[known].sum(axis=0) / len(parts) if known else np.zeros(len(self.langs))
+
+    def fit_of(self, text: str, memo: dict[str, np.ndarray]) -> float:
+        """How well the text's words fit the language they fit best, between 0 and 1."""
+        words = LETTERS.findall(text.lower())
+        if not words or not self.langs:
+            return 0.0
+        total = np.zeros(len(self.langs))
+        for word, n in Counter(words).items():
+            if word not in memo:
+                if len(memo) > MEMO // 4:
+                    memo.clear()
+                at = self.words.get(word)
+                seen = self.word_has[at] if at is not None else np.zeros(len(self.langs), bool)
+                memo[word] = np.where(seen, 1.0, 0.0 if seen.all() else self.spelling(word))
+            total += n * memo[word]
+        return float(total.max()) / len(words)
+
     def scores(self, text: str, memo: dict[str, np.ndarray | None], evidence: int) -> tuple[str, float]:
         """Language and its posterior; evidence beyond ``evidence`` words only sharpens the mean."""
         words = LETTERS.findall(text.lower())
@@ -96,57 +126,82 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(rows: list, langs: list[str], totals: dict[str, float], alpha: float) -> tuple[dict[str, int], np.ndarray]:
-    """Entries of (item, {lang: n}) as log frequencies with ``alpha`` added to every count."""
+def gram_counts_of(counts: DataFrame) -> DataFrame:
+    """(lang, item, n): n-grams of all words of (lang, item, n), each word weighing what it was counted; counted per batch before the shuffle."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for lang, word, times in zip(batch["lang"], batch["item"], batch["n"], strict=True):
+                own, padded = found.setdefault(lang, Counter()), f"^{word}$"
+                for n in ORDERS:
+                    for i in range(len(padded) - n + 1):
+                        own[padded[i : i + n]] += times
+            for lang, grams in found.items():
+                yield pd.DataFrame({"lang": lang, "item": list(grams), "n": list(grams.values())})
+
+    partial = counts.select("lang", "item", "n").mapInPandas(count, "lang string, item string, n long")
+    return partial.filter("item NOT IN ('^', '$')").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+
+def _table(rows: list, langs: list[str], totals: dict[str, float], alpha: float) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Entries of (item, {lang: n}) as log frequencies with ``alpha`` added to every count, and which counts there are."""
     at = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((len(rows), len(langs)))
     for i, row in enumerate(rows):
         for lang, n in row["ns"].items():
             counts[i, at[lang]] = n
     sizes = np.array([totals.get(lang, 0.0) for lang in langs]) + alpha * (len(rows) + 1)
-    return {row["item"]: i for i, row in enumerate(rows)}, np.log((counts + alpha) / sizes)
+    return {row["item"]: i for i, row in enumerate(rows)}, np.log((counts + alpha) / sizes), counts > 0
+
+
+def _shares(sizes: dict[str, int], keep: int) -> dict[str, int]:
+    """``keep`` slots dealt evenly; what a language can't fill goes to the others."""
+    out, left = {}, keep
+    for i, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(size, left // (len(sizes) - i))
+        left -= out[lang]
+    return out
 
 
 def _most_telling(counts: DataFrame, totals: dict[str, float], keep: int) -> DataFrame:
-    """About ``keep`` items (item, ns: counts by language) with the largest share in any language."""
+    """About ``keep`` items (item, ns: counts by language) with the largest share in their language, the slots shared out evenly.
+
+    An item belongs to the language where its share is largest, so a language of few rows can't push out the others' items.
+    """
     total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("lang")]
     items = counts.groupBy("item").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"), F.max(F.col("n") / total).alias("top")
-    )
-    return stored(largest(stored(items, "language-items"), "top", "item", keep).select("item", "ns"), "language-model")
+        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"),
+        F.max(F.struct((F.col("n") / total).alias("top"), "lang")).alias("best"),
+    ).select("item", "ns", F.col("best.lang").alias("of"), F.col("best.top").alias("top"))
+    items = stored(items, "language-items")
+    slots = _shares({r["of"]: r["count"] for r in items.groupBy("of").count().collect()}, keep)
+    chosen = [largest(items.filter(F.col("of") == lang), "top", "item", n).select("item", "ns") for lang, n in sorted(slots.items())]
+    return stored(reduce(DataFrame.unionByName, chosen), "language-model")
 
 
 def _totals(counts: DataFrame) -> dict[str, float]:
     return {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").cast("double").alias("n")).collect()}
 
 
-def fit(labelled: DataFrame, words: int = 60_000, grams: int = 60_000, alpha: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, words: int = 100_000, grams: int = 200_000, alpha: float = 0.5) -> LanguageModel:
     """Learn from (text, lang). ``words`` and ``grams`` bound the model, not the rows it is learnt from.
 
-    The n-grams are those of the model's words, each word weighing what it was counted.
+    The n-grams are those of all words, each word weighing what it was counted.
     """
     counts = stored(word_counts(labelled), "language-words").withColumnRenamed("word", "item")
     sizes = _totals(counts)
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([])
-    known = _most_telling(counts, sizes, words)
-    word_at, word_logs = _table(sorted(known.collect(), key=lambda r: r["item"]), langs, sizes, alpha)
-    padded = known.select(F.concat(F.lit("^"), "item", F.lit("$")).alias("padded"), F.explode("ns").alias("lang", "n"))
-    parts = F.flatten(F.array(*[
-        F.when(
-            F.length("padded") >= n,
-            F.expr(f"transform(sequence(1, length(padded) - {n - 1}), i -> substring(padded, i, {n}))"),
-        ).otherwise(F.array())
-        for n in ORDERS
-    ]))
-    gram_counts = padded.select("lang", "n", F.explode(parts).alias("item")).filter("item NOT IN ('^', '$')")
-    gram_counts = stored(gram_counts.groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-grams")
-    gram_sizes = _totals(gram_counts)
-    gram_at, gram_logs = _table(sorted(
-        _most_telling(gram_counts, gram_sizes, grams).collect(), key=lambda r: r["item"]
-    ), langs, gram_sizes, alpha)
-    return LanguageModel(langs, word_at, word_logs, gram_at, gram_logs)
+
+    def table(of: DataFrame, totals: dict[str, float], keep: int) -> tuple:
+        return _table(sorted(_most_telling(of, totals, keep).collect(), key=lambda r: r["item"]), langs, totals, alpha)
+
+    word_at, word_logs, word_has = table(counts, sizes, words)
+    gram_counts = stored(gram_counts_of(counts), "language-grams")
+    gram_at, gram_logs, gram_has = table(gram_counts, _totals(gram_counts), grams)
+    return LanguageModel(langs, word_at, word_logs, gram_at, gram_logs, word_has, gram_has)
 
 
 def predict(text: Column, model: LanguageModel, spark, evidence: int = 20) -> Column:
@@ -182,3 +237,17 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "
     return rows.select("doc_id", out, predict(F.col("text"), model, docs.sparkSession).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"
     )
+
+
+def fitness(text: Column, model: LanguageModel, spark) -> Column:
+    """``fit_of`` for a text column; null text fits nothing."""
+    sent = spark.sparkContext.broadcast(vars(model))
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, np.ndarray] = {}
+        found = LanguageModel(**sent.value)
+        for texts in batches:
+            yield pd.Series([found.fit_of(t, memo) if t else 0.0 for t in texts], dtype=float)
+
+    return run(text)

@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from starcard.llm import line_dedup, secrets, stages  # noqa: E402
+from starcard.llm import language_id, line_dedup, secrets, stages  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 KIND = "doc_id long, text string"
@@ -70,3 +70,10 @@ def test_short_repeated_lines_go(spark):
     bare = [(i, "\n".join(x if x.strip() else "" for x in t.split("\n"))) for i, t in plain]
     found = line_dedup.line_report(spark.createDataFrame(bare, KIND))
     assert {r["doc_id"]: r["kept_text"] for r in found.collect()} == brute.lines(bare, 1)
+
+
+def test_ngrams_count_words_beyond_the_list_and_slots_are_shared(spark):
+    df = spark.createDataFrame([("the the thing qzjv", "en"), ("the", "en"), ("der schnee", "de"), ("un", "xx")], "text string, lang string")
+    small = language_id.fit(df, words=3)
+    assert len(small.words) <= 3 and {"qzjv", "^sch", "nee$"} <= set(small.grams)
+    assert language_id._shares({"big": 100, "small": 3, "mid": 9}, 30) == {"small": 3, "mid": 9, "big": 18}
