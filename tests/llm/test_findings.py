@@ -77,3 +77,20 @@ def test_ngrams_count_words_beyond_the_list_and_slots_are_shared(spark):
     small = language_id.fit(df, words=3)
     assert len(small.words) <= 3 and {"qzjv", "^sch", "nee$"} <= set(small.grams)
     assert language_id._shares({"big": 100, "small": 3, "mid": 9}, 30) == {"small": 3, "mid": 9, "big": 18}
+
+
+def test_foreign_and_noise_texts_go(spark):
+    rng = random.Random(2)
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van", "漢字 仮名", "xkcdq zzgh wrtpl qqx",
+        " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(30)),
+    ]
+    schema = df.select("doc_id", "text", "lang", "source", "n_chars").schema
+    odd = [(90_000 + i, t, None, "x", len(t)) for i, t in enumerate(foreign)]
+    clean = [(91_000, "The and of", None, "x", 10), (91_001, "der und ich", None, "x", 11)]
+    kept = stages.keep_known_languages(df.select(schema.names).unionByName(spark.createDataFrame(odd + clean, schema)))
+    assert {r["doc_id"] for r in kept.filter("doc_id >= 90000").collect()} == {91_000, 91_001}
+    assert kept.filter("doc_id < 90000").count() == df.count()
