@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.llm.common import id_and_text, largest
-from starcard.session import stored
+from starcard.session import broadcast_if_small, stored
 
 #: Kinds of characters whose shares tell prose from tables, shouting and noise.
 TOGETHER = 1_000  # texts whose features are held at once
@@ -33,6 +33,8 @@ class DomainModel:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None  # one row per feature and one for the constant
+    #: (target, reached) tokens per domain of the last fit, the residual among them.
+    reached: dict[str, tuple[float, float]] | None = None
 
     def features(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(tokens per text, feature rows): character shares, length, variety, and which telling words occur."""
@@ -144,8 +146,8 @@ def _rate(p: Column, steps: list[np.ndarray]) -> Column:
     return run(p)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close: float = 2e-3) -> list[np.ndarray]:
-    """Steps of the projected gradient over (tokens, p); ``targets`` are tokens per domain.
+def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close: float = 2e-3) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps of the projected gradient over (tokens, p), and the tokens per domain they reach; ``targets`` are tokens per domain.
 
     The residual is weighted by the inverse of the domains' second moments, so a unit step never overshoots and domains
     that overlap are told apart; documents are scaled by their tokens.
@@ -155,16 +157,16 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close:
     moments = np.array([float(x or 0.0) for x in members.agg(*second).first()]).reshape(k, k)
     inverse = np.linalg.pinv(moments + 1e-9 * max(1.0, np.trace(moments)) * np.eye(k))
     steps: list[np.ndarray] = []
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         rate = _rate(F.col("p"), steps) if steps else F.lit(1.0)
         sums = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in range(k)]
         now = np.array([float(x or 0.0) for x in members.withColumn("rate", rate).agg(*sums).first()])
-        if np.abs(now - targets).sum() <= close * max(1.0, targets.sum()):
+        if not left or np.abs(now - targets).sum() <= close * max(1.0, targets.sum()):
             break
         steps.append(inverse @ (now - targets))
         if len(steps) > 1 and np.abs(steps[-1] - steps[-2]).max() < 1e-6:
             break
-    return steps
+    return steps, now
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None = None,
@@ -184,7 +186,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tok
         members = stored(placed.select("_m.tokens", "_m.p"), "membership")
         total = total_tokens if total_tokens is not None else float(members.agg(F.sum("tokens")).first()[0] or 0)
         share = sum(weights.values())
-        steps = fit_rates(members, np.array([weights.get(d, 0.0) / share * total for d in model.domains]), rounds)
+        targets = np.array([weights.get(d, 0.0) / share * total for d in model.domains])
+        steps, now = fit_rates(members, targets, rounds)
+        model.reached = dict(zip(model.domains, zip(targets.tolist(), now.tolist(), strict=True), strict=True))
     rate = _rate(F.col("_m.p"), steps) if steps else F.lit(1.0)
     part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rated = placed.withColumn("_r", rate)
@@ -194,6 +198,41 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tok
     ), model
 
 
+def mix_keeping(docs: DataFrame, labels: DataFrame, keep: str, drop: str, id_col: str = "doc_id", text_col: str = "text",
+                **bounds: int) -> tuple[DataFrame, DomainModel]:
+    """``docs`` with ``_mix`` as from ``mix``, the targets taken from the documents themselves; and the domain model.
+
+    A document of ``drop``, by its label, else by its likeliest domain, gets rate 0. All others stay at rate 1 or more: they make up
+    for the tokens dropped, each along its membership in ``keep`` (1 or 0 by its label, else the posterior), so the total stays.
+    With nothing of ``keep`` to make up with, the rest stays as it is. The total is met exactly, so no rounds are needed.
+    Of a document labelled both ways ``keep`` wins; without a ``keep`` label, ``drop`` does.
+    """
+    spark = docs.sparkSession
+    model = fit_domains(docs, labels, id_col=id_col, text_col=text_col, **bounds)
+    rank = F.when(F.col("domain") == keep, 0).when(F.col("domain") == drop, 1).otherwise(2)
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("domain").cast("string")).dropna()
+    known = known.groupBy("_id").agg(F.min(F.struct(rank.alias("r"), "domain"))["domain"].alias("_label"))
+    known, _ = broadcast_if_small(known)
+    placed = docs.withColumn("_m", membership(F.col(text_col).cast("string"), model, spark))
+    placed = placed.join(known, F.col(id_col).cast("long") == F.col("_id"), "left")
+    # One domain learnt tells nothing about documents without a label.
+    names = F.array(*[F.lit(d) for d in model.domains]) if len(model.domains) > 1 else None
+    likeliest = F.try_element_at(names, F.array_position("_m.p", F.array_max("_m.p")).cast("int")) if names is not None else F.lit(None)
+    placed = stored(placed.withColumn("_d", F.coalesce("_label", likeliest)), "membership")
+    soft = F.col("_m.p")[model.domains.index(keep)] if keep in model.domains and names is not None else F.lit(0.0)
+    own = F.when(F.col("_label").isNotNull(), (F.col("_label") == keep).cast("double")).otherwise(soft)
+    gone = F.coalesce(F.col("_d") == drop, F.lit(False))
+    tokens = F.col("_m.tokens")
+    lost, room = placed.agg(F.sum(F.when(gone, tokens)), F.sum(F.when(~gone, tokens * own))).first()
+    more = float(lost or 0) / room if room else 0.0
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    rated = placed.withColumn("_r", F.when(gone, 0.0).otherwise(1.0 + more * own))
+    return rated.select(
+        *docs.columns,
+        F.struct("_m.tokens", "_m.p", F.col("_r").alias("rate"), F.floor(F.col("_r") + part).cast("long").alias("copies")).alias("_mix"),
+    ), model
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) from quality and toxic flags: clean, rough, toxic; rows without a flag have no domain."""
     return labels.select(

@@ -8,8 +8,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from starcard.llm import language_id, line_dedup, secrets, stages  # noqa: E402
+from starcard.llm import language_id, line_dedup, mixing, secrets, stages  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 KIND = "doc_id long, text string"
@@ -94,3 +95,20 @@ def test_foreign_and_noise_texts_go(spark):
     kept = stages.keep_known_languages(df.select(schema.names).unionByName(spark.createDataFrame(odd + clean, schema)))
     assert {r["doc_id"] for r in kept.filter("doc_id >= 90000").collect()} == {91_000, 91_001}
     assert kept.filter("doc_id < 90000").count() == df.count()
+
+
+def test_mixing_keeps_all_clean_documents(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    label = {r["doc_id"]: r["domain"] for r in labels.dropna().collect()}
+    # 95 % clean: of the documents that aren't labelled clean only every twentieth
+    most = df.join(labels.filter("domain = 'clean'").select("doc_id"), "doc_id", "left_semi").select(df.columns)
+    most = most.unionByName(df.join(labels.filter("domain <> 'clean'").select("doc_id"), "doc_id", "left_semi").filter("doc_id % 6 = 0").select(df.columns))
+    for docs in (df, most):
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        kept = {r["doc_id"] for r in stages.mixed_keeping_clean(docs, labels).select("doc_id").distinct().collect()}
+        assert {i for i in ids if label.get(i) in ("clean", "rough")} <= kept
+        assert not {i for i in kept if label.get(i) == "toxic"}
+    rated, _ = mixing.mix_keeping(df, labels, "clean", "toxic")
+    sums = rated.agg(F.sum("_mix.tokens"), F.sum(F.col("_mix.tokens") * F.col("_mix.rate"))).first()
+    assert abs(sums[1] / sums[0] - 1) < 1e-6
