@@ -12,6 +12,7 @@ from starcard.llm.exact_dedup import exact_groups
 from starcard.llm.language_id import identify
 from starcard.llm.line_dedup import line_report
 from starcard.llm.mixing import label_domains, mix
+from starcard.llm.packing import pack_documents
 from starcard.llm.secrets import scan
 from starcard.llm.sentencepieces import round_trip
 from starcard.llm.simhash import near_groups
@@ -101,3 +102,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_sentencepiece_round_trip")
 def op10_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(_documents(spark, folder))
+
+
+@_query("op12_cost_balanced_packing")
+def op12_cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_documents(spark, folder))

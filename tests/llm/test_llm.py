@@ -318,5 +318,5 @@ def test_pipeline(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_CHECKS) <= set(LLM_QUERIES)
