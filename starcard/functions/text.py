@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +69,25 @@ def tokens(c: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
+def _ends(w: Column, *ends: str) -> Column:
+    return reduce(or_, [w.endswith(e) for e in ends])
+
+
+def stem(w: Column) -> Column:
+    """A lower-case English word without its plural ending, by the three rules of Harman's S stemmer."""
+    return (
+        F.when(_ends(w, "ies") & ~_ends(w, "eies", "aies"), F.concat(F.left(w, F.length(w) - 3), F.lit("y")))
+        .when(_ends(w, "es") & ~_ends(w, "aes", "ees", "oes"), F.left(w, F.length(w) - 1))
+        .when(_ends(w, "s") & ~_ends(w, "us", "ss"), F.left(w, F.length(w) - 1))
+        .otherwise(w)
+    )
+
+
+def stemmed(words: Column) -> Column:
+    """Stems of tokens; what a stem leaves empty goes."""
+    return F.filter(F.transform(words, stem), lambda w: w != "")
+
+
 def iso_time(c: Column) -> Column:
     """ISO 8601 with microseconds only when there are any."""
     return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")

@@ -1,83 +1,12 @@
-"""Text search over many queries at once: a stored index, BM25, rank fusion, rerank, fallback.
-
-The index is built once: postings and terms in folders per hash bucket of the term, and one row of totals. A search
-reads the buckets of its own terms and no text. Postings that match are partitioned by document before they meet
-the queries. Adding up a document's score per query then needs no shuffle of (document, query) pairs: each task keeps
-its best k per query, and only those travel to the final ranking.
-"""
+"""Rank lists of many queries at once: the best per query, fusion, rerank, lookup, fallback. The index itself is in ``fielded``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starcard.functions.text import tokens
-from starcard.rules import BM25_B, BM25_K1, CORE_COUNT, RRF_K, TOP_K
-from starcard.session import broadcast_if_small, scratch_path, shuffle_width, stored
-
-SALTS = 32
-BUCKETS = 64
-
-
-@dataclass(frozen=True)
-class Index:
-    """A built index: its folder, its number of buckets, and whether postings carry a schema."""
-
-    path: str
-    buckets: int = BUCKETS
-    by_schema: bool = False
-
-    def read(self, spark: SparkSession, part: str, buckets: list[int] | None = None) -> DataFrame:
-        rows = spark.read.parquet(f"{self.path}/{part}")
-        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
-
-
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def build_index(
-    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", schema: str | None = None,
-    buckets: int = BUCKETS,
-) -> Index:
-    """Write postings, terms and totals of ``docs`` below ``path``; a search may be limited to a document's ``schema``.
-
-    Terms are counted where the text is read; of the text only terms travel. A document is one row. Within a bucket
-    postings are dealt by document, so one frequent term fills many files.
-    """
-    spark = docs.sparkSession
-    extra = [F.col(schema).alias("schema")] if schema else []
-    words = docs.select(F.col(doc_id).alias("doc_id"), *extra, tokens(F.col(text)).alias("w"))
-    keys = ["doc_id", *(["schema"] if schema else []), "doc_len", "term"]
-    counted = (
-        words.withColumn("doc_len", F.size("w")).withColumn("term", F.explode("w")).groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(buckets))
-    )
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, shuffle_width(spark) // 8)))
-    counted.repartition("bucket", share).write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(path, buckets, schema is not None)
-    posts = index.read(spark, "postings")
-    terms = posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    terms.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
-    sums = index.read(spark, "terms").agg(F.sum("df"), F.sum("tf"), F.count(F.lit(1))).first()
-    totals = (docs.count(), posts.select("doc_id").distinct().count(), sums[0] or 0, sums[1] or 0, sums[2])
-    names = "n_docs long, succeeded long, n_postings long, n_tokens long, n_terms long"
-    spark.createDataFrame([totals], names).coalesce(1).write.parquet(f"{path}/totals")
-    return index
-
-
-def postings(spark: SparkSession, index: Index) -> DataFrame:
-    """doc_id, term, tf, doc_len of the whole index."""
-    return index.read(spark, "postings").select("doc_id", "term", "tf", "doc_len")
-
-
-def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """Distinct terms of every query."""
-    return queries.select(
-        F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")
-    )
+from starcard.rules import CORE_COUNT, RRF_K, TOP_K
 
 
 def best(scored: DataFrame, k: int, key: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -86,56 +15,6 @@ def best(scored: DataFrame, k: int, key: str = "query_id", item: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(
-    index: Index,
-    queries: DataFrame,
-    k: int = TOP_K,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-    small_rows: int | None = None,
-) -> DataFrame:
-    """query_id, doc_id, score, rank of the k best documents per query.
-
-    ``queries``: query_id, text, and schema where the index has one; then only documents of that schema are hits. The score
-    is rounded to 6 places before ranking, so equal documents tie whatever order their terms were added up in.
-    """
-    spark = queries.sparkSession
-    totals = index.read(spark, "totals").first()
-    n_docs = totals["n_docs"]
-    mean_len = totals["n_tokens"] / n_docs if n_docs else 1.0
-    wanted = stored(query_terms(queries).withColumn("bucket", _bucket(index.buckets)), "query-terms")
-    used = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
-
-    limit = {} if small_rows is None else {"rows": small_rows}
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = index.read(spark, "terms", used).select("bucket", "term", idf.alias("idf"))
-    weights = stored(wanted.join(known, ["bucket", "term"]), "query-weights")
-    vocabulary, _ = broadcast_if_small(weights.select("bucket", "term").distinct(), **limit)
-    matched = index.read(spark, "postings", used).join(vocabulary, ["bucket", "term"], "left_semi").drop("bucket")
-
-    weights, small = broadcast_if_small(weights.drop("bucket"), **limit)
-    if small:
-        pairs = matched.repartition("doc_id").join(weights, "term")
-    else:
-        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = matched.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        pairs = spread.join(salted, ["term", "salt"])
-    if index.by_schema:
-        places = queries.select(F.col("query_id"), F.col("schema").alias("_s"))
-        pairs = pairs.join(places, (pairs["query_id"] == places["query_id"]) & (F.col("schema") == F.col("_s"))).drop(
-            places["query_id"]
-        )
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.lit(mean_len)))
-    scored = pairs.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return best(scored, k).select("query_id", "doc_id", "score", "rank")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP_K, small_rows: int | None = None) -> DataFrame:
-    """A single search without a kept index; ``docs``: doc_id, text."""
-    return search(build_index(docs, scratch_path(docs.sparkSession, "index")), queries, k, small_rows=small_rows)
-
-
 def fuse(*lists: DataFrame, k: int = TOP_K, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rank lists (query_id, doc_id, rank)."""
     one = lists[0].select("query_id", "doc_id", "rank")
@@ -194,21 +73,3 @@ def card_hits(queries: DataFrame, cards: DataFrame, text: Column, schema: str =
     )
     held = cards.select(schema, "qualified_name", F.explode(F.array_distinct(tokens(text))).alias("term"))
     return words.join(held, [schema, "term"]).select("query_id", "qualified_name").distinct()
-
-
-def index_stats(spark: SparkSession, index: Index, word: str | None = None) -> DataFrame:
-    """One row: documents, how many were indexed, how many had no terms, postings, tokens, terms, and a sample search.
-
-    The sample is the three best documents for ``word``, by default for the term of most documents.
-    """
-    if word is None:
-        top = index.read(spark, "terms").orderBy(F.desc("df"), "term").select("term").first()
-        word = top["term"] if top else ""
-    asked = spark.createDataFrame([(0, word)], "query_id long, text string")
-    if index.by_schema:
-        asked = asked.withColumn("schema", F.lit(None).cast("string"))
-    hits = search(index, asked, 3).orderBy("rank").select(F.col("doc_id").cast("string")).collect()
-    return index.read(spark, "totals").select(
-        "n_docs", "succeeded", (F.col("n_docs") - F.col("succeeded")).alias("failed"), "n_postings", "n_tokens", "n_terms",
-        F.lit(word).alias("sample_word"), F.lit(",".join(r[0] for r in hits)).alias("sample_hits"),
-    )

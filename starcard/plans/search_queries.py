@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from starcard.functions.text import fk_table, tokens
 from starcard.operators import catalog as K
 from starcard.operators import expand as X
-from starcard.operators import search as S
+from starcard.operators import fielded as S
+from starcard.operators import search as R
 from starcard.operators import vectors as N
 from starcard.operators.segments import running_sums
 from starcard.plans.catalog_queries import CARD_PARTS, _cat, _fk_map
@@ -29,22 +30,64 @@ def _words_sql(name: str, source: str, key: str, text: str = "text") -> str:
       WHERE term NOT IN ({_STOPS}))"""
 
 
-INDEX_SQL = f"""
-{_words_sql('words', 'documents', 'doc_id')},
-lens AS (SELECT doc_id, count(*) AS doc_len FROM words GROUP BY 1),
-posts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2)"""
+def _stems_sql(name: str, source: str, key: str, text: str) -> str:
+    """(key, term): stems of the tokens of ``text``."""
 
-BM25_SQL = f"""{INDEX_SQL},
-{_words_sql('qwords', 'benchmark', 'item_id')},
-qterms AS (SELECT DISTINCT item_id AS query_id, term FROM qwords),
-stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM words) AS total),
+    def ends(*endings: str) -> str:
+        return "(" + " OR ".join(f"ends_with(w, '{e}')" for e in endings) + ")"
+
+    return f"""{name} AS (SELECT * FROM (
+      SELECT {key}, CASE WHEN {ends('ies')} AND NOT {ends('eies', 'aies')} THEN left(w, len(w) - 3) || 'y'
+        WHEN {ends('es')} AND NOT {ends('aes', 'ees', 'oes')} THEN left(w, len(w) - 1)
+        WHEN {ends('s')} AND NOT {ends('us', 'ss')} THEN left(w, len(w) - 1) ELSE w END AS term
+      FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '{TOKEN}')) AS w FROM {source}) WHERE w NOT IN ({_STOPS}))
+      WHERE term <> '')"""
+
+
+def _fielded_sql(fields: tuple[S.Field, ...], source: str, key: str, asked: str, questions: str = "") -> str:
+    """CTEs that score ``source`` (key, a column per field) for the questions ``asked`` (query_id, text): posts, lens, dfs, scored.
+
+    ``questions``: CTEs that may use the counts, for questions made of them.
+    """
+    english = [f for f in fields if f.analyzer == "english"]
+    words = [_stems_sql(f"w_{f.name}", source, key, f.name) for f in english]
+    words += [
+        f"w_{f.name} AS (SELECT * FROM (SELECT {key}, '=' || unnest({f.name}) AS term FROM {source}) WHERE term IS NOT NULL)"
+        for f in fields if f.analyzer == "keyword"
+    ]
+    each = " UNION ALL ".join(f"SELECT {key}, term, '{f.name}' AS f FROM w_{f.name}" for f in fields)
+    tf = ", ".join(f"count(*) FILTER (f = '{f.name}') AS tf_{f.name}" for f in fields)
+    lens = ", ".join(f"count(*) FILTER (f = '{f.name}') AS len_{f.name}" for f in fields)
+    means = ", ".join(
+        f"(SELECT greatest(count(*) / (SELECT count(*) FROM {source}), 1e-9) FROM w_{f.name}) AS mean_{f.name}" for f in fields
+    )
+    weight = " + ".join(f"{f.weight} * tf_{f.name} / (1 - {f.b} + {f.b} * len_{f.name} / mean_{f.name})" for f in fields)
+    whole = f"UNION SELECT query_id, '=' || text FROM {asked}" if len(english) < len(fields) else ""
+    return f"""{', '.join(words)},
+each AS ({each}),
+lens AS (SELECT {key}, {lens} FROM each GROUP BY 1),
+posts AS (SELECT {key}, term, {tf} FROM each GROUP BY 1, 2),
+stats AS (SELECT (SELECT count(*) FROM {source}) AS n, {means}),
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
-scored AS (
-  SELECT query_id, doc_id,
-    round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-              / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / (total / n)))), 6) AS score
-  FROM qterms JOIN posts USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), stats GROUP BY 1, 2
+{questions}
+{_stems_sql('qwords', asked, 'query_id', 'text')},
+qterms AS (SELECT DISTINCT query_id, term FROM qwords {whole}),
+parts AS (
+  SELECT query_id, {key}, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, {weight} AS x
+  FROM qterms JOIN posts USING (term) JOIN dfs USING (term) JOIN lens USING ({key}), stats
 ),
+scored AS (SELECT query_id, {key}, round(sum(idf * x * 2.2 / (x + 1.2)), 6) AS score FROM parts GROUP BY 1, 2)"""
+
+
+#: Documents by two fields; what stands in the title stands in the text as well.
+TITLE_WORDS = 8
+DOC_FIELDS = (S.Field("title", 2.0, b=0.5), S.Field("text", 1.0))
+INDEX_SQL = f"""
+titled AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, {TITLE_WORDS}), ' ') AS title, text FROM documents),
+asked AS (SELECT item_id AS query_id, text FROM benchmark),
+{_fielded_sql(DOC_FIELDS, 'titled', 'doc_id', 'asked')}"""
+
+BM25_SQL = f"""{INDEX_SQL},
 bm AS (
   SELECT query_id, doc_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
@@ -92,15 +135,13 @@ def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.join(_texts(spark, d).select("query_id"), "query_id", "left_semi")
 
 
-_BUILT: dict[tuple[str, str], S.Index] = {}
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    title = F.array_join(F.slice(F.split("text", " "), 1, TITLE_WORDS), " ")
+    return _docs(spark, d).select("doc_id", title.alias("title"), "text")
 
 
-def _index(spark: SparkSession, d: str) -> S.Index:
-    """The index of the documents, built at its first use in an application and searched from then on."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
-        _BUILT[key] = S.build_index(_docs(spark, d), scratch_path(spark, "index"))
-    return _BUILT[key]
+def _index(spark: SparkSession, d: str) -> S.FieldedIndex:
+    return S.add_documents(S.create_index(spark, scratch_path(spark, "index"), DOC_FIELDS), _titled(spark, d))
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -109,15 +150,18 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     near = N.knn(_asked_vectors(spark, d), _vectors(spark, d))
-    return S.fuse(_bm25(spark, d), near)
+    return R.fuse(_bm25(spark, d), near)
 
 
 @query(
     "inverted_index",
-    f"WITH {INDEX_SQL} SELECT doc_id, term, tf, doc_len FROM posts JOIN lens USING (doc_id)",
+    f"""WITH {INDEX_SQL} SELECT doc_id, term, tf_title, tf_text, len_title, len_text FROM posts JOIN lens USING (doc_id)""",
 )
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return S.postings(spark, _index(spark, d))
+    """Postings of both fields, as the built index holds them."""
+    rows = S.postings(_index(spark, d), spark)
+    each = [F.get(a, F.lit(i)).cast("long").alias(f"{n}_{f.name}") for a, n in (("tf", "tf"), ("lens", "len")) for i, f in enumerate(DOC_FIELDS)]
+    return rows.select("doc_id", "term", *each)
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT * FROM bm")
@@ -151,7 +195,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("core_slice", f"WITH {BM25_SQL}, {KNN_SQL}, {RRF_SQL} SELECT * FROM rrf WHERE rank <= 10")
 def core_slice(spark: SparkSession, d: str) -> DataFrame:
-    return S.core_slice(_fused(spark, d))
+    return R.core_slice(_fused(spark, d))
 
 
 @query(
@@ -161,7 +205,7 @@ def core_slice(spark: SparkSession, d: str) -> DataFrame:
 )
 def rank_lookup(spark: SparkSession, d: str) -> DataFrame:
     hits = _fused(spark, d).select("query_id", "doc_id", "rank")
-    return S.look_up(hits, table(spark, d, "labels"), "doc_id")
+    return R.look_up(hits, table(spark, d, "labels"), "doc_id")
 
 
 FIELD_WEIGHTS = {"source": 3, "text": 2, "lang": 1}
@@ -174,36 +218,53 @@ def _overlap_sql(field: str) -> str:
 
 @query(
     "field_rerank",
-    f"""WITH {BM25_SQL}, asked AS (SELECT query_id, list(term) AS q FROM qterms GROUP BY 1)
+    f"""WITH {BM25_SQL}, {_words_sql('plain', 'asked', 'query_id')},
+        lists AS (SELECT query_id, list(DISTINCT term) AS q FROM plain GROUP BY 1)
         SELECT query_id, doc_id, old_rank, score,
                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank
         FROM (SELECT query_id, doc_id, rank AS old_rank,
                 CAST({' + '.join(f'{w} * {_overlap_sql(f)}' for f, w in FIELD_WEIGHTS.items())} AS INTEGER) AS score
-              FROM bm JOIN documents USING (doc_id) JOIN asked USING (query_id))""",
+              FROM bm JOIN documents USING (doc_id) JOIN lists USING (query_id))""",
 )
 def field_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return S.rerank(_bm25(spark, d), table(spark, d, "documents"), _texts(spark, d), FIELD_WEIGHTS)
+    return R.rerank(_bm25(spark, d), table(spark, d, "documents"), _texts(spark, d), FIELD_WEIGHTS)
+
+
+_TOP_SQL = """top AS (SELECT term FROM dfs ORDER BY df DESC, term LIMIT 1),
+asked AS (SELECT 0 AS query_id, term AS text FROM top),"""
+_FRESH_SQL = """
+fresh AS (
+  SELECT doc_id, title, text FROM titled WHERE doc_id % 10 <> 3
+  UNION ALL SELECT doc_id, title, 'again ' || title FROM titled WHERE doc_id % 10 = 4
+), kept AS (SELECT * FROM fresh WHERE NOT (doc_id % 10 = 4 AND text NOT LIKE 'again %'))"""
 
 
 @query(
     "index_stats",
-    f"""WITH {INDEX_SQL},
-          dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
-          asked AS (SELECT term, df FROM dfs ORDER BY df DESC, term LIMIT 1),
-          sizes AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM words) AS total),
-          three AS (SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-              / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / (total / n))), 6) AS score
-            FROM asked JOIN posts USING (term) JOIN lens USING (doc_id), sizes ORDER BY score DESC, doc_id LIMIT 3)
-        SELECT (SELECT term FROM asked) AS sample_word,
+    f"""WITH titled AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, {TITLE_WORDS}), ' ') AS title, text
+                        FROM documents), {_FRESH_SQL},
+          {_fielded_sql(DOC_FIELDS, 'kept', 'doc_id', 'asked', _TOP_SQL)},
+          three AS (SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 3)
+        SELECT (SELECT term FROM top) AS sample_word,
           (SELECT string_agg(doc_id, ',' ORDER BY score DESC, doc_id) FROM three) AS sample_hits,
-          (SELECT count(*) FROM documents) AS n_docs,
-          (SELECT count(*) FROM lens) AS succeeded,
-          (SELECT count(*) FROM documents) - (SELECT count(*) FROM lens) AS failed,
-          (SELECT count(*) FROM posts) AS n_postings, (SELECT count(*) FROM words) AS n_tokens,
-          (SELECT count(DISTINCT term) FROM posts) AS n_terms""",
+          (SELECT count(*) FROM kept) AS n_docs, (SELECT count(*) FROM titled WHERE doc_id % 10 = 5) + 25 AS failed,
+          (SELECT count(*) FROM posts) AS n_postings, (SELECT count(*) FROM w_title) AS title_tokens,
+          (SELECT count(*) FROM w_text) AS text_tokens, (SELECT count(DISTINCT term) FROM posts) AS n_terms""",
 )
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.index_stats(spark, _index(spark, d))
+    """An index after upkeep: a tenth of the documents deleted, a tenth replaced; of the uploads repeated ids and rows without an id fail."""
+    rows, tenth = _titled(spark, d), F.col("doc_id") % 10
+    twice = rows.filter(tenth == 5)
+    lost = table(spark, d, "nation").select(F.lit(None).cast("long").alias("doc_id"), F.col("n_name").alias("title"), F.col("n_name").alias("text"))
+    index = S.create_index(spark, scratch_path(spark, "index"), DOC_FIELDS)
+    index = S.add_documents(index, rows.unionByName(twice).unionByName(lost))
+    again = rows.filter(tenth == 4).withColumn("text", F.concat(F.lit("again "), "title"))
+    index = S.delete_documents(S.add_documents(index, again), rows.filter(tenth == 3).select("doc_id"))
+    counts = S.statistics(index, spark, sample=3)
+    return counts.select(
+        "sample_word", "sample_hits", "n_docs", "failed", "n_postings", F.get("n_tokens", F.lit(0)).alias("title_tokens"),
+        F.get("n_tokens", F.lit(1)).alias("text_tokens"), "n_terms",
+    )
 
 
 def letter_classes(texts: list[str]) -> list[list[float]]:
@@ -252,8 +313,8 @@ def empty_search_fallback(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_mktsegment").alias("text"),
     )
     heads = cut(heads.select("owner", "qualified_name", "description"))
-    hits = cut(S.card_hits(asked, heads, F.col("description")))
-    return S.with_fallback(asked.select("query_id", "owner"), hits, heads.drop("description"))
+    hits = cut(R.card_hits(asked, heads, F.col("description")))
+    return R.with_fallback(asked.select("query_id", "owner"), hits, heads.drop("description"))
 
 
 # --- expansion along references -----------------------------------------------------------------
