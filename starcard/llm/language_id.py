@@ -14,24 +14,37 @@ The counts it is picked from cover all training rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from starcard.llm.common import fold_of, id_and_text, largest
+from starcard.llm.common import fold_of, largest
 from starcard.session import stored
 
-LETTERS = re.compile(r"[^\W\d_]+")
+def _kinds(of: str) -> str:
+    """A character class's inside with all characters whose category starts with a letter of ``of``."""
+    held = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in of]
+    spans = [[c for _, c in run] for _, run in groupby(enumerate(held), lambda x: x[1] - x[0])]
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in spans)
+
+
+#: A word: a letter and the letters and marks behind it, so digits, numerals like ² or Ⅷ, and a mark alone are none.
+LETTERS = re.compile(f"[{_kinds('L')}][{_kinds('LM')}]*")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: Unseen words that a task remembers; rows whose words are counted together.
-MEMO, TOGETHER = 500_000, 10_000
+#: Bytes of words' values that a task remembers, words looked up together, rows whose words are counted together.
+MEMO_BYTES, WORDS_TOGETHER, TOGETHER = 48 << 20, 100_000, 10_000
 
 
 @dataclass
@@ -44,68 +57,102 @@ class LanguageModel:
     word_has: np.ndarray | None = None  # seen in the language at all
     gram_has: np.ndarray | None = None
 
-    def backoff(self, word: str) -> np.ndarray | None:
+
+
+class Reader:
+    """Judges texts by a model. What a word adds to a text is worked out once and remembered."""
+
+    def __init__(self, model: LanguageModel, evidence: int = 20):
+        self.model, self.evidence, self.width = model, evidence, 2 * len(model.langs) + 1
+        self.memo: dict[str, int] = {}
+        self.table = np.zeros((0, self.width))
+
+    def _means(self, known: list[list[int]], of: np.ndarray) -> np.ndarray:
+        """Sums of ``of`` over each list of n-grams (none of them empty)."""
+        starts = np.cumsum([0] + [len(k) for k in known[:-1]])
+        return np.add.reduceat(of[np.fromiter(chain.from_iterable(known), np.int64)], starts, axis=0)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Per word: log frequency in each language, fit to each language, and 1 if the model can say anything at all."""
+        model, n_langs, get = self.model, len(self.model.langs), self.model.grams.get
+        out = np.zeros((len(words), self.width))
+        logs, fits, counted = out[:, :n_langs], out[:, n_langs:-1], out[:, -1]
+        left = list(range(len(words)))
         for n in ORDERS:
-            padded = f"^{word}$" if n > 1 else word
-            known = [g for g in (self.grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
-            if known:
-                return self.gram_logs[known].mean(axis=0)
-        return None
-
-    def spelling(self, word: str) -> np.ndarray:
-        """Per language, the share of the word's n-grams of the longest order that is known there."""
-        n = ORDERS[0]
-        padded = f"^{word}$"
-        parts = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
-        known = [g for g in (self.grams.get(p) for p in parts) if g is not None]
-        return self.gram_has[known].sum(axis=0) / len(parts) if known else np.zeros(len(self.langs))
-
-    def fit_of(self, text: str, memo: dict[str, np.ndarray]) -> float:
-        """How well the text's words fit the language they fit best, between 0 and 1."""
-        words = LETTERS.findall(text.lower())
-        if not words or not self.langs:
-            return 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(words).items():
-            if word not in memo:
-                if len(memo) > MEMO // 4:
-                    memo.clear()
-                at = self.words.get(word)
-                seen = self.word_has[at] if at is not None else np.zeros(len(self.langs), bool)
-                memo[word] = np.where(seen, 1.0, 0.0 if seen.all() else self.spelling(word))
-            total += n * memo[word]
-        return float(total.max()) / len(words)
-
-    def scores(self, text: str, memo: dict[str, np.ndarray | None], evidence: int) -> tuple[str, float]:
-        """Language and its posterior; evidence beyond ``evidence`` words only sharpens the mean."""
-        words = LETTERS.findall(text.lower())
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        seen = Counter(words)
-        total, rest, known, weight = np.zeros(len(self.langs)), len(words), [], []
-        for word, n in seen.items():
-            at = self.words.get(word)
-            if at is not None:
-                known.append(at)
-                weight.append(n)
-                continue
-            if word not in memo:
-                if len(memo) > MEMO:
-                    memo.clear()
-                memo[word] = self.backoff(word)
-            found = memo[word]
-            if found is None:
-                rest -= n
-            else:
-                total += n * found
-        if known:
-            total += np.asarray(weight, float) @ self.word_logs[known]
+            padded = [f"^{words[w]}$" if n > 1 else words[w] for w in left]
+            found = [[g for g in map(get, [p[i : i + n] for i in range(len(p) - n + 1)]) if g is not None] for p in padded]
+            hit = [(w, k) for w, k in zip(left, found, strict=True) if k]
+            if hit:
+                at, lists = [w for w, _ in hit], [k for _, k in hit]
+                logs[at] = self._means(lists, model.gram_logs) / np.array([len(k) for k in lists])[:, None]
+                counted[at] = 1.0
+            if n == ORDERS[0]:  # the share of all n-grams that is known in a language
+                short = [(w, [g]) for w, p in zip(left, padded, strict=True) if len(p) < n and (g := get(p)) is not None]
+                if hit + short:
+                    at, lists = [w for w, _ in hit + short], [k for _, k in hit + short]
+                    parts = np.array([max(1, len(words[w]) + 3 - n) for w in at])
+                    fits[at] = self._means(lists, model.gram_has.astype(float)) / parts[:, None]
+            left = [w for w, k in zip(left, found, strict=True) if not k]
+        seen = [(i, at) for i, w in enumerate(words) if (at := model.words.get(w)) is not None]
+        if seen:
+            i, at = (list(x) for x in zip(*seen, strict=True))
+            logs[i], counted[i] = model.word_logs[at], 1.0
+            fits[i] = np.where(model.word_has[at], 1.0, fits[i])
+        return out
+
+    def _sums(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums of ``rows`` over the words of every text."""
+        memo, sums = self.memo, np.zeros((len(texts), self.width))
+        if len(memo) * self.width * 8 > MEMO_BYTES:
+            memo.clear()
+            self.table = np.zeros((0, self.width))
+        new = sorted(set(chain.from_iterable(texts)).difference(memo))
+        if new:
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.rows(new)])
+        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.int64)
+        sizes = np.array([len(t) for t in texts])
+        full = np.flatnonzero(sizes)
+        if len(full):
+            sums[full] = np.add.reduceat(self.table[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+        return sums
+
+    def _judged(self, words: int, sums: np.ndarray) -> tuple[str, float, float]:
+        langs = self.model.langs
+        if not words or not langs:
+            return UNKNOWN, 0.0, 0.0
+        total, fit, rest = sums[: len(langs)], float(sums[len(langs) : -1].max()) / words, sums[-1]
         if not rest:
-            return self.langs[0], 1.0 / len(self.langs)
-        total *= min(1.0, evidence / rest)
+            return langs[0], 1.0 / len(langs), fit
+        total = total * min(1.0, self.evidence / rest)
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
+        return langs[best], float(odds[best] / odds.sum()), fit
+
+    def judge(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float, float]]:
+        """Language, its posterior, and how well the words fit the language they fit best, of every text.
+
+        Evidence beyond ``evidence`` words only sharpens the mean. Texts are taken together until they have ``WORDS_TOGETHER`` words;
+        the words of a longer one are summed up part by part.
+        """
+        held: list[list[str]] = []
+        size = 0
+
+        def done() -> Iterator[tuple[str, float, float]]:
+            yield from (self._judged(len(w), s) for w, s in zip(held, self._sums(held), strict=True))
+
+        for text in texts:
+            words = LETTERS.findall(text.lower()) if text else []
+            if size + len(words) > WORDS_TOGETHER and held:
+                yield from done()
+                held, size = [], 0
+            if len(words) > WORDS_TOGETHER:
+                parts = [self._sums([words[i : i + WORDS_TOGETHER]])[0] for i in range(0, len(words), WORDS_TOGETHER)]
+                yield self._judged(len(words), np.sum(parts, axis=0))
+                continue
+            held.append(words)
+            size += len(words)
+        yield from done()
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -204,19 +251,25 @@ def fit(labelled: DataFrame, words: int = 100_000, grams: int = 200_000, alpha:
     return LanguageModel(langs, word_at, word_logs, gram_at, gram_logs, word_has, gram_has)
 
 
-def predict(text: Column, model: LanguageModel, spark, evidence: int = 20) -> Column:
-    """Struct (lang string, score double) for a text column; null or letterless text is ``und`` with score 0."""
-    sent = spark.sparkContext.broadcast(vars(model))
+def with_language(docs: DataFrame, model: LanguageModel, name: str, text_col: str = "text", evidence: int = 20) -> DataFrame:
+    """``docs`` with a struct (lang, score, fit) as ``name``; null or letterless text is ``und`` with score and fit 0.
 
-    @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, np.ndarray | None] = {}
-        found = LanguageModel(**sent.value)
-        for texts in batches:
-            rows = [found.scores(t, memo, evidence) if t else (UNKNOWN, 0.0) for t in texts]
-            yield pd.DataFrame(rows, columns=["lang", "score"])
+    One pass of Python over the rows, whatever is read of the struct later.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    at = docs.columns.index(text_col)
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("fit", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(LanguageModel(**sent.value), evidence)
+        for batch in batches:
+            found = list(reader.judge(t.as_py() for t in batch.column(at)))
+            langs, scores, fits = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            told = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, name])
 
-    return run(text)
+    added = StructType().add("lang", "string").add("score", "double").add("fit", "double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, added))
 
 
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text",
@@ -228,26 +281,11 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "
     the alphabet. Without any labelled row everything is ``und``.
     """
     out = (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out")
-    rows = id_and_text(docs, id_col, text_col)
-    labelled = docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
-    ).filter(~out)
-    model = fit(labelled, **bounds)
-    return rows.select("doc_id", out, predict(F.col("text"), model, docs.sparkSession).alias("p")).select(
-        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"
     )
-
-
-def fitness(text: Column, model: LanguageModel, spark) -> Column:
-    """``fit_of`` for a text column; null text fits nothing."""
-    sent = spark.sparkContext.broadcast(vars(model))
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, np.ndarray] = {}
-        found = LanguageModel(**sent.value)
-        for texts in batches:
-            yield pd.Series([found.fit_of(t, memo) if t else 0.0 for t in texts], dtype=float)
-
-    return run(text)
+    model = fit(rows.filter(~out), **bounds)
+    return with_language(rows.select("doc_id", "text"), model, "p").select(
+        "doc_id", out, F.col("p.lang").alias("lang_pred"), "p.score"
+    )

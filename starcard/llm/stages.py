@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starcard.llm.common import fold_of
-from starcard.llm.language_id import UNKNOWN, fit, fitness, predict
+from starcard.llm.common import fold_of, free_name
+from starcard.llm.language_id import UNKNOWN, fit, with_language
 from starcard.llm.line_dedup import MIN_CHARS, dedup_lines
 from starcard.llm.mixing import mix_keeping
 from starcard.llm.simhash import near_groups
@@ -19,11 +19,12 @@ def keep_known_languages(docs: DataFrame, least: float = 0.5, folds: int = 3, he
     Texts that are null, empty or without letters go, foreign languages and noise too, and everything where no row has a
     language to learn from.
     """
-    model = fit(docs.filter(fold_of(F.col("doc_id"), folds) != held_out).select("text", "lang"))
-    text = F.col("text").cast("string")
-    found = docs.withColumn("_l", predict(text, model, docs.sparkSession)).withColumn("_f", fitness(text, model, docs.sparkSession))
-    kept = found.filter((F.col("_l.lang") != UNKNOWN) & (F.col("_f") >= least))
-    return kept.withColumn("lang", F.coalesce("lang", "_l.lang")).select(*docs.columns)
+    teaching = docs.filter(fold_of(F.col("doc_id"), folds) != held_out)
+    model = fit(teaching.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    told = free_name(docs, "_language")
+    found = with_language(docs, model, told)
+    kept = found.filter((F.col(told)["lang"] != UNKNOWN) & (F.col(told)["fit"] >= least))
+    return kept.withColumn("lang", F.coalesce("lang", F.col(told)["lang"])).select(*docs.columns)
 
 
 def without_repeated_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:

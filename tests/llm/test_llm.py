@@ -227,8 +227,8 @@ def test_language_id(spark):
 def test_language_id_backs_off(spark):
     df = spark.createDataFrame([("the thing thinks", "en"), ("der schnee schmilzt", "de")] * 3, "text string, lang string")
     model = language_id.fit(df)
-    assert model.scores("thinking", {}, 20)[0] == "en" and model.scores("schneemann", {}, 20)[0] == "de"
-    assert model.scores("漢字", {}, 20)[1] == pytest.approx(0.5)
+    (a, *_), (b, *_), (_, even, fit) = language_id.Reader(model).judge(["thinking", "schneemann", "漢字"])
+    assert (a, b) == ("en", "de") and even == pytest.approx(0.5) and fit == 0.0
 
 
 def test_pieces_equal_the_library(spark, docs):
