@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round rewires links towards the smallest id in reach; rounds are few as chains shorten by
-halves. Links and labels stay in tables, each round is written to the shared scratch folder.
+halves. What a hub has to tell its links reaches them in shares, so no task holds all of them. Links and labels stay in tables, each round is written to the shared scratch folder.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcard.operators.segments import spread_join
 from starcard.session import stored
 
 
@@ -20,12 +21,12 @@ def _signature(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(both, least, ["u"], by="v", nulls=False).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(edges, least, ["u"], by="v", nulls=False).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

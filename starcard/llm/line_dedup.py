@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcard.llm.common import free_name
 from starcard.operators.segments import dense_number
 from starcard.session import stored
 
@@ -119,26 +120,21 @@ def _without(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFr
     return pd.DataFrame(rows, columns=["kept", "n_lines", "n_removed", "n_runs"])
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_lines`` (kept text, n_lines, n_removed, n_runs) added; every row stays.
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", name: str = "_lines") -> DataFrame:
+    """``docs`` with a struct ``name`` (kept text, n_lines, n_removed, n_runs) added; every row stays.
 
     A run of whole lines with at least ``least`` characters in non-blank lines is deleted where it occurs again, in a document with a
     larger id or further down in the same one. Null ids come last, rows of one id in the order of a hash of their text;
     rows equal in both are one document and get the same result. A null text is one empty line. An empty table gives an
-    empty result.
+    empty result. Other columns, whatever their names, are left alone.
     """
-    named = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(
-        "_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    )
-    sequences = named.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeated_windows(sequences, least)
-    by_doc = found.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(
-        F.collect_list(F.struct("line", "w")).alias("_w")
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d, t, w = (free_name(docs, c) for c in ("_d", "_t", "_w"))
+    named = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(t, F.xxhash64(text))
+    found = repeated_windows(named.select(F.col(d).alias("d"), F.col(t).alias("t"), text.alias("text")), least)
+    by_doc = found.groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_list(F.struct("line", "w")).alias(w))
     without = F.pandas_udf(_without, "kept string, n_lines long, n_removed long, n_runs long")
-    return named.join(by_doc, ["_d", "_t"], "left").withColumn(
-        "_lines", without(F.col(text_col), F.col("_w.line"), F.col("_w.w"))
-    ).select(*docs.columns, "_lines")
+    return named.join(by_doc, [d, t], "left").withColumn(name, without(text, F.col(w)["line"], F.col(w)["w"])).select(*docs.columns, name)
 
 
 def line_report(docs: DataFrame, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcard.llm.common import id_and_text, largest
+from starcard.llm.common import free_name, id_and_text, largest
 from starcard.session import broadcast_if_small, stored
 
 #: Kinds of characters whose shares tell prose from tables, shouting and noise.
@@ -130,8 +130,8 @@ def membership(text: Column, model: DomainModel, spark: SparkSession) -> Column:
     return run(text)
 
 
-def _rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after all steps: start at 1, move along the posterior, never below 0."""
+def _rate(p: Column, steps: list[np.ndarray], least: float = 0.0) -> Column:
+    """The rate after all steps: start at 1, move along the posterior, never below ``least``."""
     moves = np.array(steps)
 
     @F.pandas_udf("double")
@@ -140,96 +140,122 @@ def _rate(p: Column, steps: list[np.ndarray]) -> Column:
             return pd.Series([], dtype=float)
         shares, rate = np.stack(rows), np.ones(len(rows))
         for move in moves:
-            rate = np.maximum(0.0, rate - shares @ move)
+            rate = np.maximum(least, rate - shares @ move)
         return pd.Series(rate)
 
     return run(p)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close: float = 2e-3) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close: float = 2e-3,
+              least: float = 0.0) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps of the projected gradient over (tokens, p), and the tokens per domain they reach; ``targets`` are tokens per domain.
 
-    The residual is weighted by the inverse of the domains' second moments, so a unit step never overshoots and domains
-    that overlap are told apart; documents are scaled by their tokens.
+    Rates are kept at ``least`` or more. The residual is weighted by the inverse of the domains' second moments, so a unit step
+    never overshoots and domains that overlap are told apart; documents are scaled by their tokens. It ends when the residual is
+    ``close``, doesn't shrink by a thousandth any more, or after ``rounds``; what is reached is returned, so a residual shows.
     """
     k = len(targets)
     second = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
     moments = np.array([float(x or 0.0) for x in members.agg(*second).first()]).reshape(k, k)
     inverse = np.linalg.pinv(moments + 1e-9 * max(1.0, np.trace(moments)) * np.eye(k))
     steps: list[np.ndarray] = []
+    before = np.inf
     for left in range(rounds, -1, -1):
-        rate = _rate(F.col("p"), steps) if steps else F.lit(1.0)
+        rate = _rate(F.col("p"), steps, least) if steps else F.lit(1.0)
         sums = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in range(k)]
         now = np.array([float(x or 0.0) for x in members.withColumn("rate", rate).agg(*sums).first()])
-        if not left or np.abs(now - targets).sum() <= close * max(1.0, targets.sum()):
+        off = float(np.abs(now - targets).sum())
+        if not left or off <= close * max(1.0, targets.sum()) or off > 0.999 * before:
             break
+        before = off
         steps.append(inverse @ (now - targets))
-        if len(steps) > 1 and np.abs(steps[-1] - steps[-2]).max() < 1e-6:
-            break
     return steps, now
 
 
+def _copies(rate: Column, id_col: str) -> Column:
+    """The rate rounded by a hash of the id, so that its expectation is the rate."""
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(rate + part).cast("long")
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None = None,
-        id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, **bounds: int) -> tuple[DataFrame, DomainModel]:
-    """``docs`` with a struct ``_mix`` (tokens, p, rate, copies) added, and the domain model.
+        id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, name: str = "_mix", **bounds: int) -> tuple[DataFrame, DomainModel]:
+    """``docs`` with a struct ``name`` (tokens, p, rate, copies) added, and the domain model.
 
     ``weights`` are the domains' target shares of ``total_tokens`` (all tokens of ``docs`` where not given); a labelled domain
     without a weight has target 0, a weight for a domain without labels can't be met and is left unmet. ``copies`` rounds
     the rate by a hash of the id, so its expectation is the rate. Null and empty texts have no tokens and get the rate of
-    their posterior. Without labels every document keeps rate 1. Repeated rows are rated each.
+    their posterior. Without labels every document keeps rate 1. Repeated rows are rated each. An empty table stays empty.
+    ``model.reached`` tells target and reached tokens by domain. Other columns, whatever their names, are left alone.
     """
     spark = docs.sparkSession
     model = fit_domains(docs, labels, id_col=id_col, text_col=text_col, **bounds)
-    placed = docs.withColumn("_m", membership(F.col(text_col).cast("string"), model, spark))
+    member = free_name(docs, "_member")
+    placed = docs.withColumn(member, membership(F.col(text_col).cast("string"), model, spark))
+    tokens, p = F.col(member)["tokens"], F.col(member)["p"]
     steps: list[np.ndarray] = []
     if model.domains:
-        members = stored(placed.select("_m.tokens", "_m.p"), "membership")
+        members = stored(placed.select(tokens.alias("tokens"), p.alias("p")), "membership")
         total = total_tokens if total_tokens is not None else float(members.agg(F.sum("tokens")).first()[0] or 0)
         share = sum(weights.values())
         targets = np.array([weights.get(d, 0.0) / share * total for d in model.domains])
         steps, now = fit_rates(members, targets, rounds)
         model.reached = dict(zip(model.domains, zip(targets.tolist(), now.tolist(), strict=True), strict=True))
-    rate = _rate(F.col("_m.p"), steps) if steps else F.lit(1.0)
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rated = placed.withColumn("_r", rate)
+    rate = free_name(placed, "_rate")
+    rated = placed.withColumn(rate, _rate(p, steps) if steps else F.lit(1.0))
     return rated.select(
-        *docs.columns,
-        F.struct("_m.tokens", "_m.p", F.col("_r").alias("rate"), F.floor(F.col("_r") + part).cast("long").alias("copies")).alias("_mix"),
+        *docs.columns, F.struct(tokens.alias("tokens"), p.alias("p"), F.col(rate).alias("rate"), _copies(F.col(rate), id_col).alias("copies")).alias(name)
     ), model
 
 
 def mix_keeping(docs: DataFrame, labels: DataFrame, keep: str, drop: str, id_col: str = "doc_id", text_col: str = "text",
-                **bounds: int) -> tuple[DataFrame, DomainModel]:
-    """``docs`` with ``_mix`` as from ``mix``, the targets taken from the documents themselves; and the domain model.
-
-    A document of ``drop``, by its label, else by its likeliest domain, gets rate 0. All others stay at rate 1 or more: they make up
-    for the tokens dropped, each along its membership in ``keep`` (1 or 0 by its label, else the posterior), so the total stays.
-    With nothing of ``keep`` to make up with, the rest stays as it is. The total is met exactly, so no rounds are needed.
-    Of a document labelled both ways ``keep`` wins; without a ``keep`` label, ``drop`` does.
+                rounds: int = 40, name: str = "_mix", **bounds: int) -> tuple[DataFrame, DomainModel]:
+    """``docs`` with ``name`` as from ``mix``, the targets taken from the documents themselves; and the domain model.
+
+    A document of ``drop``, by its label, else by its likeliest domain, gets rate 0. The rates of all others are fitted at 1 or
+    more: ``keep`` is to gain the tokens dropped, every other domain to stay at what is left of it; a last scaling of what goes beyond 1
+    makes the total exact. Membership is 1 or 0 by the label,
+    else the posterior. Of a document labelled both ways ``keep`` wins; without a ``keep`` label, ``drop`` does. Without
+    anything of ``keep`` the rest stays as it is. An empty table stays empty.
     """
     spark = docs.sparkSession
     model = fit_domains(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     rank = F.when(F.col("domain") == keep, 0).when(F.col("domain") == drop, 1).otherwise(2)
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col("domain").cast("string")).dropna()
-    known = known.groupBy("_id").agg(F.min(F.struct(rank.alias("r"), "domain"))["domain"].alias("_label"))
+    taken = docs
+    member, own_id, label, likeliest = (free_name(taken, c) for c in ("_member", "_id", "_label", "_likeliest"))
+    known = labels.select(F.col(id_col).cast("long").alias(own_id), F.col("domain").cast("string").alias("domain")).dropna()
+    known = known.groupBy(own_id).agg(F.min(F.struct(rank.alias("r"), "domain"))["domain"].alias(label))
     known, _ = broadcast_if_small(known)
-    placed = docs.withColumn("_m", membership(F.col(text_col).cast("string"), model, spark))
-    placed = placed.join(known, F.col(id_col).cast("long") == F.col("_id"), "left")
+    read = docs.withColumn(member, membership(F.col(text_col).cast("string"), model, spark))
+    read = read.join(known, F.col(id_col).cast("long") == F.col(own_id), "left").drop(own_id)
     # One domain learnt tells nothing about documents without a label.
     names = F.array(*[F.lit(d) for d in model.domains]) if len(model.domains) > 1 else None
-    likeliest = F.try_element_at(names, F.array_position("_m.p", F.array_max("_m.p")).cast("int")) if names is not None else F.lit(None)
-    placed = stored(placed.withColumn("_d", F.coalesce("_label", likeliest)), "membership")
-    soft = F.col("_m.p")[model.domains.index(keep)] if keep in model.domains and names is not None else F.lit(0.0)
-    own = F.when(F.col("_label").isNotNull(), (F.col("_label") == keep).cast("double")).otherwise(soft)
-    gone = F.coalesce(F.col("_d") == drop, F.lit(False))
-    tokens = F.col("_m.tokens")
-    lost, room = placed.agg(F.sum(F.when(gone, tokens)), F.sum(F.when(~gone, tokens * own))).first()
-    more = float(lost or 0) / room if room else 0.0
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rated = placed.withColumn("_r", F.when(gone, 0.0).otherwise(1.0 + more * own))
+    soft, tokens = F.col(member)["p"], F.col(member)["tokens"]
+    best = F.try_element_at(names, F.array_position(soft, F.array_max(soft)).cast("int")) if names is not None else F.lit(None)
+    placed = stored(read.withColumn(likeliest, F.coalesce(F.col(label), best)), "membership")
+    hard = F.array(*[(F.col(label) == d).cast("double") for d in model.domains]) if model.domains else soft
+    p = F.when(F.col(label).isNotNull(), hard).otherwise(soft if names is not None else F.transform(soft, lambda x: F.lit(0.0)))
+    gone = F.coalesce(F.col(likeliest) == drop, F.lit(False))
+    steps: list[np.ndarray] = []
+    scale = 1.0
+    if keep in model.domains:
+        members = stored(placed.select(gone.alias("gone"), tokens.alias("tokens"), p.alias("p")), "members")
+        stays = members.filter("NOT gone")
+        held = stays.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(len(model.domains))]).first()
+        targets = np.array([float(x or 0.0) for x in held])
+        lost = float(members.filter("gone").agg(F.sum("tokens")).first()[0] or 0)
+        at = model.domains.index(keep)
+        if lost and targets[at] > 0:
+            targets[at] += lost
+            steps, now = fit_rates(stays.drop("gone"), targets, rounds, least=1.0)
+            fitted = stays.withColumn("rate", _rate(F.col("p"), steps, 1.0))
+            more = float(fitted.agg(F.sum(F.col("tokens") * (F.col("rate") - 1))).first()[0] or 0)
+            scale = lost / more if more else 1.0
+            model.reached = dict(zip(model.domains, zip(targets.tolist(), now.tolist(), strict=True), strict=True))
+    rate = free_name(placed, "_rate")
+    rated = placed.withColumn(rate, F.when(gone, 0.0).otherwise(1 + scale * (_rate(p, steps, 1.0) - 1) if steps else F.lit(1.0)))
     return rated.select(
-        *docs.columns,
-        F.struct("_m.tokens", "_m.p", F.col("_r").alias("rate"), F.floor(F.col("_r") + part).cast("long").alias("copies")).alias("_mix"),
+        *docs.columns, F.struct(tokens.alias("tokens"), soft.alias("p"), F.col(rate).alias("rate"), _copies(F.col(rate), id_col).alias("copies")).alias(name)
     ), model
 
 

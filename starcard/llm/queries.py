@@ -88,7 +88,8 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     labels = label_domains(spark.read.parquet(f"{folder}/labels.parquet"))
     rated, model = mix(_documents(spark, folder).select("doc_id", "text"), labels, WEIGHTS)
     of = [F.col("_mix.p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return rated.select("doc_id", F.col("_mix.tokens").alias("n_tokens"), *of, "_mix.rate", "_mix.copies")
+    fitted = [F.lit(x).alias(f"{n}_{d}") for d, both in (model.reached or {}).items() for n, x in zip(("target", "reached"), both, strict=True)]
+    return rated.select("doc_id", F.col("_mix.tokens").alias("n_tokens"), *of, "_mix.rate", "_mix.copies", *fitted)
 
 
 @_query("op8_secret_scan")

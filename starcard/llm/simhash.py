@@ -180,6 +180,13 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, block: int = 4096, fp:
     )
 
 
+def with_roots(distinct: DataFrame, radius: int = RADIUS, block: int = 4096) -> DataFrame:
+    """``distinct`` (one row per fingerprint ``fp``) with ``root``, the same for all fingerprints that links connect."""
+    distinct = stored(distinct, "simhash-distinct")
+    roots = components(stored(links(distinct, radius, block), "simhash-links")).withColumnRenamed("node", "fp")
+    return stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = 4, id_col: str = "doc_id",
                 text_col: str = "text", block: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id in reach), one row per input row.
@@ -189,12 +196,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int =
     """
     rows = id_and_text(docs, id_col, text_col)
     seen = stored(rows.select("doc_id", fingerprint_column(F.col("text"), words_per_shingle).alias("fp")), "simhash")
-    distinct = stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(stored(links(distinct, radius, block), "simhash-links"))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    named = stored(named, "simhash-roots")
+    named = with_roots(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, block)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.join(least, "root").select("fp", "component_id")
     return seen.join(of_fp, "fp").select(

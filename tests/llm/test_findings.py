@@ -20,32 +20,48 @@ def edited(rng, words, share):
     return [rng.choice(words) + "x" if rng.random() < share else w for w in words]
 
 
-def test_near_copies_go_by_similarity(spark):
+def test_one_document_of_each_near_group_stays(spark):
     rng = random.Random(4)
     plain = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    for i in range(60):
+    for i in range(40):
         words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(40, 400))]
-        plain += [(10_000 + 10 * i + k, " ".join(edited(rng, words, share))) for k, share in enumerate((0, 0.01, 0.015, 0.02, 0.03))]
+        plain += [(10_000 + 10 * i + k, " ".join(edited(rng, words, share))) for k, share in enumerate((0, 0.01, 0.02, 0.05))]
     plain += [(90_000, ""), (90_001, None), (90_002, "one two"), (90_003, "One\ttwo")]
-    sets = {i: brute.shingles(t) for i, t in plain}
-    at = {}
-    for i, s in sets.items():
-        for x in s or [None]:
-            at.setdefault(x, []).append(i)
-    label = {i: i for i in sets}
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for a, b in {p for ids in at.values() for p in combinations(sorted(ids), 2)}:
-        if brute.jaccard(sets[a], sets[b]) >= 0.8:
-            lo, hi = sorted((root(a), root(b)))
-            label[hi] = lo
-    df = spark.createDataFrame(plain, KIND)
-    kept = {r["doc_id"] for r in stages.one_per_similar_group(df).collect()}
-    assert kept == {i for i in sets if root(i) == i}
+    ids = {i: c for i, _, c in brute.near(plain)}
+    kept = [r["doc_id"] for r in stages.one_per_near_group(spark.createDataFrame(plain, KIND)).collect()]
+    assert sorted(kept) == sorted(i for i, c in ids.items() if i == c)
+
+
+def test_near_groups_of_odd_ids_lose_no_text(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 8, "x y z u v w " * 7)
+    rows = [(None, a, {"k": 1}), (None, b, None), (None, b, None), (1, a, None), (1, c, {"k": 2}), (1, c, {"k": 2}), (2, c, None), (None, "lone words stand here alone now", None)]
+    df = spark.createDataFrame(rows, KIND + ", tags map<string, int>").withColumn("_key", F.lit("mine")).withColumn("fp", F.lit(1))
+    kept = stages.one_per_near_group(df)
+    assert kept.columns == df.columns
+    found = sorted(((r["doc_id"] or 0, r["text"], r["tags"], r["_key"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, a, None, "mine"), (0, b, None, "mine"), (1, c, {"k": 2}, "mine"), (0, "lone words stand here alone now", None, "mine")], key=str)
+    assert stages.one_per_near_group(df.limit(0)).collect() == []
+
+
+def test_clashing_names_pass_through(spark):
+    labels = spark.createDataFrame([(1, "clean"), (2, "toxic"), (3, "clean")], "doc_id long, domain string")
+    rows = [(1, "a good text\nsame", "en", 9, "m1"), (2, "a bad bad text\nsame", "en", 9, "m2"), (3, "another good text", "en", 9, "m3"), (None, None, None, None, "m4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, _d string")
+    for c in ("_t", "_w", "_lines", "_member", "_id", "_label", "_rate", "_mix", "_copy", "_likeliest", "domain"):
+        df = df.withColumn(c, F.col("_d"))
+    for done in (stages.without_repeated_lines(df), stages.mixed_keeping_clean(df, labels)):
+        assert done.columns == df.columns
+        for r in done.collect():
+            assert {r[c] for c in df.columns[4:]} == {f"m{r['doc_id'] or 4}"}
+    assert stages.without_repeated_lines(df.limit(0)).collect() == stages.mixed_keeping_clean(df.limit(0), labels).collect() == []
+
+
+def test_mixing_of_an_empty_table_and_odd_rows(spark):
+    labels = spark.createDataFrame([(1, "clean"), (2, "rough"), (None, "clean"), (3, None)], "doc_id long, domain string")
+    df = spark.createDataFrame([(None, None), (None, "a b"), (1, "a b"), (1, "a b"), (2, "c d e")], KIND).withColumn("_member", F.lit(1))
+    rated, model = mixing.mix(df, labels, {"clean": 0.5, "rough": 0.5})
+    assert rated.count() == 5 and set(model.reached) == {"clean", "rough"} and rated.columns[:-1] == df.columns
+    assert mixing.mix(df.limit(0), labels, {"clean": 1.0})[0].collect() == []
 
 
 def test_novel_secrets_of_any_length_copied_or_beside_the_word(spark):
