@@ -68,6 +68,8 @@ def test_words_are_letters_with_their_marks():
     for c in range(0, 0x30000, 7):
         if not 0xD800 <= c < 0xE000:
             assert bool(language_id.LETTERS.fullmatch(chr(c))) == (unicodedata.category(chr(c))[0] == "L")
+            text = f"a{chr(c)}b {chr(c)}"
+            assert language_id.words_of(text) == language_id.LETTERS.findall(text.lower())
 
 
 def test_no_letter_is_undetermined(spark):
