@@ -29,11 +29,13 @@ def expand(
     reverse: bool = False,
     enabled: bool = True,
     lookup_schema: str = LOOKUP_SCHEMA,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Core tables of a query, then lookups, then other neighbours, at most ``max_total`` names.
 
     ``core``: query_id, name, rank (1, 2, ...). ``edges``: src, dst. ``cards``: name. A neighbour
-    without a card takes one of the places and is then left out. Result: query_id, name, pos, kind.
+    without a card takes one of the places and is then left out, as is one whose schema isn't among those
+    ``allowed`` (query_id, schemas; null: all). Result: query_id, name, pos, kind.
     """
     kept_core = core.select("query_id", "name", "rank")
     if enabled:
@@ -49,6 +51,9 @@ def expand(
     sizes = core.groupBy("query_id").agg(F.count(F.lit(1)).alias("core_n"))
     room = placed.join(sizes, "query_id").filter(F.col("n") + F.col("core_n") <= max_total)
     real = room.join(cards.select("name"), "name", "left_semi")
+    if allowed is not None:
+        mine = F.array_contains("schemas", F.substring_index("name", ".", 1))
+        real = real.join(allowed.select("query_id", "schemas"), "query_id").filter(F.col("schemas").isNull() | mine)
     after = Window.partitionBy("query_id").orderBy("n")
     rest = real.select(
         "query_id", "name", (F.row_number().over(after) + F.col("core_n")).cast("int").alias("pos"),

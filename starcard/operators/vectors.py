@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from starcard.functions.text import tokens
 from starcard.operators.search import best
 from starcard.rules import TOP_K
-from starcard.session import scratch_path, stored
+from starcard.session import broadcast_if_small, scratch_path, stored
 
 CARRIED_QUERIES = 4096
 BLOCK_QUERIES = 2048
@@ -88,15 +88,15 @@ def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         F.ceil(F.col("nq") / BLOCK_QUERIES).cast("int").alias("qb"),
         F.ceil(F.col("nv") / BLOCK_VECTORS).cast("int").alias("vb"),
     )
-    # One row of sizes per cell, at most some thousand cells. Every query-side column is renamed, as
-    # both sides may come from one table.
-    q = queries.join(F.broadcast(sizes), "cell").select(
+    # One row of sizes per cell. Every query-side column is renamed, as both sides may come from one table.
+    sizes, _ = broadcast_if_small(stored(sizes, "cell-sizes"))
+    q = queries.join(sizes, "cell").select(
         F.col("cell").alias("q_cell"),
         F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q_qblock"),
         F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("q_vblock"),
         F.col("query_id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
-    v = vectors.join(F.broadcast(sizes), "cell").select(
+    v = vectors.join(sizes, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("doc_id"), F.col("vb")).cast("int").alias("vblock"), "doc_id", "vector",
     )
@@ -131,6 +131,20 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, carried: int = C
     return best(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
+def knn_within(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, carried: int = CARRIED_QUERIES) -> DataFrame:
+    """Exact neighbours among the vectors of a query's own schemas, the filter coming before any comparison.
+
+    ``queries``: query_id, vector (null: no neighbours), schemas (null: all). ``vectors``: doc_id, vector, schema. A schema's vectors
+    are one cell, dealt to blocks where it is large; a query meets the cells of its schemas alone.
+    """
+    asked = queries.filter(F.col("vector").isNotNull())
+    limited = asked.filter(F.col("schemas").isNotNull()).select("query_id", "vector", F.explode(F.array_distinct("schemas")).alias("cell"))
+    held = vectors.select("doc_id", "vector", F.col("schema").alias("cell"))
+    near = best(_blocked(limited.filter(F.col("cell").isNotNull()), held, k), k)
+    free = knn(asked.filter(F.col("schemas").isNull()), vectors, k, carried)
+    return near.select("query_id", "doc_id", "score", "rank").unionByName(free.select("query_id", "doc_id", "score", "rank"))
+
+
 @dataclass(frozen=True)
 class Cells:
     """Vectors dealt to k-means cells, with the cells' centers: folders ``vectors`` and ``centers`` below ``path``."""

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections import Counter
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starcard.functions.text import fk_table, tokens
+from starcard.operators import cards as C
 from starcard.operators import catalog as K
 from starcard.operators import expand as X
 from starcard.operators import fielded as S
+from starcard.operators import retrieval as V
 from starcard.operators import search as R
 from starcard.operators import vectors as N
-from starcard.operators.segments import running_sums
-from starcard.plans.catalog_queries import CARD_PARTS, _cat, _fk_map
+from starcard.operators.segments import dense_number, running_sums
+from starcard.plans.catalog_queries import CARD_PARTS, DOC_SQL, _cat, _fk_map, cards
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
 from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_tables
@@ -317,6 +320,109 @@ def empty_search_fallback(spark: SparkSession, d: str) -> DataFrame:
     return R.with_fallback(asked.select("query_id", "owner"), hits, heads.drop("description"))
 
 
+def _card_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _fk_map(spark, d).select(
+        "owner", F.concat_ws(".", "owner", "table_name").alias("src"), fk_table(F.col("fk")).alias("dst")
+    )
+
+
+_CARD_EDGE_SQL = """
+card_edges AS (
+  SELECT DISTINCT owner, owner || '.' || table_name AS src,
+         split_part(fk, '.', 1) || '.' || split_part(fk, '.', 2) AS dst FROM fk_map
+)"""
+
+
+def letter_counts(text: Column) -> Column:
+    """An embedding that SQL can repeat: how often each letter occurs."""
+    lower = F.lower(text)
+    return F.array(*[(F.length(lower) - F.length(F.replace(lower, F.lit(c), F.lit("")))).cast("double") for c in ascii_lowercase])
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"CAST(len(lower({text})) - len(replace(lower({text}), '{c}', '')) AS DOUBLE)" for c in ascii_lowercase) + "]"
+
+
+#: Texts that customers ask, by customer number; the third is unknown to the catalog and has no vector, the last is none.
+_ASKED = ["'price of orders placed by ' || lower(c_mktsegment) || ' customers'", "'languages of the documents'", "'qqqq ' || c_custkey", "'L_SHIPDATE'", "NULL"]
+_QUESTIONS_SQL = f"""
+asked AS (
+  SELECT c_custkey AS query_id, CASE {' '.join(f'WHEN c_custkey % 5 = {i} THEN {t}' for i, t in enumerate(_ASKED))} END AS text,
+         CASE WHEN c_custkey % 7 = 3 THEN ['T' || c_custkey] ELSE ['T' || c_custkey, '{LOOKUPS}'] END AS schemas FROM customer
+), known AS (SELECT * FROM asked WHERE text IS NOT NULL)"""
+RETRIEVAL = V.Settings(top_k=14, core_count=8, max_total=11, lookup_schema=LOOKUPS)
+GONE = ["LABELS", "PAGES"]
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        key.alias("query_id"), F.expr("CASE " + " ".join(f"WHEN c_custkey % 5 = {i} THEN {t}" for i, t in enumerate(_ASKED)) + " END").alias("text"),
+        F.when(key % 7 == 3, F.array(F.concat(F.lit("T"), key))).otherwise(F.array(F.concat(F.lit("T"), key), F.lit(LOOKUPS))).alias("schemas"),
+    )
+    return rows.withColumn("vector", F.when(F.col("query_id") % 5 != 2, letter_counts(F.col("text"))))
+
+
+def _field_column(field: S.Field) -> str:
+    names = {"schema_name": "owner", "normalized_column_names": "names", "column_descriptions": "texts", "searchable_content": "content"}
+    return f"{names.get(field.name, field.name)} AS {field.name}"
+
+
+@query(
+    "retrieve_cards",
+    _cat(
+        f"""SELECT query_id, pos, name, kind FROM (
+              SELECT query_id, CAST(rank AS INTEGER) AS pos, name, 'core' AS kind FROM core WHERE rank <= {RETRIEVAL.max_total}
+              UNION ALL
+              SELECT query_id, CAST(core_n + row_number() OVER (PARTITION BY query_id ORDER BY n) AS INTEGER), name,
+                     CASE WHEN starts_with(name, '{LOOKUPS}.') THEN 'lookup' ELSE 'other' END FROM real
+              UNION ALL
+              SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY name) AS INTEGER), name, 'all'
+              FROM known JOIN there ON list_contains(schemas, schema) WHERE query_id NOT IN (SELECT query_id FROM fused))""",
+        *CARD_PARTS, DOC_SQL, _CARD_EDGE_SQL,
+        "listed AS (SELECT owner, table_name, list(column_name ORDER BY pos) AS column_names FROM card GROUP BY 1, 2)",
+        f"""cdocs AS (SELECT row_number() OVER (ORDER BY owner, table_name) - 1 AS doc_id, owner AS schema, qualified_name AS name, content AS body,
+              {', '.join(_field_column(f) for f in V.CARD_FIELDS)} FROM search_docs JOIN listed USING (owner, table_name))""",
+        f"there AS (SELECT name, schema FROM cdocs WHERE table_name NOT IN ({', '.join(repr(g) for g in GONE)}))",
+        _QUESTIONS_SQL,
+        _fielded_sql(V.CARD_FIELDS, "cdocs", "doc_id", "known"),
+        f"""bm AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+              FROM scored JOIN known USING (query_id) JOIN cdocs USING (doc_id) WHERE list_contains(schemas, schema)
+              QUALIFY rank <= {RETRIEVAL.top_k})""",
+        f"""kn AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+              SELECT query_id, doc_id, round(list_cosine_similarity({_letters_sql('k.text')}, {_letters_sql('c.body')}), 6) AS score
+              FROM (SELECT query_id, text, unnest(schemas) AS schema FROM known WHERE query_id % 5 <> 2) k JOIN cdocs c USING (schema))
+              QUALIFY rank <= {RETRIEVAL.top_k})""",
+        f"""fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+              SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score
+              FROM (SELECT * FROM bm UNION ALL SELECT * FROM kn) GROUP BY 1, 2) QUALIFY rank <= {RETRIEVAL.top_k})""",
+        _words_sql("plain", "known", "query_id"),
+        "lists AS (SELECT query_id, list(DISTINCT term) AS q FROM plain GROUP BY 1)",
+        f"""reranked AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM (
+              SELECT query_id, name, f.rank AS old, {' + '.join(f'{w} * {_overlap_sql(f)}' for f, w in V.RERANK_FIELDS.items())} AS score
+              FROM fused f JOIN cdocs USING (doc_id) JOIN lists USING (query_id)))""",
+        f"""core AS (SELECT query_id, name, place AS rank FROM (
+              SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
+              FROM reranked WHERE name IN (SELECT name FROM there)) WHERE place <= {RETRIEVAL.core_count})""",
+        "sizes AS (SELECT query_id, count(*) AS core_n FROM core GROUP BY 1)",
+        f"""near AS (SELECT DISTINCT c.query_id, dst AS name FROM core c JOIN card_edges ON src = c.name
+              WHERE c.rank <= {RETRIEVAL.seed_count} AND (c.query_id, dst) NOT IN (SELECT (query_id, name) FROM core))""",
+        f"""real AS (SELECT query_id, name, n, core_n FROM (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT starts_with(name, '{LOOKUPS}.'), name) AS n FROM near)
+              JOIN sizes USING (query_id) JOIN there t USING (name) JOIN known USING (query_id)
+              WHERE n + core_n <= {RETRIEVAL.max_total} AND list_contains(schemas, t.schema))""",
+    ),
+)
+def retrieve_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from every customer's question to cards; two tables of every schema are indexed but have lost their card."""
+    documents = C.search_documents(cards(spark, d)).withColumn("name", F.col("qualified_name"))
+    documents = cut(dense_number(documents, ["schema_name", "table_name"], "doc_id", start=0))
+    index = S.add_documents(S.create_index(spark, scratch_path(spark, "card-index"), V.CARD_FIELDS), documents, "schema_name")
+    vectors = documents.select("doc_id", letter_counts(F.col("searchable_content")).alias("vector"), F.col("schema_name").alias("schema"))
+    there = documents.filter(~F.col("table_name").isin(GONE)).select("name", F.col("schema_name").alias("schema"))
+    return V.retrieve_cards(index, vectors, documents, there, _card_edges(spark, d).select("src", "dst"), _questions(spark, d), RETRIEVAL)
+
+
 # --- expansion along references -----------------------------------------------------------------
 
 
@@ -430,19 +536,6 @@ def ordered_concat(spark: SparkSession, d: str) -> DataFrame:
     return running_sums(parts, "query_id", ["part", "r", "name"], {"pos": F.lit(1)}).drop("part", "r")
 
 
-def _card_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _fk_map(spark, d).select(
-        "owner", F.concat_ws(".", "owner", "table_name").alias("src"), fk_table(F.col("fk")).alias("dst")
-    )
-
-
-_CARD_EDGE_SQL = """
-card_edges AS (
-  SELECT DISTINCT owner, owner || '.' || table_name AS src,
-         split_part(fk, '.', 1) || '.' || split_part(fk, '.', 2) AS dst FROM fk_map
-)"""
-
-
 _CHAIN_SQL = """
 chained AS (
   SELECT owner, src, dst FROM card_edges
