@@ -229,16 +229,18 @@ def assemble(
     lookup_schema: str = LOOKUP_SCHEMA,
     filter_tables: bool = True,
     exported: list[str] | None = None,
+    foreign_keys: DataFrame | None = None,
 ) -> DataFrame:
     """One row per table: owner, table_name, primary_key, row_count, description, cols.
 
     Columns, references, keys and statistics are each brought to one row per (owner, table) and
-    joined on just that, so every input is shuffled once on the way here.
+    joined on just that, so every input is shuffled once on the way here. ``foreign_keys`` (owner, table_name, column_name, fk) are
+    references that are resolved already.
     """
     keyed = cut(keyed_columns(constraints, constraint_columns))
     row_counts = first_row_counts(tables)
     fk = with_lookups(
-        foreign_key_map(resolve_foreign_keys(keyed)),
+        foreign_key_map(resolve_foreign_keys(keyed)) if foreign_keys is None else foreign_keys,
         usable_lookups(columns, row_counts, lookup_schema, exported),
         lookup_schema,
     )

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.operators import cards as C
+from starcard.operators import catalog as K
 from starcard.operators.runlog import assign_run_ids
-from starcard.plans.catalog_queries import CARD_PARTS, _cat, cards
+from starcard.plans.catalog_queries import CARD_PARTS, EXPORTED, _cat, cards
 from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
-from starcard.plans.tenants import cat_columns, cat_constraint_columns, cat_constraints, cat_tables
+from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_constraint_columns, cat_constraints, cat_tables
 from starcard.rules import RUN_FIELDS
 from starcard.session import scratch_path
+from starcard.sources import exports as E
 from starcard.sources import files, sinks
 
 
@@ -48,41 +50,111 @@ def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
     return files.union_all([p.toDF("name", "id", "a", "b", "x") for p in picked])
 
 
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+#: Rows of each array of an export, as expressions that Spark and the check share: (source, order, {field: expression}, name, detail).
 _ARRAYS = {
-    "tables": ["table_name", "num_rows", "comments"],
-    "columns": ["table_name", "column_name", "data_type", "column_id"],
-    "constraints": ["table_name", "constraint_name", "constraint_type"],
-    "constraint_columns": ["table_name", "constraint_name", "column_name", "position"],
+    "tables": ("cat_tables", "seq", _same("table_name", "num_rows") | {"logging": "'YES'"}, "logging", "num_rows"),
+    "table_comments": ("cat_tables", "seq", _same("table_name", "comments"), "table_name", "comments"),
+    "columns": (
+        "cat_columns", "seq",
+        _same("table_name", "column_name", "column_id", "data_type", "data_length", "data_precision", "data_scale", "char_length", "nullable"),
+        "column_name", "data_type",
+    ),
+    "column_comments": ("cat_columns", "seq", _same("table_name", "column_name", "comments"), "column_name", "comments"),
+    "constraints": (
+        "cat_constraints", "seq", _same("constraint_name", "constraint_type", "table_name", "r_owner", "r_constraint_name"),
+        "constraint_name", "constraint_type",
+    ),
+    "constraint_columns": ("cat_constraint_columns", "seq", _same("constraint_name", "table_name", "column_name", "position"), "column_name", "position"),
+    "foreign_keys": (
+        "fks", "table_name, constraint_name, position",
+        _same("table_name", "constraint_name", "r_owner", "referenced_table", "column_name", "position", "referenced_column"),
+        "column_name", "referenced_column",
+    ),
+    "indexes": ("cat_constraints", "seq", _same("table_name") | {"index_name": "concat('IX_', constraint_name)", "uniqueness": "'UNIQUE'"}, "index_name", "uniqueness"),
+    "index_columns": (
+        "cat_constraint_columns", "seq", _same("table_name", "column_name") | {"index_name": "constraint_name", "column_position": "position", "descend": "'ASC'"},
+        "index_name", "column_position",
+    ),
+    "triggers": (
+        "cat_tables", "seq", _same("table_name") | {"trigger_name": "concat('TRG_', table_name)", "when_clause": "concat('NEW.N > ', seq, chr(10), '„ß\"“')"},
+        "trigger_name", "when_clause",
+    ),
+    "grants": (
+        "cat_tables", "seq",
+        _same("table_name") | {"table_schema": "CASE WHEN {odd} THEN owner END", "grantee": "concat('R_', table_name)", "privilege": "'SELECT'",
+                               "type": "CASE WHEN NOT {odd} THEN 'TABLE' END", "hierarchy": "CASE WHEN {odd} THEN 'NO' END"},
+        "grantee", "kind",
+    ),
+    "synonyms": ("cat_tables", "seq", _same("table_name") | {"synonym_name": "concat('S_', table_name)", "table_owner": "owner"}, "synonym_name", "table_owner"),
 }
 
 
-@query(
-    "src_metadata_json",
-    _cat(" UNION ALL ".join(
-        f"""SELECT '{array}' AS part, owner AS schema, table_name, {fields[1]}::VARCHAR AS name, {fields[2]}::VARCHAR AS detail
-            FROM cat_{array}""" for array, fields in _ARRAYS.items()
-    )),
-)
-def src_metadata_json(spark: SparkSession, d: str) -> DataFrame:
-    """One object per schema with its arrays, over all tables; a schema's dictionary is one document by format."""
-    frames = dict(zip(_ARRAYS, (cat_tables(spark, d), cat_columns(spark, d), cat_constraints(spark, d), cat_constraint_columns(spark, d)), strict=True))
+def _write_exports(spark: SparkSession, d: str) -> str:
+    """One file per schema, a JSON object over many lines without its null fields.
+
+    Odd schemas name owner and kind of a grant another way and have no array of triggers.
+    """
+    constraints, held = cat_constraints(spark, d), cat_constraint_columns(spark, d)
+    frames = {
+        "cat_tables": cat_tables(spark, d), "cat_columns": cat_columns(spark, d), "cat_constraints": constraints,
+        "cat_constraint_columns": held, "fks": K.resolve_foreign_keys(K.keyed_columns(constraints, held)),
+    }
+    odd, whole = "owner rlike '[13579]$'", None
+    for array, (source, order, cells, *_) in _ARRAYS.items():
+        owner = f"CASE WHEN NOT {odd} THEN owner END" if array == "grants" else "owner"
+        item = F.struct(F.expr(owner).alias("owner"), *[F.expr(e.format(odd=odd)).alias(f) for f, e in cells.items()])
+        places = [F.col(c).alias(f"o{i}") for i, c in enumerate(order.split(", "))]
+        rows = frames[source].filter(f"NOT {odd}") if array == "triggers" else frames[source]
+        part = rows.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct(*places, item.alias("item")))).alias("x"))
+        part = part.select("owner", F.transform("x", lambda x: x["item"]).alias(array))
+        whole = part if whole is None else whole.join(part, "owner", "full")
+    told = F.struct(F.col("owner").alias("schema"), F.lit("2024-01-01").alias("generated_at"), *_ARRAYS)
     path = scratch_path(spark, "metadata")
-    whole = None
-    for array, fields in _ARRAYS.items():
-        part = frames[array].groupBy(F.col("owner").alias("schema")).agg(F.collect_list(F.struct(*fields)).alias(array))
-        whole = part if whole is None else whole.join(part, "schema", "full")
-    whole.write.json(path)
-    metadata = files.read_metadata(spark, path, whole.schema, multi_line=False)
-    rows = [
-        files.metadata_rows(metadata, array).select(
-            F.lit(array).alias("part"), "schema", "table_name", F.col(fields[1]).cast("string").alias("name"),
-            F.col(fields[2]).cast("string").alias("detail"),
-        )
-        for array, fields in _ARRAYS.items()
-    ]
+    text = whole.select("owner", F.to_json(told, {"pretty": "true"}).alias("value"))
+    text.repartition("owner").write.partitionBy("owner").text(path)
+    return path
+
+
+def _told_sql(array: str) -> str:
+    source, order, cells, name, detail = _ARRAYS[array]
+    odd = "regexp_matches(owner, '[13579]$')"
+    cells = {f: e.format(odd=odd) for f, e in cells.items()} | {"kind": f"CASE WHEN {odd} THEN 'NO' ELSE 'TABLE' END"}
+    return f"""SELECT '{array}' AS part, owner AS schema, CAST(row_number() OVER (PARTITION BY owner ORDER BY {order}) - 1 AS INTEGER) AS pos,
+      owner AS owned, table_name, CAST({cells[name]} AS VARCHAR) AS name, CAST({cells[detail]} AS VARCHAR) AS detail
+      FROM {source} {f'WHERE NOT {odd}' if array == 'triggers' else ''}"""
+
+
+@query("src_metadata_json", _cat(" UNION ALL ".join(_told_sql(a) for a in _ARRAYS), FK_SQL))
+def src_metadata_json(spark: SparkSession, d: str) -> DataFrame:
+    """All twelve arrays of every schema's export, by position, read from files over many lines."""
+    exports = E.Exports(spark, _write_exports(spark, d), "*.txt")
+    rows = []
+    for array, (*_, name, detail) in _ARRAYS.items():
+        held = exports.grants() if array == "grants" else exports.array(array)
+        owner = F.col("index_owner" if array == "index_columns" else "owner")
+        owner = F.coalesce(owner, F.col("schema")) if array == "index_columns" else owner
+        rows.append(held.select(
+            F.lit(array).alias("part"), "schema", "pos", owner.alias("owned"), "table_name", F.col(name).cast("string").alias("name"),
+            F.col(detail).cast("string").alias("detail"),
+        ))
     return files.union_all(rows)
 
 
+@query(
+    "cards_from_exports",
+    _cat("""SELECT qualified_name, row_count, primary_key, table_description, pos, column_name, type, nullable,
+                   description, fk, value_map_ref FROM card""", *CARD_PARTS),
+)
+def cards_from_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of all schemas from their exports alone, comments and references being arrays of their own."""
+    exports = E.Exports(spark, _write_exports(spark, d), "*.txt")
+    return C.flatten(C.nest(E.assemble_exports(exports, LOOKUPS, exported=EXPORTED)))
+
+
 @query(
     "src_cards_json",
     _cat("SELECT qualified_name, column_name, type, nullable, description, fk FROM card", *CARD_PARTS),
