@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcard.rules import LOOKUP_SCHEMA, MAX_TOTAL, SEED_COUNT
+from starcard.rules import LOOKUP_SCHEMA, MAX_TOTAL, SEED_COUNT, TOKEN
 from starcard.session import broadcast_if_small, cut
 
 
@@ -93,15 +93,44 @@ def join_paths(starts: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
     return reached.filter(F.col("hops") > 0)
 
 
+def label_term(label: Column) -> Column:
+    """A label as its words: lower case, one space between."""
+    return F.array_join(F.regexp_extract_all(F.lower(label), F.lit(TOKEN), F.lit(0)), " ")
+
+
+def value_mentions(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """query_id, term, start, stop: runs of words in a query's text that are a label, the longest ones.
+
+    ``queries``: query_id, text. ``values``: map_value. A run inside a longer one is left out; runs that overlap otherwise stay.
+    Windows are only as long as some label, and meet the labels by an equi-join, so no query is held against the catalog.
+    """
+    labels = values.select(label_term(F.col("map_value")).alias("term")).filter("term <> ''").distinct()
+    labels = cut(labels.withColumn("n", F.size(F.split("term", " "))))
+    sizes = sorted(r["n"] for r in labels.select("n").distinct().collect())  # lengths of labels, a handful
+    if not sizes:
+        return queries.select("query_id", F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
+    words = queries.select("query_id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
+    starts = words.select("query_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start")).filter(F.size("w") > 0)
+    runs = starts.select("query_id", "w", "start", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    runs = runs.filter(F.col("start") + F.col("n") <= F.size("w")).select(
+        "query_id", "start", (F.col("start") + F.col("n")).alias("stop"), F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("term")
+    )
+    few, _ = broadcast_if_small(labels.select("term"))
+    found = runs.join(few, "term", "left_semi")
+    before = Window.partitionBy("query_id").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)  # one text's runs
+    reach = F.max("stop").over(before)
+    return found.withColumn("r", reach).filter(F.coalesce("r", F.lit(-1)) < F.col("stop")).select("query_id", "term", "start", "stop")
+
+
 def tables_for_values(mentions: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:
-    """Terms of a query -> lookups holding them as a value -> columns referencing those lookups.
+    """Labels that a query mentions -> lookups holding them -> columns referencing those lookups.
 
     ``mentions``: query_id, term. ``values``: ref_table, map_key, map_value. ``edges``: table_name,
     column_name, ref_table.
     """
-    named = values.select("ref_table", "map_key", F.lower("map_value").alias("term")).distinct()
+    named = values.select("ref_table", "map_key", label_term(F.col("map_value")).alias("term")).distinct()
     targets = named.join(edges, "ref_table")
-    return mentions.join(targets, "term").select(
+    return mentions.select("query_id", "term").distinct().join(targets, "term").select(
         "query_id", "term", "ref_table", "map_key", "table_name", "column_name"
     )
 

@@ -577,19 +577,27 @@ def enrich_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "src_descriptions",
-    f"""SELECT owner, table_name, arg_max(text, doc_id) AS text FROM (
-          SELECT upper(source) AS owner, upper(lang) AS table_name, {CLEAN_SQL} AS text, doc_id FROM documents)
-        WHERE text IS NOT NULL GROUP BY 1, 2""",
+    f"""WITH sheet AS (SELECT source, lang, {CLEAN_SQL} AS text, doc_id FROM documents)
+        SELECT 'table' AS sheet, upper(source) AS first, upper(lang) AS second, arg_max(text, doc_id) AS text FROM sheet
+        WHERE text IS NOT NULL GROUP BY 2, 3
+        UNION ALL SELECT 'column', upper(lang), upper(source) || '_' || doc_id % 7, arg_max(text, doc_id) FROM sheet
+        WHERE text IS NOT NULL GROUP BY 2, 3""",
 )
 def src_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    sheet = documents.select(
+    """Both sheets: texts by owner and table, and by table and column."""
+    rows = table(spark, d, "documents")
+    sheet = rows.select(
         F.col("source").alias("Owner"), F.concat(F.lit(" "), "lang").alias("Name"),
         F.col("text").alias("Comment"), F.col("doc_id").alias("row_no"),
     )
-    columns = sheet.select(F.col("Owner").alias("Table"), "Name", "Comment", "row_no")
-    per_table, _ = K.description_sheets(sheet, columns)
-    return per_table
+    columns = rows.select(
+        F.concat("lang", F.lit("\t")).alias("Table"), F.concat_ws("_", F.upper("source"), F.col("doc_id") % 7).alias("Name"),
+        F.col("text").alias("Comment"), F.col("doc_id").alias("row_no"),
+    )
+    per_table, per_column = K.description_sheets(sheet, columns)
+    return per_table.select(F.lit("table").alias("sheet"), F.col("owner").alias("first"), F.col("table_name").alias("second"), "text").unionByName(
+        per_column.select(F.lit("column").alias("sheet"), F.col("table_name").alias("first"), F.col("column_name").alias("second"), "text")
+    )
 
 
 # --- aggregations -------------------------------------------------------------------------------

@@ -20,34 +20,42 @@ from starcard.sources import files, sinks
 
 @query(
     "src_csv_tables",
-    """SELECT 'orders' AS name, o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS a, o_orderpriority AS b, o_totalprice AS x FROM orders
-       UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, c_acctbal FROM customer
-       UNION ALL SELECT 'nation', n_nationkey, n_name, NULL, NULL FROM nation""",
+    """SELECT 'orders' AS name, o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS a, o_orderpriority AS b, o_totalprice AS x,
+              o_orderdate AS at, 'bigint,bigint,string,decimal(15,2),timestamp,string' AS kinds FROM orders
+       UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment, c_acctbal, NULL, 'bigint,string,bigint,decimal(15,2),string' FROM customer
+       UNION ALL SELECT 'nation', n_nationkey, n_name, NULL, NULL, NULL, 'bigint,string,bigint' FROM nation
+       UNION ALL SELECT 'events', event_id, event_type, props, value, ts, 'int,timestamp,int,string,double,string' FROM events""",
 )
 def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
-    """A folder of exports, typed by the dictionary, stored as the tables of a namespace and read from there."""
+    """A folder of exports, typed by the dictionary (a table that it doesn't know by its rows), stored as the tables of a namespace."""
     exports, store = scratch_path(spark, "csv"), scratch_path(spark, "store")
     columns = []
-    for name in ("orders", "customer", "nation"):
+    for name in ("orders", "customer", "nation", "events"):
         rows = table(spark, d, name)
-        rows = rows.select([c for c in rows.columns if c != "o_orderdate"])
         rows.write.option("header", True).option("escape", '"').csv(f"{exports}/{name}")
-        for i, f in enumerate(rows.schema):
-            kind = f.dataType.typeName()
-            whole = kind in ("long", "integer")
-            columns.append(("STAR", name.upper(), f.name, i, "VARCHAR2" if kind == "string" else "NUMBER", 15 if whole else None, 0 if whole else None))
+        for i, f in enumerate(rows.schema if name != "events" else []):
+            kind = f.dataType.typeName().removesuffix("_ntz")
+            kind = {"string": ("VARCHAR2", None, None), "timestamp": ("DATE", None, None), "double": ("NUMBER", 15, 2)}.get(kind, ("NUMBER", 15, 0))
+            columns.append(("STAR", name.upper(), f.name, i, *kind))
     shape = "owner string, table_name string, column_name string, column_id int, data_type string, data_precision int, data_scale int"
     known = spark.createDataFrame(columns, shape).withColumns({c: F.lit(100) for c in ("data_length", "char_length")})
     for name, rows in files.read_csv_folder(spark, exports, known, "STAR").items():
         files.build_namespace(rows, store, "STAR", name, reset=True)
     spots = files.discover_namespaces(spark, store)["STAR"]
-    text, none = F.lit(None).cast("string"), F.lit(None).cast("double")
-    picked = [
-        spark.read.parquet(spots["orders"]).select(F.lit("orders").alias("name"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").cast("string").alias("a"), F.col("o_orderpriority").alias("b"), F.col("o_totalprice").cast("double").alias("x")),
-        spark.read.parquet(spots["customer"]).select(F.lit("customer"), F.col("c_custkey").cast("long"), "c_name", "c_mktsegment", F.col("c_acctbal").cast("double")),
-        spark.read.parquet(spots["nation"]).select(F.lit("nation"), F.col("n_nationkey").cast("long"), "n_name", text, none),
-    ]
-    return files.union_all([p.toDF("name", "id", "a", "b", "x") for p in picked])
+    none = F.lit(None)
+    picked = {
+        "orders": ("o_orderkey", F.col("o_custkey").cast("string"), "o_orderpriority", "o_totalprice", "o_orderdate"),
+        "customer": ("c_custkey", "c_name", "c_mktsegment", "c_acctbal", none), "nation": ("n_nationkey", "n_name", none, none, none),
+        "events": ("event_id", "event_type", "props", "value", "ts"),
+    }
+    frames = []
+    for name, (key, a, b, x, at) in picked.items():
+        rows = spark.read.parquet(spots[name])
+        kinds = ",".join(f.dataType.simpleString() for f in rows.schema)
+        cells = [c if not isinstance(c, str) else F.col(c) for c in (key, a, b, x, at)]
+        cells = [c.cast(k) for c, k in zip(cells, ("long", "string", "string", "double", "timestamp"), strict=True)]
+        frames.append(rows.select(F.lit(name).alias("name"), *cells, F.lit(kinds)).toDF("name", "id", "a", "b", "x", "at", "kinds"))
+    return files.union_all(frames)
 
 
 def _same(*names: str) -> dict[str, str]:
@@ -194,24 +202,41 @@ _NOT_SYSTEM = """table_name NOT LIKE 'DR$%' AND table_name NOT LIKE 'BIN$%' AND
   AND table_name NOT LIKE 'RUPD$%' AND table_name NOT LIKE 'ZZ_%' AND table_name NOT LIKE 'RV$%'"""
 
 
+#: The view behind each array; a schema's grants come in either form.
+_VIEWS = [a for a in _ARRAYS if a != "foreign_keys"]
+
+
 @query(
     "src_jdbc_dictionary",
     _cat(
-        "UNION ALL ".join(
-            f"SELECT '{v}' AS view, owner, count(*) AS n FROM cat_{v} WHERE {_NOT_SYSTEM} GROUP BY 2\n"
-            for v in ("tables", "columns", "constraints")
-        )
+        "SELECT part AS view, schema AS owner, table_name, count(*) AS n, min(name) AS first, CAST(max(wide) AS INTEGER) AS n_columns FROM ("
+        + " UNION ALL ".join(f"SELECT *, {6 if v == 'grants' else len({'owner', *_ARRAYS[v][2]} - {'table_owner'})} AS wide FROM ({_told_sql(v)})" for v in _VIEWS)
+        + f") WHERE {_NOT_SYSTEM} GROUP BY ALL",
+        FK_SQL,
     ),
 )
 def src_jdbc_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """The shaping done to each dictionary view, on views held as frames instead of a database."""
-    shaped = [
-        files.shape_view("tables", cat_tables(spark, d)).select(F.lit("tables").alias("view"), "owner", "table_name"),
-        files.shape_view("columns", cat_columns(spark, d)).select(F.lit("columns"), "owner", "table_name"),
-        files.shape_view("constraints", cat_constraints(spark, d)).select(F.lit("constraints"), "owner", "table_name"),
-    ]
-    rows = files.union_all([s.toDF("view", "owner", "table_name") for s in shaped])
-    return rows.groupBy("view", "owner").agg(F.count(F.lit(1)).alias("n"))
+    """The shaping done to each of the eleven views, on views held as frames instead of a database; grants come in both forms."""
+    frames = {
+        "cat_tables": cat_tables(spark, d), "cat_columns": cat_columns(spark, d), "cat_constraints": cat_constraints(spark, d),
+        "cat_constraint_columns": cat_constraint_columns(spark, d),
+    }
+    odd, rows = "owner rlike '[13579]$'", []
+    for view in _VIEWS:
+        source, _, cells, name, _ = _ARRAYS[view]
+        forms = {"grants": [(f"NOT {odd}", "owner", ("type", "'TABLE'")), (odd, "table_schema", ("hierarchy", "'NO'"))]}
+        for form, owner, more in forms.get(view, [("true", files.OWNER_COLUMN.get(view, "owner"), None)]):
+            told = {f: e for f, e in cells.items() if f not in ("type", "hierarchy", "table_schema", owner)}
+            told |= {"grantable": "'NO'"} | dict([more]) if more else {}
+            named = F.col("owner").alias(owner.upper())
+            held = frames[source].filter(form).select(named, *[F.expr(e).alias(f.upper()) for f, e in told.items()])
+            shaped = files.shape_view(view, held.filter(f"NOT {odd}") if view == "triggers" else held)
+            key = files.owner_column(view, shaped.columns)
+            first = F.col(shaped.columns[-1] if name == "kind" else name).cast("string").alias("first")
+            rows.append(shaped.select(F.lit(view).alias("view"), F.col(key).alias("owner"), "table_name", first, F.lit(len(shaped.columns)).alias("wide")))
+    return files.union_all(rows).groupBy("view", "owner", "table_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.max("wide").alias("n_columns")
+    )
 
 
 _LINE_ORDER = [
@@ -314,11 +339,13 @@ def sink_state_dump(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("file", "run_id", "value")
 
 
-@query("history_list", _DUMP_SQL + " ORDER BY file")
+@query("history_list", f"SELECT file, run_id, CASE WHEN run_id = 77 THEN value END AS opened FROM ({_DUMP_SQL}) ORDER BY file")
 def history_list(spark: SparkSession, d: str) -> DataFrame:
+    """All names in order, and one of them opened."""
     path = scratch_path(spark, "dumps")
     sinks.write_dumps(_states(spark, d), path)
-    return sinks.list_dumps(spark, path)
+    one = sinks.read_dump(spark, path, 77).select("file", F.col("value").alias("opened"))
+    return sinks.list_dumps(spark, path).join(F.broadcast(one.limit(1)), "file", "left")
 
 
 @query(

@@ -608,27 +608,39 @@ def q31(spark: SparkSession, d: str) -> DataFrame:
     return df
 
 
-VALUE_EDGES = [("PART", "P_TYPE", "TYPE"), ("PROMOTION", "TYPE_ID", "TYPE"), ("CUSTOMER", "C_MKTSEGMENT", "SEGMENT")]
+VALUE_EDGES = [
+    ("PART", "P_TYPE", "TYPE"), ("PROMOTION", "TYPE_ID", "TYPE"), ("CUSTOMER", "C_MKTSEGMENT", "SEGMENT"), ("PART", "P_NAME", "NAME"),
+    ("PROMOTION", "OFFER_ID", "OFFER"),
+]
+_SAID = "concat('list ', p_type, ' -- ', p_name, CASE p_partkey % 3 WHEN 0 THEN ' for machinery' WHEN 1 THEN ', buildings' ELSE '' END)"
+_OFFER = "concat(p_type, ' ', p_name)"
 
 
 @query(
     "value_to_table",
-    f"""WITH {_words_sql('said', 'part', 'p_partkey', 'p_name')},
-        held AS (SELECT DISTINCT 'TYPE' AS ref_table, p_type AS map_key, lower(p_type) AS term FROM part
-                 UNION SELECT 'SEGMENT', c_mktsegment, lower(c_mktsegment) FROM customer)
-        SELECT DISTINCT p_partkey AS query_id, term, ref_table, map_key, table_name, column_name
-        FROM said JOIN held USING (term)
+    f"""WITH toks AS (SELECT p_partkey AS query_id, regexp_extract_all(lower({_SAID}), '{TOKEN}') AS w FROM part),
+        labels AS (SELECT DISTINCT 'TYPE' AS ref_table, p_type AS map_key FROM part
+                   UNION SELECT 'SEGMENT', c_mktsegment FROM customer UNION SELECT 'NAME', p_name FROM part
+                   UNION SELECT 'OFFER', {_OFFER} FROM part WHERE p_partkey % 10 = 0),
+        held AS (SELECT *, array_to_string(regexp_extract_all(lower(map_key), '{TOKEN}'), ' ') AS term FROM labels),
+        spans AS (SELECT query_id, i AS s, i + l AS e, array_to_string(list_slice(w, i + 1, i + l), ' ') AS term
+                  FROM (SELECT query_id, w, unnest(range(len(w))) AS i FROM toks), (VALUES (1), (2), (3)) v(l) WHERE i + l <= len(w)),
+        found AS (SELECT DISTINCT query_id, s, e, term FROM spans WHERE term IN (SELECT term FROM held)),
+        kept AS (SELECT DISTINCT query_id, term FROM found f WHERE NOT EXISTS (
+          SELECT 1 FROM found g WHERE g.query_id = f.query_id AND g.s <= f.s AND g.e >= f.e AND g.e - g.s > f.e - f.s))
+        SELECT query_id, term, ref_table, map_key, table_name, column_name FROM kept JOIN held USING (term)
         JOIN (VALUES {', '.join(str(e) for e in VALUE_EDGES)}) e(table_name, column_name, ref_table) USING (ref_table)""",
 )
 def value_to_table(spark: SparkSession, d: str) -> DataFrame:
-    said = table(spark, d, "part").select(
-        F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(tokens(F.col("p_name")))).alias("term")
-    )
-    kinds = table(spark, d, "part").select(F.lit("TYPE").alias("ref_table"), F.col("p_type").alias("map_key"))
-    segments = table(spark, d, "customer").select(F.lit("SEGMENT"), "c_mktsegment")
-    values = kinds.union(segments).distinct().withColumn("map_value", F.col("map_key"))
+    """Labels of one, two and three words, some inside others."""
+    part = table(spark, d, "part")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.expr(_SAID).alias("text"))
+    values = part.select(F.lit("TYPE").alias("ref_table"), F.col("p_type").alias("map_key")).union(
+        table(spark, d, "customer").select(F.lit("SEGMENT"), "c_mktsegment")
+    ).union(part.select(F.lit("NAME"), "p_name")).union(part.filter("p_partkey % 10 = 0").select(F.lit("OFFER"), F.expr(_OFFER)))
+    values = cut(values.distinct().withColumn("map_value", F.col("map_key")))
     edges = spark.createDataFrame(VALUE_EDGES, "table_name string, column_name string, ref_table string")
-    return X.tables_for_values(said, values, edges)
+    return X.tables_for_values(X.value_mentions(asked, values), values, edges)
 
 
 _CORE_NAMES = ["ORDERS", "LINEITEM", "PART", "CUSTOMER"]

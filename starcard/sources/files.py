@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import logging
 import re
 from fnmatch import fnmatch
@@ -75,7 +76,7 @@ def read_csv_folder(
 ) -> dict[str, DataFrame]:
     """One schema's exported tables, ``base/<table>.csv`` files or ``base/<table>`` folders, by table name.
 
-    Types come from the catalog's ``columns`` of ``owner``; a table that the catalog doesn't know is read as text columns.
+    Types come from the catalog's ``columns`` of ``owner``; those of a table that the catalog doesn't know are inferred from its rows.
     """
     known = columns.filter(F.upper("owner") == owner.upper())
     ddl: dict[str, list[tuple[int, str]]] = {}
@@ -89,7 +90,7 @@ def read_csv_folder(
         parts = ddl.get(table.upper())
         typed = ", ".join(c for _, c in sorted(parts)) if parts else None
         reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        found[table] = (reader.schema(typed) if typed else reader).csv(f"{base}/{name}")
+        found[table] = (reader.schema(typed) if typed else reader.option("inferSchema", True)).csv(f"{base}/{name}")
     return found
 
 
@@ -192,12 +193,30 @@ def available_schemas(cards: DataFrame) -> DataFrame:
     return cards.filter(valid_schema(name)).groupBy(name.alias("schema_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def owner_groups(sizes: list[tuple[str, int]], partitions: int) -> list[list[str]]:
+    """Owners dealt to at most ``partitions`` groups of about equal size: the largest first, each to the group with the least so far."""
+    groups: list[tuple[int, int, list[str]]] = [(0, i, []) for i in range(max(1, min(partitions, len(sizes))))]
+    for owner, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        total, i, held = heapq.heappop(groups)
+        heapq.heappush(groups, (total + size, i, [*held, owner]))
+    return [held for _, _, held in sorted(groups, key=lambda g: g[1]) if held]
+
+
+def owner_predicates(owner: str, groups: list[list[str]]) -> list[str]:
+    """One condition per group; a quote in a name is doubled."""
+    quoted = [", ".join("'" + o.replace("'", "''") + "'" for o in group) for group in groups]
+    return [f"{owner} IN ({names})" for names in quoted]
+
+
 def dictionary_views(
     spark: SparkSession, url: str, owners: list[str], properties: dict[str, str], partitions: int = 8
 ) -> dict[str, DataFrame]:
-    """Dictionary views over JDBC, one partition per group of owners, system tables left out."""
-    quoted = ["'" + o.upper().replace("'", "''") + "'" for o in sorted(set(owners))]
-    groups = [quoted[i::partitions] for i in range(min(partitions, len(quoted)))]
+    """The eleven dictionary views over JDBC, system tables left out; a partition reads owners of about equally many columns in all."""
+    wanted = sorted({o.upper() for o in owners})
+    names = ", ".join("'" + o.replace("'", "''") + "'" for o in wanted)
+    counted = f"(SELECT owner, count(*) AS n FROM {DICTIONARY_VIEWS['columns']} WHERE owner IN ({names}) GROUP BY owner) v"
+    found = {r[0]: int(r[1]) for r in spark.read.jdbc(url, counted, properties=properties).collect()}  # a row per asked owner
+    groups = owner_groups([(o, found.get(o, 0)) for o in wanted], partitions)
     read = {}
     for array, view in DICTIONARY_VIEWS.items():
         head = spark.read.jdbc(url, f"(SELECT * FROM {view} WHERE 1 = 0) v", properties=properties)
@@ -205,9 +224,7 @@ def dictionary_views(
         if owner is None:
             read[array] = head
             continue
-        rows = spark.read.jdbc(
-            url, view, predicates=[f"{owner} IN ({', '.join(g)})" for g in groups], properties=properties
-        )
+        rows = spark.read.jdbc(url, view, predicates=owner_predicates(owner, groups), properties=properties)
         read[array] = shape_view(array, rows)
     return read
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.operators.runlog import key_differences
-from starcard.sources.files import card_bucket
 from starcard.rules import RUN_FIELDS, RUN_FILE
+from starcard.session import shuffle_width
+from starcard.sources.files import CARD_BUCKETS, card_bucket
 
 SAMPLE_ROWS = 1000
 
@@ -55,8 +56,9 @@ def write_cards(
     counted, rows = rows, rows.observe(seen, *sums)
     bucket = card_bucket(F.col("table_metadata.schema_name")).alias("schema_bucket")
     new = rows.filter(~F.col("_kept") & ~F.col("_out")).select(*cards.columns, bucket)
-    # A bucket is written by a few tasks, so one schema with most of the tables is split as well.
-    spread = new.repartition("schema_bucket", F.pmod(F.xxhash64("table_metadata.name"), F.lit(4)))
+    # A bucket is written by several tasks, more of them the wider shuffles are, so one schema with most of the tables is split as well.
+    share = max(4, shuffle_width(cards.sparkSession) // CARD_BUCKETS)
+    spread = new.repartition("schema_bucket", F.pmod(F.xxhash64("table_metadata.name"), F.lit(share)))
     writer = spread.write.mode("overwrite" if overwrite else "append").partitionBy("schema_bucket")
     writer.json(path)
     try:
@@ -89,8 +91,8 @@ def write_dumps(states: DataFrame, path: str, bucket_rows: int = 100_000) -> Non
 
 
 def list_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs, by file name."""
-    return spark.read.parquet(path).select("file", "run_id", "value").orderBy("file")
+    """Names of stored runs, sorted; ``read_dump`` opens one. What they hold is neither read nor sorted."""
+    return spark.read.parquet(path).select("file", "run_id").orderBy("file")
 
 
 def read_dump(spark: SparkSession, path: str, run_id: int, bucket_rows: int = 100_000) -> DataFrame:
