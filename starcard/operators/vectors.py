@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from starcard.functions.text import tokens
 from starcard.operators.search import best
 from starcard.rules import TOP_K
-from starcard.session import broadcast_if_small, scratch_path, stored
+from starcard.session import broadcast_if_small, scratch_path, shuffle_width, stored
 
 CARRIED_QUERIES = 4096
 BLOCK_QUERIES = 2048
@@ -161,7 +161,10 @@ def fit_cells(vectors: DataFrame, path: str, cells: int | None = None, sample: i
     placed = Normalizer(inputCol="v", outputCol="u").transform(rows)
     some = placed if total <= sample else placed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (sample << 20) // total)
     model = KMeans(k=n, seed=7, featuresCol="u", predictionCol="cell", maxIter=10).fit(some)
-    model.transform(placed).select("doc_id", "vector", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+    # a cell is written by a few tasks: neither a file per task and cell nor one task for a hot cell
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, shuffle_width(vectors.sparkSession) // 8)))
+    dealt = model.transform(placed).select("doc_id", "vector", "cell").repartition("cell", share)
+    dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     vectors.sparkSession.createDataFrame(centers, "doc_id bigint, vector array<double>").write.parquet(f"{path}/centers")
     return Cells(path, len(centers))

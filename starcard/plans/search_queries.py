@@ -13,6 +13,7 @@ from starcard.operators import cards as C
 from starcard.operators import catalog as K
 from starcard.operators import expand as X
 from starcard.operators import fielded as S
+from starcard.operators import quantized as Z
 from starcard.operators import retrieval as V
 from starcard.operators import search as R
 from starcard.operators import vectors as N
@@ -183,9 +184,9 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
        FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)""",
 )
 def knn_ann(spark: SparkSession, d: str) -> DataFrame:
-    """Hits per query, and whether they hold nine tenths of the exact ones over all queries."""
+    """Hits per query on compressed vectors, and whether they hold nine tenths of the exact ones over all queries."""
     asked, vectors = _asked_vectors(spark, d), _vectors(spark, d)
-    near = cut(N.search_cells(N.fit_cells(vectors, scratch_path(spark, "cells")), asked))
+    near = cut(Z.search(Z.fit(vectors, scratch_path(spark, "quantized")), asked))
     exact = N.knn(asked, vectors).select("query_id", "doc_id")
     reached = near.join(exact, ["query_id", "doc_id"]).count() >= 0.9 * exact.count()
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")).withColumn("recall_reached", F.lit(reached))
