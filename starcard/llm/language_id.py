@@ -214,15 +214,18 @@ def gram_counts_of(counts: DataFrame) -> DataFrame:
     return partial.filter("item NOT IN ('^', '$')").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def _table(rows: list, langs: list[str], totals: dict[str, float], alpha: float) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Entries of (item, {lang: n}) as log frequencies with ``alpha`` added to every count, and which counts there are."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts = np.zeros((len(rows), len(langs)))
-    for i, row in enumerate(rows):
-        for lang, n in row["ns"].items():
-            counts[i, at[lang]] = n
-    sizes = np.array([totals.get(lang, 0.0) for lang in langs]) + alpha * (len(rows) + 1)
-    return {row["item"]: i for i, row in enumerate(rows)}, np.log((counts + alpha) / sizes), counts > 0
+def _table(chosen: DataFrame, langs: list[str], totals: dict[str, float], alpha: float) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Entries of (item, ns) as log frequencies with ``alpha`` added to every count, and which counts there are.
+
+    The rows come as columns of numbers: as objects they would take ten times the room.
+    """
+    of = [F.coalesce(F.try_element_at("ns", F.lit(lang)), F.lit(0)).cast("double").alias(f"n{i}") for i, lang in enumerate(langs)]
+    rows = chosen.select("item", *of).toArrow()
+    items = rows.column("item").to_pylist()
+    order = sorted(range(len(items)), key=items.__getitem__)
+    counts = np.column_stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))])[order]
+    sizes = np.array([totals.get(lang, 0.0) for lang in langs]) + alpha * (len(items) + 1)
+    return {items[i]: at for at, i in enumerate(order)}, np.log((counts + alpha) / sizes), counts > 0
 
 
 def _shares(sizes: dict[str, int], keep: int) -> dict[str, int]:
@@ -266,7 +269,7 @@ def fit(labelled: DataFrame, words: int = 100_000, grams: int = 200_000, alpha:
         return LanguageModel([])
 
     def table(of: DataFrame, totals: dict[str, float], keep: int) -> tuple:
-        return _table(sorted(_most_telling(of, totals, keep).collect(), key=lambda r: r["item"]), langs, totals, alpha)
+        return _table(_most_telling(of, totals, keep), langs, totals, alpha)
 
     word_at, word_logs, word_has = table(counts, sizes, words)
     gram_counts = stored(gram_counts_of(counts), "language-grams")

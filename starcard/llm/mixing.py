@@ -62,9 +62,11 @@ class DomainModel:
 def _regress(rows: np.ndarray, at: np.ndarray, classes: int, ridge: float = 1e-3, rounds: int = 400):
     """Multinomial logistic regression by accelerated gradient descent on standardised features."""
     mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-    x = np.column_stack([(rows - mean) / scale, np.ones(len(rows))])
+    x = np.ones((len(rows), rows.shape[1] + 1))
+    np.subtract(rows, mean, out=x[:, :-1])
+    x[:, :-1] /= scale
     y = np.eye(classes)[at]
-    step = 1.0 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + ridge)
+    step = 1.0 / (0.5 * np.linalg.eigvalsh(x.T @ x)[-1] / len(x) + ridge)
     w = ahead = np.zeros((x.shape[1], classes))
     for i in range(rounds):
         z = x @ ahead
@@ -106,9 +108,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, most: int = 20_000, words: i
         for batch in batches:
             yield pd.DataFrame({"domain": batch["domain"], "x": list(DomainModel(**bare).features(batch["text"])[1])})
 
-    table = rows.mapInPandas(features, "domain string, x array<double>").toPandas()
-    at = np.array([domains.index(d) for d in table["domain"]])
-    model.mean, model.scale, model.weights = _regress(np.stack(table["x"]), at, len(domains))
+    table = rows.mapInPandas(features, "domain string, x array<double>").toArrow().combine_chunks()
+    at = np.array([domains.index(d) for d in table.column("domain").to_pylist()])
+    found = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    model.mean, model.scale, model.weights = _regress(found, at, len(domains))
     return model
 
 
