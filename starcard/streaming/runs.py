@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,6 +12,10 @@ from starcard.operators.runlog import fold_progress, key_differences
 from starcard.session import scratch_path
 
 
+#: Run ids of a range, which is a folder of the log.
+RANGE_RUNS = 100_000
+
+
 def read_stream(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
@@ -60,10 +64,22 @@ def stream_progress(
     return latest.select(run, "s.*")
 
 
+def _range_of(run: Column) -> Column:
+    """The folder of a run id: ids of one range lie together; those without an id have one of their own."""
+    return F.coalesce(F.floor(run / RANGE_RUNS).cast("long"), F.lit(-1).cast("long"))
+
+
+def _logged(spark: SparkSession, path: str, kind: StructType, ranges: list[int], own: str) -> DataFrame:
+    """Run ids of the log in the given ranges, without what batch ``own`` wrote; other ranges aren't listed for reading."""
+    log = spark.read.schema(kind).option("basePath", path).parquet(path)
+    return log.filter(F.col("run_range").isin(ranges) & (F.col("part") != own)).select("run_id")
+
+
 def stream_run_log(runs: DataFrame, path: str, fields: list[str], checkpoint: str | None = None) -> DataFrame:
     """Append runs as they finish, one row per run id however often and however late it is delivered.
 
-    Every batch leaves out the runs that the log holds already. The stream's state lies beside the log unless
+    The log lies in folders by batch and by range of ``RANGE_RUNS`` run ids. A batch reads the ranges that it has runs of, and leaves out
+    the runs found there, so its work grows with those ranges and not with the log. The stream's state lies beside the log unless
     ``checkpoint`` names another folder, so a later call goes on with what is new; a stream with a state of its
     own may append to the same log. Of deliveries in one batch the least row stays.
     """
@@ -72,16 +88,23 @@ def stream_run_log(runs: DataFrame, path: str, fields: list[str], checkpoint: st
         raise ValueError(f"run row does not match the log: missing {missing}, extra {extra}")
     spark = runs.sparkSession
     once = runs.select(*fields)
+    kind = StructType([*once.schema.fields]).add("part", "string").add("run_range", "long")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = f"{_stream_name(batch)}-{batch_id}"
-        new = batch.groupBy("run_id").agg(F.min(F.struct(*fields)).alias("r")).select("r.*")
-        if _exists(batch.sparkSession, path):
-            log = batch.sparkSession.read.option("basePath", path).parquet(path).filter(F.col("part") != own)
-            new = new.join(log.select("run_id"), "run_id", "left_anti")
-        new.select(*fields).write.mode("overwrite").parquet(f"{path}/part={own}")
+        new = batch.groupBy("run_id").agg(F.min(F.struct(*fields)).alias("r")).select("r.*").withColumn("run_range", _range_of(F.col("run_id")))
+        new = new.persist()
+        try:
+            if _exists(batch.sparkSession, path):
+                ranges = sorted(r[0] for r in new.select("run_range").distinct().collect())  # a number per range of ids
+                new_only = new.join(_logged(batch.sparkSession, path, kind, ranges, own), "run_id", "left_anti")
+            else:
+                new_only = new
+            new_only.select(*fields, "run_range").write.mode("overwrite").partitionBy("run_range").parquet(f"{path}/part={own}")
+        finally:
+            new.unpersist()
 
     _run_to_end(once, "append", write, checkpoint or f"{path.rstrip('/')}.state")
     if not _exists(spark, path):  # nothing has been delivered yet
         return spark.createDataFrame([], once.schema)
-    return spark.read.option("basePath", path).parquet(path).select(*fields)
+    return spark.read.schema(kind).option("basePath", path).parquet(path).select(*fields)

@@ -15,6 +15,7 @@ from starcard.plans.readonly import Outcome, check_sql, run_readonly, write_resu
 from starcard.rules import RUN_FIELDS
 from starcard.session import Scratch, build_session, scratch_path, stored
 from starcard.sources import files, sinks
+from starcard.streaming import runs
 from starcard.streaming.runs import read_stream, stream_progress, stream_run_log
 
 
@@ -244,6 +245,22 @@ def test_run_log_keeps_late_runs_and_goes_on_in_later_calls(spark, tmp_path):
     assert sorted(r["run_id"] for r in fresh.collect()) == [10, 11, 12, 13]
 
 
+def test_a_batch_reads_the_ranges_it_has_runs_of(spark, tmp_path, monkeypatch):
+    kind, folder, path = "run_id long, v string", str(tmp_path / "in"), str(tmp_path / "log")
+    asked = []
+    plain = runs._logged
+    monkeypatch.setattr(runs, "_logged", lambda *a: asked.append((a[3], plain(*a))) or asked[-1][1])
+
+    def deliver(*ids):
+        spark.createDataFrame([(i, "x") for i in ids], kind).coalesce(1).write.mode("append").parquet(folder)
+        return sorted(r["run_id"] if r["run_id"] is not None else -1 for r in stream_run_log(read_stream(spark, folder, spark.createDataFrame([], kind).schema), path, ["run_id", "v"]).collect())
+
+    assert deliver(1, 250_000, 900_000) == [1, 250_000, 900_000]
+    assert deliver(250_000, 250_001, 250_001, -5, None) == [-5, -1, 1, 250_000, 250_001, 900_000]
+    assert asked[-1][0] == [-1, 2]
+    assert "run_range#" in asked[-1][1]._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1][:60]
+
+
 def test_folders_become_tables_and_namespaces(spark, tmp_path):
     csv = str(tmp_path / "csv")
     spark.createDataFrame([(1, "a,b", 2.5)], "id long, t string, x double").write.option("header", True).csv(f"{csv}/items")
