@@ -29,7 +29,7 @@ from starcard.functions.text import stemmed, tokens
 from starcard.operators.search import best
 from starcard.operators.segments import SEG, range_segments
 from starcard.rules import BM25_B, BM25_K1, TOP_K
-from starcard.session import broadcast_if_small, scratch_path, stored
+from starcard.session import broadcast_if_small, scratch_path, shuffle_width, stored
 
 #: Documents of a group, postings of a folder and the most folders, groups that are scored first.
 GROUP_DOCS, FOLDER_POSTINGS, MOST_FOLDERS, LEAD = 4096, 4_000_000, 4096, 2
@@ -131,14 +131,16 @@ def _accepted(docs: DataFrame, fields: Sequence[Field]) -> tuple[DataFrame, int]
 
 def _write_segment(spark: SparkSession, entries: DataFrame, path: str, fields: Sequence[Field], n_docs: int) -> int:
     """Blocks, term counts and totals of written ``entries``; returns the number of folders."""
-    m = len(fields)
+    many = entries.count()
+    folders = 1 << max(0, min(MOST_FOLDERS, many // FOLDER_POSTINGS).bit_length())
+    groups = max(1, -(-n_docs // GROUP_DOCS))
     docs = entries.groupBy("doc_id").agg(F.first("schema").alias("schema"), F.first("lens").alias("lens"))
-    docs = docs.withColumn("size", F.aggregate("lens", F.lit(0), lambda a, x: a + x))
-    sums = entries.agg(F.count(F.lit(1)).alias("p")).first()
-    found = docs.count()
-    folders = 1 << max(0, min(MOST_FOLDERS, sums["p"] // FOLDER_POSTINGS).bit_length())
-    groups = range_segments(docs.select("doc_id", "schema", "size"), ["schema", "size", "doc_id"], max(1, -(-found // GROUP_DOCS)))
-    posts = entries.join(groups.select("doc_id", F.col(SEG).alias("grp")), "doc_id")
+    if groups > 1:
+        sized = docs.select("doc_id", "schema", F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("size"))
+        placed = range_segments(sized, ["schema", "size", "doc_id"], groups).select("doc_id", F.col(SEG).alias("grp"))
+        posts = entries.join(placed, "doc_id")
+    else:
+        posts = entries.withColumn("grp", F.lit(0))
     posting = F.struct("doc_id", "schema", "tf", "lens")
     blocks = posts.groupBy("term", "grp").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
@@ -146,20 +148,21 @@ def _write_segment(spark: SparkSession, entries: DataFrame, path: str, fields: S
         F.min("schema").alias("first_schema"), F.max("schema").alias("last_schema"),
         F.sort_array(F.collect_list(posting)).alias("postings"),  # as many as a group has documents
     )
-    placed = blocks.withColumn("folder", _folder(folders))
-    _write_sorted(placed, ["folder", "term", "grp"], f"{path}/blocks", sums["p"])
+    # blocks of a frequent term are dealt by group as well
+    share = F.pmod(F.col("grp"), F.lit(max(1, shuffle_width(spark) // 4)))
+    _write_sorted(blocks.withColumn("folder", _folder(folders)), [share], ["folder", "term", "grp"], f"{path}/blocks", many)
     terms = spark.read.parquet(f"{path}/blocks").groupBy("folder", "term").agg(F.sum("n").alias("df"))
-    _write_sorted(terms, ["folder", "term"], f"{path}/terms", sums["p"])
-    _totals(docs, n_docs, m).coalesce(1).write.parquet(f"{path}/totals")
+    _write_sorted(terms, [], ["folder", "term"], f"{path}/terms", many)
+    _totals(docs, n_docs, len(fields)).coalesce(1).write.parquet(f"{path}/totals")
     return folders
 
 
-def _write_sorted(rows: DataFrame, order: list[str], path: str, many: int) -> None:
+def _write_sorted(rows: DataFrame, shares: list[Column], order: list[str], path: str, many: int) -> None:
     """Sorted rows in a folder per value of the first column; without any rows a file that tells the columns."""
     if not many:
         rows.limit(0).write.parquet(path)
         return
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(order[0]).parquet(path)
+    rows.repartition(order[0], *shares).sortWithinPartitions(*order).write.partitionBy(order[0]).parquet(path)
 
 
 def _totals(docs: DataFrame, n_docs: int, m: int) -> DataFrame:
