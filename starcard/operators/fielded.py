@@ -194,6 +194,11 @@ def create_index(spark: SparkSession, path: str, fields: Sequence[Field]) -> Fie
     return _publish(spark, FieldedIndex(path, tuple(fields)))
 
 
+def is_index(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def add_documents(index: FieldedIndex, docs: DataFrame, schema: str | None = None) -> FieldedIndex:
     """``docs``: doc_id, a column per field, and the schema column a search may be limited by. Known ids are replaced.
 

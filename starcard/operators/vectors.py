@@ -28,6 +28,8 @@ from starcard.session import broadcast_if_small, scratch_path, shuffle_width, st
 CARRIED_QUERIES = 4096
 BLOCK_QUERIES = 2048
 BLOCK_VECTORS = 50_000
+#: Scores that are held at once, 32 MB.
+SCORES = 4_000_000
 HIT_SCHEMA = "query_id bigint, doc_id bigint, score double"
 
 
@@ -37,21 +39,40 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int):
-    """Best k vectors per query: score down, then id up; all ties at the border are weighed."""
-    score = np.round(_unit(q) @ _unit(v).T, 6)
+    """Best k vectors per query: score down, then id up; all ties at the border are weighed.
+
+    So many queries are scored at a time that their scores take ``SCORES`` numbers.
+    """
+    q, v = _unit(q), _unit(v).T
+    step = max(1, SCORES // max(1, len(ids)))
     out_q, out_d, out_s = [], [], []
-    for row, qid in zip(score, query_ids):
-        if len(ids) > k:
-            keep = np.flatnonzero(row >= np.partition(row, len(ids) - k)[len(ids) - k])
-        else:
-            keep = np.arange(len(ids))
-        keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
-        out_q.append(np.full(len(keep), qid))
-        out_d.append(ids[keep])
-        out_s.append(row[keep])
+    for at in range(0, len(query_ids), step):
+        score = q[at : at + step] @ v
+        np.round(score, 6, out=score)
+        for row, qid in zip(score, query_ids[at : at + step]):
+            if len(ids) > k:
+                keep = np.flatnonzero(row >= np.partition(row, len(ids) - k)[len(ids) - k])
+            else:
+                keep = np.arange(len(ids))
+            keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
+            out_q.append(np.full(len(keep), qid))
+            out_d.append(ids[keep])
+            out_s.append(row[keep])
     return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
 
 
+def _merged(a: tuple | None, b: tuple, k: int) -> tuple:
+    """The k best per query of two lists (query ids, ids, scores)."""
+    if a is None:
+        return b
+    q, d, s = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return q[place < k], d[place < k], s[place < k]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -61,13 +82,15 @@ def _carried(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["vector"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
             v = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            found = _top(query_ids, q, ids, v, k)
+            found = _merged(found, _top(query_ids, q, ids, v, k), k)
+        if found is not None:  # k rows a query and partition, not a batch
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2])],
                 names=["query_id", "doc_id", "score"],

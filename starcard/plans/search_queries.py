@@ -23,7 +23,8 @@ from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
 from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_tables
 from starcard.rules import STOP_WORDS, TOKEN
-from starcard.session import cut, scratch_path
+from starcard.session import cut, kept_path, scratch_path
+from starcard.sources.files import content_name
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -144,8 +145,15 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", title.alias("title"), "text")
 
 
+def _built(spark: SparkSession, d: str, path: str) -> S.FieldedIndex:
+    return S.add_documents(S.create_index(spark, path, DOC_FIELDS), _titled(spark, d))
+
+
 def _index(spark: SparkSession, d: str) -> S.FieldedIndex:
-    return S.add_documents(S.create_index(spark, scratch_path(spark, "index"), DOC_FIELDS), _titled(spark, d))
+    """The index of the documents, kept under a name made of their files: changed files are another index."""
+    path = kept_path(spark, f"index-{content_name(spark, f'{d}/documents.parquet')}")
+    index = S.open_index(spark, path) if S.is_index(spark, path) else None
+    return index if index is not None and index.segments else _built(spark, d, path)
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -162,8 +170,8 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {INDEX_SQL} SELECT doc_id, term, tf_title, tf_text, len_title, len_text FROM posts JOIN lens USING (doc_id)""",
 )
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    """Postings of both fields, as the built index holds them."""
-    rows = S.postings(_index(spark, d), spark)
+    """Postings of both fields, as an index built now holds them."""
+    rows = S.postings(_built(spark, d, scratch_path(spark, "index")), spark)
     each = [F.get(a, F.lit(i)).cast("long").alias(f"{n}_{f.name}") for a, n in (("tf", "tf"), ("lens", "len")) for i, f in enumerate(DOC_FIELDS)]
     return rows.select("doc_id", "term", *each)
 

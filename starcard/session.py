@@ -78,6 +78,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that stays: ``name`` has to say what its content is made of."""
+    return f"{_shared_root(spark)}/starcard/kept/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages reread files, so a lost executor cannot change rows."""
     spark = df.sparkSession

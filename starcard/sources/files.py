@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import logging
 import re
@@ -67,6 +68,17 @@ def folder_names(spark: SparkSession, base: str) -> list[str]:
     return sorted(n for n in names if n[0] not in "._")
 
 
+def content_name(spark: SparkSession, path: str) -> str:
+    """A name for what lies at ``path``: a digest of its files' names, sizes and times of change."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, held = system.listFiles(where, True), []
+    while listed.hasNext():
+        f = listed.next()
+        held.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(held)).encode()).hexdigest()[:32]
+
+
 def name_is_valid(schema: str) -> bool:
     return re.search(SCHEMA_NAME.replace(r"\z", r"\Z"), schema) is not None
 
