@@ -32,7 +32,8 @@ def src_csv_tables(spark: SparkSession, d: str) -> DataFrame:
     columns = []
     for name in ("orders", "customer", "nation", "events"):
         rows = table(spark, d, name)
-        rows.write.option("header", True).option("escape", '"').csv(f"{exports}/{name}")
+        exact = {k: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for k in ("timestampFormat", "timestampNTZFormat")}
+        rows.write.option("header", True).option("escape", '"').options(**exact).csv(f"{exports}/{name}")
         for i, f in enumerate(rows.schema if name != "events" else []):
             kind = f.dataType.typeName().removesuffix("_ntz")
             kind = {"string": ("VARCHAR2", None, None), "timestamp": ("DATE", None, None), "double": ("NUMBER", 15, 2)}.get(kind, ("NUMBER", 15, 0))
