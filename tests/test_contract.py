@@ -9,7 +9,9 @@ from conftest import SF_CHECK, SF_SMALL
 import __spark_entry__ as contract
 from check import rows_of
 from starcard.operators import fielded
+from starcard.plans import search_queries
 from starcard.plans.registry import CHECKS, QUERIES
+from starcard.session import scratch_path
 
 ROWS_ONLY: set[str] = set()
 
@@ -59,14 +61,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in text and "c_name" not in text
 
 
+def _second_pass(spark, monkeypatch):
+    """The search of bm25_topk on groups so small that a second pass opens further ones."""
+    monkeypatch.setattr(fielded, "GROUP_DOCS", 20)
+    index = search_queries._built(spark, SF_SMALL, scratch_path(spark, "index"))
+    return fielded.search(index, search_queries._texts(spark, SF_SMALL))
+
+
 def test_topk_is_cut_before_the_shuffle(spark, monkeypatch):
     assert plan(contract.queries()["q34_topk_per_group"](spark, SF_CHECK)).count("WindowGroupLimit") == 2
-    monkeypatch.setattr(fielded, "GROUP_DOCS", 20)  # so that a second pass opens further groups
-    text = plan(contract.queries()["bm25_topk"](spark, SF_SMALL))
+    text = plan(_second_pass(spark, monkeypatch))
     assert text.count("WindowGroupLimit") >= 4 and text.count("row_number()") <= text.count("WindowGroupLimit") * 2
 
 
 def test_scoring_needs_no_shuffle_by_pair(spark, monkeypatch):
-    monkeypatch.setattr(fielded, "GROUP_DOCS", 20)
-    text = plan(contract.queries()["bm25_topk"](spark, SF_SMALL))
+    text = plan(_second_pass(spark, monkeypatch))
     assert "REPARTITION_BY_COL" in text and not re.search(r"hashpartitioning\([^)]*(doc_id#\d+L, query_id|query_id#\d+L, [^)]*doc_id)", text)
