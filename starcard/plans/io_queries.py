@@ -340,13 +340,12 @@ def sink_state_dump(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("file", "run_id", "value")
 
 
-@query("history_list", f"SELECT file, run_id, CASE WHEN run_id = 77 THEN value END AS opened FROM ({_DUMP_SQL}) ORDER BY file")
+@query("history_list", _DUMP_SQL + " ORDER BY file")
 def history_list(spark: SparkSession, d: str) -> DataFrame:
-    """All names in order, and one of them opened."""
+    """All runs in order of their names, each opened."""
     path = scratch_path(spark, "dumps")
     sinks.write_dumps(_states(spark, d), path)
-    one = sinks.read_dump(spark, path, 77).select("file", F.col("value").alias("opened"))
-    return sinks.list_dumps(spark, path).join(F.broadcast(one.limit(1)), "file", "left")
+    return sinks.open_dumps(spark, path)
 
 
 @query(

@@ -95,6 +95,11 @@ def list_dumps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("file", "run_id").orderBy("file")
 
 
+def open_dumps(spark: SparkSession, path: str) -> DataFrame:
+    """All stored runs with what they hold, by file name."""
+    return spark.read.parquet(path).select("file", "run_id", "value").orderBy("file")
+
+
 def read_dump(spark: SparkSession, path: str, run_id: int, bucket_rows: int = 100_000) -> DataFrame:
     rows = spark.read.parquet(path).filter(F.col("bucket") == run_id // bucket_rows)
     return rows.filter(F.col("run_id") == run_id).select("file", "value")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starcard.operators import cards as C
 from starcard.operators import runlog as R
 from starcard.plans.catalog_queries import restrict_schemas
+from starcard.plans.io_queries import history_list
 from starcard.plans.readonly import Outcome, check_sql, run_readonly, write_result
 from starcard.rules import RUN_FIELDS
 from starcard.session import Scratch, build_session, scratch_path, stored
@@ -305,3 +306,12 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session._shared_root(Other())
+
+
+def test_opened_dumps_are_whole_and_sorted(spark, tmp_path):
+    states = spark.createDataFrame([(100001, "b"), (2, "a")], "run_id long, user_query string")
+    sinks.write_dumps(states, str(tmp_path / "dumps"))
+    rows = sinks.open_dumps(spark, str(tmp_path / "dumps")).collect()
+    assert [(r["run_id"], r["value"]) for r in rows] == [(2, '{"user_query":"a"}'), (100001, '{"user_query":"b"}')]
+    spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "event_id int, event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert history_list(spark, str(tmp_path)).filter("value IS NULL").count() == 0
