@@ -9,6 +9,7 @@ from starcard.functions.text import normalize_name, safe_id
 from starcard.functions.types import affinity
 from starcard.operators.catalog import TABLE
 from starcard.rules import NOISE_VALUE_MAPS
+from starcard.session import shuffled
 
 _MAPS = "map<string,struct<n:bigint,value_column:string,entries:map<string,string>>>"
 CARD_SCHEMA = """
@@ -34,7 +35,7 @@ def nest(assembled: DataFrame, maps: DataFrame | None = None) -> DataFrame:
         per_table = maps.groupBy(*TABLE).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref_table", body)), _by_name)).alias("value_maps")
         )
-        cards = cards.join(per_table, TABLE, "left")
+        cards = cards.join(shuffled(per_table), TABLE, "left")
     else:
         cards = cards.withColumn("value_maps", F.lit(None).cast(_MAPS))
     meta = F.struct(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starcard.functions.text import clean_text, fk_parts, strip
 from starcard.functions.types import type_string
-from starcard.session import broadcast_if_small, cut
+from starcard.session import broadcast_if_small, cut, shuffled
 from starcard.rules import (
     FACT_ROWS,
     KEY_NAMES,
@@ -69,7 +69,7 @@ def keyed_columns(constraints: DataFrame, columns: DataFrame) -> DataFrame:
     held = columns.select(
         "owner", "constraint_name", F.col("table_name").alias("column_table"), "column_name", "position", "seq"
     )
-    return named.join(held, ["owner", "constraint_name"])
+    return named.join(shuffled(held), ["owner", "constraint_name"])
 
 
 def resolve_foreign_keys(keyed: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def resolve_foreign_keys(keyed: DataFrame) -> DataFrame:
     source = keyed.filter(F.col("constraint_type") == "R").select(
         "owner", "constraint_name", "table_name", "position", "column_name", "r_owner", "r_constraint_name"
     )
-    return source.join(target, ["r_owner", "r_constraint_name", "position"]).drop("r_constraint_name")
+    return source.join(shuffled(target), ["r_owner", "r_constraint_name", "position"]).drop("r_constraint_name")
 
 
 def foreign_key_map(resolved: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def declared_type() -> Column:
 def described(df: DataFrame, comments: DataFrame, on: list[str]) -> DataFrame:
     """Left join comments as ``description``; an empty comment counts as none."""
     text = comments.select(*on, F.nullif(F.col("comments"), F.lit("")).alias("description"))
-    return df.join(text, on, "left")
+    return df.join(shuffled(text), on, "left")
 
 
 def first_row_counts(tables: DataFrame) -> DataFrame:
@@ -259,7 +259,9 @@ def assemble(
     listed = kept.groupBy(*TABLE).agg(F.sort_array(F.collect_list(cell)).alias("cols"))
     facts = table_facts(tables)
     joined = (
-        listed.join(fks, TABLE, "left").join(primary_keys(keyed), TABLE, "left").join(facts, TABLE, "left")
+        listed.join(shuffled(fks), TABLE, "left")
+        .join(shuffled(primary_keys(keyed)), TABLE, "left")
+        .join(shuffled(facts), TABLE, "left")
     )
     target = F.try_element_at
     return joined.select(
@@ -289,7 +291,7 @@ def table_heads(tables: DataFrame, columns: DataFrame, filter_tables: bool = Tru
     if filter_tables:
         kept = columns.filter(~is_skipped(F.col("table_name"), F.col("owner")))
     names = kept.select(*TABLE).distinct()
-    return names.join(table_facts(tables), TABLE, "left").select(
+    return names.join(shuffled(table_facts(tables)), TABLE, "left").select(
         *TABLE, F.concat_ws(".", *TABLE).alias("qualified_name"), "row_count", "description"
     )
 
@@ -350,7 +352,7 @@ def fill_descriptions(assembled: DataFrame, table_texts: DataFrame, column_texts
     text = F.coalesce("_own", "_shared")
     now = missing(F.col("description")) & text.isNotNull()
     return (
-        assembled.join(own, (up_owner == F.col("_o")) & (up_table == F.col("_t")), "left")
+        assembled.join(shuffled(own), (up_owner == F.col("_o")) & (up_table == F.col("_t")), "left")
         .join(shared, up_table == F.col("_s"), "left")
         .join(per_table, up_table == F.col("_c"), "left")
         .withColumn("cols", F.transform("cols", filled))

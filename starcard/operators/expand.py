@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starcard.rules import LOOKUP_SCHEMA, MAX_TOTAL, SEED_COUNT, TOKEN
-from starcard.session import broadcast_if_small, cut
+from starcard.session import broadcast_if_small, cut, shuffled
 
 
 def neighbours_of(seeds: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
     """query_id, name of tables one edge away, distinct. ``edges``: src, dst, repeated ones do no harm."""
+    edges = shuffled(edges)
     out = seeds.join(edges, seeds["name"] == edges["src"]).select("query_id", F.col("dst").alias("name"))
     if reverse:
         back = seeds.join(edges, seeds["name"] == edges["dst"]).select(
@@ -44,16 +45,16 @@ def expand(
     if not enabled or seed_count == 0:
         return first
     near = neighbours_of(core.filter(F.col("rank") <= seed_count), edges, reverse)
-    fresh = near.join(core.select("query_id", "name"), ["query_id", "name"], "left_anti")
+    fresh = near.join(shuffled(core.select("query_id", "name")), ["query_id", "name"], "left_anti")
     lookup: Column = F.col("name").startswith(lookup_schema + ".")
     order = Window.partitionBy("query_id").orderBy(F.when(lookup, 0).otherwise(1), "name")
     placed = fresh.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_total)
     sizes = core.groupBy("query_id").agg(F.count(F.lit(1)).alias("core_n"))
-    room = placed.join(sizes, "query_id").filter(F.col("n") + F.col("core_n") <= max_total)
-    real = room.join(cards.select("name"), "name", "left_semi")
+    room = placed.join(shuffled(sizes), "query_id").filter(F.col("n") + F.col("core_n") <= max_total)
+    real = room.join(shuffled(cards.select("name")), "name", "left_semi")
     if allowed is not None:
         mine = F.array_contains("schemas", F.substring_index("name", ".", 1))
-        real = real.join(allowed.select("query_id", "schemas"), "query_id").filter(F.col("schemas").isNull() | mine)
+        real = real.join(shuffled(allowed.select("query_id", "schemas")), "query_id").filter(F.col("schemas").isNull() | mine)
     after = Window.partitionBy("query_id").orderBy("n")
     rest = real.select(
         "query_id", "name", (F.row_number().over(after) + F.col("core_n")).cast("int").alias("pos"),
@@ -69,7 +70,7 @@ def join_paths(starts: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
     followed from every owner; they are few (checked) and travel to the rest.
     """
     edges = cut(edges.select("owner", "src", "dst").distinct())
-    own = edges.filter(F.col("owner") != shared)
+    own = shuffled(edges.filter(F.col("owner") != shared))
     common, _ = broadcast_if_small(edges.filter(F.col("owner") == shared).select("src", "dst"))
     reached = starts.select(
         "owner", F.col("name").alias("start"), F.col("name").alias("target"), F.lit(0).alias("hops"),
@@ -88,7 +89,8 @@ def join_paths(starts: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
             F.concat_ws(">", "path", "dst").alias("path"),
         )
         best = step.groupBy("owner", "start", "target", "hops").agg(F.min("path").alias("path"))
-        front = cut(best.join(reached.select("owner", "start", "target"), ["owner", "start", "target"], "left_anti"))
+        seen = shuffled(reached.select("owner", "start", "target"))
+        front = cut(best.join(seen, ["owner", "start", "target"], "left_anti"))
         reached = reached.unionByName(front)
     return reached.filter(F.col("hops") > 0)
 
@@ -137,7 +139,7 @@ def tables_for_values(mentions: DataFrame, values: DataFrame, edges: DataFrame)
 
 def safety_net(core_names: list[str], cards: DataFrame, retrieved: DataFrame, on: list[str]) -> DataFrame:
     """Core tables that exist in the catalog and were not retrieved."""
-    return cards.filter(F.col(on[-1]).isin(core_names)).join(retrieved.select(*on), on, "left_anti")
+    return cards.filter(F.col(on[-1]).isin(core_names)).join(shuffled(retrieved.select(*on)), on, "left_anti")
 
 
 def resolve_selection(decisions: DataFrame, cards: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from starcard.operators import fielded as S
 from starcard.operators import search as R
 from starcard.operators import vectors as N
 from starcard.rules import CORE_COUNT, LOOKUP_SCHEMA, MAX_TOTAL, SEED_COUNT, TOP_K
-from starcard.session import stored
+from starcard.session import shuffled, stored
 
 #: Fields of a card's search document; names of columns are matched as they are.
 CARD_FIELDS = (
@@ -71,15 +71,15 @@ def retrieve_cards(
     asked = questions.filter(F.coalesce(F.col("text"), F.lit("")) != "")
     asked = stored(asked.select("query_id", "text", "schemas", "vector"), "questions")
     hits = stored(hybrid_search(index, vectors, documents, asked, settings), "hits")
-    named = hits.join(documents.select("doc_id", "name"), "doc_id").join(cards.select("name"), "name", "left_semi")
+    named = hits.join(shuffled(documents.select("doc_id", "name")), "doc_id").join(shuffled(cards.select("name")), "name", "left_semi")
     order = Window.partitionBy("query_id").orderBy("rank")  # at most top_k rows a question
     core = named.withColumn("rank", F.row_number().over(order)).select("query_id", "name", "rank")
     core = stored(R.core_slice(core, settings.core_count), "core-cards")
     found = X.expand(
         core, edges, cards, settings.seed_count, settings.max_total, settings.reverse, settings.expansion, settings.lookup_schema, asked
     )
-    missed = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    whole = missed.select("query_id", F.explode(F.array_distinct("schemas")).alias("schema")).join(cards.select("schema", "name"), "schema")
+    missed = asked.join(shuffled(hits.select("query_id").distinct()), "query_id", "left_anti")
+    whole = missed.select("query_id", F.explode(F.array_distinct("schemas")).alias("schema")).join(shuffled(cards.select("schema", "name")), "schema")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("name"))  # the cards of a few schemas
     kind = F.lit("all").alias("kind")
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starcard.functions.text import tokens
 from starcard.rules import CORE_COUNT, RRF_K, TOP_K
+from starcard.session import shuffled
 
 
 def best(scored: DataFrame, k: int, key: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -61,8 +62,8 @@ def with_fallback(queries: DataFrame, hits: DataFrame, cards: DataFrame, schema:
     ``queries``: query_id, schema. ``hits``: query_id, qualified_name. ``cards``: schema,
     qualified_name. The catalog is joined by schema, so the result is as long as what is returned.
     """
-    missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    rest = missed.join(cards, schema).select("query_id", "qualified_name", F.lit("all").alias("how"))
+    missed = queries.join(shuffled(hits.select("query_id").distinct()), "query_id", "left_anti")
+    rest = missed.join(shuffled(cards), schema).select("query_id", "qualified_name", F.lit("all").alias("how"))
     return hits.select("query_id", "qualified_name", F.lit("hit").alias("how")).unionByName(rest)
 
 
@@ -72,4 +73,4 @@ def card_hits(queries: DataFrame, cards: DataFrame, text: Column, schema: str =
         "query_id", schema, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
     )
     held = cards.select(schema, "qualified_name", F.explode(F.array_distinct(tokens(text))).alias("term"))
-    return words.join(held, [schema, "term"]).select("query_id", "qualified_name").distinct()
+    return words.join(shuffled(held), [schema, "term"]).select("query_id", "qualified_name").distinct()

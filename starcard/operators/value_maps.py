@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starcard.rules import FULL_MAP_ROWS, SAMPLED_ROWS
+from starcard.session import broadcast_if_small, cut
 
 MAP_SCHEMA = "ref_table string, map_key string, map_value string, n bigint, value_column string"
 
@@ -91,18 +92,20 @@ def long_maps(
 ) -> DataFrame:
     """Value maps of all wanted lookups: ref_table, key_column, map_key, map_value, n, value_column.
 
-    ``wanted``: ref_table, key_column, value_column, n. Lookups are scanned once each, whatever the number of maps. A map
+    ``wanted``: ref_table, key_column, value_column, n. Lookups are scanned once each, whatever the number of
+    maps; the maps asked for are few (checked) and travel to the rows. A map
     is full up to ``full_rows`` rows by the catalog's statistics and else made of the first ``sampled_rows`` usable rows;
     without statistics there is none. A wanted lookup without rows at hand is an error unless ``partial`` allows it.
     """
-    wanted = wanted.select("ref_table", "key_column", "value_column", "n").distinct()
+    wanted = cut(wanted.select("ref_table", "key_column", "value_column", "n").distinct())
     if not partial:
         lost = [r[0] for r in wanted.filter(~F.col("ref_table").isin(list(lookups))).select("ref_table").distinct().take(5)]
         if lost:
             raise ValueError(f"lookups without rows: {', '.join(sorted(lost))}")
+    few, _ = broadcast_if_small(wanted.filter("n IS NOT NULL"))
     cell = F.col("cells")
     pairs = (
-        lookup_rows(lookups, seq).join(wanted.filter("n IS NOT NULL"), "ref_table")
+        lookup_rows(lookups, seq).join(few, "ref_table")
         .select(
             "ref_table", "key_column", "value_column", "n", "seq",
             cell[F.col("key_column")].alias("map_key"), cell[F.col("value_column")].alias("map_value"),

@@ -26,7 +26,7 @@ from starcard.plans.tenants import (
     exported_lookups,
 )
 from starcard.rules import SKIP_RULES
-from starcard.session import cut, scratch_path
+from starcard.session import cut, scratch_path, shuffled
 from starcard.sources.files import available_schemas, read_cards
 from starcard.sources.sinks import write_cards
 
@@ -276,7 +276,7 @@ def restrict_schemas(df: DataFrame, column: str, allowed: list[str] | None) -> D
     if not allowed:
         raise ValueError("name at least one schema, or pass None to keep all")
     asked = df.sparkSession.createDataFrame([(a,) for a in allowed], f"{column} string")
-    unknown = [r[0] for r in asked.join(df.select(column).distinct(), column, "left_anti").collect()]
+    unknown = [r[0] for r in asked.join(shuffled(df.select(column).distinct()), column, "left_anti").collect()]
     if unknown:
         raise ValueError(f"unknown schemas: {sorted(unknown)}")
     return df.filter(F.col(column).isin(allowed))
@@ -491,7 +491,7 @@ def comment_join(spark: SparkSession, d: str) -> DataFrame:
     names = columns.select("owner", "table_name", "column_name")
     with_columns = K.described(names, columns, ["owner", "table_name", "column_name"])
     heads = cat_tables(spark, d).withColumnRenamed("comments", "c").select("owner", "table_name", "c")
-    return with_columns.join(heads, ["owner", "table_name"], "left").select(
+    return with_columns.join(shuffled(heads), ["owner", "table_name"], "left").select(
         "owner", "table_name", "column_name", "description",
         F.nullif(F.col("c"), F.lit("")).alias("table_description"),
     )
@@ -504,7 +504,7 @@ def comment_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def row_count_join(spark: SparkSession, d: str) -> DataFrame:
     names = cat_columns(spark, d).select("owner", "table_name").distinct()
-    return names.join(K.first_row_counts(cat_tables(spark, d)), K.TABLE, "left")
+    return names.join(shuffled(K.first_row_counts(cat_tables(spark, d))), K.TABLE, "left")
 
 
 @query(
@@ -746,7 +746,7 @@ def position_order(spark: SparkSession, d: str) -> DataFrame:
 )
 def names_except(spark: SparkSession, d: str) -> DataFrame:
     listed = cat_tables(spark, d).select(*K.TABLE)
-    return cat_columns(spark, d).select(*K.TABLE).distinct().join(listed, K.TABLE, "left_anti")
+    return cat_columns(spark, d).select(*K.TABLE).distinct().join(shuffled(listed), K.TABLE, "left_anti")
 
 
 @query(

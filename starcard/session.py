@@ -111,5 +111,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataF
     return df, False
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join's side that grows with the data: it is shuffled, however small its plan looks.
+
+    Spark's size check doesn't see how many rows an exploded array has, nor how well a file is compressed, and a wrong
+    guess is collected by the driver. Adaptive execution still splits hot keys.
+    """
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

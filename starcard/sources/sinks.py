@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starcard.operators.runlog import key_differences
 from starcard.rules import RUN_FIELDS, RUN_FILE
-from starcard.session import shuffle_width
+from starcard.session import shuffle_width, shuffled
 from starcard.sources.files import CARD_BUCKETS, card_bucket
 
 SAMPLE_ROWS = 1000
@@ -48,7 +48,7 @@ def write_cards(
     rows = cards.withColumn("_name", name).withColumn("_kept", F.lit(False)).withColumn("_out", out)
     if existing is not None and not overwrite:
         have = existing.select(name.alias("_name")).distinct().withColumn("_have", F.lit(True))
-        rows = rows.join(have, "_name", "left").withColumn("_kept", F.col("_have").isNotNull()).drop("_have")
+        rows = rows.join(shuffled(have), "_name", "left").withColumn("_kept", F.col("_have").isNotNull()).drop("_have")
     sums = [
         F.count_if(~F.col("_kept") & ~F.col("_out")).alias("generated"),
         F.count_if(F.col("_kept") & ~F.col("_out")).alias("skipped"), F.count_if("_out").alias("filtered"),

@@ -173,3 +173,27 @@ def test_fill_descriptions(spark):
     cols = {(r["owner"], r["table_name"]): [tuple(c) for c in r["cols"]] for r in rows}
     assert cols[("a", "T1")] == [("c1", "text", True), ("c2", "kept", False)]
     assert cols[("z", "T1")] == [("c1", "text", True)] and cols[("b", "T3")] == [("c1", None, False)]
+
+
+def test_growing_sides_are_not_collected_by_the_driver(spark):
+    """An exploded array looks like one element to Spark's size check, so what grows is shuffled."""
+    held = [{"constraint_name": c, "table_name": t, "column_name": "ID", "position": 1, "seq": i} for i, (c, t) in enumerate([("PK_A", "A"), ("FK_B", "B")])]
+    kinds = [
+        {"constraint_name": "PK_A", "constraint_type": "P", "table_name": "A", "seq": 0},
+        {"constraint_name": "FK_B", "constraint_type": "R", "table_name": "B", "r_constraint_name": "PK_A", "seq": 1},
+    ]
+
+    def per_owner(rows, shape):
+        owners = spark.range(3).select(F.concat(F.lit("T"), "id").alias("owner"))
+        return owners.select("owner", F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{shape}>>")).alias("r")).select("owner", "r.*")
+
+    constraints = per_owner(kinds, "constraint_name: string, constraint_type: string, table_name: string, r_constraint_name: string, seq: int")
+    columns = per_owner(held, "constraint_name: string, table_name: string, column_name: string, position: int, seq: int")
+    keyed = K.keyed_columns(constraints.withColumn("r_owner", F.col("owner")), columns)
+    fks = K.resolve_foreign_keys(keyed)
+    tables = constraints.select("owner", "seq", "table_name", F.lit(7).cast("bigint").alias("num_rows"), F.lit("x").alias("comments"))
+    heads = K.table_heads(tables, columns)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (keyed, fks, heads)]
+    assert not any("BroadcastHashJoin" in plan for plan in plans)
+    assert {(r["owner"], r["table_name"], r["referenced_table"]) for r in fks.collect()} == {(f"T{i}", "B", "A") for i in range(3)}
+    assert heads.count() == 6
