@@ -13,7 +13,7 @@ from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
 from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_constraint_columns, cat_constraints, cat_tables
 from starcard.rules import RUN_FIELDS
-from starcard.session import scratch_path
+from starcard.session import scratch_path, shuffled
 from starcard.sources import exports as E
 from starcard.sources import files, sinks
 
@@ -103,28 +103,33 @@ _ARRAYS = {
 
 
 def _write_exports(spark: SparkSession, d: str) -> str:
-    """One file per schema, a JSON object over many lines without its null fields.
+    """A JSON object over many lines per schema, without its null fields; a file holds many of them, a record separator between.
 
-    Odd schemas name owner and kind of a grant another way and have no array of triggers.
+    All arrays of a source are gathered in one pass, so a schema is shuffled once per source. Odd schemas name owner and kind of a grant another way and have no array of triggers.
     """
     constraints, held = cat_constraints(spark, d), cat_constraint_columns(spark, d)
     frames = {
         "cat_tables": cat_tables(spark, d), "cat_columns": cat_columns(spark, d), "cat_constraints": constraints,
         "cat_constraint_columns": held, "fks": K.resolve_foreign_keys(K.keyed_columns(constraints, held)),
     }
-    odd, whole = "owner rlike '[13579]$'", None
-    for array, (source, order, cells, *_) in _ARRAYS.items():
-        owner = f"CASE WHEN NOT {odd} THEN owner END" if array == "grants" else "owner"
-        item = F.struct(F.expr(owner).alias("owner"), *[F.expr(e.format(odd=odd)).alias(f) for f, e in cells.items()])
-        places = [F.col(c).alias(f"o{i}") for i, c in enumerate(order.split(", "))]
-        rows = frames[source].filter(f"NOT {odd}") if array == "triggers" else frames[source]
-        part = rows.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct(*places, item.alias("item")))).alias("x"))
-        part = part.select("owner", F.transform("x", lambda x: x["item"]).alias(array))
-        whole = part if whole is None else whole.join(part, "owner", "full")
+    odd = "owner rlike '[13579]$'"
+    whole = files.union_all([rows.select("owner") for name, rows in frames.items() if name != "fks"]).distinct()
+    for source, rows in frames.items():
+        arrays = {a: cells for a, (s, _, cells, *_) in _ARRAYS.items() if s == source}
+        order = next(o for s, o, *_ in _ARRAYS.values() if s == source)
+        places, items = [F.col(c).alias(f"o{i}") for i, c in enumerate(order.split(", "))], []
+        for array, cells in arrays.items():
+            owner = f"CASE WHEN NOT {odd} THEN owner END" if array == "grants" else "owner"
+            item = F.struct(F.expr(owner).alias("owner"), *[F.expr(e.format(odd=odd)).alias(f) for f, e in cells.items()])
+            items.append(item.alias(array))
+        part = rows.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct(*places, *items))).alias("x"))
+        held = {a: F.col("x").getField(a) for a in arrays}
+        if "triggers" in held:
+            held["triggers"] = F.when(~F.expr(odd), held["triggers"])
+        whole = whole.join(shuffled(part.select("owner", *[c.alias(a) for a, c in held.items()])), "owner", "left")
     told = F.struct(F.col("owner").alias("schema"), F.lit("2024-01-01").alias("generated_at"), *_ARRAYS)
     path = scratch_path(spark, "metadata")
-    text = whole.select("owner", F.to_json(told, {"pretty": "true"}).alias("value"))
-    text.repartition("owner").write.partitionBy("owner").text(path)
+    whole.select(F.to_json(told, {"pretty": "true"}).alias("value")).write.option("lineSep", E.SEPARATOR).text(path)
     return path
 
 

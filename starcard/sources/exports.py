@@ -1,10 +1,13 @@
 """Whole dictionary exports: one multi-line JSON object per schema with twelve arrays, to rows and on to card assembly.
 
+A file holds one object, or many with a record separator between or before them (JSON text sequences): a folder of millions of files is
+slow to list and to write, and text in JSON can't hold the separator itself.
+
 Exports differ: a database adds columns to its views or leaves some out, and an array may be null. So a file is parsed as a variant, its
 arrays are taken apart by position, and every field is read by name with the type it should have; what is missing or doesn't
 fit is null. Positions are kept, as the first or the last row of a name decides in places.
 
-A file is one row until its arrays are taken apart; from there on rows are dealt freely. All arrays are written in one pass, in a folder
+An object is one row until its arrays are taken apart; from there on rows are dealt freely. All arrays are written in one pass, in a folder
 each, so reading one of them touches nothing else.
 """
 
@@ -17,7 +20,10 @@ from pyspark.sql import functions as F
 
 from starcard.operators.catalog import TABLE, assemble
 from starcard.rules import LOOKUP_SCHEMA
-from starcard.session import scratch_path
+from starcard.session import scratch_path, shuffled
+
+#: Between the objects of a file (RFC 7464).
+SEPARATOR = "\x1e"
 
 # --- fixed values: arrays of an export and their fields -----------------------------------------
 ARRAYS = {
@@ -54,7 +60,8 @@ class Exports:
     def __init__(self, spark: SparkSession, path: str, glob: str = "*.json"):
         """Files may lie in folders; an object without a schema name, or text that is no JSON, is an error."""
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        whole = reader.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        text = reader.text(path, lineSep=SEPARATOR).filter("value <> ''")
+        whole = text.select(F.parse_json("value").alias("v"))
         named = F.try_variant_get("v", "$.schema", "string")
         fault = F.raise_error(F.lit("dictionary export without a schema")).cast("string")
         parts = F.array(*[
@@ -104,7 +111,7 @@ def dictionary(exports: Exports) -> dict[str, DataFrame]:
     keys = exports.array("foreign_keys").drop("owner").withColumnRenamed("schema", "owner")
     return {
         "tables": stats.unionByName(said),
-        "columns": columns.join(_last(comments, [*TABLE, "column_name"], F.col("comments")), [*TABLE, "column_name"], "left"),
+        "columns": columns.join(shuffled(_last(comments, [*TABLE, "column_name"], F.col("comments"))), [*TABLE, "column_name"], "left"),
         "constraints": constraints.select("owner", "seq", "constraint_name", "constraint_type", "table_name", "r_owner", "r_constraint_name"),
         "constraint_columns": held,
         "foreign_keys": keys.groupBy(*TABLE, "column_name").agg(F.max_by(fk, "pos").alias("fk")),

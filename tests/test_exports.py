@@ -93,3 +93,12 @@ def test_owners_are_dealt_by_size():
     assert groups == [["A", "E"], ["B", "C", "D"]]
     assert files.owner_groups([("A", 1)], 8) == [["A"]] and files.owner_groups([], 8) == []
     assert files.owner_predicates("owner", [["A", "O'B"], ["C"]]) == ["owner IN ('A', 'O''B')", "owner IN ('C')"]
+
+
+def test_many_objects_in_a_file(spark, tmp_path):
+    """A separator between objects or before each; text and lines stay whole, and a file of one object reads as before."""
+    told = [{"schema": f"S{i}", "table_comments": [{"table_name": "T", "comments": f"a\nb {i}"}]} for i in range(3)]
+    (tmp_path / "some.json").write_text("\x1e".join(json.dumps(t, indent=2) for t in told[:2]))
+    (tmp_path / "each.json").write_text("\x1e" + json.dumps(told[2], indent=2) + "\n")
+    rows = E.Exports(spark, str(tmp_path)).array("table_comments").select("schema", "pos", "comments").collect()
+    assert sorted(tuple(r) for r in rows) == [(f"S{i}", 0, f"a\nb {i}") for i in range(3)]
