@@ -29,7 +29,7 @@ from starcard.functions.text import stemmed, tokens
 from starcard.operators.search import best
 from starcard.operators.segments import SEG, range_segments
 from starcard.rules import BM25_B, BM25_K1, TOP_K
-from starcard.session import broadcast_if_small, scratch_path, shuffle_width, stored
+from starcard.session import broadcast_if_small, scratch_path, shuffle_width, shuffled, stored
 
 #: Documents of a group, postings of a folder and the most folders, groups that are scored first.
 GROUP_DOCS, FOLDER_POSTINGS, MOST_FOLDERS, LEAD = 4096, 4_000_000, 4096, 2
@@ -96,19 +96,42 @@ def _folder(folders: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")
 
 
-def _counted(docs: DataFrame, fields: Sequence[Field], schema: str | None) -> DataFrame:
-    """(doc_id, schema, lens, term, tf): per document and term its occurrences in every field."""
+def _counted(docs: DataFrame, fields: Sequence[Field], schema: str | None, n_docs: int) -> DataFrame:
+    """(doc_id, grp, schema, lens, term, tf): per document its group, and per term its occurrences in every field.
+
+    Documents meet their groups by id, so words are counted where the texts are and only texts are shuffled.
+    """
     place = F.col(schema) if schema else F.lit(None).cast("string")
-    words = docs.select("doc_id", place.alias("schema"), *[analysed(F.col(f.name), f).alias(f"w{i}") for i, f in enumerate(fields)])
+    docs = docs.withColumn("_schema", place)
+    groups = _groups(n_docs)
+    if groups > 1:
+        size = sum((F.coalesce(F.size(f.name) if f.analyzer == "keyword" else F.length(f.name), F.lit(0)) for f in fields), F.lit(0))
+        placed = _placed(docs.select("doc_id", F.col("_schema").alias("schema"), size.alias("size")), groups)
+        docs = docs.join(shuffled(placed), "doc_id")
+    else:
+        docs = docs.withColumn("grp", F.lit(0)).repartition("doc_id")
+    words = docs.select(
+        "doc_id", "grp", F.col("_schema").alias("schema"), *[analysed(F.col(f.name), f).alias(f"w{i}") for i, f in enumerate(fields)]
+    )
     lens = F.array(*[F.size(f"w{i}") for i in range(len(fields))])
 
-    def placed(i: int) -> Column:
+    def marked(i: int) -> Column:
         return F.transform(f"w{i}", lambda w: F.struct(w.alias("term"), F.lit(i).alias("f")))
 
-    each = F.flatten(F.array(*[placed(i) for i in range(len(fields))]))
-    rows = words.select("doc_id", "schema", lens.alias("lens"), F.explode(each).alias("e")).select("doc_id", "schema", "lens", "e.*")
+    each = F.flatten(F.array(*[marked(i) for i in range(len(fields))]))
+    key = ["doc_id", "grp", "schema", "lens"]
+    rows = words.select("doc_id", "grp", "schema", lens.alias("lens"), F.explode(each).alias("e")).select(*key, "e.*")
     tf = F.array(*[F.count(F.when(F.col("f") == i, 1)).cast("int") for i in range(len(fields))])
-    return rows.groupBy("doc_id", "schema", "lens", "term").agg(tf.alias("tf"))
+    return rows.groupBy(*key, "term").agg(tf.alias("tf"))
+
+
+def _groups(n_docs: int) -> int:
+    return max(1, -(-n_docs // GROUP_DOCS))
+
+
+def _placed(sized: DataFrame, groups: int) -> DataFrame:
+    """(doc_id, grp) of documents (doc_id, schema, size): groups of documents alike in schema and size."""
+    return range_segments(sized, ["schema", "size", "doc_id"], groups).select("doc_id", F.col(SEG).alias("grp"))
 
 
 def _per_field(array: str, fields: Sequence[Field], how) -> Column:
@@ -133,36 +156,30 @@ def _write_segment(spark: SparkSession, entries: DataFrame, path: str, fields: S
     """Blocks, term counts and totals of written ``entries``; returns the number of folders."""
     many = entries.count()
     folders = 1 << max(0, min(MOST_FOLDERS, many // FOLDER_POSTINGS).bit_length())
-    groups = max(1, -(-n_docs // GROUP_DOCS))
-    docs = entries.groupBy("doc_id").agg(F.first("schema").alias("schema"), F.first("lens").alias("lens"))
-    if groups > 1:
-        sized = docs.select("doc_id", "schema", F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("size"))
-        placed = range_segments(sized, ["schema", "size", "doc_id"], groups).select("doc_id", F.col(SEG).alias("grp"))
-        posts = entries.join(placed, "doc_id")
-    else:
-        posts = entries.withColumn("grp", F.lit(0))
     posting = F.struct("doc_id", "schema", "tf", "lens")
-    blocks = posts.groupBy("term", "grp").agg(
+    # postings go where their block is written, so a block is put together there; those of a frequent term are dealt by group as well
+    share = F.pmod(F.col("grp"), F.lit(max(1, shuffle_width(spark) // 4)))
+    dealt = entries.withColumn("folder", _folder(folders)).withColumn("share", share).repartition("folder", "share")
+    blocks = dealt.groupBy("folder", "share", "term", "grp").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         _per_field("tf", fields, F.max).alias("top"), _per_field("lens", fields, F.min).alias("low"),
         F.min("schema").alias("first_schema"), F.max("schema").alias("last_schema"),
         F.sort_array(F.collect_list(posting)).alias("postings"),  # as many as a group has documents
     )
-    # blocks of a frequent term are dealt by group as well
-    share = F.pmod(F.col("grp"), F.lit(max(1, shuffle_width(spark) // 4)))
-    _write_sorted(blocks.withColumn("folder", _folder(folders)), [share], ["folder", "term", "grp"], f"{path}/blocks", many)
+    _write_sorted(blocks.drop("share"), ["folder", "term", "grp"], f"{path}/blocks", many)
     terms = spark.read.parquet(f"{path}/blocks").groupBy("folder", "term").agg(F.sum("n").alias("df"))
-    _write_sorted(terms, [], ["folder", "term"], f"{path}/terms", many)
+    _write_sorted(terms.repartition("folder"), ["folder", "term"], f"{path}/terms", many)
+    docs = entries.select("doc_id", "schema", "lens").distinct()
     _totals(docs, n_docs, len(fields)).coalesce(1).write.parquet(f"{path}/totals")
     return folders
 
 
-def _write_sorted(rows: DataFrame, shares: list[Column], order: list[str], path: str, many: int) -> None:
+def _write_sorted(rows: DataFrame, order: list[str], path: str, many: int) -> None:
     """Sorted rows in a folder per value of the first column; without any rows a file that tells the columns."""
     if not many:
         rows.limit(0).write.parquet(path)
         return
-    rows.repartition(order[0], *shares).sortWithinPartitions(*order).write.partitionBy(order[0]).parquet(path)
+    rows.sortWithinPartitions(*order).write.partitionBy(order[0]).parquet(path)
 
 
 def _totals(docs: DataFrame, n_docs: int, m: int) -> DataFrame:
@@ -212,9 +229,9 @@ def add_documents(index: FieldedIndex, docs: DataFrame, schema: str | None = Non
     number = index._next()
     name = f"{number:06d}-{scratch_path(spark, 's').rsplit('-', 1)[1][:8]}"
     path = f"{index.path}/segments/{name}"
-    _counted(rows, index.fields, schema).write.parquet(f"{path}/entries")
     rows.select("doc_id").write.parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids").count()
+    _counted(rows, index.fields, schema, ids).write.parquet(f"{path}/entries")
     folders = _write_segment(spark, spark.read.parquet(f"{path}/entries"), path, index.fields, ids)
     return _publish(spark, replace(index, segments=(*index.segments, (number, name, folders)), failed=index.failed + failed))
 
@@ -235,7 +252,7 @@ def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
 
 
 def _held(index: FieldedIndex, spark: SparkSession, part: str) -> DataFrame:
-    return _union([rows.withColumn("segment", F.lit(number)) for number, rows in index.parts(spark, part)])
+    return _union([rows.drop("grp").withColumn("segment", F.lit(number)) for number, rows in index.parts(spark, part)])
 
 
 def delete_documents(index: FieldedIndex, ids: DataFrame, publish: bool = True) -> FieldedIndex:
@@ -269,9 +286,13 @@ def compact(index: FieldedIndex, spark: SparkSession) -> FieldedIndex:
     number, dead = index._next(), _dead(index, spark)
     name = f"{number:06d}-{scratch_path(spark, 's').rsplit('-', 1)[1][:8]}"
     path = f"{index.path}/segments/{name}"
-    _alive(_held(index, spark, "entries"), dead).drop("segment").write.parquet(f"{path}/entries")
     _alive(_held(index, spark, "ids"), dead).select("doc_id").write.parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids").count()
+    entries = _alive(_held(index, spark, "entries"), dead).select("doc_id", "schema", "lens", "term", "tf")
+    sized = entries.select("doc_id", "schema", "lens").distinct().select(
+        "doc_id", "schema", F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("size")
+    )
+    entries.join(_placed(sized, _groups(ids)), "doc_id").write.parquet(f"{path}/entries")
     folders = _write_segment(spark, spark.read.parquet(f"{path}/entries"), path, index.fields, ids)
     return _publish(spark, replace(index, segments=((number, name, folders),), deletions=()))
 
@@ -387,7 +408,8 @@ def search(
         reading.opened = wanted.join(opened, ["query_id", "segment", "grp"]).agg(F.sum("blocks")).first()[0] or 0
     if second.isEmpty():
         return found
-    return best(found.drop("rank").unionByName(scored(second).drop("rank")), k).select("query_id", "doc_id", "score", "rank")
+    # few rows, and what is done with them shall not score again
+    return stored(best(found.drop("rank").unionByName(scored(second).drop("rank")), k).select("query_id", "doc_id", "score", "rank"), "hits")
 
 
 def statistics(index: FieldedIndex, spark: SparkSession, sample: int = 0) -> DataFrame:

@@ -160,3 +160,24 @@ def test_stems(spark):
     pool = ["studies", "series", "ponies", "zombeies", "aaies", "classes", "class", "bus", "buses", "shoes", "trees", "s", "ies", "es", "drugs", "x"]
     df = spark.createDataFrame([(w,) for w in pool], "w string").select("w", stem(F.col("w")).alias("s"))
     assert {r["w"]: r["s"] for r in df.collect()} == {w: stemmed(w) for w in pool}
+
+
+def test_words_are_counted_where_the_texts_are(spark):
+    docs = spark.createDataFrame([(i, "A", "t", "b b", ["n"]) for i in range(9)], KIND)
+    plan = S._counted(docs, FIELDS, "owner", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan  # texts are dealt once, and no word after them
+    assert not re.search(r"Exchange hashpartitioning\([^)]*term", plan)
+
+
+def test_an_index_of_many_groups_is_compacted_into_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_DOCS", 4)
+    docs = [(i, "AB"[i % 2], f"t{i % 3}", f"b{i % 5} " * (1 + i % 7), None) for i in range(30)]
+    frame = spark.createDataFrame(docs, KIND)
+    index = S.create_index(spark, scratch_path(spark, "grouped"), FIELDS)
+    index = S.add_documents(index, frame.filter("doc_id < 20"), "owner")
+    index = S.delete_documents(S.add_documents(index, frame.filter("doc_id >= 20"), "owner"), frame.filter("doc_id % 6 = 0"))
+    asked = spark.createDataFrame([(1, "t1 b4")], "query_id long, text string")
+    before = sorted(map(tuple, S.search(index, asked).collect()))
+    index = S.compact(index, spark)
+    assert sorted(map(tuple, S.search(index, asked).collect())) == before
+    assert [b["grp"] for b in index.parts(spark, "blocks")[0][1].select("grp").distinct().orderBy("grp").collect()] == list(range(7))
