@@ -100,6 +100,18 @@ def _step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.rint(STEPS * np.log2(np.maximum(p, 1e-300))), NEVER).astype(np.int64)
 
 
+def count_cells(columns: list[np.ndarray], names: list[str]) -> pd.DataFrame:
+    """Distinct combinations of integers and how often each occurs, as ``n``; a pair of columns is numbered at a time."""
+    code = np.zeros(len(columns[0]), np.int64)
+    firsts = np.zeros(min(1, len(code)), np.int64)
+    for column in columns:
+        low = int(column.min(initial=0))
+        width = int(column.max(initial=0)) - low + 1
+        _, firsts, code = np.unique(code * width + (column - low), return_index=True, return_inverse=True)
+    out = pd.DataFrame({name: column[firsts] for name, column in zip(names, columns, strict=True)})
+    return out.assign(n=np.bincount(code, minlength=len(firsts)))
+
+
 def learn_weights(cells: pd.DataFrame, order: int, types: int, rounds: int = 60) -> dict[int, np.ndarray]:
     """Weights (uniform, then orders 1 to n) per bucket, by expectation-maximisation over counted cells."""
     out = {}
@@ -188,11 +200,13 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int
         taught = np.repeat(~batch["held"].to_numpy(bool), tokens.sizes)
         contexts = [c[taught] - 1 for c in tokens.contexts(counts)]
         counts = [c[taught] - 1 for c in counts]
-        found = {"bucket": _bucket(contexts[-1]) if contexts else np.zeros(len(counts[0]), np.int64)}
-        found["q1"] = _step(counts[0] / max(1, n_train - 1))
-        for k, (c, context) in enumerate(zip(counts[1:], contexts, strict=True), 2):
-            found[f"q{k}"] = _step(c / np.maximum(context, 1))
-        return pd.DataFrame(found).groupby(["bucket", *steps], as_index=False).size().rename(columns={"size": "n"})
+        del tokens  # a worker's memory is what its batch holds at once
+        columns = [_bucket(contexts[-1]) if contexts else np.zeros(len(counts[0]), np.int64)]
+        columns.append(_step(counts[0] / max(1, n_train - 1)))
+        for c, context in zip(counts[1:], contexts, strict=True):
+            columns.append(_step(c / np.maximum(context, 1)))
+        del counts, contexts
+        return count_cells(columns, ["bucket", *steps])
 
     cells = met.applyInPandas(held_out_cells, "bucket long, " + ", ".join(f"{s} long" for s in steps) + ", n long")
     learnt = learn_weights(cells.groupBy("bucket", *steps).agg(F.sum("n").alias("n")).toPandas(), order, types)
@@ -203,15 +217,14 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out: int = 2, order: int
         tokens = Tokens(batch["text"], order)
         counts = tokens.counts(replies)
         contexts = tokens.contexts(counts)
-        weights = table[_bucket(contexts[-1])].copy() if contexts else np.tile(table[0], (len(counts[0]), 1))
-        p = [np.full(len(counts[0]), 1.0 / (types + 1)), counts[0] / max(1, n_train)]
-        known = [np.ones(len(counts[0]), bool), np.full(len(counts[0]), n_train > 0)]
-        for c, context in zip(counts[1:], contexts, strict=True):
-            p.append(c / np.maximum(context, 1))
-            known.append(context > 0)
-        known = np.column_stack(known)
-        weights[~known] = 0.0  # orders whose context was never seen leave their weight to the others
-        mixed = (weights * np.column_stack(p)).sum(axis=1) / weights.sum(axis=1)
+        bucket = _bucket(contexts[-1]) if contexts else np.zeros(len(counts[0]), np.int64)
+        mixed, mass = table[bucket, 0] * (1.0 / (types + 1)), table[bucket, 0]
+        for k, c in enumerate(counts, 1):  # orders whose context was never seen leave their weight to the others
+            context = np.full(len(c), float(n_train)) if k == 1 else contexts[k - 2]
+            weight = np.where(context > 0, table[bucket, k], 0.0)
+            mixed = mixed + weight * (c / np.maximum(context, 1))
+            mass = mass + weight
+        mixed /= mass
         base = np.log10((counts[0] + 1) / (n_train + types + 1))
         return pd.DataFrame({
             "doc_id": batch["doc_id"], "held_out": batch["held"], "n_tokens": tokens.sizes,
