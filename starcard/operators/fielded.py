@@ -29,10 +29,12 @@ from starcard.functions.text import stemmed, tokens
 from starcard.operators.search import best
 from starcard.operators.segments import SEG, range_segments
 from starcard.rules import BM25_B, BM25_K1, TOP_K
-from starcard.session import broadcast_if_small, scratch_path, shuffle_width, shuffled, stored
+from starcard.session import broadcast_if_small, fits, scratch_path, shuffle_width, shuffled, stored
 
 #: Documents of a group, postings of a folder and the most folders, groups that are scored first.
 GROUP_DOCS, FOLDER_POSTINGS, MOST_FOLDERS, LEAD = 4096, 4_000_000, 4096, 2
+#: Terms of all queries to a pack of them: so many may ask for one block in a row.
+ASKED_TOGETHER = 20_000
 #: Before a term that stands for a whole value; no token of a text has it.
 WHOLE = "="
 
@@ -360,6 +362,7 @@ def search(
     places = queries.select("query_id", "schemas")
     weights = stored(asked.join(counts, "term").select("query_id", "term", idf.alias("idf")).join(places, "query_id"), "query-weights")
     hint, _ = broadcast_if_small(weights)
+    packs = 1 + weights.count() // ASKED_TOGETHER
     spans = []
     for number, name, folders in index.segments:
         used = [r[0] for r in weights.select(_folder(folders)).distinct().collect()]  # at most the folders there are
@@ -380,15 +383,22 @@ def search(
     dead = stored(dead, "dead-documents") if dead is not None else None
 
     def scored(chosen: DataFrame) -> DataFrame:
-        """The k best of every query in the chosen groups."""
-        some, _ = broadcast_if_small(chosen.select("query_id", "segment", "grp"))
+        """The k best of every query in the chosen groups. A block is dealt once with those who ask for it, not once for each of them."""
+        pairs = stored(chosen.select("query_id", "segment", "grp").join(hint, "query_id"), "asked-pairs")
+        pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")  # bounds how many ask in one row
+        who = F.collect_list(F.struct("query_id", "schemas", "idf")).alias("who")
+        asks, small = pairs.groupBy("segment", "grp", "term", pack).agg(who), fits(pairs)
         parts = []
         for number, blocks in spans:
-            mine = some.filter(F.col("segment") == number).select("query_id", "grp")
-            opened = blocks.select("term", "grp", "postings").join(F.broadcast(mine.select("grp").distinct()) if _ else mine.select("grp").distinct(), "grp", "left_semi")
-            terms = opened.join(hint, "term").join(mine, ["query_id", "grp"], "left_semi")
-            parts.append(terms.select("query_id", "schemas", "idf", "grp", "postings", F.lit(number).alias("segment")))
-        each = _union(parts).repartition("segment", "grp").select("query_id", "schemas", "idf", "segment", "grp", F.explode("postings").alias("p"))
+            mine = asks.filter(F.col("segment") == number).select("grp", "term", "who")
+            held = blocks.select("term", "grp", "postings")
+            if not small:
+                terms, _ = broadcast_if_small(weights.select("term").distinct())
+                held = held.join(terms, "term", "left_semi")
+            opened = held.join(F.broadcast(mine) if small else shuffled(mine), ["term", "grp"])
+            parts.append(opened.select("grp", "who", "postings", F.lit(number).alias("segment")))
+        asked_for = _union(parts).repartition("segment", "grp").select("segment", "grp", "postings", F.explode("who").alias("q"))
+        each = asked_for.select("q.*", "segment", "grp", F.explode("postings").alias("p"))
         tf, low = (lambda i: F.get("p.tf", F.lit(i))), (lambda i: F.get("p.lens", F.lit(i)))
         part = F.col("idf") * _saturated(tf, low, index, means, k1)
         summed = each.filter(_allowed(F.col("p.schema"))).groupBy("segment", "grp", "query_id", F.col("p.doc_id").alias("doc_id")).agg(

@@ -181,3 +181,29 @@ def test_an_index_of_many_groups_is_compacted_into_groups(spark, monkeypatch):
     index = S.compact(index, spark)
     assert sorted(map(tuple, S.search(index, asked).collect())) == before
     assert [b["grp"] for b in index.parts(spark, "blocks")[0][1].select("grp").distinct().orderBy("grp").collect()] == list(range(7))
+
+
+@pytest.mark.parametrize(("together", "small"), [(20_000, True), (20_000, False), (5, True)])
+def test_a_block_is_dealt_once_however_many_ask_for_it(spark, monkeypatch, together, small):
+    docs = [(i, "AB"[i % 2], f"t{i % 3}", "common " * (1 + i % 4) + f"b{i}", None) for i in range(30)]
+    index = S.add_documents(S.create_index(spark, scratch_path(spark, "asked"), FIELDS), spark.createDataFrame(docs, KIND), "owner")
+    queries = [(q, f"common b{q}", ["A"] if q % 2 else None) for q in range(20)]
+    asked = spark.createDataFrame(queries, "query_id long, text string, schemas array<string>")
+    monkeypatch.setattr(S, "ASKED_TOGETHER", together)
+    monkeypatch.setattr(S, "fits", lambda df: small)
+    dealt, kind = [], type(asked)
+    deal = kind.repartition
+
+    def counted(self, *to):
+        if to == ("segment", "grp"):
+            dealt.append(self.count())
+        return deal(self, *to)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    found = {}
+    for r in S.search(index, asked, 3).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    want = brute(docs, queries, 3)
+    assert {q: [(d, pytest.approx(s, abs=2e-6)) for d, s in hits] for q, hits in want.items()} == found
+    packs = 1 + 40 // together
+    assert sum(dealt) <= packs + 20  # the common word's block, and one of each other word; 40 before
