@@ -63,10 +63,14 @@ def valid_schema(c: Column) -> Column:
     return c.rlike(SCHEMA_NAME)
 
 
+def all_tokens(c: Column) -> Column:
+    """Lower-case word tokens."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case word tokens without stop words."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(all_tokens(c), lambda w: ~w.isin(STOP_WORDS))
 
 
 def _ends(w: Column, *ends: str) -> Column:
@@ -83,6 +87,15 @@ def stem(w: Column) -> Column:
     )
 
 
+def stem_word(w: str) -> str:
+    """``stem`` of a single word, for tasks that count words."""
+    if w.endswith("ies") and not w.endswith(("eies", "aies")):
+        return w[:-3] + "y"
+    if (w.endswith("es") and not w.endswith(("aes", "ees", "oes"))) or (w.endswith("s") and not w.endswith(("us", "ss"))):
+        return w[:-1]
+    return w
+
+
 def stemmed(words: Column) -> Column:
     """Stems of tokens; what a stem leaves empty goes."""
     return F.filter(F.transform(words, stem), lambda w: w != "")

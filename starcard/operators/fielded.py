@@ -1,7 +1,7 @@
 """Search over documents of several fields: BM25F on a stored index that can be added to, deleted from and compacted.
 
 **Layout.** An index is a folder of segments and deletions plus numbered manifests that name the valid ones. A segment holds
-its analysed documents (``entries``: one row per document and term) and blocks of postings. Documents are dealt to groups of
+its documents' ids, counts and blocks of postings, which tell every document's terms as well. Documents are dealt to groups of
 ``GROUP_DOCS``, alike in schema and length; a block is one term in one group, in a row: bounds first (most occurrences and least
 length per field, least and greatest schema), the postings behind them as an array that is read only where it is needed. Blocks lie
 in folders by hash of the term, as many as the postings ask for, sorted by term and group.
@@ -18,23 +18,29 @@ before it, with the counts that go with them, so that scores are those of a fres
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from starcard.functions.text import stemmed, tokens
+from starcard.functions.text import all_tokens, stem_word, stemmed, tokens
 from starcard.operators.search import best
 from starcard.operators.segments import SEG, range_segments
-from starcard.rules import BM25_B, BM25_K1, TOP_K
+from starcard.rules import BM25_B, BM25_K1, STOP_WORDS, TOP_K
 from starcard.session import broadcast_if_small, fits, scratch_path, shuffle_width, shuffled, stored
 
 #: Documents of a group, postings of a folder and the most folders, groups that are scored first.
 GROUP_DOCS, FOLDER_POSTINGS, MOST_FOLDERS, LEAD = 4096, 4_000_000, 4096, 2
 #: Terms of all queries to a pack of them: so many may ask for one block in a row.
 ASKED_TOGETHER = 20_000
+#: Words that a task counts at a time, blocks it hands on at a time.
+COUNTED_WORDS, SENT_BLOCKS = 2_000_000, 20_000
 #: Before a term that stands for a whole value; no token of a text has it.
 WHOLE = "="
 
@@ -74,11 +80,11 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def analysed(value: Column, field: Field) -> Column:
-    """Terms of a field; a null value has none."""
+def _words(value: Column, field: Field) -> Column:
+    """Words of a field as they stand; a null value has none."""
     if field.analyzer == "keyword":
-        return F.transform(F.filter(F.coalesce(value, F.array().cast("array<string>")), lambda v: v.isNotNull()), lambda v: F.concat(F.lit(WHOLE), v))
-    return F.coalesce(stemmed(tokens(value)), F.array().cast("array<string>"))
+        return F.transform(F.filter(value, lambda v: v.isNotNull()), lambda v: F.concat(F.lit(WHOLE), v))
+    return all_tokens(value)
 
 
 def query_terms(queries: DataFrame, fields: Sequence[Field]) -> DataFrame:
@@ -99,32 +105,113 @@ def _folder(folders: int) -> Column:
 
 
 def _counted(docs: DataFrame, fields: Sequence[Field], schema: str | None, n_docs: int) -> DataFrame:
-    """(doc_id, grp, schema, lens, term, tf): per document its group, and per term its occurrences in every field.
+    """Blocks of documents that a task counted together: see ``_counter``. Of a single group they are parts of blocks.
 
-    Documents meet their groups by id, so words are counted where the texts are and only texts are shuffled.
+    Only texts are shuffled, dealt by group, so blocks are put together where the texts are. A group with more words than are
+    counted at a time becomes several.
     """
-    place = F.col(schema) if schema else F.lit(None).cast("string")
-    docs = docs.withColumn("_schema", place)
+    kind = {f.name: f.dataType for f in docs.schema}
+    place = kind[schema] if schema else StringType()
+    docs = docs.withColumn("_schema", F.col(schema) if schema else F.lit(None).cast("string"))
     groups = _groups(n_docs)
     if groups > 1:
         size = sum((F.coalesce(F.size(f.name) if f.analyzer == "keyword" else F.length(f.name), F.lit(0)) for f in fields), F.lit(0))
-        placed = _placed(docs.select("doc_id", F.col("_schema").alias("schema"), size.alias("size")), groups)
-        docs = docs.join(shuffled(placed), "doc_id")
+        # groups of long documents are the first tasks
+        dealt = docs.withColumn("_size", size).repartitionByRange(groups, "_schema", F.desc("_size"), "doc_id")
+        dealt = dealt.withColumn("grp", F.spark_partition_id())
     else:
-        docs = docs.withColumn("grp", F.lit(0)).repartition("doc_id")
-    words = docs.select(
-        "doc_id", "grp", F.col("_schema").alias("schema"), *[analysed(F.col(f.name), f).alias(f"w{i}") for i, f in enumerate(fields)]
+        dealt = docs.withColumn("grp", F.lit(0)).repartition("doc_id")
+    words = dealt.select(
+        "doc_id", "grp", F.col("_schema").alias("schema"), *[_words(F.col(f.name), f).alias(f"w{i}") for i, f in enumerate(fields)]
     )
-    lens = F.array(*[F.size(f"w{i}") for i in range(len(fields))])
+    counts, sums = ArrayType(IntegerType()), ArrayType(LongType())
+    posting = [StructField("doc_id", kind["doc_id"]), StructField("schema", place), StructField("tf", counts), StructField("lens", counts)]
+    block = [
+        StructField("term", StringType()), StructField("grp", IntegerType()), StructField("n", IntegerType()),
+        StructField("top", counts), StructField("low", counts), StructField("first_schema", place), StructField("last_schema", place),
+        StructField("sums", sums), StructField("postings", ArrayType(StructType(posting))),
+    ]
+    return words.mapInArrow(_counter([f.analyzer != "keyword" for f in fields], groups if groups > 1 else 0), StructType(block))
 
-    def marked(i: int) -> Column:
-        return F.transform(f"w{i}", lambda w: F.struct(w.alias("term"), F.lit(i).alias("f")))
 
-    each = F.flatten(F.array(*[marked(i) for i in range(len(fields))]))
-    key = ["doc_id", "grp", "schema", "lens"]
-    rows = words.select("doc_id", "grp", "schema", lens.alias("lens"), F.explode(each).alias("e")).select(*key, "e.*")
-    tf = F.array(*[F.count(F.when(F.col("f") == i, 1)).cast("int") for i in range(len(fields))])
-    return rows.groupBy(*key, "term").agg(tf.alias("tf"))
+def _counter(english: list[bool], step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents (doc_id, grp, schema, words by field) to blocks, of as many documents at a time as have ``COUNTED_WORDS`` words.
+
+    A block is a term in a group: number of postings, most occurrences, least length, least and greatest schema, occurrences in all, postings.
+    Documents of a task that are counted later are of a group numbered ``step`` higher.
+    """
+    m, stop, most, sent = len(english), set(STOP_WORDS), COUNTED_WORDS, SENT_BLOCKS
+
+    def lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, m, dtype=np.int32)), pa.array(values.ravel(), kind))
+
+    def blocks(part: pa.Table, more: int) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
+        ids, schemas = part["doc_id"].combine_chunks(), part["schema"].combine_chunks()
+        rank, codes = np.empty(n, np.int64), {}
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+        owners, lens = [], np.zeros((n, m), np.int32)
+        for i in range(m):
+            held = part[f"w{i}"].combine_chunks()
+            of = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+            coded = held.flatten().dictionary_encode()
+            own = np.empty(len(coded.dictionary), np.int64)
+            for j, word in enumerate(coded.dictionary.to_pylist()):
+                term = ("" if word in stop else stem_word(word)) if english[i] else word
+                own[j] = codes.setdefault(term, len(codes)) if term else -1
+            term = own[coded.indices.to_numpy(zero_copy_only=False)]
+            of, term = of[term >= 0], term[term >= 0]
+            lens[:, i] = np.bincount(of, minlength=n)
+            owners.append((of, term))
+        if not codes:
+            return
+        grps, grp = np.unique(part["grp"].to_numpy(), return_inverse=True)
+        # one number per posting: group, term, document by id
+        key = np.concatenate([(grp[of] * len(codes) + term) * n + rank[of] for of, term in owners])
+        posts, at = np.unique(key, return_inverse=True)
+        ends = np.cumsum([len(of) for of, _ in owners])[:-1]
+        tf = np.stack([np.bincount(x, minlength=len(posts)) for x in np.split(at, ends)], axis=1).astype(np.int32)
+        block, doc = posts // n, np.argsort(rank)[posts % n]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        counts = np.diff(starts, append=len(posts))
+        coded = schemas.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        of_schema = np.append(np.argsort(order), -1)[pc.fill_null(coded.indices, len(order)).to_numpy(zero_copy_only=False)][doc]
+        last = np.maximum.reduceat(of_schema, starts)
+        first = np.minimum.reduceat(np.where(of_schema < 0, len(order), of_schema), starts)
+        sorted_schemas = coded.dictionary.take(pa.array(order))
+
+        def named(i: np.ndarray) -> pa.Array:
+            return sorted_schemas.take(pa.array(i, mask=(i < 0) | (i >= len(order))))
+
+        posting = pa.StructArray.from_arrays(
+            [ids.take(pa.array(doc)), schemas.take(pa.array(doc)), lists(tf, pa.int32()), lists(lens[doc], pa.int32())], ["doc_id", "schema", "tf", "lens"]
+        )
+        found = pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(codes), pa.string()).take(pa.array(block[starts] % len(codes))),
+                pa.array(grps[block[starts] // len(codes)] + more, pa.int32()), pa.array(counts, pa.int32()),
+                lists(np.maximum.reduceat(tf, starts), pa.int32()), lists(np.minimum.reduceat(lens[doc], starts), pa.int32()),
+                named(first), named(last), lists(np.add.reduceat(tf.astype(np.int64), starts), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.append(starts, len(posts)).astype(np.int32)), posting),
+            ],
+            ["term", "grp", "n", "top", "low", "first_schema", "last_schema", "sums", "postings"],
+        )
+        for begin in range(0, found.num_rows, sent):
+            yield found.slice(begin, sent)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, more = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            size += sum(len(batch.column(f"w{i}").flatten()) for i in range(m))
+            if size >= most:
+                yield from blocks(pa.Table.from_batches(held), more)
+                held, size, more = [], 0, more + step
+        if held:
+            yield from blocks(pa.Table.from_batches(held), more)
+
+    return counted
 
 
 def _groups(n_docs: int) -> int:
@@ -154,25 +241,26 @@ def _accepted(docs: DataFrame, fields: Sequence[Field]) -> tuple[DataFrame, int]
     return named.join(twice, "doc_id", "left_anti").unionByName(one), lost
 
 
-def _write_segment(spark: SparkSession, entries: DataFrame, path: str, fields: Sequence[Field], n_docs: int) -> int:
-    """Blocks, term counts and totals of written ``entries``; returns the number of folders."""
-    many = entries.count()
+def _write_segment(spark: SparkSession, parts: DataFrame, path: str, fields: Sequence[Field], n_docs: int, whole: bool = False) -> int:
+    """Blocks, term counts and totals from written parts of blocks (``whole``: they are blocks); returns the number of folders."""
+    sums = [F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(len(fields))]
+    many, *lens = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), *sums).first()
     folders = 1 << max(0, min(MOST_FOLDERS, many // FOLDER_POSTINGS).bit_length())
-    posting = F.struct("doc_id", "schema", "tf", "lens")
-    # postings go where their block is written, so a block is put together there; those of a frequent term are dealt by group as well
+    # parts go where their block is written, so a block is put together there; those of a frequent term are dealt by group as well
     share = F.pmod(F.col("grp"), F.lit(max(1, shuffle_width(spark) // 4)))
-    dealt = entries.withColumn("folder", _folder(folders)).withColumn("share", share).repartition("folder", "share")
-    blocks = dealt.groupBy("folder", "share", "term", "grp").agg(
-        F.count(F.lit(1)).cast("int").alias("n"),
-        _per_field("tf", fields, F.max).alias("top"), _per_field("lens", fields, F.min).alias("low"),
-        F.min("schema").alias("first_schema"), F.max("schema").alias("last_schema"),
-        F.sort_array(F.collect_list(posting)).alias("postings"),  # as many as a group has documents
-    )
+    blocks = parts.drop("sums").withColumn("folder", _folder(folders)).withColumn("share", share).repartition("folder", "share")
+    if not whole:
+        joined = blocks.groupBy("folder", "share", "term", "grp").agg(
+            F.sum("n").cast("int").alias("n"), _per_field("top", fields, F.max).alias("top"), _per_field("low", fields, F.min).alias("low"),
+            F.min("first_schema").alias("first_schema"), F.max("last_schema").alias("last_schema"),
+            F.collect_list("postings").alias("p"),  # as many as a group has documents
+        )
+        blocks = joined.withColumn("postings", F.sort_array(F.flatten("p"))).drop("p")
     _write_sorted(blocks.drop("share"), ["folder", "term", "grp"], f"{path}/blocks", many)
     terms = spark.read.parquet(f"{path}/blocks").groupBy("folder", "term").agg(F.sum("n").alias("df"))
     _write_sorted(terms.repartition("folder"), ["folder", "term"], f"{path}/terms", many)
-    docs = entries.select("doc_id", "schema", "lens").distinct()
-    _totals(docs, n_docs, len(fields)).coalesce(1).write.parquet(f"{path}/totals")
+    told = spark.createDataFrame([(n_docs, lens)], "n_docs long, lens array<long>")
+    told.coalesce(1).write.parquet(f"{path}/totals")
     return folders
 
 
@@ -233,8 +321,7 @@ def add_documents(index: FieldedIndex, docs: DataFrame, schema: str | None = Non
     path = f"{index.path}/segments/{name}"
     rows.select("doc_id").write.parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids").count()
-    _counted(rows, index.fields, schema, ids).write.parquet(f"{path}/entries")
-    folders = _write_segment(spark, spark.read.parquet(f"{path}/entries"), path, index.fields, ids)
+    folders = _write_segment(spark, stored(_counted(rows, index.fields, schema, ids), "blocks"), path, index.fields, ids, _groups(ids) > 1)
     return _publish(spark, replace(index, segments=(*index.segments, (number, name, folders)), failed=index.failed + failed))
 
 
@@ -254,7 +341,13 @@ def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
 
 
 def _held(index: FieldedIndex, spark: SparkSession, part: str) -> DataFrame:
-    return _union([rows.drop("grp").withColumn("segment", F.lit(number)) for number, rows in index.parts(spark, part)])
+    return _union([rows.withColumn("segment", F.lit(number)) for number, rows in index.parts(spark, part)])
+
+
+def _entries(index: FieldedIndex, spark: SparkSession) -> DataFrame:
+    """(doc_id, schema, tf, lens, term, segment): the blocks' postings, those of versions that are gone among them."""
+    each = _held(index, spark, "blocks").select("term", "segment", F.explode("postings").alias("p"))
+    return each.select("p.*", "term", "segment")
 
 
 def delete_documents(index: FieldedIndex, ids: DataFrame, publish: bool = True) -> FieldedIndex:
@@ -273,7 +366,7 @@ def delete_documents(index: FieldedIndex, ids: DataFrame, publish: bool = True)
     count = gone.count()
     if not count:
         return index
-    rows = stored(_alive(_held(index, spark, "entries").join(gone, "doc_id", "left_semi"), dead), "deleted-entries")
+    rows = stored(_alive(_entries(index, spark).join(gone, "doc_id", "left_semi"), dead), "deleted-entries")
     rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
     docs = rows.groupBy("doc_id").agg(F.first("lens").alias("lens"))
     _totals(docs, count, len(index.fields)).coalesce(1).write.parquet(f"{path}/totals")
@@ -290,12 +383,16 @@ def compact(index: FieldedIndex, spark: SparkSession) -> FieldedIndex:
     path = f"{index.path}/segments/{name}"
     _alive(_held(index, spark, "ids"), dead).select("doc_id").write.parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids").count()
-    entries = _alive(_held(index, spark, "entries"), dead).select("doc_id", "schema", "lens", "term", "tf")
+    entries = _alive(_entries(index, spark), dead)
     sized = entries.select("doc_id", "schema", "lens").distinct().select(
         "doc_id", "schema", F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("size")
     )
-    entries.join(_placed(sized, _groups(ids)), "doc_id").write.parquet(f"{path}/entries")
-    folders = _write_segment(spark, spark.read.parquet(f"{path}/entries"), path, index.fields, ids)
+    tf = F.transform("tf", lambda x: x.cast("long"))
+    parts = entries.join(_placed(sized, _groups(ids)), "doc_id").select(
+        "term", "grp", F.lit(1).alias("n"), F.col("tf").alias("top"), F.col("lens").alias("low"), F.col("schema").alias("first_schema"),
+        F.col("schema").alias("last_schema"), tf.alias("sums"), F.array(F.struct("doc_id", "schema", "tf", "lens")).alias("postings"),
+    )
+    folders = _write_segment(spark, stored(parts, "blocks"), path, index.fields, ids)
     return _publish(spark, replace(index, segments=((number, name, folders),), deletions=()))
 
 
@@ -311,7 +408,7 @@ def totals(index: FieldedIndex, spark: SparkSession) -> tuple[int, list[int]]:
 
 def postings(index: FieldedIndex, spark: SparkSession) -> DataFrame:
     """doc_id, term, tf and lens by field, of the living documents."""
-    return _alive(_held(index, spark, "entries"), _dead(index, spark)).select("doc_id", "schema", "term", "tf", "lens")
+    return _alive(_entries(index, spark), _dead(index, spark)).select("doc_id", "schema", "term", "tf", "lens")
 
 
 def document_counts(index: FieldedIndex, spark: SparkSession) -> DataFrame:

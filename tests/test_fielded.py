@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from starcard.functions.text import stem
+from starcard.functions.text import stem, stem_word
 from starcard.operators import fielded as S
 from starcard.rules import STOP_WORDS
 from starcard.session import scratch_path
@@ -207,3 +207,40 @@ def test_a_block_is_dealt_once_however_many_ask_for_it(spark, monkeypatch, toget
     assert {q: [(d, pytest.approx(s, abs=2e-6)) for d, s in hits] for q, hits in want.items()} == found
     packs = 1 + 40 // together
     assert sum(dealt) <= packs + 20  # the common word's block, and one of each other word; 40 before
+
+
+def test_blocks_are_put_together_where_the_texts_are(spark, asked, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_DOCS", 40)
+    monkeypatch.setattr(S, "COUNTED_WORDS", 300)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "5")
+    docs = corpus(random.Random(7), 0, 120)
+    try:
+        blocks = S._counted(spark.createDataFrame(docs, KIND), FIELDS, "owner", len(docs)).collect()
+        index = S.add_documents(S.create_index(spark, scratch_path(spark, "i"), FIELDS), spark.createDataFrame(docs, KIND), "owner")
+    finally:
+        spark.conf.set(batch, before)
+    assert len({(b["term"], b["grp"]) for b in blocks}) == len(blocks)  # whole, so no posting is shuffled by itself
+    assert len({b["grp"] for b in blocks}) > 3  # groups of many words are several
+    held = {d[0]: [Counter(t) for t in terms(d)] for d in docs}
+    got = {}
+    for b in blocks:
+        assert [p["doc_id"] for p in b["postings"]] == sorted(p["doc_id"] for p in b["postings"]) and b["n"] == len(b["postings"])
+        assert b["top"] == [max(p["tf"][i] for p in b["postings"]) for i in range(3)]
+        assert b["low"] == [min(p["lens"][i] for p in b["postings"]) for i in range(3)]
+        places = [p["schema"] for p in b["postings"] if p["schema"] is not None]
+        assert (b["first_schema"], b["last_schema"]) == ((min(places), max(places)) if places else (None, None))
+        for p in b["postings"]:
+            got[p["doc_id"], b["term"]] = (p["tf"], p["lens"])
+    assert got == {
+        (d, t): ([c[t] for c in counts], [sum(c.values()) for c in counts]) for d, counts in held.items() for t in set().union(*counts)
+    }
+    assert found(index, asked, 10) == brute(docs, ASKED, 10)
+
+
+def test_a_word_is_stemmed_alike_in_tasks(spark):
+    ends = ["", "s", "es", "ies", "eies", "aies", "aes", "ees", "oes", "us", "ss", "y"]
+    pool = [a + e + b for a in ("", "b", "éa", "9") for e in ends for b in ("", "s", "x")]
+    df = spark.createDataFrame([(w,) for w in pool], "w string").select("w", stem(F.col("w")).alias("s"))
+    assert {r["w"]: r["s"] for r in df.collect()} == {w: stem_word(w) for w in pool}
