@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcard.operators import cards as C
@@ -13,7 +16,7 @@ from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
 from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_constraint_columns, cat_constraints, cat_tables
 from starcard.rules import RUN_FIELDS
-from starcard.session import scratch_path, shuffled
+from starcard.session import scratch_path, shuffled, shuffles_dropped
 from starcard.sources import exports as E
 from starcard.sources import files, sinks
 
@@ -102,8 +105,13 @@ _ARRAYS = {
 }
 
 
+def _item(told: dict[str, str], sent: dict[str, str]) -> Callable[[Column], Column]:
+    """An array's struct from a row that has the expressions ``sent``; the others are constants of the schema."""
+    return lambda row: F.struct(*[(row[sent[e]] if e in sent else F.expr(e)).alias(f) for f, e in told.items()])
+
+
 def _write_exports(spark: SparkSession, d: str) -> str:
-    """A JSON object over many lines per schema, without its null fields; a file holds many of them, a record separator between.
+    """A JSON object over many lines per schema, without its null fields; a compressed file holds many of them, a record separator between.
 
     All arrays of a source are gathered in one pass, so a schema is shuffled once per source. Odd schemas name owner and kind of a grant another way and have no array of triggers.
     """
@@ -117,19 +125,23 @@ def _write_exports(spark: SparkSession, d: str) -> str:
     for source, rows in frames.items():
         arrays = {a: cells for a, (s, _, cells, *_) in _ARRAYS.items() if s == source}
         order = next(o for s, o, *_ in _ARRAYS.values() if s == source)
-        places, items = [F.col(c).alias(f"o{i}") for i, c in enumerate(order.split(", "))], []
+        # A row travels once, with what its arrays are made of; what the owner alone decides is added where the rows are.
+        made = dict.fromkeys(e.format(odd=odd) for cells in arrays.values() for e in cells.values())
+        sent = {e: f"e{i}" for i, e in enumerate(made) if set(re.findall(r"\w+", e)) & set(rows.columns) - {"owner"}}
+        places = [F.col(c).alias(f"o{i}") for i, c in enumerate(order.split(", "))]
+        part = rows.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct(*places, *[F.expr(e).alias(c) for e, c in sent.items()]))).alias("x"))
+        held = {}
         for array, cells in arrays.items():
             owner = f"CASE WHEN NOT {odd} THEN owner END" if array == "grants" else "owner"
-            item = F.struct(F.expr(owner).alias("owner"), *[F.expr(e.format(odd=odd)).alias(f) for f, e in cells.items()])
-            items.append(item.alias(array))
-        part = rows.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct(*places, *items))).alias("x"))
-        held = {a: F.col("x").getField(a) for a in arrays}
+            told = {"owner": owner} | {f: e.format(odd=odd) for f, e in cells.items()}
+            held[array] = F.transform("x", _item(told, sent))
         if "triggers" in held:
             held["triggers"] = F.when(~F.expr(odd), held["triggers"])
         whole = whole.join(shuffled(part.select("owner", *[c.alias(a) for a, c in held.items()])), "owner", "left")
     told = F.struct(F.col("owner").alias("schema"), F.lit("2024-01-01").alias("generated_at"), *_ARRAYS)
     path = scratch_path(spark, "metadata")
-    whole.select(F.to_json(told, {"pretty": "true"}).alias("value")).write.option("lineSep", E.SEPARATOR).text(path)
+    with shuffles_dropped(spark):
+        whole.select(F.to_json(told, {"pretty": "true"}).alias("value")).write.option("lineSep", E.SEPARATOR).option("compression", "gzip").text(path)
     return path
 
 
@@ -145,7 +157,7 @@ def _told_sql(array: str) -> str:
 @query("src_metadata_json", _cat(" UNION ALL ".join(_told_sql(a) for a in _ARRAYS), FK_SQL))
 def src_metadata_json(spark: SparkSession, d: str) -> DataFrame:
     """All twelve arrays of every schema's export, by position, read from files over many lines."""
-    exports = E.Exports(spark, _write_exports(spark, d), "*.txt")
+    exports = E.Exports(spark, _write_exports(spark, d), "*.txt.gz")
     rows = []
     for array, (*_, name, detail) in _ARRAYS.items():
         held = exports.grants() if array == "grants" else exports.array(array)
@@ -165,7 +177,7 @@ def src_metadata_json(spark: SparkSession, d: str) -> DataFrame:
 )
 def cards_from_exports(spark: SparkSession, d: str) -> DataFrame:
     """Cards of all schemas from their exports alone, comments and references being arrays of their own."""
-    exports = E.Exports(spark, _write_exports(spark, d), "*.txt")
+    exports = E.Exports(spark, _write_exports(spark, d), "*.txt.gz")
     return C.flatten(C.nest(E.assemble_exports(exports, LOOKUPS, exported=EXPORTED)))
 
 
