@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starcard.functions.text import clean_text, fk_parts, strip
 from starcard.functions.types import type_string
-from starcard.session import broadcast_if_small, cut, shuffled
+from starcard.session import broadcast_if_small, cut, shuffled, stored
 from starcard.rules import (
     FACT_ROWS,
     KEY_NAMES,
@@ -237,7 +237,7 @@ def assemble(
     joined on just that, so every input is shuffled once on the way here. ``foreign_keys`` (owner, table_name, column_name, fk) are
     references that are resolved already.
     """
-    keyed = cut(keyed_columns(constraints, constraint_columns))
+    keyed = stored(keyed_columns(constraints, constraint_columns), "keyed-columns")
     row_counts = first_row_counts(tables)
     fk = with_lookups(
         foreign_key_map(resolve_foreign_keys(keyed)) if foreign_keys is None else foreign_keys,

@@ -26,7 +26,7 @@ from starcard.plans.tenants import (
     exported_lookups,
 )
 from starcard.rules import SKIP_RULES
-from starcard.session import cut, scratch_path, shuffled
+from starcard.session import scratch_path, shuffled, stored
 from starcard.sources.files import available_schemas, read_cards
 from starcard.sources.sinks import write_cards
 
@@ -629,7 +629,7 @@ def card_build(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards with their value maps attached."""
-    known = cut(assembled(spark, d))
+    known = stored(assembled(spark, d), "assembled")
     choices = K.one_map_per_lookup(K.reference_rows(known))
     entries = C.nested_entries(V.long_maps(exported_lookups(spark, d), choices, partial=True))
     maps = choices.join(entries, ["ref_table", "key_column"], "left").withColumn(

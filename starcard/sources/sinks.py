@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starcard.operators.runlog import key_differences
 from starcard.rules import RUN_FIELDS, RUN_FILE
-from starcard.session import shuffle_width, shuffled
+from starcard.session import shuffle_width, shuffled, shuffles_dropped
 from starcard.sources.files import CARD_BUCKETS, card_bucket
 
 SAMPLE_ROWS = 1000
@@ -35,7 +35,7 @@ def write_cards(
     cards: DataFrame, path: str, existing: DataFrame | None = None, overwrite: bool = False,
     filtered: Column | None = None,
 ) -> dict[str, int]:
-    """Store cards as JSON lines in bucket folders; cards already stored stay unless ``overwrite``.
+    """Store cards as compressed JSON lines in bucket folders; cards already stored stay unless ``overwrite``.
 
     Cards for which ``filtered`` holds are left out and counted.
 
@@ -60,7 +60,8 @@ def write_cards(
     share = max(4, shuffle_width(cards.sparkSession) // CARD_BUCKETS)
     spread = new.repartition("schema_bucket", F.pmod(F.xxhash64("table_metadata.name"), F.lit(share)))
     writer = spread.write.mode("overwrite" if overwrite else "append").partitionBy("schema_bucket")
-    writer.json(path)
+    with shuffles_dropped(cards.sparkSession):
+        writer.option("compression", "gzip").json(path)
     try:
         return dict(seen.get)
     except Py4JJavaError:  # nothing to write: the plan ended before the counts
