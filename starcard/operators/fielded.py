@@ -18,9 +18,11 @@ before it, with the counts that go with them, so that scores are those of a fres
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from starcard.session import broadcast_if_small, fits, scratch_path, shuffle_wid
 
 #: Documents of a group, postings of a folder and the most folders, groups that are scored first.
 GROUP_DOCS, FOLDER_POSTINGS, MOST_FOLDERS, LEAD = 4096, 4_000_000, 4096, 2
-#: Terms of all queries to a pack of them: so many may ask for one block in a row.
+#: So many queries may ask for one block in a row.
 ASKED_TOGETHER = 20_000
 #: Words that a task counts at a time, blocks it hands on at a time.
 COUNTED_WORDS, SENT_BLOCKS = 2_000_000, 20_000
@@ -426,9 +428,40 @@ def _saturated(tf, low, index: FieldedIndex, means: list[float], k1: float) -> C
     return x * (k1 + 1) / (x + k1)
 
 
-def _allowed(schema: Column) -> Column:
-    """Schemas of a query: null lets every document pass."""
-    return F.col("schemas").isNull() | F.coalesce(F.array_contains("schemas", schema), F.lit(False))
+def _distinct_terms(weights: DataFrame) -> DataFrame:
+    return broadcast_if_small(weights.select("term").distinct())[0]
+
+
+def _reached(asking: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(query_id, schemas, schema, segment, grp): groups whose span of schemas holds the one named, for each that a query names.
+
+    The spans, one per group of documents, travel to the schemas, each of which is looked up once in their order.
+    """
+    ends = bounds.groupBy("segment", "grp").agg(F.min("first_schema").alias("a"), F.max("last_schema").alias("b")).filter("a IS NOT NULL")
+    spans = sorted((r["a"], r["b"], r["segment"], r["grp"]) for r in ends.collect())  # a row per 4,096 documents or so
+    starts = [s[0] for s in spans]
+    furthest = list(accumulate((s[1] for s in spans), max))  # none before ends later
+    each = asking.select("query_id", "schemas", F.explode(F.array_distinct("schemas")).alias("schema")).filter(F.col("schema").isNotNull())
+    kind = each.schema["schema"].dataType
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for schema in batch.column("schema").to_pylist():
+                i = bisect_right(starts, schema) - 1
+                while i >= 0 and furthest[i] >= schema:
+                    if spans[i][1] >= schema:
+                        rows.append((schema, spans[i][2], spans[i][3]))
+                    i -= 1
+            found = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[0], batch.schema.field("schema").type), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())],
+                ["schema", "segment", "grp"],
+            )
+
+    form = StructType([StructField("schema", kind), StructField("segment", IntegerType()), StructField("grp", IntegerType())])
+    places = each.select("schema").distinct().mapInArrow(look_up, form)
+    return each.join(shuffled(places), "schema").select("query_id", "schemas", "schema", "segment", "grp")
 
 
 @dataclass
@@ -459,7 +492,8 @@ def search(
     places = queries.select("query_id", "schemas")
     weights = stored(asked.join(counts, "term").select("query_id", "term", idf.alias("idf")).join(places, "query_id"), "query-weights")
     hint, _ = broadcast_if_small(weights)
-    packs = 1 + weights.count() // ASKED_TOGETHER
+    few = F.col("schemas").isNull()
+    limited, free = not weights.filter(~few).isEmpty(), not weights.filter(few).isEmpty()
     spans = []
     for number, name, folders in index.segments:
         used = [r[0] for r in weights.select(_folder(folders)).distinct().collect()]  # at most the folders there are
@@ -468,11 +502,19 @@ def search(
     # bounds: the postings' column isn't read here
     bound = F.col("idf") * _saturated(lambda i: F.get("top", F.lit(i)), lambda i: F.get("low", F.lit(i)), index, means, k1)
     within = F.col("schemas").isNull() | F.exists("schemas", lambda s: (s >= F.col("first_schema")) & (s <= F.col("last_schema")))
-    heads = _union([
-        blocks.select("term", "grp", "n", "top", "low", "first_schema", "last_schema").join(hint, "term").filter(within)
-        .select("query_id", F.lit(number).alias("segment"), "grp", bound.alias("bound"))
-        for number, blocks in spans
+    bounds = _union([
+        blocks.select("term", "grp", "n", "top", "low", "first_schema", "last_schema", F.lit(number).alias("segment")) for number, blocks in spans
     ])
+    heads, reached = [], None
+    if free or not limited:
+        heads.append(bounds.join(hint.filter(few) if limited else hint, "term"))
+    if limited:
+        # a query meets the groups that reach into its schemas, not every group that has its terms
+        asking = weights.filter(~few).select("query_id", "schemas").distinct()
+        reached = stored(_reached(asking, bounds), "reached-groups")
+        pairs = weights.filter(~few).join(shuffled(reached.drop("schema").distinct()), ["query_id", "schemas"])
+        heads.append(pairs.join(shuffled(bounds.join(_distinct_terms(weights), "term", "left_semi")), ["segment", "grp", "term"]))
+    heads = _union([rows.filter(within).select("query_id", "segment", "grp", bound.alias("bound")) for rows in heads])
     wanted = stored(
         heads.groupBy("query_id", "segment", "grp").agg((F.sum("bound") + 1e-6).alias("bound"), F.count(F.lit(1)).alias("blocks")), "bounds"
     )
@@ -480,25 +522,47 @@ def search(
     dead = stored(dead, "dead-documents") if dead is not None else None
 
     def scored(chosen: DataFrame) -> DataFrame:
-        """The k best of every query in the chosen groups. A block is dealt once with those who ask for it, not once for each of them."""
-        pairs = stored(chosen.select("query_id", "segment", "grp").join(hint, "query_id"), "asked-pairs")
-        pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")  # bounds how many ask in one row
-        who = F.collect_list(F.struct("query_id", "schemas", "idf")).alias("who")
-        asks, small = pairs.groupBy("segment", "grp", "term", pack).agg(who), fits(pairs)
-        parts = []
+        """The k best of every query in the chosen groups. A block is dealt once with those who ask for it, not once for each of them.
+
+        Those of a block who name schemas are kept by schema, so a posting meets them alone.
+        """
+        keys = ["segment", "grp", "term"]
+        rows, both = chosen.select("query_id", "segment", "grp"), []
+        if free or not limited:
+            anywhere = F.lit(None).cast(queries.schema["schemas"].dataType.elementType).alias("schema")
+            both.append(rows.join(hint.filter(few) if limited else hint, "query_id").select("query_id", *keys, anywhere, "idf"))
+        if limited:
+            places = rows.join(shuffled(reached), ["query_id", "segment", "grp"])
+            both.append(places.join(shuffled(weights.filter(~few)), ["query_id", "schemas"]).select("query_id", *keys, "schema", "idf"))
+        pairs = stored(_union(both), "asked-pairs")
+        # bounds how many ask in one row; only a block that more of them want travels more than once
+        many, _ = broadcast_if_small(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("asks")).filter(F.col("asks") > ASKED_TOGETHER))
+        pack = F.pmod(F.xxhash64("query_id"), F.coalesce(F.floor(F.col("asks") / ASKED_TOGETHER) + 1, F.lit(1))).alias("pack")
+        each = pairs.join(many, keys, "left").groupBy(*keys, pack, "schema").agg(F.collect_list(F.struct("query_id", "idf")).alias("who"))
+        asks = each.groupBy(*keys, "pack").agg(
+            F.first(F.when(F.col("schema").isNull(), F.col("who")), ignorenulls=True).alias("everywhere"),
+            F.map_from_entries(F.collect_list(F.when(F.col("schema").isNotNull(), F.struct("schema", "who")))).alias("inside"),
+        )
+        small, parts = fits(pairs), []
         for number, blocks in spans:
-            mine = asks.filter(F.col("segment") == number).select("grp", "term", "who")
+            mine = asks.filter(F.col("segment") == number).select("grp", "term", "everywhere", "inside")
             held = blocks.select("term", "grp", "postings")
             if not small:
-                terms, _ = broadcast_if_small(weights.select("term").distinct())
-                held = held.join(terms, "term", "left_semi")
+                held = held.join(_distinct_terms(weights), "term", "left_semi")
             opened = held.join(F.broadcast(mine) if small else shuffled(mine), ["term", "grp"])
-            parts.append(opened.select("grp", "who", "postings", F.lit(number).alias("segment")))
-        asked_for = _union(parts).repartition("segment", "grp").select("segment", "grp", "postings", F.explode("who").alias("q"))
-        each = asked_for.select("q.*", "segment", "grp", F.explode("postings").alias("p"))
+            parts.append(opened.select("grp", "everywhere", "inside", "postings", F.lit(number).alias("segment")))
+        asked_for = _union(parts).repartition("segment", "grp")
+        if limited:
+            none = F.array().cast(pairs.select(F.array(F.struct("query_id", "idf"))).schema[0].dataType)
+            opened = asked_for.select("segment", "grp", "everywhere", "inside", F.explode("postings").alias("p"))
+            who = F.concat(F.coalesce("everywhere", none), F.coalesce(F.try_element_at("inside", F.col("p.schema")), none))
+            each = opened.select("segment", "grp", "p", F.explode(who).alias("q")).select("q.*", "segment", "grp", "p")
+        else:
+            opened = asked_for.select("segment", "grp", "postings", F.explode("everywhere").alias("q"))
+            each = opened.select("q.*", "segment", "grp", F.explode("postings").alias("p"))
         tf, low = (lambda i: F.get("p.tf", F.lit(i))), (lambda i: F.get("p.lens", F.lit(i)))
         part = F.col("idf") * _saturated(tf, low, index, means, k1)
-        summed = each.filter(_allowed(F.col("p.schema"))).groupBy("segment", "grp", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
+        summed = each.groupBy("segment", "grp", "query_id", F.col("p.doc_id").alias("doc_id")).agg(
             F.round(F.sum(part), 6).alias("score")
         )
         return best(_alive(summed, dead), k).select("query_id", "doc_id", "score", "rank")
@@ -515,8 +579,7 @@ def search(
         reading.opened = wanted.join(opened, ["query_id", "segment", "grp"]).agg(F.sum("blocks")).first()[0] or 0
     if second.isEmpty():
         return found
-    # few rows, and what is done with them shall not score again
-    return stored(best(found.drop("rank").unionByName(scored(second).drop("rank")), k).select("query_id", "doc_id", "score", "rank"), "hits")
+    return best(found.drop("rank").unionByName(scored(second).drop("rank")), k).select("query_id", "doc_id", "score", "rank")
 
 
 def statistics(index: FieldedIndex, spark: SparkSession, sample: int = 0) -> DataFrame:

@@ -73,13 +73,14 @@ def _merged(a: tuple | None, b: tuple, k: int) -> tuple:
     return q[place < k], d[place < k], s[place < k]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _matrix(rows: np.ndarray) -> np.ndarray:
+    """Rows that are arrays to a matrix."""
+    return np.stack(rows).astype(np.float64)
 
 
 def _carried(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Every vector partition scores the whole (small) query matrix in place."""
-    query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["vector"])
+    query_ids, q = queries["query_id"].to_numpy(), _matrix(queries["vector"].to_numpy())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = None
@@ -102,39 +103,53 @@ def _carried(queries: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def _blocked(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Cells of queries against the same cells of vectors, both cut into blocks of bounded size.
 
-    Both sides carry ``cell``. A cell with many vectors or many queries becomes many groups.
+    Both sides carry ``cell``. A cell with many vectors or many queries becomes many groups, small cells share one.
     """
     q_sizes = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     v_sizes = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
     sizes = q_sizes.join(v_sizes, "cell").select(
         "cell",
         F.ceil(F.col("nq") / BLOCK_QUERIES).cast("int").alias("qb"),
-        F.ceil(F.col("nv") / BLOCK_VECTORS).cast("int").alias("vb"),
+        F.ceil(F.col("nv") / BLOCK_VECTORS).cast("int").alias("vb"), "nq", "nv",
     )
+    sizes = stored(sizes, "cell-sizes")
+    little = (F.col("nq") <= BLOCK_QUERIES // 8) & (F.col("nv") <= BLOCK_VECTORS // 8)
+    nq, nv = sizes.filter(little).agg(F.coalesce(F.sum("nq"), F.lit(0)), F.coalesce(F.sum("nv"), F.lit(0))).first()
+    packs = 1 + max(nq // (BLOCK_QUERIES // 2), nv // (BLOCK_VECTORS // 2))
+    # Whichever cells a pack holds, they are told apart in it.
+    pack = F.when(little, F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.xxhash64("cell"))
     # One row of sizes per cell. Every query-side column is renamed, as both sides may come from one table.
-    sizes, _ = broadcast_if_small(stored(sizes, "cell-sizes"))
+    sizes, _ = broadcast_if_small(sizes.select("cell", "qb", "vb", pack.alias("pack")))
     q = queries.join(sizes, "cell").select(
-        F.col("cell").alias("q_cell"),
+        F.col("cell").alias("q_cell"), F.col("pack").alias("q_pack"),
         F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q_qblock"),
         F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("q_vblock"),
         F.col("query_id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
     v = vectors.join(sizes, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"),
+        "cell", "pack", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("doc_id"), F.col("vb")).cast("int").alias("vblock"), "doc_id", "vector",
     )
-    keys = ["cell", "qblock", "vblock"]
+    keys = ["pack", "qblock", "vblock"]
+
+    def by_cell(cells: pd.Series) -> dict:
+        codes, names = pd.factorize(cells)
+        order = np.argsort(codes, kind="stable")
+        return dict(zip(names, np.split(order, np.cumsum(np.bincount(codes, minlength=len(names)))[:-1]), strict=True))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        found = _top(
-            left["q_id"].to_numpy(), _matrix(left["q_vector"]),
-            right["doc_id"].to_numpy(), _matrix(right["vector"]), k,
-        )
-        return pd.DataFrame({"query_id": found[0], "doc_id": found[1], "score": found[2]})
-
-    left_groups, right_groups = q.groupBy("q_cell", "q_qblock", "q_vblock"), v.groupBy(*keys)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if not left.empty and not right.empty:
+            q_ids, q, ids, v = (x.to_numpy() for x in (left["q_id"], left["q_vector"], right["doc_id"], right["vector"]))
+            held = by_cell(right["cell"])
+            for cell, mine in by_cell(left["q_cell"]).items():
+                if cell in held:
+                    other = held[cell]
+                    found.append(_top(q_ids[mine], _matrix(q[mine]), ids[other], _matrix(v[other]), k))
+        told = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), told, strict=True)))
+
+    left_groups, right_groups = q.groupBy("q_pack", "q_qblock", "q_vblock"), v.groupBy(*keys)
     return left_groups.cogroup(right_groups).applyInPandas(score, HIT_SCHEMA)
 
 

@@ -23,7 +23,7 @@ from starcard.plans.readonly import run_readonly
 from starcard.plans.registry import query, table
 from starcard.plans.tenants import FK_SQL, LOOKUPS, cat_columns, cat_tables
 from starcard.rules import STOP_WORDS, TOKEN
-from starcard.session import cut, kept_path, scratch_path
+from starcard.session import cut, kept_path, scratch_path, stored
 from starcard.sources.files import content_name
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -239,7 +239,8 @@ def _overlap_sql(field: str) -> str:
               FROM bm JOIN documents USING (doc_id) JOIN lists USING (query_id))""",
 )
 def field_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return R.rerank(_bm25(spark, d), table(spark, d, "documents"), _texts(spark, d), FIELD_WEIGHTS)
+    hits = stored(_bm25(spark, d), "hits")  # read twice
+    return R.rerank(hits, table(spark, d, "documents"), _texts(spark, d), FIELD_WEIGHTS)
 
 
 _TOP_SQL = """top AS (SELECT term FROM dfs ORDER BY df DESC, term LIMIT 1),
