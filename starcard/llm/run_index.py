@@ -24,43 +24,42 @@ class RunIndex:
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         of = np.repeat(np.arange(self.n), self.sizes + 1)
         left = (self.starts + self.sizes)[of] - np.arange(len(raw))  # bytes up to the terminator
-        order, shared = self._sort(raw, of, left)
+        order, heads = self._sort(raw, left, depth)
         # the byte in front of each suffix; 0 where a string begins
         self._runs(np.where(order == self.starts[of[order]], 0, raw[order - 1]).astype(np.int64))
-        heads = np.r_[True, shared[1:] < depth]
         self.interval = np.cumsum(heads, dtype=np.int32) - 1
         self.interval_owner = np.minimum.reduceat(owners[of[order]], np.flatnonzero(heads))
 
-    def _sort(self, raw: np.ndarray, of: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and for every suffix the bytes that it shares with the one before it.
+    def _sort(self, raw: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order, and where a suffix doesn't share its first ``depth`` bytes with the one before it.
 
-        Sorted by eight bytes at a time, each time only the suffixes that are still equal to a neighbour. All sorts are
-        stable, so suffixes that end alike stay in the order of their strings.
+        Sorted by prefix doubling: suffixes are ranked by eight bytes, and from then on by their rank and that of the suffix as many bytes
+        further on, each time only those still equal to a neighbour, in one sort of one number. All sorts are stable, so suffixes
+        that end alike stay in the order of their strings.
         """
         words = _words(raw, left)
         order = np.argsort(words, kind="stable")
         at = words[order]
-        shared = np.r_[0, _common(at[1:], at[:-1])]
         apart = np.r_[True, at[1:] != at[:-1]]
-        rows, depth = np.arange(len(order)), 8
+        # the rank of a suffix is the first row of those it is equal to so far
+        first = np.flatnonzero(apart)[np.cumsum(apart) - 1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = first
+        rows, deep = np.arange(len(order)), 8
         while True:
-            # of the rows at hand, those in groups of two or more
+            # of the rows at hand, those in groups of two or more; suffixes of less than ``deep`` bytes are equal to their end
             alone = apart & np.r_[apart[1:], True]
-            rows, apart = rows[~alone], apart[~alone]
+            rows = rows[~alone & (left[order[rows]] >= deep)]
             if not len(rows):
                 break
-            group = np.cumsum(apart)
             suffix = order[rows]
-            word = np.where(left[suffix] <= depth, 0, words[np.minimum(suffix + depth, len(words) - 1)])
-            by = np.lexsort((word, group))
-            order[rows] = suffix[by]
-            word = word[by]
-            inside = np.flatnonzero(~apart)
-            shared[rows[inside]] = depth + _common(word[inside], word[inside - 1])
-            apart[inside] = (word[inside] != word[inside - 1]) | (word[inside] == 0)  # zero: both are at their end
-            depth += 8
-        shared[1:] = np.minimum(shared[1:], np.minimum(left[order[1:]], left[order[:-1]]))
-        return order, shared
+            key = (rank[suffix] << 32) | rank[suffix + deep]
+            by = np.argsort(key, kind="stable")
+            order[rows], key = suffix[by], key[by]
+            apart = np.r_[True, key[1:] != key[:-1]]
+            rank[order[rows]] = rows[np.flatnonzero(apart)[np.cumsum(apart) - 1]]
+            deep *= 2
+        return order, np.r_[True, ~_share(words, left, order[1:], order[:-1], depth)]
 
     def _runs(self, symbols: np.ndarray) -> None:
         heads = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
@@ -104,9 +103,12 @@ def _words(raw: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading bytes that two big-endian words share."""
-    x, n = a ^ b, np.zeros(len(a), np.int64)
-    for k in range(1, 9):
-        n += (x >> np.uint64(64 - 8 * k)) == 0
-    return n
+def _share(words: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the suffixes ``a`` and ``b`` have ``depth`` bytes and share them, eight at a time."""
+    out = (left[a] >= depth) & (left[b] >= depth)
+    some = np.flatnonzero(out)
+    for at in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+        some = some[words[a[some] + at] == words[b[some] + at]]
+    out[:] = False
+    out[some] = True
+    return out
