@@ -107,8 +107,9 @@ def _share(words: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, de
     """Whether the suffixes ``a`` and ``b`` have ``depth`` bytes and share them, eight at a time."""
     out = (left[a] >= depth) & (left[b] >= depth)
     some = np.flatnonzero(out)
-    for at in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
-        some = some[words[a[some] + at] == words[b[some] + at]]
+    for at in range(0, depth, 8):
+        rest = np.uint64(8 * max(0, 8 - depth + at))  # bits of the last word beyond ``depth``
+        some = some[words[a[some] + at] >> rest == words[b[some] + at] >> rest]
     out[:] = False
     out[some] = True
     return out
